@@ -42,7 +42,7 @@ def previous_in_time(df: DataFrame, ts: str, key: str, cols: list[str], prefix:
 
 def archive_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posts(spark, sf_dir)
-    p = previous_in_time(p, "post_datetime", "post_id", ["author_id"])
+    p = previous_in_time(p, "post_datetime", "post_id", ["author_id", "post_id"])
     k = F.col("k")
     url = (F.when(k.between(25, 29), F.concat(F.lit("https://twitter.com/u/status/"), F.col("post_id").cast("string")))
            .when(k.between(30, 34), F.concat(F.lit("https://example.com/p/"), F.col("post_id").cast("string"))))
@@ -51,6 +51,8 @@ def archive_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("post_id").cast("string").alias("id_str"),
         F.when(F.col("category").isin("view", "click"), F.col("prev_author_id").cast("string"))
          .alias("in_reply_to_user_id_str"),
+        F.when(F.col("category").isin("view", "click"), F.col("prev_post_id").cast("string"))
+         .alias("in_reply_to_status_id_str"),
         F.when(k < 5, F.lit(True)).when(k > 90, F.lit(False)).alias("retweeted"),
         F.when(k.between(5, 9), F.struct(F.col("post_id").cast("string").alias("id_str")))
          .alias("retweeted_status"),
@@ -96,7 +98,8 @@ SQL_ENGINEERED = """
 p0 AS (
   SELECT event_id AS post_id, user_id AS author_id, ts AS post_datetime, event_type AS category,
          value AS engagement, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-         LAG(user_id) OVER (ORDER BY ts, event_id) AS prev_author_id
+         LAG(user_id) OVER (ORDER BY ts, event_id) AS prev_author_id,
+         LAG(event_id) OVER (ORDER BY ts, event_id) AS prev_post_id
   FROM events),
 owner AS (
   SELECT CAST(author_id AS VARCHAR) AS owner_id FROM (
