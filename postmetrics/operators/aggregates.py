@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmetrics.functions.features import winsorize
+from postmetrics.functions.numeric import round_half_even
 from postmetrics.operators.quantiles import choose_method, quantiles, scalar_quantile_frame
 
 
@@ -99,7 +100,7 @@ def pivot_mean(df: DataFrame, row_key: str, col_key: str, value: str,
 
 def ratio_of_rounded(top: Column, second: Column, digits: int = 1) -> Column:
     """Report rule: round both means (half-even) first, then divide; guarded."""
-    return F.try_divide(F.bround(top, digits), F.bround(second, digits))
+    return F.try_divide(round_half_even(top, digits), round_half_even(second, digits))
 
 
 def box_stats(df: DataFrame, key: str, value: str, method: str = "auto") -> DataFrame:

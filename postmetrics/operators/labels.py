@@ -179,10 +179,9 @@ def model_scores(pairs: DataFrame, digits: int = 3) -> DataFrame:
     a = pairs.select("model", agreement_matches(pairs).alias("_m"))
     g = a.groupBy("model").agg(F.sum("_m").alias("_s"), F.count(F.lit(1)).alias("count"),
                                F.stddev_samp(F.col("_m") / F.lit(5.0)).alias("std"))
-    scale = float(10 ** digits)
-    rnd = lambda c: F.rint(c * F.lit(scale)) / F.lit(scale)
-    return g.select("model", rnd(F.col("_s") / (F.lit(5.0) * F.col("count"))).alias("mean"), "count",
-                    rnd(F.col("std")).alias("std"))
+    from postmetrics.functions.numeric import round_half_even as rnd
+    return g.select("model", rnd(F.col("_s") / (F.lit(5.0) * F.col("count")), digits).alias("mean"), "count",
+                    rnd(F.col("std"), digits).alias("std"))
 
 
 def best_labeler(scores: DataFrame) -> DataFrame:

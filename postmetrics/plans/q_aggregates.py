@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmetrics.functions import features as fx
+from postmetrics.functions.numeric import round_half_even
 from postmetrics.operators import aggregates as ag
 from postmetrics.operators.quantiles import quantiles
 from postmetrics.plans.derived import SQL_CORE, SQL_ENGINEERED, core_sample, engineered
@@ -312,7 +313,7 @@ def agg_engagement_by_label(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
     lab = table(spark, d, "labels").select("doc_id", "quality")
     j = docs.join(lab, "doc_id")
-    g = ag.drop_null_keys(j, ["quality"]).groupBy("quality").agg(F.bround(F.avg("n_chars"), 0).alias("mean_n_chars"))
+    g = ag.drop_null_keys(j, ["quality"]).groupBy("quality").agg(round_half_even(F.avg("n_chars"), 0).alias("mean_n_chars"))
     return g.orderBy(F.desc("mean_n_chars"))
 
 

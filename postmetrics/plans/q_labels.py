@@ -46,8 +46,8 @@ pairs AS (SELECT c.doc_id, c.model, {_PAIR_COLS}
           FROM long c JOIN long t ON c.doc_id = t.doc_id AND t.model = '{TRUTH}' WHERE c.model <> '{TRUTH}'),
 agree AS (SELECT doc_id, model, {" + ".join(f"CAST({f} IS NOT DISTINCT FROM truth_{f} AS INTEGER)" for f in lb.LABEL_FIELDS)} AS m
           FROM pairs),
-scores AS (SELECT model, round_even(sum(m) / (5.0 * count(*)) * 1000.0, 0) / 1000.0 AS mean, count(*) AS count,
-                  round_even(stddev_samp(m / 5.0) * 1000.0, 0) / 1000.0 AS std FROM agree GROUP BY model)"""
+scores AS (SELECT model, round_even(sum(m) / (5.0 * count(*)), 3) AS mean, count(*) AS count,
+                  round_even(stddev_samp(m / 5.0), 3) AS std FROM agree GROUP BY model)"""
 
 
 def doc_texts(spark, d):

@@ -13,6 +13,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmetrics.functions.numeric import round_half_even
 from postmetrics.session import ensure_checkpoint_dir
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -44,13 +45,18 @@ def prepare(spark: SparkSession) -> None:
 
 
 def r6(c) -> Column:
-    """Half-even rounding of the binary value at 6 decimals (same as the oracle's)."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.rint(c.cast("double") * F.lit(1e6)) / F.lit(1e6)
+    return round_half_even(c, 6)
+
+
+def _round_sql(x: str, digits: int) -> str:
+    sc = f"{10 ** digits}.0"
+    s = f"(({x}) * {sc})"
+    return (f"(CASE WHEN abs({s} - floor({s}) - 0.5) < 0.001 THEN floor({s}) + abs(floor({s}) % 2) "
+            f"ELSE round_even({s}, 0) END / {sc})")
 
 
 def _expand_r6(sql: str) -> str:
-    """Rewrite ``round_even(x, 6)`` as ``round_even(x * 1e6, 0) / 1e6`` (binary half-even)."""
+    """Rewrite ``round_even(x, d)`` (d >= 1) into the same tie-stable rounding as ``round_half_even``."""
     out, i, token = [], 0, "round_even("
     while True:
         j = sql.find(token, i)
@@ -63,8 +69,8 @@ def _expand_r6(sql: str) -> str:
             k += 1
         inner = sql[j + len(token):k - 1]
         head, sep, tail = inner.rpartition(",")
-        if sep and tail.strip() == "6":
-            out.append(sql[i:j] + "(round_even((" + _expand_r6(head) + ") * 1000000.0, 0) / 1000000.0)")
+        if sep and tail.strip().isdigit():
+            out.append(sql[i:j] + _round_sql(_expand_r6(head), int(tail)))
         else:
             out.append(sql[i:j] + token + _expand_r6(inner) + ")")
         i = k
