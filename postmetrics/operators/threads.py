@@ -39,34 +39,48 @@ def parent_edges(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
 
 def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: Sequence[str] = (),
                  max_rounds: int | None = None) -> DataFrame:
-    """(id, thread_id) for every distinct id of ``df`` (ids as strings)."""
+    """(id, thread_id) for every distinct id of ``df`` (ids as strings).
+
+    Each node carries a pointer ``ptr`` (initially its parent), the smallest id
+    seen along the pointer path ``mn`` and a ``done`` flag.  A node is done when
+    its pointer reaches a thread root: a non-reply node, an id outside the
+    archive, or a node already done (whose pointer is final).  Otherwise the
+    pointer jumps to the pointed node's pointer (path length doubles).  Only the
+    active nodes are joined each round.  Nodes still active after
+    ceil(log2(n)) + 2 rounds lie on, or lead into, a cycle: their pointer then
+    sits on the cycle and that node's running minimum covers exactly the cycle.
+    """
     edges = parent_edges(df, id_col, parent_col, last_wins_order)
     ids = df.select(F.col(id_col).cast("string").alias("id")).where(F.col("id").isNotNull()).distinct()
-    # ptr: parent (possibly outside the archive) or the node itself; mn: smallest id seen
-    nodes = (ids.join(edges, "id", "left")
-             .select("id", F.coalesce("parent", "id").alias("ptr"),
-                     F.least(F.col("id"), F.coalesce("parent", "id")).alias("mn"))
-             .checkpoint(eager=True))
+    base = ids.join(edges, "id", "left")
+    nodes = base.select(
+        "id",
+        F.coalesce("parent", "id").alias("ptr"),
+        F.least(F.col("id"), F.coalesce("parent", "id")).alias("mn"),
+        F.col("parent").isNull().alias("is_root"),
+        F.col("parent").isNull().alias("done")).checkpoint(eager=True)
     if max_rounds is None:
         n = max(2, nodes.count())
         max_rounds = int(math.ceil(math.log2(n))) + 2
     for _ in range(max_rounds):
-        look = nodes.select(F.col("id").alias("_lid"), F.col("ptr").alias("_lptr"), F.col("mn").alias("_lmn"))
-        step = nodes.join(look, nodes["ptr"] == look["_lid"], "left")
-        new_ptr = F.coalesce(F.col("_lptr"), F.col("ptr"))
-        nxt = step.select("id", new_ptr.alias("ptr"),
-                          F.least(F.col("mn"), F.coalesce(F.col("_lmn"), F.col("mn"))).alias("mn"),
-                          (new_ptr != F.col("ptr")).alias("_moved")).checkpoint(eager=True)
-        moved = nxt.where(F.col("_moved")).limit(1).count()
-        nodes = nxt.drop("_moved")
-        if moved == 0:
+        look = nodes.select(F.col("id").alias("_lid"), F.col("ptr").alias("_lptr"), F.col("mn").alias("_lmn"),
+                            F.col("is_root").alias("_lroot"), F.col("done").alias("_ldone"))
+        active = nodes.where(~F.col("done"))
+        step = active.join(look, active["ptr"] == look["_lid"], "left")
+        at_root = F.col("_lid").isNull() | F.col("_lroot")
+        finished = at_root | F.col("_ldone")
+        moved = step.select(
+            "id",
+            F.when(at_root, F.col("ptr")).otherwise(F.col("_lptr")).alias("ptr"),
+            F.when(finished, F.col("mn")).otherwise(F.least(F.col("mn"), F.col("_lmn"))).alias("mn"),
+            F.col("is_root"),
+            finished.alias("done"))
+        nodes = nodes.where(F.col("done")).unionByName(moved).checkpoint(eager=True)
+        if nodes.where(~F.col("done")).limit(1).count() == 0:
             return nodes.select("id", F.col("ptr").alias("thread_id"))
-    # pointers still moving: nodes on (or leading into) a cycle.  After the rounds the
-    # pointer sits on the cycle and that node's running minimum covers the cycle only.
-    look = nodes.select(F.col("id").alias("_lid"), F.col("ptr").alias("_lptr"), F.col("mn").alias("_lmn"))
+    look = nodes.select(F.col("id").alias("_lid"), F.col("mn").alias("_lmn"))
     fin = nodes.join(look, nodes["ptr"] == look["_lid"], "left")
-    settled = F.col("_lptr").isNull() | (F.col("_lptr") == F.col("ptr"))
-    return fin.select("id", F.when(settled, F.col("ptr")).otherwise(F.col("_lmn")).alias("thread_id"))
+    return fin.select("id", F.when(F.col("done"), F.col("ptr")).otherwise(F.col("_lmn")).alias("thread_id"))
 
 
 def thread_features(df: DataFrame, id_col: str, parent_col: str, ts_col: str,
