@@ -79,6 +79,14 @@ def relative_week(ts, event_ts) -> Column:
     return F.floor(diff / F.lit(week_us)).cast("int")
 
 
+def relative_week_window(ts, event_ts: str, weeks: int) -> Column:
+    """Range predicate equivalent to ``relative_week(ts, event) BETWEEN -weeks AND weeks``,
+    written on the raw timestamp so Catalyst can push it into the scan."""
+    start = F.to_timestamp(F.lit(event_ts)) - F.expr(f"INTERVAL {7 * weeks} DAYS")
+    end = F.to_timestamp(F.lit(event_ts)) + F.expr(f"INTERVAL {7 * (weeks + 1)} DAYS")
+    return (_c(ts) >= start) & (_c(ts) < end)
+
+
 def account_tier(ts, upgraded_start, post_start) -> Column:
     """Three period labels; both boundaries belong to the middle period; NULL time -> last."""
     t = _c(ts)
@@ -179,8 +187,9 @@ def min_length(text, k: int) -> Column:
 
 
 def winsorize(x, cap) -> Column:
-    """Upper clip at ``cap``; a NULL cap (empty frame) leaves values unchanged."""
-    return F.when(_c(cap).isNull(), _c(x)).otherwise(F.least(_c(x), _c(cap)))
+    """Upper clip at ``cap``; a NULL cap (empty frame) leaves values unchanged
+    (``least`` skips NULLs, so the cap expression is referenced once)."""
+    return F.least(_c(x), _c(cap))
 
 
 def ci_equal(a, b) -> Column:

@@ -256,7 +256,8 @@ es AS (
 
 
 def event_study(spark, d):
-    o = orders_relative(spark, d).where(F.col("rel_week").between(-12, 12))
+    o = orders_relative(spark, d).where(fx.relative_week_window("ts", "1998-01-01", 12)
+                                        & F.col("rel_week").between(-12, 12))
     s = ag.group_stats(o, ["rel_week"], "o_totalprice", ("mean", "median", "count"))
     capped_mean = o.groupBy("rel_week").agg(F.avg("w").alias("mean_capped"))
     return s.join(capped_mean, "rel_week").select(

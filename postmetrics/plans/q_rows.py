@@ -238,7 +238,9 @@ def filt_min_length(spark, d):
 @register("filt_event_window", SQL_ORDERS_REL + " SELECT o_orderkey, rel_week FROM c WHERE rel_week BETWEEN -12 AND 12")
 def filt_event_window(spark, d):
     from postmetrics.plans.q_aggregates import orders_relative
-    return orders_relative(spark, d).where(F.col("rel_week").between(-12, 12)).select("o_orderkey", "rel_week")
+    o = orders_relative(spark, d)
+    return o.where(fx.relative_week_window("ts", "1998-01-01", 12) & F.col("rel_week").between(-12, 12)).select(
+        "o_orderkey", "rel_week")
 
 
 @register("filt_having_count", """
