@@ -181,9 +181,18 @@ def strip_text(text) -> Column:
     return F.regexp_replace(s, "^" + WHITESPACE_CLASS + "+|" + WHITESPACE_CLASS + "+$", "")
 
 
+def stripped_length(text) -> Column:
+    """``len(text.strip())`` from two anchored matches (on the text and its reverse),
+    so long texts are not rescanned from every whitespace run."""
+    s = F.coalesce(_c(text), F.lit(""))
+    lead = F.length(F.regexp_extract(s, "^" + WHITESPACE_CLASS + "*", 0))
+    trail = F.length(F.regexp_extract(F.reverse(s), "^" + WHITESPACE_CLASS + "*", 0))
+    return F.greatest(F.length(s) - lead - trail, F.lit(0))
+
+
 def min_length(text, k: int) -> Column:
     """Stripped text strictly longer than ``k`` characters."""
-    return F.length(strip_text(text)) > F.lit(k)
+    return stripped_length(text) > F.lit(k)
 
 
 def winsorize(x, cap) -> Column:

@@ -17,8 +17,11 @@ import json
 from dataclasses import dataclass, field
 from typing import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,34 +74,39 @@ class KeywordLabeler:
     rules: KeywordRules = field(default_factory=lambda: DEFAULT_RULES)
 
     def __call__(self, texts: pd.Series) -> pd.Series:
-        t = " " + texts.fillna("").str.lower() + " "
+        # Arrow compute kernels: lower-casing and substring search run in C++ per batch
+        arr = pa.array(texts.astype(object).where(texts.notna(), ""), type=pa.large_string())
+        sp = pa.scalar(" ", type=pa.large_string())
+        t = pc.binary_join_element_wise(sp, pc.utf8_lower(arr), sp, pa.scalar("", type=pa.large_string()))
+        n = len(texts)
 
         def first(rule_list, default):
-            out = pd.Series(default, index=t.index, dtype="object")
-            done = pd.Series(False, index=t.index)
+            out = np.full(n, default, dtype=object)
+            done = np.zeros(n, dtype=bool)
             for label, kws in rule_list:
                 hit = _any_contains(t, kws) & ~done
                 out[hit] = label
                 done |= hit
             return out
 
-        rec = pd.DataFrame({
-            "humor_type": first(self.rules.humor, NEUTRAL["humor_type"]),
-            "topic_category": first(self.rules.topic, NEUTRAL["topic_category"]),
-            "has_data_reference": _any_contains(t, self.rules.data_reference),
-            "shows_vulnerability": _any_contains(t, self.rules.vulnerability),
-            "critique_type": first(self.rules.critique, NEUTRAL["critique_type"]),
-        })
-        replies = pd.Series([json.dumps(r) for r in rec.to_dict("records")], index=t.index, dtype="object")
+        def js(x):
+            return np.where(x, "true", "false").astype(object)
+
+        reply = ('{"humor_type": "' + first(self.rules.humor, NEUTRAL["humor_type"])
+                 + '", "topic_category": "' + first(self.rules.topic, NEUTRAL["topic_category"])
+                 + '", "has_data_reference": ' + js(_any_contains(t, self.rules.data_reference))
+                 + ', "shows_vulnerability": ' + js(_any_contains(t, self.rules.vulnerability))
+                 + ', "critique_type": "' + first(self.rules.critique, NEUTRAL["critique_type"]) + '"}')
+        replies = pd.Series(reply, index=texts.index, dtype="object")
         if self.rules.max_reply_chars:
             replies = replies.str.slice(0, self.rules.max_reply_chars)
         return replies
 
 
-def _any_contains(t: pd.Series, kws: Sequence[str]) -> pd.Series:
-    hit = pd.Series(False, index=t.index)
+def _any_contains(t, kws: Sequence[str]) -> np.ndarray:
+    hit = np.zeros(len(t), dtype=bool)
     for kw in kws:
-        hit |= t.str.contains(kw, regex=False)
+        hit |= pc.match_substring(t, kw).to_numpy(zero_copy_only=False)
     return hit
 
 
@@ -117,22 +125,22 @@ def label_replies(df: DataFrame, id_col: str, text_col: str, labelers: Mapping[s
                   model_col: str = "model") -> DataFrame:
     """(id, model, reply) for every post and labeler; labelers run in ``mapInPandas``.
 
-    Posts fan out to the (small, fixed) labeler list by ``explode`` - no join.
+    Each text crosses the JVM/Python boundary once; every labeler sees the same
+    Arrow batch and the batch fans out to one reply row per labeler.
     """
     names = list(labelers)
-    fan = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
-                    F.explode(F.array(*[F.lit(n) for n in names])).alias(model_col))
+    src = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     id_type = df.schema[id_col].dataType.simpleString()
     lab = dict(labelers)
 
     def run(batches):
         for pdf in batches:
-            reply = pd.Series([None] * len(pdf), index=pdf.index, dtype="object")
-            for name, part in pdf.groupby(model_col, sort=False):
-                reply.loc[part.index] = _safe_call(lab[name], part["_text"])
-            yield pd.DataFrame({"_id": pdf["_id"], model_col: pdf[model_col], "reply": reply})
+            parts = [pd.DataFrame({"_id": pdf["_id"].to_numpy(), model_col: name,
+                                   "reply": _safe_call(lab[name], pdf["_text"]).to_numpy()})
+                     for name in names]
+            yield pd.concat(parts, ignore_index=True)
 
-    out = fan.mapInPandas(run, f"_id {id_type}, {model_col} string, reply string")
+    out = src.mapInPandas(run, f"_id {id_type}, {model_col} string, reply string")
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -160,10 +168,17 @@ def label_posts_multi(df: DataFrame, id_col: str, text_col: str, labelers: Mappi
 
 def truth_pairs(long: DataFrame, id_col: str, truth: str) -> DataFrame:
     """Each candidate's labels next to the truth labeler's labels for the same post
-    (posts without a truth row are skipped): an equi-join on the post id."""
-    t = long.where(F.col("model") == truth).select(id_col, *[F.col(f).alias(f"truth_{f}") for f in LABEL_FIELDS])
-    c = long.where(F.col("model") != truth)
-    return c.join(t, id_col, "inner")
+    (posts without a truth row are skipped).
+
+    A post has one row per labeler - a group bounded by the labeler count - so a
+    window over the post id pairs them without a self-join (which would run the
+    Python labelers twice).
+    """
+    rec = F.struct(*[F.col(f).alias(f"truth_{f}") for f in LABEL_FIELDS])
+    w = Window.partitionBy(id_col)
+    paired = long.withColumn("_t", F.max(F.when(F.col("model") == truth, rec)).over(w))
+    return (paired.where((F.col("model") != truth) & F.col("_t").isNotNull())
+            .select(id_col, "model", *LABEL_FIELDS, "_t.*"))
 
 
 def agreement_matches(pairs: DataFrame) -> Column:

@@ -8,7 +8,8 @@ row into one task, and ``partitionBy(g)`` does the same for a hot group ``g``
    group, because the tie-break makes every key distinct),
 2. tag each row with its partition id and ``monotonically_increasing_id``
    (partition id in the upper bits, position in the partition in the lower 33),
-3. checkpoint once so the layout is fixed and the lineage cut,
+3. write the tagged rows once to the shared checkpoint folder (fixes the layout,
+   cuts the lineage, survives executor loss),
 4. add per-partition offsets (one row per partition: a proven-small broadcast).
 
 Group-relative positions subtract the group's first global index, obtained by
@@ -22,6 +23,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmetrics.session import materialize
+
 _PID = "_pm_pid"
 _MONO = "_pm_mono"
 _OFF = "_pm_off"
@@ -38,7 +41,7 @@ def with_global_index(df: DataFrame, order: Sequence, index_col: str = "_idx",
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MONO, F.monotonically_increasing_id()))
     if checkpoint:
-        tagged = tagged.checkpoint(eager=True)
+        tagged = materialize(tagged, "ordinal")
     # one row per partition: bounded by the partition count, safe to broadcast
     counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_pm_n"))
     offsets = counts.select(

@@ -49,18 +49,41 @@ def seeded_key(id_col: str, seed: int = 42) -> Column:
     return F.pmod(x * F.lit(HASH_MULT) + F.lit(seed), F.lit(HASH_PRIME))
 
 
-def stratified_sample(df: DataFrame, stratum: str, id_col: str, per_stratum: int | dict,
-                      seed: int = 42, name: str = "_pos") -> DataFrame:
-    """At most k rows per stratum, without replacement, by a seeded hash order."""
-    pos = with_group_position(df.withColumn("_key", seeded_key(id_col, seed)), [stratum],
-                              ["_key", id_col], name, None)
+def _quota(per_stratum, stratum: str) -> Column:
     if isinstance(per_stratum, dict):
-        quota = F.coalesce(F.element_at(F.create_map(*[x for kv in per_stratum.items()
-                                                       for x in (F.lit(kv[0]), F.lit(kv[1]))]),
-                                        F.col(stratum)), F.lit(0))
-    else:
-        quota = F.lit(per_stratum)
-    return pos.where(F.col(name) < quota).drop("_key")
+        pairs = [x for kv in per_stratum.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]
+        return F.coalesce(F.element_at(F.create_map(*pairs), F.col(stratum)), F.lit(0))
+    return F.lit(per_stratum)
+
+
+def stratified_sample(df: DataFrame, stratum: str, id_col: str, per_stratum: int | dict,
+                      seed: int = 42, name: str = "_pos", oversample: float = 4.0) -> DataFrame:
+    """At most k rows per stratum, without replacement: the k smallest (seeded key, id).
+
+    Exact, without sorting the table: hash keys are uniform on [0, HASH_PRIME), so a
+    per-stratum key threshold sized for ~``oversample`` x k rows keeps a small candidate
+    set; a partial-aggregate check proves each stratum kept at least min(k, n) rows
+    (otherwise the threshold widens and the check repeats), and only the candidates
+    are ranked.
+    """
+    keyed = df.withColumn("_key", seeded_key(id_col, seed))
+    sizes = keyed.groupBy(stratum).agg(F.count(F.lit(1)).alias("_ns")).withColumn("_q", _quota(per_stratum, stratum))
+    factor = oversample
+    while True:
+        want = F.lit(factor) * F.col("_q") + F.lit(32)
+        th = sizes.select(stratum, "_ns", "_q", F.least(F.lit(HASH_PRIME).cast("double"),
+                                                       F.ceil(F.lit(float(HASH_PRIME)) * want / F.col("_ns")))
+                          .cast("long").alias("_t"))
+        cand = keyed.join(th.select(stratum, "_t"), stratum).where(F.col("_key") < F.col("_t")).drop("_t")
+        got = cand.groupBy(stratum).agg(F.count(F.lit(1)).alias("_nc"))
+        short = (th.join(got, stratum, "left")
+                 .where((F.coalesce(F.col("_nc"), F.lit(0)) < F.least(F.col("_q"), F.col("_ns")))
+                        & (F.col("_t") < F.lit(HASH_PRIME))))
+        if short.limit(1).count() == 0:
+            break
+        factor *= 8
+    pos = with_group_position(cand, [stratum], ["_key", id_col], name, None)
+    return pos.where(F.col(name) < _quota(per_stratum, stratum)).drop("_key")
 
 
 def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

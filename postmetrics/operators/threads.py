@@ -10,7 +10,7 @@ Reference semantics kept:
 
 Scale: each doubling round is one equi-join of the active pointers against the
 pointer table (AQE splits a hot root's partition), about log2(depth)+1 rounds,
-each checkpointed to the shared checkpoint folder so lineage stays short and a
+each written to the shared checkpoint folder so lineage stays short and a
 lost executor only recomputes one round.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmetrics.operators.ordinal import with_group_position
+from postmetrics.session import materialize
 
 
 def parent_edges(df: DataFrame, id_col: str, parent_col: str, last_wins_order: Sequence[str] = ()) -> DataFrame:
@@ -58,7 +59,8 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
         F.coalesce("parent", "id").alias("ptr"),
         F.least(F.col("id"), F.coalesce("parent", "id")).alias("mn"),
         F.col("parent").isNull().alias("is_root"),
-        F.col("parent").isNull().alias("done")).checkpoint(eager=True)
+        F.col("parent").isNull().alias("done"))
+    nodes = materialize(nodes, "thread-round")
     if max_rounds is None:
         n = max(2, nodes.count())
         max_rounds = int(math.ceil(math.log2(n))) + 2
@@ -75,7 +77,7 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
             F.when(finished, F.col("mn")).otherwise(F.least(F.col("mn"), F.col("_lmn"))).alias("mn"),
             F.col("is_root"),
             finished.alias("done"))
-        nodes = nodes.where(F.col("done")).unionByName(moved).checkpoint(eager=True)
+        nodes = materialize(nodes.where(F.col("done")).unionByName(moved), "thread-round")
         if nodes.where(~F.col("done")).limit(1).count() == 0:
             return nodes.select("id", F.col("ptr").alias("thread_id"))
     look = nodes.select(F.col("id").alias("_lid"), F.col("mn").alias("_lmn"))

@@ -231,8 +231,8 @@ SELECT doc_id,
   length(regexp_replace(COALESCE(text, ''), '^{WS_SQL}+|{WS_SQL}+$', '', 'g')) > 20 AS longer_than_20
 FROM documents WHERE length(regexp_replace(COALESCE(text, ''), '^{WS_SQL}+|{WS_SQL}+$', '', 'g')) > 15""")
 def filt_min_length(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.where(fx.min_length("text", 15)).select("doc_id", fx.min_length("text", 20).alias("longer_than_20"))
+    docs = table(spark, d, "documents").select("doc_id", fx.stripped_length("text").alias("_len"))
+    return docs.where(F.col("_len") > 15).select("doc_id", (F.col("_len") > 20).alias("longer_than_20"))
 
 
 @register("filt_event_window", SQL_ORDERS_REL + " SELECT o_orderkey, rel_week FROM c WHERE rel_week BETWEEN -12 AND 12")

@@ -1,7 +1,7 @@
 """Session construction and the shared scratch location.
 
-Lineage is cut with ``DataFrame.checkpoint()`` (reliable, written to
-``spark.checkpoint.dir``), never with ``localCheckpoint``.  On a cluster the
+Lineage is cut by writing tables into the shared checkpoint folder named by
+``spark.checkpoint.dir`` (``materialize``), never with ``localCheckpoint``.  On a cluster the
 checkpoint directory is a shared folder named by the cluster's configuration;
 we only pick one ourselves when the session has none (local runs and tests).
 """
@@ -57,6 +57,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def materialize(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but in one pass (a reliable checkpoint of an
+    unpersisted plan recomputes it to write), and later reads prune columns and
+    push filters into the files.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint location for written tables."""
     base = ensure_checkpoint_dir(spark)
