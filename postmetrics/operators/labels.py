@@ -74,17 +74,26 @@ class KeywordLabeler:
     rules: KeywordRules = field(default_factory=lambda: DEFAULT_RULES)
 
     def __call__(self, texts: pd.Series) -> pd.Series:
-        # Arrow compute kernels: lower-casing and substring search run in C++ per batch
-        arr = pa.array(texts.astype(object).where(texts.notna(), ""), type=pa.large_string())
-        sp = pa.scalar(" ", type=pa.large_string())
-        t = pc.binary_join_element_wise(sp, pc.utf8_lower(arr), sp, pa.scalar("", type=pa.large_string()))
-        n = len(texts)
+        return self.label_prepared(prepare_texts(texts), {}, texts.index)
+
+    def label_prepared(self, t, cache: dict, index) -> pd.Series:
+        """Label Arrow texts already lower-cased and space-padded; ``cache`` shares keyword
+        hits between labelers that look at the same batch."""
+        n = len(t)
+
+        def hits(kws):
+            out = np.zeros(n, dtype=bool)
+            for kw in kws:
+                if kw not in cache:
+                    cache[kw] = pc.match_substring(t, kw).to_numpy(zero_copy_only=False)
+                out |= cache[kw]
+            return out
 
         def first(rule_list, default):
             out = np.full(n, default, dtype=object)
             done = np.zeros(n, dtype=bool)
             for label, kws in rule_list:
-                hit = _any_contains(t, kws) & ~done
+                hit = hits(kws) & ~done
                 out[hit] = label
                 done |= hit
             return out
@@ -94,20 +103,20 @@ class KeywordLabeler:
 
         reply = ('{"humor_type": "' + first(self.rules.humor, NEUTRAL["humor_type"])
                  + '", "topic_category": "' + first(self.rules.topic, NEUTRAL["topic_category"])
-                 + '", "has_data_reference": ' + js(_any_contains(t, self.rules.data_reference))
-                 + ', "shows_vulnerability": ' + js(_any_contains(t, self.rules.vulnerability))
+                 + '", "has_data_reference": ' + js(hits(self.rules.data_reference))
+                 + ', "shows_vulnerability": ' + js(hits(self.rules.vulnerability))
                  + ', "critique_type": "' + first(self.rules.critique, NEUTRAL["critique_type"]) + '"}')
-        replies = pd.Series(reply, index=texts.index, dtype="object")
+        replies = pd.Series(reply, index=index, dtype="object")
         if self.rules.max_reply_chars:
             replies = replies.str.slice(0, self.rules.max_reply_chars)
         return replies
 
 
-def _any_contains(t, kws: Sequence[str]) -> np.ndarray:
-    hit = np.zeros(len(t), dtype=bool)
-    for kw in kws:
-        hit |= pc.match_substring(t, kw).to_numpy(zero_copy_only=False)
-    return hit
+def prepare_texts(texts: pd.Series):
+    """Arrow array of ' ' + lower(text) + ' ' (NULL -> ''), computed once per batch."""
+    arr = pa.array(texts.astype(object).where(texts.notna(), ""), type=pa.large_string())
+    sp = pa.scalar(" ", type=pa.large_string())
+    return pc.binary_join_element_wise(sp, pc.utf8_lower(arr), sp, pa.scalar("", type=pa.large_string()))
 
 
 Labeler = Callable[[pd.Series], pd.Series]
@@ -129,21 +138,38 @@ def label_replies(df: DataFrame, id_col: str, text_col: str, labelers: Mapping[s
     Arrow batch and the batch fans out to one reply row per labeler.
     """
     names = list(labelers)
-    src = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    src = _ensure_parallel(df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")))
     id_type = df.schema[id_col].dataType.simpleString()
     lab = dict(labelers)
+    shared = all(isinstance(x, KeywordLabeler) for x in lab.values())
 
     def run(batches):
         for pdf in batches:
+            replies = None
+            if shared:
+                try:
+                    t, cache = prepare_texts(pdf["_text"]), {}
+                    replies = {name: lab[name].label_prepared(t, cache, pdf.index) for name in names}
+                except Exception:  # fall back to isolated calls (each failure -> neutral)
+                    replies = None
+            if replies is None:
+                replies = {name: _safe_call(lab[name], pdf["_text"]) for name in names}
             parts = [pd.DataFrame({"_id": pdf["_id"].to_numpy(), model_col: name,
-                                   "reply": _safe_call(lab[name], pdf["_text"]).to_numpy()})
-                     for name in names]
+                                   "reply": replies[name].to_numpy()}) for name in names]
             yield pd.concat(parts, ignore_index=True)
 
     out = src.mapInPandas(run, f"_id {id_type}, {model_col} string, reply string")
     return out.withColumnRenamed("_id", id_col)
 
 
+def _ensure_parallel(df: DataFrame) -> DataFrame:
+    """Spread the Python work over all cores when the input has fewer partitions
+    than the cluster's default parallelism (e.g. one large row group); inputs that
+    are already split are left alone, so no extra shuffle at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def validate(reply: Column) -> list[Column]:
     """Parse a reply into the five fields; invalid JSON or any missing field -> neutral record."""
     parsed = F.from_json(reply, LABEL_SCHEMA, {"mode": "PERMISSIVE"})

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from postmetrics.functions import features as fx
 from postmetrics.operators.aggregates import cap_column, mode_value
 from postmetrics.operators.ordinal import with_global_index
+from postmetrics.session import materialize
 from postmetrics.sources.tables import posts
 
 EVENT_TIER_A = "2024-01-11"
@@ -85,7 +86,10 @@ def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("bigint").alias("replies"),
         F.lit(0).cast("bigint").alias("bookmarks"),
     ).withColumn("total_engagement", fx.total_engagement("likes", "retweets", "replies", "bookmarks"))
-    return cap_column(e, "total_engagement", fx.WINSORIZE_THRESHOLD, "winsorized_engagement")
+    # persisted once (as the engineered table is in the reference): later size checks,
+    # aggregates and model passes read pruned parquet instead of re-running the lineage
+    return materialize(cap_column(e, "total_engagement", fx.WINSORIZE_THRESHOLD, "winsorized_engagement"),
+                       "engineered")
 
 
 def core_sample(eng: DataFrame) -> DataFrame:
