@@ -166,6 +166,8 @@ def _ensure_parallel(df: DataFrame) -> DataFrame:
     """Spread the Python work over all cores when the input has fewer partitions
     than the cluster's default parallelism (e.g. one large row group); inputs that
     are already split are left alone, so no extra shuffle at scale."""
+    if df.isStreaming:
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 

@@ -72,15 +72,14 @@ SELECT max(CASE WHEN rn = 1 THEN category END) AS best,
 FROM r WHERE rn <= 2""")
 def agg_advantage_top2(spark, d):
     s = ag.group_stats(capped_events(spark, d), ["category"], "winsorized", ("mean",))
-    # two best groups: max_by / min_by keep O(1) state, no sort of the groups
-    best = s.agg(F.max_by("category", F.struct(F.col("mean"), -F.hash("category"))).alias("best"))
-    rest = s.join(best, s["category"] == best["best"], "left_anti")
-    second = rest.agg(F.max_by("category", F.struct(F.col("mean"), -F.hash("category"))).alias("second"))
-    means = s.select("category", "mean")
-    b = best.join(means, best["best"] == means["category"]).select("best", F.col("mean").alias("m1"))
-    sc = second.join(means, second["second"] == means["category"]).select("second", F.col("mean").alias("m2"))
-    return b.join(sc, how="inner").select(
-        "best", "second", r6(ag.ratio_of_rounded(F.col("m1"), F.col("m2"), 1)).alias("advantage"))
+    # best and second-best group (mean desc, then name): min_by keeps O(1) state, no sort
+    # of the group table and no join - the runner-up excludes the best by a scalar subquery
+    pick = F.min_by(F.struct("category", "mean"), F.struct(-F.col("mean"), F.col("category")))
+    best = s.agg(pick.alias("b"))
+    second = s.where(F.col("category") != best.select("b.category").scalar()).agg(pick.alias("r"))
+    r = second.select("r").scalar()
+    return best.select(F.col("b.category").alias("best"), r["category"].alias("second"),
+                       r6(ag.ratio_of_rounded(F.col("b.mean"), r["mean"], 1)).alias("advantage"))
 
 
 BOOL_FEATURES_SQL = """
