@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmetrics.functions import features as fx
-from postmetrics.operators.aggregates import cap_column, mode_value
+from postmetrics.operators.aggregates import mode_value
+from postmetrics.operators.engineer import core_sample as _core_sample
+from postmetrics.operators.engineer import engineer_posts
 from postmetrics.operators.ordinal import with_global_index
 from postmetrics.session import materialize
 from postmetrics.sources.tables import posts
@@ -68,33 +70,24 @@ def archive_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Engineered post table (features, counts, cap) over ``events``."""
+    """Engineered post table over ``events``: the archive-shaped inputs go through the
+    general ``engineer_posts``; the owner is the modal author (ties: smallest id)."""
     a = archive_inputs(spark, sf_dir)
-    owner = mode_value(a, "author_id", "owner_id").select(F.col("owner_id").cast("string"))
-    e = a.select(
-        "post_id", "id_str", "author_id", "post_datetime", "category", "engagement", "k",
-        "in_reply_to_user_id_str",
-        fx.is_retweet("retweeted", "retweeted_status", "full_text").alias("is_retweet"),
-        fx.is_quote("is_quote_status", "quoted_status_id_str", "urls").alias("is_quote_tweet"),
-        fx.reply_type("in_reply_to_user_id_str", owner.scalar()).alias("reply_type"),
-        fx.weekday_name("post_datetime").alias("weekday"),
-        fx.hour_of_day("post_datetime").alias("hour_of_day"),
-        fx.month_label("post_datetime").alias("month"),
-        fx.account_tier("post_datetime", EVENT_TIER_A, EVENT_TIER_B).alias("account_tier"),
-        fx.coerce_count("favorite_count").alias("likes"),
-        fx.coerce_count("retweet_count").alias("retweets"),
-        F.lit(0).cast("bigint").alias("replies"),
-        F.lit(0).cast("bigint").alias("bookmarks"),
-    ).withColumn("total_engagement", fx.total_engagement("likes", "retweets", "replies", "bookmarks"))
+    owner = mode_value(a, "author_id", "owner_id").select(F.col("owner_id").cast("string")).scalar()
+    posts_like = a.select(
+        "post_id", "author_id", "category", "engagement", "k", "id_str",
+        F.col("post_datetime").alias("created_at"), "full_text", "retweeted", "retweeted_status",
+        "is_quote_status", "quoted_status_id_str", F.struct(F.col("urls").alias("urls")).alias("entities"),
+        "in_reply_to_user_id_str", "in_reply_to_status_id_str", "favorite_count", "retweet_count")
+    e = engineer_posts(posts_like, owner_id=owner, tier_start=EVENT_TIER_A, tier_end=EVENT_TIER_B,
+                       threads=False, keep=("post_id", "author_id", "category", "engagement", "k"))
     # persisted once (as the engineered table is in the reference): later size checks,
     # aggregates and model passes read pruned parquet instead of re-running the lineage
-    return materialize(cap_column(e, "total_engagement", fx.WINSORIZE_THRESHOLD, "winsorized_engagement"),
-                       "engineered")
+    return materialize(e, "engineered")
 
 
 def core_sample(eng: DataFrame) -> DataFrame:
-    return eng.where(~F.col("is_retweet") & ~F.col("is_quote_tweet")
-                     & F.col("reply_type").isin(fx.REPLY_NONE, fx.REPLY_OTHER))
+    return _core_sample(eng)
 
 
 # The same derivation in DuckDB SQL (CTE list; the final CTE is ``eng``).

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -259,5 +258,3 @@ def model_robust_sweep(spark, d):
     out = spark.createDataFrame(rows, "threshold int, term string, value double")
     return out.select("threshold", "term", r6("value").alias("value"))
 
-
-__all__ = ["np"]

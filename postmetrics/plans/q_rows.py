@@ -532,5 +532,3 @@ def set_distinct(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return st.dedupe_keep_first(li, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity"])
 
-
-__all__ = ["follow_lists", "SQL_FOLLOW", "SQL_POSTS"]

@@ -185,3 +185,35 @@ def test_csv_roundtrip_keeps_texts(spark, tmp_path):
     path = sinks.write_csv(df, str(tmp_path / "csv"))
     back = ar.read_labelled_csv(spark, path, "id long, text string")
     assert sorted((r.id, r.text) for r in back.collect()) == list(enumerate(texts))
+
+
+def test_engineer_posts_end_to_end(spark, tmp_path):
+    from postmetrics.operators.engineer import core_sample, engineer_posts
+
+    def post(i, **kw):
+        base = {"id_str": str(i), "created_at": f"Mon Jan 0{1 + i % 5} 10:00:0{i % 10} +0000 2024",
+                "full_text": f"post number {i}", "favorite_count": str(i), "retweet_count": "1",
+                "user": {"id_str": "7", "screen_name": "Owner"}}
+        base.update(kw)
+        return {"tweet": base}
+
+    rows = [post(0), post(1, in_reply_to_status_id_str="0", in_reply_to_user_id_str="7"),
+            post(2, in_reply_to_status_id_str="1", in_reply_to_user_id_str="8", full_text="see https://t.co/x ?"),
+            post(3, retweeted=True), post(4, is_quote_status=True),
+            post(5, entities={"hashtags": [{"text": "a"}, {"text": "b"}]},
+                 extended_entities={"media": [{"id_str": "m"}]}),
+            post(6, in_reply_to_status_id_str="999", in_reply_to_user_id_str="9")]
+    p = tmp_path / "archive.jsonl"
+    p.write_text("\n".join(json.dumps(r) for r in rows))
+    from postmetrics.sources import archive
+    eng = {r.id_str: r for r in engineer_posts(archive.load_posts(spark, str(p))).collect()}
+    assert eng["1"].reply_type == "reply_own" and eng["2"].reply_type == "reply_other"
+    assert eng["0"].reply_type == "none"
+    assert eng["2"].has_link and eng["2"].has_question_mark
+    assert eng["3"].is_retweet and eng["4"].is_quote_tweet
+    assert eng["5"].num_hashtags == 2 and eng["5"].has_media
+    assert eng["2"].thread_id == "0" and eng["2"].thread_step_index == 2
+    assert eng["6"].thread_id == "999" and eng["6"].is_thread_starter
+    assert eng["1"].total_engagement == 2 and eng["1"].weekday == "Tuesday"
+    core = {r.id_str for r in core_sample(engineer_posts(archive.load_posts(spark, str(p)))).collect()}
+    assert core == {"0", "2", "5", "6"}
