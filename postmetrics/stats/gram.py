@@ -33,8 +33,46 @@ def _collect(long_df: DataFrame, shapes: dict[int, tuple]) -> dict[int, np.ndarr
     return out
 
 
+# Up to this many sums the Gram pass is plain SQL aggregates (JVM, whole-stage codegen);
+# wider designs reduce Arrow batches with numpy in ``mapInPandas``.
+JVM_MAX_SUMS = 600
+
+
+def _gram_jvm(frame: DataFrame, p: int, q: int, weight: str | None) -> dict[str, np.ndarray]:
+    x = [F.col(f"x{i}") for i in range(p)]
+    y = [F.col(f"y{j}") for j in range(q)]
+    w = F.col(weight) if weight else None
+    mul = (lambda a, b: a * b * w) if w is not None else (lambda a, b: a * b)
+    aggs, keys = [], []
+    for i in range(p):
+        for j in range(i, p):
+            aggs.append(F.sum(mul(x[i], x[j])))
+            keys.append((0, i, j))
+        for j in range(q):
+            aggs.append(F.sum(mul(x[i], y[j])))
+            keys.append((1, i, j))
+    for i in range(q):
+        for j in range(i, q):
+            aggs.append(F.sum(mul(y[i], y[j])))
+            keys.append((2, i, j))
+    aggs.append(F.count(F.lit(1)))
+    row = frame.agg(*aggs).first()
+    xtx, xty, yty = np.zeros((p, p)), np.zeros((p, q)), np.zeros((q, q))
+    for (k, i, j), v in zip(keys, row[:-1]):
+        v = float(v or 0.0)
+        if k == 0:
+            xtx[i, j] = xtx[j, i] = v
+        elif k == 1:
+            xty[i, j] = v
+        else:
+            yty[i, j] = yty[j, i] = v
+    return {"xtx": xtx, "xty": xty, "yty": yty, "n": float(row[-1])}
+
+
 def gram(frame: DataFrame, p: int, q: int, weight: str | None = None) -> dict[str, np.ndarray]:
     """XᵀWX (p x p), XᵀWY (p x q), YᵀWY (q x q) and n over a ``design_frame``."""
+    if p * (p + 1) // 2 + p * q + q * (q + 1) // 2 <= JVM_MAX_SUMS:
+        return _gram_jvm(frame, p, q, weight)
     xcols = [f"x{i}" for i in range(p)]
     ycols = [f"y{j}" for j in range(q)]
 
@@ -55,12 +93,37 @@ def gram(frame: DataFrame, p: int, q: int, weight: str | None = None) -> dict[st
     return {"xtx": res[0], "xty": res[1], "yty": res[2], "n": float(res[3][0, 0])}
 
 
+def _residual_jvm(frame: DataFrame, p: int, beta: np.ndarray, y_index: int) -> dict[str, np.ndarray]:
+    x = [F.col(f"x{i}") for i in range(p)]
+    eta = F.lit(0.0)
+    for b, c in zip(np.asarray(beta, dtype="float64").reshape(-1), x):
+        eta = eta + F.lit(float(b)) * c
+    e = F.col(f"y{y_index}") - eta
+    e2 = e * e
+    aggs, keys = [], []
+    for i in range(p):
+        for j in range(i, p):
+            aggs.append(F.sum(e2 * x[i] * x[j]))
+            keys.append((i, j))
+    aggs += [F.count(F.lit(1)), F.sum(e), F.sum(e2), F.sum(e2 * e), F.sum(e2 * e2)]
+    row = frame.agg(*aggs).first()
+    meat = np.zeros((p, p))
+    for (i, j), v in zip(keys, row[:len(keys)]):
+        meat[i, j] = meat[j, i] = float(v or 0.0)
+    n, s1, s2, s3, s4 = [float(v or 0.0) for v in row[len(keys):]]
+    return {"meat": meat, "n": n, "sum_e": s1, "sum_e2": s2, "sum_e3": s3, "sum_e4": s4,
+            "deviance": float("nan"), "pearson": float("nan"), "llf": float("nan")}
+
+
 def residual_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0,
                   mu_link: str = "identity") -> dict[str, np.ndarray]:
     """Σ e² x xᵀ (meat), Σe², Σe³, Σe⁴, Σe, Σ(y-ȳ)… for one response and fitted β.
 
-    ``mu_link='log'`` gives Poisson residuals y - exp(xβ) plus deviance terms.
+    ``mu_link='log'`` gives Poisson residuals y - exp(xβ) plus deviance terms
+    (log-factorials need numpy, so that path always runs in ``mapInPandas``).
     """
+    if mu_link == "identity" and p * (p + 1) // 2 + 5 <= JVM_MAX_SUMS:
+        return _residual_jvm(frame, p, beta, y_index)
     xcols = [f"x{i}" for i in range(p)]
     ycol = f"y{y_index}"
     b = np.asarray(beta, dtype="float64").reshape(-1)

@@ -217,3 +217,14 @@ def test_engineer_posts_end_to_end(spark, tmp_path):
     assert eng["1"].total_engagement == 2 and eng["1"].weekday == "Tuesday"
     core = {r.id_str for r in core_sample(engineer_posts(archive.load_posts(spark, str(p)))).collect()}
     assert core == {"0", "2", "5", "6"}
+
+
+def test_gram_paths_agree(spark, monkeypatch):
+    from postmetrics.stats import gram as G
+    df, _ = _frame(spark, seed=3)
+    jvm = fit_ols(df, "y", TERMS)
+    monkeypatch.setattr(G, "JVM_MAX_SUMS", 0)
+    arrow = fit_ols(df, "y", TERMS)
+    assert np.allclose(jvm.params, arrow.params, atol=1e-9)
+    assert np.allclose(jvm.cov, arrow.cov, atol=1e-9)
+    assert math.isclose(jvm.summary["kurtosis"], arrow.summary["kurtosis"], rel_tol=1e-9)
