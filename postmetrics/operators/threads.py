@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmetrics.operators.ordinal import with_group_position
-from postmetrics.session import materialize
+from postmetrics.session import materialize, scratch_path
 
 
 def parent_edges(df: DataFrame, id_col: str, parent_col: str, last_wins_order: Sequence[str] = ()) -> DataFrame:
@@ -51,38 +51,68 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
     ceil(log2(n)) + 2 rounds lie on, or lead into, a cycle: their pointer then
     sits on the cycle and that node's running minimum covers exactly the cycle.
     """
+    spark = df.sparkSession
     edges = parent_edges(df, id_col, parent_col, last_wins_order)
     ids = df.select(F.col(id_col).cast("string").alias("id")).where(F.col("id").isNotNull()).distinct()
-    base = ids.join(edges, "id", "left")
-    nodes = base.select(
+    base = ids.join(edges, "id", "left").select(
         "id",
         F.coalesce("parent", "id").alias("ptr"),
         F.least(F.col("id"), F.coalesce("parent", "id")).alias("mn"),
         F.col("parent").isNull().alias("is_root"),
         F.col("parent").isNull().alias("done"))
-    nodes = materialize(nodes, "thread-round")
+    # Every round is written once, partitioned by ``done``: resolved rows are never
+    # rewritten (later rounds read them by partition pruning); only the shrinking
+    # active set feeds the next round.
+    rounds = [_write_round(base)]
+    active = _read(spark, rounds[-1:]).where(~F.col("done"))
     if max_rounds is None:
-        n = max(2, nodes.count())
+        n = max(2, spark.read.parquet(rounds[0]).count())
         max_rounds = int(math.ceil(math.log2(n))) + 2
     for _ in range(max_rounds):
-        look = nodes.select(F.col("id").alias("_lid"), F.col("ptr").alias("_lptr"), F.col("mn").alias("_lmn"),
-                            F.col("is_root").alias("_lroot"), F.col("done").alias("_ldone"))
-        active = nodes.where(~F.col("done"))
+        if active.limit(1).count() == 0:
+            break
+        look = _resolved(spark, rounds).unionByName(active).select(
+            F.col("id").alias("_lid"), F.col("ptr").alias("_lptr"), F.col("mn").alias("_lmn"),
+            F.col("is_root").alias("_lroot"), F.col("done").alias("_ldone"))
         step = active.join(look, active["ptr"] == look["_lid"], "left")
         at_root = F.col("_lid").isNull() | F.col("_lroot")
         finished = at_root | F.col("_ldone")
-        moved = step.select(
+        rounds.append(_write_round(step.select(
             "id",
             F.when(at_root, F.col("ptr")).otherwise(F.col("_lptr")).alias("ptr"),
             F.when(finished, F.col("mn")).otherwise(F.least(F.col("mn"), F.col("_lmn"))).alias("mn"),
             F.col("is_root"),
-            finished.alias("done"))
-        nodes = materialize(nodes.where(F.col("done")).unionByName(moved), "thread-round")
-        if nodes.where(~F.col("done")).limit(1).count() == 0:
-            return nodes.select("id", F.col("ptr").alias("thread_id"))
-    look = nodes.select(F.col("id").alias("_lid"), F.col("mn").alias("_lmn"))
-    fin = nodes.join(look, nodes["ptr"] == look["_lid"], "left")
-    return fin.select("id", F.when(F.col("done"), F.col("ptr")).otherwise(F.col("_lmn")).alias("thread_id"))
+            finished.alias("done"))))
+        active = _read(spark, rounds[-1:]).where(~F.col("done"))
+    resolved = _resolved(spark, rounds).select("id", F.col("ptr").alias("thread_id"))
+    if active.limit(1).count() == 0:
+        return resolved
+    # still active: nodes on (or leading into) a cycle.  After the rounds the pointer sits
+    # on the cycle, and that node's running minimum covers exactly the cycle.
+    look = _resolved(spark, rounds).unionByName(active).select(F.col("id").alias("_lid"), F.col("mn").alias("_lmn"))
+    cyc = active.join(look, active["ptr"] == look["_lid"], "left").select("id", F.col("_lmn").alias("thread_id"))
+    return resolved.unionByName(cyc)
+
+
+def _write_round(df: DataFrame) -> str:
+    path = scratch_path(df.sparkSession, "thread-round")
+    df.write.partitionBy("done").parquet(path)
+    return path
+
+
+def _read(spark, paths: list[str]) -> DataFrame:
+    # one read per round folder (each is its own partitioned table, about log2(depth)
+    # of them); the partition column comes back as text, a filter on it prunes folders
+    out = None
+    for path in paths:
+        part = spark.read.parquet(path).select("id", "ptr", "mn", "is_root",
+                                               (F.col("done") == F.lit("true")).alias("done"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _resolved(spark, rounds: list[str]) -> DataFrame:
+    return _read(spark, rounds).where(F.col("done"))
 
 
 def thread_features(df: DataFrame, id_col: str, parent_col: str, ts_col: str,
@@ -98,9 +128,16 @@ def thread_features(df: DataFrame, id_col: str, parent_col: str, ts_col: str,
 
 def previous_in_group(df: DataFrame, group: str, order: Sequence, cols: Sequence[str],
                       prefix: str = "prev_") -> DataFrame:
-    """Columns of the previous row inside ``group`` by ``order`` (a distributed ``lag``)."""
-    pos = with_group_position(df, [group], order, "_p", None)
-    prev = pos.select(F.col(group).alias("_g"), (F.col("_p") + 1).alias("_p2"),
+    """Columns of the previous row inside ``group`` by ``order`` (a distributed ``lag``).
+
+    Rows are numbered in the global (group, order) order; the predecessor is the row
+    numbered one less, kept only when it belongs to the same group.
+    """
+    from postmetrics.operators.ordinal import with_global_index
+    idx = with_global_index(df, [F.col(group), *[F.col(o) if isinstance(o, str) else o for o in order]], "_g")
+    prev = idx.select((F.col("_g") + 1).alias("_g"), F.col(group).alias("_pg"),
                       *[F.col(c).alias(prefix + c) for c in cols])
-    j = pos.join(prev, (pos[group] == prev["_g"]) & (pos["_p"] == prev["_p2"]), "left")
-    return j.drop("_g", "_p2", "_p")
+    j = idx.join(prev, "_g", "left")
+    same = F.col("_pg").eqNullSafe(F.col(group))
+    return j.select(*[F.col(c) for c in df.columns],
+                    *[F.when(same, F.col(prefix + c)).alias(prefix + c) for c in cols])
