@@ -93,6 +93,30 @@ def gram(frame: DataFrame, p: int, q: int, weight: str | None = None) -> dict[st
     return {"xtx": res[0], "xty": res[1], "yty": res[2], "n": float(res[3][0, 0])}
 
 
+def irls_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0) -> dict[str, np.ndarray]:
+    """One Poisson IRLS step's sums, XᵀWX and XᵀWz with mu = exp(xβ), W = mu,
+    z = xβ + (y - mu)/mu, computed per Arrow batch from the current β (no per-iteration
+    query planning: β travels in the task closure)."""
+    xcols = [f"x{i}" for i in range(p)]
+    ycol = f"y{y_index}"
+    b = np.asarray(beta, dtype="float64").reshape(-1)
+
+    def part(it):
+        xtx, xtz = np.zeros((p, p)), np.zeros((p, 1))
+        for pdf in it:
+            x = pdf[xcols].to_numpy(dtype="float64")
+            y = pdf[ycol].to_numpy(dtype="float64")
+            eta = x @ b
+            mu = np.exp(eta)
+            z = eta + (y - mu) / mu
+            xtx += x.T @ (mu[:, None] * x)
+            xtz += x.T @ (mu * z)[:, None]
+        yield _emit({0: xtx, 1: xtz})
+
+    res = _collect(frame.select(*xcols, ycol).mapInPandas(part, _LONG), {0: (p, p), 1: (p, 1)})
+    return {"xtx": res[0], "xty": res[1]}
+
+
 def _residual_jvm(frame: DataFrame, p: int, beta: np.ndarray, y_index: int) -> dict[str, np.ndarray]:
     x = [F.col(f"x{i}") for i in range(p)]
     eta = F.lit(0.0)

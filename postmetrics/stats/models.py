@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from postmetrics.stats import linalg as la
 from postmetrics.stats.design import Design, build_design, design_frame
-from postmetrics.stats.gram import gram, residual_sums
+from postmetrics.stats.gram import gram, irls_sums, residual_sums
 
 
 @dataclass
@@ -106,16 +106,11 @@ def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), des
     # start: eta = log((y + ybar) / 2) is row-wise; use the intercept-only start instead
     beta = np.zeros(p)
     beta[0] = math.log(max(ybar, 1e-10))
-    from pyspark.sql import functions as F
-    xcols = [F.col(f"x{i}") for i in range(p)]
     it = 0
     inv = np.eye(p)
     rank = p
     for it in range(1, max_iter + 1):
-        eta = sum((float(b) * c for b, c in zip(beta, xcols)), F.lit(0.0))
-        mu = F.exp(eta)
-        work = frame.select(*xcols, ((eta + (F.col("y0") - mu) / mu)).alias("y0"), mu.alias("_w"))
-        g = gram(work, p, 1, weight="_w")
+        g = irls_sums(frame, p, beta)
         inv, rank = la.sym_pinv(g["xtx"])
         new = inv @ g["xty"][:, 0]
         step = np.max(np.abs(new - beta))
