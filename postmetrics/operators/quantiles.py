@@ -6,6 +6,9 @@ Two physical strategies, chosen behind a size check:
   distinct values of a group (partial per map task, merged in one task), so it
   is used only when an ``approx_count_distinct`` pre-pass proves every group's
   distinct count is below ``max_buffer``.
+* ``band`` - a ``percentile_approx`` sketch brackets each target rank; only the
+  rows inside the brackets are sorted (about 6/10000 of a group), and a count
+  check proves exactness (falling back to ``sort`` if a bracket missed).
 * ``sort`` - global range-partitioned sort + positions (``ordinal``), then
   only the two neighbouring order statistics per requested probability are
   kept.  No task ever holds a whole group, so it survives hot groups and
@@ -40,7 +43,7 @@ def choose_method(df: DataFrame, value: str, groups: Sequence[str] = (),
     per_group = df.groupBy(*groups).agg(d) if groups else df.agg(d)
     worst = per_group.agg(F.max("_d")).first()[0]
     # approx_count_distinct has ~5% relative error: keep a margin
-    return "builtin" if (worst or 0) * 1.2 <= max_buffer else "sort"
+    return "builtin" if (worst or 0) * 1.2 <= max_buffer else "band"
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
@@ -60,14 +63,96 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequenc
         base = (df.groupBy(*groups).agg(arr.alias("_qs")) if groups else df.agg(arr.alias("_qs")))
         return base.select(*groups, *[F.col("_qs")[i].alias(n) for i, n in enumerate(names)])
     if method == "approx":
-        arr = F.percentile_approx(F.col(value), [F.lit(p) for p in probs], 100_000)
+        arr = F.percentile_approx(F.col(value), list(probs), 100_000)
         base = (df.groupBy(*groups).agg(arr.alias("_qs")) if groups else df.agg(arr.alias("_qs")))
         return base.select(*groups, *[F.col("_qs")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    if method == "band":
+        out = _banded_quantiles(df, value, probs, groups, names)
+        if out is not None:
+            return out
+        method = "sort"
     if method != "sort":
         raise ValueError(f"unknown quantile method {method!r}")
     return _sorted_quantiles(df, value, probs, groups, names)
 
 
+BAND_ACCURACY = 10_000
+
+
+def _banded_quantiles(df, value, probs, groups, names, accuracy: int = BAND_ACCURACY):
+    """Exact quantiles that sort only a band of rows around each target rank.
+
+    A ``percentile_approx`` sketch (rank error <= n / accuracy) gives per group a value
+    band [lo, hi] around each requested probability; one pass counts the rows below
+    each band; only rows inside a band are positioned (distributed sort), and the
+    target order statistics are read at ``rank - below``.  A check on the counts
+    proves every target rank fell inside its band; otherwise ``None`` is returned and
+    the caller sorts everything.
+    """
+    key = list(groups)
+    v = df.select(*key, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if not key:
+        v = v.withColumn("_g", F.lit(0))
+        key = ["_g"]
+    eps = 3.0 / accuracy
+    edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
+    sk = v.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"),
+                             F.percentile_approx("_v", edges, accuracy).alias("_e"))
+    bands = sk.select(*key, "_n", *[
+        F.struct(F.col("_e")[edges.index(min(1.0, max(0.0, p - eps)))].alias("lo"),
+                 F.col("_e")[edges.index(min(1.0, max(0.0, p + eps)))].alias("hi")).alias(f"_b{i}")
+        for i, p in enumerate(probs)])
+    j = v.join(bands, key)
+    inside = [(F.col("_v") >= F.col(f"_b{i}.lo")) & (F.col("_v") <= F.col(f"_b{i}.hi")) for i in range(len(probs))]
+    below = j.groupBy(*key).agg(*[F.count_if(F.col("_v") < F.col(f"_b{i}.lo")).alias(f"_c{i}")
+                                  for i in range(len(probs))],
+                                *[F.count_if(c).alias(f"_w{i}") for i, c in enumerate(inside)])
+    any_in = inside[0]
+    for c in inside[1:]:
+        any_in = any_in | c
+    band_rows = j.where(any_in).select(*key, "_v").withColumn("_tb", F.monotonically_increasing_id())
+    pos = with_group_position(band_rows, key, ["_v", "_tb"], "_bp", None)
+    meta = bands.join(below, key)
+    # exactness: every target rank must lie inside its band
+    checks = []
+    for i, p in enumerate(probs):
+        rank = (F.col("_n") - 1) * F.lit(p)
+        lo_r, hi_r = F.floor(rank), F.ceil(rank)
+        checks.append((lo_r >= F.col(f"_c{i}")) & (hi_r < F.col(f"_c{i}") + F.col(f"_w{i}")))
+    ok = checks[0]
+    for c in checks[1:]:
+        ok = ok & c
+    if meta.where(~ok).limit(1).count() > 0:
+        return None
+    # band rows of all targets share one ordering; the offset of band i inside it is the
+    # number of band rows below band i's lower edge
+    first_lo = [F.col(f"_b{i}.lo") for i in range(len(probs))]
+    offs = j.where(any_in).groupBy(*key).agg(*[F.count_if(F.col("_v") < lo).alias(f"_o{i}")
+                                              for i, lo in enumerate(first_lo)])
+    pm = pos.join(meta.join(offs, key), key)
+    aggs = []
+    for i, p in enumerate(probs):
+        rank = (F.col("_n") - 1) * F.lit(p)
+        base = F.col(f"_c{i}") - F.col(f"_o{i}")
+        lo_at = F.floor(rank) - base
+        hi_at = F.ceil(rank) - base
+        aggs.append(F.max(F.when(F.col("_bp") == lo_at, F.col("_v"))).alias(f"_lo{i}"))
+        aggs.append(F.max(F.when(F.col("_bp") == hi_at, F.col("_v"))).alias(f"_hi{i}"))
+    picked = pm.groupBy(*key).agg(F.first("_n").alias("_n"), *aggs)
+    outs = []
+    for i, (p, n) in enumerate(zip(probs, names)):
+        rank = (F.col("_n") - 1) * F.lit(p)
+        frac = rank - F.floor(rank)
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        outs.append((lo + (hi - lo) * frac).alias(n))
+    res = picked.select(*key, *outs)
+    if not groups:
+        return res.agg(*[F.max(n).alias(n) for n in names])
+    all_groups = df.select(*groups).distinct()
+    joined = all_groups.join(res, on=[all_groups[g].eqNullSafe(res[g]) for g in groups], how="left")
+    return joined.select(*[all_groups[g] for g in groups], *[F.col(n) for n in names])
+
+
 def _sorted_quantiles(df, value, probs, groups, names):
     key = groups if groups else []
     v = (df.select(*key, F.col(value).cast("double").alias("_v"))
