@@ -77,3 +77,39 @@ def with_group_position(df: DataFrame, groups: Sequence[str], order: Sequence,
 def row_tiebreak(*cols: str) -> Column:
     """A deterministic per-row tie-break from the row's own values."""
     return F.xxhash64(*[F.col(c) for c in cols])
+
+
+def select_rows(df: DataFrame, key: str, tie: str, positions: list[int], accuracy: int = 10_000):
+    """Exact rows at 0-based ``positions`` of the ascending (key, tie) order, without a
+    full sort: a ``percentile_approx`` sketch brackets each position, one pass counts
+    the rows below each bracket, and only the rows inside the brackets are ranked.
+
+    Returns a list of (key, tie) tuples (one per position, bounded by ``len(positions)``),
+    or ``None`` when a bracket missed its position (the caller then sorts everything).
+    ``key`` must be a non-null double; ``tie`` unique.
+    """
+    n = df.count()
+    if n == 0 or not positions:
+        return []
+    eps = 3.0 / accuracy
+    probs = [p / max(n - 1, 1) for p in positions]
+    edges = sorted({min(1.0, max(0.0, q + d)) for q in probs for d in (-eps, eps)})
+    sketch = df.agg(F.percentile_approx(key, edges, accuracy)).first()[0]
+    at = dict(zip(edges, sketch))
+    bands = [(at[min(1.0, max(0.0, q - eps))], at[min(1.0, max(0.0, q + eps))]) for q in probs]
+    k = F.col(key)
+    counts = df.agg(*[F.count_if(k < F.lit(lo)) for lo, _ in bands],
+                    *[F.count_if((k >= F.lit(lo)) & (k <= F.lit(hi))) for lo, hi in bands]).first()
+    below, width = counts[:len(bands)], counts[len(bands):]
+    if any(not (c <= p < c + w) for p, c, w in zip(positions, below, width)):
+        return None
+    inside = None
+    for lo, hi in bands:
+        c = (k >= F.lit(lo)) & (k <= F.lit(hi))
+        inside = c if inside is None else inside | c
+    band = df.where(inside).select(key, tie)
+    ranked = with_global_index(band, [F.col(key), F.col(tie)], "_b")
+    offset = [band.where(k < F.lit(lo)).count() for lo, _ in bands]
+    wanted = [p - c + o for p, c, o in zip(positions, below, offset)]
+    got = {r["_b"]: (r[key], r[tie]) for r in ranked.where(F.col("_b").isin(wanted)).collect()}
+    return [got[w] for w in wanted]

@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmetrics.operators.ordinal import with_global_index, with_group_position
+from postmetrics.operators.ordinal import select_rows, with_global_index, with_group_position
 
 
 def quartile_strata(df: DataFrame, value: str, tiebreak: str, name: str = "stratum") -> DataFrame:
@@ -29,13 +29,25 @@ def three_strata(df: DataFrame, value: str, tiebreak: str, name: str = "stratum"
 
 
 def _strata(df, value, tiebreak, fractions, name):
-    idx = with_global_index(df, [F.col(value).desc_nulls_last(), F.col(tiebreak).asc()], "_r")
-    n = df.agg(F.count(F.lit(1))).scalar()
+    """Stratum = 1 + number of floor bounds at or before the row's rank in the
+    (value desc, tiebreak asc) order.  The bound rows are selected exactly without
+    sorting the table (``select_rows``); the sort-based positions are the fallback."""
+    key = F.coalesce(-F.col(value).cast("double"), F.lit(float("inf")))   # value desc, NULL last
+    keyed = df.withColumn("_sk", key)
+    n = keyed.count()
+    bounds = [int(n * a // b) for a, b in fractions]
+    picked = select_rows(keyed.select("_sk", tiebreak), "_sk", tiebreak, bounds) if n else []
+    if picked is None:
+        idx = with_global_index(df, [F.col(value).desc_nulls_last(), F.col(tiebreak).asc()], "_r")
+        s = F.lit(1)
+        for b in bounds:
+            s = s + F.when(F.col("_r") >= F.lit(b), 1).otherwise(0)
+        return idx.withColumn(name, s.cast("int")).drop("_r")
     s = F.lit(1)
-    for a, b in fractions:
-        bound = F.floor(n * F.lit(a) / F.lit(b))
-        s = s + F.when(F.col("_r") >= bound, 1).otherwise(0)
-    return idx.withColumn(name, s.cast("int")).drop("_r")
+    for kb, ib in picked:
+        at_or_after = (F.col("_sk") > F.lit(kb)) | ((F.col("_sk") == F.lit(kb)) & (F.col(tiebreak) >= F.lit(ib)))
+        s = s + F.when(at_or_after, 1).otherwise(0)
+    return keyed.withColumn(name, s.cast("int")).drop("_sk")
 
 
 # Fixed multiplicative-hash parameters (shared with the SQL oracle).

@@ -172,3 +172,14 @@ def test_band_quantiles_large_group_exact(spark):
     for g in ("small", "hot"):
         exp = np.percentile(vals[groups == g], [5, 50, 99])
         assert np.allclose(got[g], exp, rtol=1e-12, atol=1e-12)
+
+
+def test_select_rows_exact_with_ties(spark):
+    from postmetrics.operators.ordinal import select_rows
+    rnd = random.Random(2)
+    rows = [(float(rnd.choice([1, 2, 2, 2, 3, 5])), i) for i in range(30000)]
+    df = spark.createDataFrame(rows, "k double, id long")
+    ordered = sorted(rows)
+    positions = [0, 7500, 15000, 22499, 29999]
+    got = select_rows(df, "k", "id", positions)
+    assert got == [ordered[p] for p in positions]
