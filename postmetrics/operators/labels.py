@@ -122,6 +122,21 @@ def prepare_texts(texts: pd.Series):
 Labeler = Callable[[pd.Series], pd.Series]
 
 
+@dataclass
+class PromptLabeler:
+    """Adapter for an external text classifier: builds one prompt per post from
+    ``PROMPT_TEMPLATE`` and hands the whole Arrow batch of prompts to ``call``
+    (``list[str] -> list[str | None]``, e.g. a batched client).  Replies are validated
+    like any other labeler's; a failing call yields the neutral record."""
+    call: Callable[[list], list]
+    instructions: str
+
+    def __call__(self, texts: pd.Series) -> pd.Series:
+        prompts = [PROMPT_TEMPLATE.format(instructions=self.instructions, text=t if t is not None else "")
+                   for t in texts.tolist()]
+        return pd.Series(self.call(prompts), index=texts.index, dtype="object")
+
+
 def _safe_call(labeler: Labeler, texts: pd.Series) -> pd.Series:
     try:
         out = labeler(texts)

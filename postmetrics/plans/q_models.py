@@ -107,19 +107,21 @@ SELECT n AS nobs, CAST(k - 1 AS BIGINT) AS df_model, CAST(n - k AS BIGINT) AS df
   round_even(1 - (ssr / sst) * (n - 1) / (n - k), 6) AS adj_r_squared,
   round_even(llf, 6) AS llf, round_even(-2 * llf + 2 * k, 6) AS aic, round_even(-2 * llf + k * ln(n), 6) AS bic,
   round_even(c3 / pow(c2, 1.5), 6) AS skew, round_even(c4 / (c2 * c2), 6) AS kurtosis,
+  round_even(n / 6.0 * (pow(c3 / pow(c2, 1.5), 2) + pow(c4 / (c2 * c2) - 3, 2) / 4.0), 6) AS jarque_bera,
+  round_even(exp(-(n / 6.0 * (pow(c3 / pow(c2, 1.5), 2) + pow(c4 / (c2 * c2) - 3, 2) / 4.0)) / 2.0), 6) AS jb_pvalue,
   round_even(durbin_watson, 6) AS durbin_watson
 FROM nn, s, ll, cm, dw""")
 def model_ols_summary(spark, d):
     fit = _ols_fit(spark, d)
     s = fit.summary
     dw = durbin_watson(spark, d, fit)
-    row = [(int(s["n"]), int(s["df_model"]), int(s["df_resid"]),
-            *[float(s[k]) for k in ("r_squared", "adj_r_squared", "llf", "aic", "bic", "skew", "kurtosis")])]
+    stats = ("r_squared", "adj_r_squared", "llf", "aic", "bic", "skew", "kurtosis", "jarque_bera")
+    row = [(int(s["n"]), int(s["df_model"]), int(s["df_resid"]), *[float(s[k]) for k in stats],
+            math.exp(-s["jarque_bera"] / 2.0))]   # chi-square(2) upper tail
     schema = ("nobs bigint, df_model bigint, df_resid bigint, r_squared double, adj_r_squared double, llf double, "
-              "aic double, bic double, skew double, kurtosis double")
+              "aic double, bic double, skew double, kurtosis double, jarque_bera double, jb_pvalue double")
     base = spark.createDataFrame(row, schema)
-    return base.select("nobs", "df_model", "df_resid",
-                       *[r6(c).alias(c) for c in ("r_squared", "adj_r_squared", "llf", "aic", "bic", "skew", "kurtosis")],
+    return base.select("nobs", "df_model", "df_resid", *[r6(c).alias(c) for c in (*stats, "jb_pvalue")],
                        r6(dw.scalar()).alias("durbin_watson"))
 
 

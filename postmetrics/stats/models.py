@@ -91,6 +91,8 @@ def fit_ols(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design:
                    llf=llf, aic=-2 * llf + 2 * rank, bic=-2 * llf + rank * math.log(n),
                    skew=c3 / c2 ** 1.5 if c2 > 0 else float("nan"),
                    kurtosis=c4 / c2 ** 2 if c2 > 0 else float("nan"),
+                   jarque_bera=(n / 6.0 * ((c3 / c2 ** 1.5) ** 2 + (c4 / c2 ** 2 - 3.0) ** 2 / 4.0)
+                                if c2 > 0 else float("nan")),
                    ssr=ssr, condition_number=la.condition_number(xtx))
     return Fit(design.names, beta, cov, n, rank, summary)
 

@@ -228,3 +228,17 @@ def test_gram_paths_agree(spark, monkeypatch):
     assert np.allclose(jvm.params, arrow.params, atol=1e-9)
     assert np.allclose(jvm.cov, arrow.cov, atol=1e-9)
     assert math.isclose(jvm.summary["kurtosis"], arrow.summary["kurtosis"], rel_tol=1e-9)
+
+
+def test_prompt_labeler_adapter(spark):
+    seen = []
+
+    def fake_client(prompts):
+        seen.extend(prompts)
+        return [json.dumps({"humor_type": "observational", "topic_category": "tech", "has_data_reference": False,
+                            "shows_vulnerability": False, "critique_type": "none"}) if "code" in p else "oops"
+                for p in prompts]
+
+    df = spark.createDataFrame([(1, "writing code"), (2, "a walk")], "id long, text string").coalesce(1)
+    got = {r.id: r.topic_category for r in lb.label_posts(df, "id", "text", lb.PromptLabeler(fake_client, "Classify.")).collect()}
+    assert got == {1: "tech", 2: "general"}
