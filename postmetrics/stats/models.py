@@ -42,7 +42,7 @@ class Fit:
             lo, hi = b - la.Z975 * s, b + la.Z975 * s
             if exp:
                 b, lo, hi = _exp(b), _exp(lo), _exp(hi)
-            rows.append((name, float(b), _f(s), _f(z), _f(p), _f(lo), _f(hi)))
+            rows.append((name, _f(b), _f(s), _f(z), _f(p), _f(lo), _f(hi)))
         schema = "term string, coef double, se double, z double, p double, ci_lower double, ci_upper double"
         return spark.createDataFrame(rows, schema)
 
@@ -99,34 +99,58 @@ def fit_ols(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design:
 
 def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design: Design | None = None,
                 cov_type: str = "HC1", tol: float = 1e-12, max_iter: int = 100) -> Fit:
-    """Poisson GLM (log link) by IRLS: one weighted Gram pass per iteration."""
+    """Poisson GLM (log link) by IRLS: one weighted Gram pass per iteration.
+
+    Separation: a dummy term whose rows all have y = 0 has no finite estimate.  Such
+    terms are found from the first Gram pass (Σ x_j y = 0 with Σ x_j > 0), their rows
+    (which contribute nothing in the limit) are left out of the iterations, and the
+    terms are reported with NULL estimates and listed in ``summary['separated']``;
+    n and the rank for the HC1 scale still count them, as in the full-design fit.
+    """
+    from pyspark.sql import functions as F
     design = design or build_design(df, terms, True)
     frame = design_frame(df, design, [y]).cache()
     p = design.p
     g0 = gram(frame, p, 1)
-    ybar = g0["xty"][0, 0] / g0["n"]
-    # start: eta = log((y + ybar) / 2) is row-wise; use the intercept-only start instead
-    beta = np.zeros(p)
+    n_all = g0["n"]
+    sep = [j for j in range(1, p) if "[T." in design.names[j]
+           and g0["xtx"][j, j] > 0 and g0["xty"][j, 0] == 0]
+    keep = [j for j in range(p) if j not in sep]
+    work = frame
+    if sep:
+        in_sep = sum((F.col(f"x{j}") for j in sep[1:]), F.col(f"x{sep[0]}"))
+        work = frame.where(in_sep == 0).select(*[F.col(f"x{j}").alias(f"x{i}") for i, j in enumerate(keep)], "y0")
+    q = len(keep)
+    g1 = gram(work, q, 1) if sep else g0
+    ybar = g1["xty"][0, 0] / g1["n"]
+    beta = np.zeros(q)
     beta[0] = math.log(max(ybar, 1e-10))
     it = 0
-    inv = np.eye(p)
-    rank = p
+    inv = np.eye(q)
+    rank = q
     for it in range(1, max_iter + 1):
-        g = irls_sums(frame, p, beta)
+        g = irls_sums(work, q, beta)
         inv, rank = la.sym_pinv(g["xtx"])
         new = inv @ g["xty"][:, 0]
         step = np.max(np.abs(new - beta))
         beta = new
         if step < tol * max(1.0, np.max(np.abs(beta))):
             break
-    r = residual_sums(frame, p, beta, mu_link="log")
-    n = r["n"]
-    df_resid = n - rank
-    cov = inv @ r["meat"] @ inv * (n / df_resid) if cov_type == "HC1" else inv
+    r = residual_sums(work, q, beta, mu_link="log")
+    rank_all = rank + len(sep)
+    df_resid = n_all - rank_all
+    cov_k = inv @ r["meat"] @ inv * (n_all / df_resid) if cov_type == "HC1" else inv
     frame.unpersist()
-    summary = dict(n=n, rank=rank, df_resid=df_resid, df_model=rank - 1, iterations=it,
-                   deviance=r["deviance"], pearson_chi2=r["pearson"], llf=r["llf"])
-    return Fit(design.names, beta, cov, n, rank, summary)
+    params = np.full(p, np.nan)
+    cov = np.full((p, p), np.nan)
+    for a, i in enumerate(keep):
+        params[i] = beta[a]
+        for b, j in enumerate(keep):
+            cov[i, j] = cov_k[a, b]
+    summary = dict(n=n_all, rank=rank_all, df_resid=df_resid, df_model=rank_all - 1, iterations=it,
+                   deviance=r["deviance"], pearson_chi2=r["pearson"], llf=r["llf"],
+                   separated=[design.names[j] for j in sep])
+    return Fit(design.names, params, cov, n_all, rank_all, summary)
 
 
 def fit_entity_fe(df: DataFrame, y: str, xs: Sequence[str], entity: str, min_size: int = 2) -> Fit:

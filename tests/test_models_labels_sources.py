@@ -242,3 +242,19 @@ def test_prompt_labeler_adapter(spark):
     df = spark.createDataFrame([(1, "writing code"), (2, "a walk")], "id long, text string").coalesce(1)
     got = {r.id: r.topic_category for r in lb.label_posts(df, "id", "text", lb.PromptLabeler(fake_client, "Classify.")).collect()}
     assert got == {1: "tech", 2: "general"}
+
+
+def test_poisson_separated_level_flagged(spark):
+    rnd = np.random.default_rng(5)
+    cat = rnd.choice(["a", "b", "z"], 900)
+    y = np.where(cat == "z", 0, rnd.poisson(np.where(cat == "b", 3.0, 1.5)))
+    df = spark.createDataFrame(pd.DataFrame({"cat": cat, "y": y.astype(float)}))
+    fit = fit_poisson(df, "y", [("cat", "cat")])
+    assert fit.summary["separated"] == ["C(cat)[T.z]"]
+    i = fit.names.index("C(cat)[T.z]")
+    assert math.isnan(fit.params[i])
+    ma, mb = y[cat == "a"].mean(), y[cat == "b"].mean()
+    assert math.isclose(fit.params[0], math.log(ma), rel_tol=1e-9)
+    assert math.isclose(fit.params[fit.names.index("C(cat)[T.b]")], math.log(mb / ma), rel_tol=1e-9)
+    t = {r.term: r for r in fit.table(spark).collect()}
+    assert t["C(cat)[T.z]"].coef is None and t["C(cat)[T.b]"].se is not None
