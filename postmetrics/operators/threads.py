@@ -115,6 +115,14 @@ def _resolved(spark, rounds: list[str]) -> DataFrame:
     return _read(spark, rounds).where(F.col("done"))
 
 
+def thread_sizes(df: DataFrame, id_col: str, parent_col: str, last_wins_order: Sequence[str] = ()) -> DataFrame:
+    """``df`` plus thread_id and thread_size (group size by a partial-aggregate count, no sort)."""
+    roots = thread_roots(df, id_col, parent_col, last_wins_order)
+    with_root = df.join(roots, F.col(id_col).cast("string") == roots["id"], "left").drop("id")
+    sizes = with_root.groupBy("thread_id").agg(F.count(F.lit(1)).alias("thread_size"))
+    return with_root.join(sizes, "thread_id")
+
+
 def thread_features(df: DataFrame, id_col: str, parent_col: str, ts_col: str,
                     last_wins_order: Sequence[str] = ()) -> DataFrame:
     """``df`` plus thread_id, thread_step_index, is_thread_starter and thread_size."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postmetrics.operators.threads import previous_in_group, thread_features, thread_roots
+from postmetrics.operators.threads import previous_in_group, thread_features, thread_roots, thread_sizes
 from postmetrics.plans.registry import register
 from postmetrics.sources.tables import table
 
@@ -56,11 +56,11 @@ def win_thread_step(spark, d):
 
 @register("win_group_size", SQL_THREADS + " SELECT post_id, thread_size FROM t")
 def win_group_size(spark, d):
-    t = event_threads(spark, d)
+    t = thread_sizes(event_replies(spark, d), "event_id", "parent")
     return t.select(F.col("event_id").alias("post_id"), "thread_size")
 
 
 @register("filt_multi_member", SQL_THREADS + " SELECT post_id, thread_id FROM t WHERE thread_size > 1")
 def filt_multi_member(spark, d):
-    t = event_threads(spark, d)
+    t = thread_sizes(event_replies(spark, d), "event_id", "parent")
     return t.where(F.col("thread_size") > 1).select(F.col("event_id").alias("post_id"), "thread_id")
