@@ -79,6 +79,13 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequenc
 BAND_ACCURACY = 10_000
 
 
+def _nsjoin(a, b, key):
+    """Inner join on group keys where NULL matches NULL (a group may be NULL)."""
+    b2 = b.select(*[F.col(k).alias(f"_r_{k}") for k in key], *[c for c in b.columns if c not in key])
+    j = a.join(b2, [a[k].eqNullSafe(b2[f"_r_{k}"]) for k in key], "inner")
+    return j.drop(*[f"_r_{k}" for k in key])
+
+
 def _banded_quantiles(df, value, probs, groups, names, accuracy: int = BAND_ACCURACY):
     """Exact quantiles that sort only a band of rows around each target rank.
 
@@ -102,7 +109,7 @@ def _banded_quantiles(df, value, probs, groups, names, accuracy: int = BAND_ACCU
         F.struct(F.col("_e")[edges.index(min(1.0, max(0.0, p - eps)))].alias("lo"),
                  F.col("_e")[edges.index(min(1.0, max(0.0, p + eps)))].alias("hi")).alias(f"_b{i}")
         for i, p in enumerate(probs)])
-    j = v.join(bands, key)
+    j = _nsjoin(v, bands, key)
     inside = [(F.col("_v") >= F.col(f"_b{i}.lo")) & (F.col("_v") <= F.col(f"_b{i}.hi")) for i in range(len(probs))]
     below = j.groupBy(*key).agg(*[F.count_if(F.col("_v") < F.col(f"_b{i}.lo")).alias(f"_c{i}")
                                   for i in range(len(probs))],
@@ -112,7 +119,7 @@ def _banded_quantiles(df, value, probs, groups, names, accuracy: int = BAND_ACCU
         any_in = any_in | c
     band_rows = j.where(any_in).select(*key, "_v").withColumn("_tb", F.monotonically_increasing_id())
     pos = with_group_position(band_rows, key, ["_v", "_tb"], "_bp", None)
-    meta = bands.join(below, key)
+    meta = _nsjoin(bands, below, key)
     # exactness: every target rank must lie inside its band
     checks = []
     for i, p in enumerate(probs):
@@ -129,7 +136,7 @@ def _banded_quantiles(df, value, probs, groups, names, accuracy: int = BAND_ACCU
     first_lo = [F.col(f"_b{i}.lo") for i in range(len(probs))]
     offs = j.where(any_in).groupBy(*key).agg(*[F.count_if(F.col("_v") < lo).alias(f"_o{i}")
                                               for i, lo in enumerate(first_lo)])
-    pm = pos.join(meta.join(offs, key), key)
+    pm = _nsjoin(pos, _nsjoin(meta, offs, key), key)
     aggs = []
     for i, p in enumerate(probs):
         rank = (F.col("_n") - 1) * F.lit(p)

@@ -183,3 +183,10 @@ def test_select_rows_exact_with_ties(spark):
     positions = [0, 7500, 15000, 22499, 29999]
     got = select_rows(df, "k", "id", positions)
     assert got == [ordered[p] for p in positions]
+
+
+def test_band_quantiles_null_group(spark):
+    rows = [(None, float(i)) for i in range(50)] + [("a", float(i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.m for r in quantiles(df, "v", [0.5], ["g"], ["m"], method="band").collect()}
+    assert got == {None: 24.5, "a": 4.5}
