@@ -282,7 +282,8 @@ def scan_csv(spark, d):
     lab = lb.label_posts(docs, "doc_id", "text")
     out = docs.join(lab, "doc_id")
     path = sinks.write_csv(out, scratch_path(spark, "labelled-csv"))
-    back = ar.read_labelled_csv(spark, path, out.schema.simpleString()[len("struct<"):-1].replace(":", " "))
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields)
+    back = ar.read_labelled_csv(spark, path, ddl)
     return back.select("doc_id", fx.text_length("text").alias("text_length"), "humor_type", "has_data_reference")
 
 
