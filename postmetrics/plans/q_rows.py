@@ -434,7 +434,9 @@ WHERE rn <= 125""")
 def win_stratified_sample(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     s = st.quartile_strata(o, "o_totalprice", "o_orderkey")
-    return st.stratified_sample(s, "stratum", "o_orderkey", 500 // 4).select("o_orderkey", "stratum")
+    smp = st.stratified_sample(s, "stratum", "o_orderkey", 500 // 4).select("o_orderkey", "stratum")
+    # concatenation of the strata, then keep-first on id (first = earliest stratum)
+    return st.dedupe_keep_first(smp, ["o_orderkey"], ["stratum"])
 
 
 @register("win_quota_sample", SQL_THREE + f"""
