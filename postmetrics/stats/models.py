@@ -94,6 +94,12 @@ def fit_ols(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design:
                    jarque_bera=(n / 6.0 * ((c3 / c2 ** 1.5) ** 2 + (c4 / c2 ** 2 - 3.0) ** 2 / 4.0)
                                 if c2 > 0 else float("nan")),
                    ssr=ssr, condition_number=la.condition_number(xtx))
+    if intercept and design.p > 1:
+        # Wald test that all slopes are zero, with the chosen covariance (robust F)
+        slopes, v = beta[1:], cov[1:, 1:]
+        v_inv, q = la.sym_pinv(v)
+        f = float(slopes @ v_inv @ slopes) / max(q, 1)
+        summary.update(f_stat=f, f_df=(q, df_resid), f_pvalue=la.f_sf(f, q, df_resid))
     return Fit(design.names, beta, cov, n, rank, summary)
 
 
@@ -170,4 +176,8 @@ def fit_entity_fe(df: DataFrame, y: str, xs: Sequence[str], entity: str, min_siz
     df_resid = fit.n - k - (n_ent - 1)
     cov = fit.cov * (fit.n - k) / df_resid
     s = dict(fit.summary, df_resid=df_resid, entities=n_ent)
+    if len(fit.params) > 1:
+        v_inv, q = la.sym_pinv(cov[1:, 1:])
+        f = float(fit.params[1:] @ v_inv @ fit.params[1:]) / max(q, 1)
+        s.update(f_stat=f, f_df=(q, df_resid), f_pvalue=la.f_sf(f, q, df_resid))
     return Fit(["const" if nm == "Intercept" else nm for nm in fit.names], fit.params, cov, fit.n, k, s)

@@ -258,3 +258,18 @@ def test_poisson_separated_level_flagged(spark):
     assert math.isclose(fit.params[fit.names.index("C(cat)[T.b]")], math.log(mb / ma), rel_tol=1e-9)
     t = {r.term: r for r in fit.table(spark).collect()}
     assert t["C(cat)[T.z]"].coef is None and t["C(cat)[T.b]"].se is not None
+
+
+def test_ols_robust_f(spark):
+    df, pdf = _frame(spark, seed=6)
+    fit = fit_ols(df, "y", [("cat", "cat"), ("num", "x")])
+    X = np.column_stack([np.ones(len(pdf)), pdf.cat == "b", pdf.cat == "c", pdf.x]).astype(float)
+    y = pdf.y.to_numpy()
+    b = np.linalg.lstsq(X, y, rcond=None)[0]
+    e = y - X @ b
+    bread = np.linalg.inv(X.T @ X)
+    V = bread @ (X.T * e ** 2) @ X @ bread * len(y) / (len(y) - 4)
+    f = b[1:] @ np.linalg.inv(V[1:, 1:]) @ b[1:] / 3
+    assert math.isclose(fit.summary["f_stat"], f, rel_tol=1e-8)
+    assert fit.summary["f_df"] == (3, len(y) - 4)
+    assert 0.0 <= fit.summary["f_pvalue"] <= 1.0
