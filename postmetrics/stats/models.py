@@ -159,7 +159,8 @@ def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), des
     return Fit(design.names, params, cov, n_all, rank_all, summary)
 
 
-def fit_entity_fe(df: DataFrame, y: str, xs: Sequence[str], entity: str, min_size: int = 2) -> Fit:
+def fit_entity_fe(df: DataFrame, y: str, xs: Sequence[str], entity: str, min_size: int = 2,
+                  full_summary: bool = True) -> Fit:
     """Entity fixed effects with a constant (within transform plus grand means), classical SE.
 
     Entities with fewer than ``min_size`` rows are dropped; df = n - k - (entities - 1).
@@ -176,6 +177,23 @@ def fit_entity_fe(df: DataFrame, y: str, xs: Sequence[str], entity: str, min_siz
     df_resid = fit.n - k - (n_ent - 1)
     cov = fit.cov * (fit.n - k) / df_resid
     s = dict(fit.summary, df_resid=df_resid, entities=n_ent)
+    if not full_summary:
+        return Fit(["const" if nm == "Intercept" else nm for nm in fit.names], fit.params, cov, fit.n, k, s)
+    # R² overall / between use the slopes on untransformed data (squared correlations);
+    # poolability F compares with the pooled OLS without entity effects
+    pred = sum((F.lit(float(b)) * F.col(x) for b, x in zip(fit.params[1:], xs)), F.lit(0.0))
+    scored = data.select(entity, F.col(y).alias("_y"), pred.alias("_p"))
+    overall = scored.agg(F.corr("_y", "_p")).first()[0]
+    between = (scored.groupBy(entity).agg(F.avg("_y").alias("_my"), F.avg("_p").alias("_mp"))
+               .agg(F.corr("_my", "_mp")).first()[0])
+    pooled = fit_ols(data, y, [("num", x) for x in xs], cov_type="classical")
+    ssr_fe, ssr_pool = fit.summary["ssr"], pooled.summary["ssr"]
+    pool_f = ((ssr_pool - ssr_fe) / max(n_ent - 1, 1)) / (ssr_fe / df_resid) if ssr_fe > 0 else float("nan")
+    s.update(r_squared_within=fit.summary["r_squared"],
+             r_squared_overall=(overall or 0.0) ** 2 if overall is not None else float("nan"),
+             r_squared_between=(between or 0.0) ** 2 if between is not None else float("nan"),
+             poolability_f=pool_f, poolability_df=(n_ent - 1, df_resid),
+             poolability_pvalue=la.f_sf(pool_f, n_ent - 1, df_resid) if math.isfinite(pool_f) else float("nan"))
     if len(fit.params) > 1:
         v_inv, q = la.sym_pinv(cov[1:, 1:])
         f = float(fit.params[1:] @ v_inv @ fit.params[1:]) / max(q, 1)

@@ -273,3 +273,18 @@ def test_ols_robust_f(spark):
     assert math.isclose(fit.summary["f_stat"], f, rel_tol=1e-8)
     assert fit.summary["f_df"] == (3, len(y) - 4)
     assert 0.0 <= fit.summary["f_pvalue"] <= 1.0
+
+
+def test_entity_fe_summary_statistics(spark):
+    rnd = np.random.default_rng(8)
+    ent = rnd.integers(0, 20, 500)
+    x = rnd.normal(size=500) + ent * 0.1
+    y = 2.0 * x + ent * 0.5 + rnd.normal(size=500)
+    pdf = pd.DataFrame({"ent": ent.astype(str), "x": x, "y": y})
+    fit = fit_entity_fe(spark.createDataFrame(pdf), "y", ["x"], "ent")
+    s = fit.summary
+    slope = fit.params[fit.names.index("x")]
+    assert math.isclose(s["r_squared_overall"], np.corrcoef(y, slope * x)[0, 1] ** 2, rel_tol=1e-9)
+    g = pdf.assign(p=slope * x).groupby("ent")[["y", "p"]].mean()
+    assert math.isclose(s["r_squared_between"], np.corrcoef(g.y, g.p)[0, 1] ** 2, rel_tol=1e-9)
+    assert s["poolability_df"] == (19, 500 - 2 - 19) and s["poolability_f"] > 1
