@@ -154,7 +154,7 @@ def residual_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0,
 
     def part(it):
         meat = np.zeros((p, p))
-        mom = np.zeros(8)
+        mom = np.zeros(9)
         for pdf in it:
             x = pdf[xcols].to_numpy(dtype="float64")
             y = pdf[ycol].to_numpy(dtype="float64")
@@ -172,14 +172,16 @@ def residual_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0,
                     term = np.where(y > 0, y * np.log(y / mu), 0.0) - (y - mu)
                 mom[5] += 2.0 * term.sum()                       # deviance
                 mom[6] += ((e ** 2) / mu).sum()                  # Pearson chi2
-                mom[7] += (y * eta - mu - _lgamma1p(y)).sum()    # log-likelihood
+                lg = _lgamma1p(y)
+                mom[7] += (y * eta - mu - lg).sum()              # log-likelihood
+                mom[8] += lg.sum()                               # sum log(y!)
         yield _emit({0: meat, 1: mom.reshape(1, -1)})
 
     sel = frame.select(*xcols, ycol)
-    res = _collect(sel.mapInPandas(part, _LONG), {0: (p, p), 1: (1, 8)})
+    res = _collect(sel.mapInPandas(part, _LONG), {0: (p, p), 1: (1, 9)})
     m = res[1][0]
     return {"meat": res[0], "n": m[0], "sum_e": m[1], "sum_e2": m[2], "sum_e3": m[3], "sum_e4": m[4],
-            "deviance": m[5], "pearson": m[6], "llf": m[7]}
+            "deviance": m[5], "pearson": m[6], "llf": m[7], "sum_lgamma": m[8]}
 
 
 def _lgamma1p(y: np.ndarray) -> np.ndarray:

@@ -153,8 +153,13 @@ def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), des
         params[i] = beta[a]
         for b, j in enumerate(keep):
             cov[i, j] = cov_k[a, b]
+    # intercept-only model: mu = mean(y); its log-likelihood from the same sums
+    sum_y, ybar_all = g0["xty"][0, 0], g0["xty"][0, 0] / n_all
+    llnull = (sum_y * math.log(ybar_all) if sum_y > 0 else 0.0) - n_all * ybar_all - r["sum_lgamma"]
     summary = dict(n=n_all, rank=rank_all, df_resid=df_resid, df_model=rank_all - 1, iterations=it,
-                   deviance=r["deviance"], pearson_chi2=r["pearson"], llf=r["llf"],
+                   deviance=r["deviance"], pearson_chi2=r["pearson"], llf=r["llf"], llnull=llnull,
+                   pseudo_r2_cs=1.0 - math.exp(2.0 * (llnull - r["llf"]) / n_all),
+                   aic=-2.0 * r["llf"] + 2.0 * rank_all,
                    separated=[design.names[j] for j in sep])
     return Fit(design.names, params, cov, n_all, rank_all, summary)
 

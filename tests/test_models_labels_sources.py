@@ -288,3 +288,17 @@ def test_entity_fe_summary_statistics(spark):
     g = pdf.assign(p=slope * x).groupby("ent")[["y", "p"]].mean()
     assert math.isclose(s["r_squared_between"], np.corrcoef(g.y, g.p)[0, 1] ** 2, rel_tol=1e-9)
     assert s["poolability_df"] == (19, 500 - 2 - 19) and s["poolability_f"] > 1
+
+
+def test_poisson_likelihoods(spark):
+    df, pdf = _frame(spark, seed=2)
+    fit = fit_poisson(df, "cnt", [("cat", "cat"), ("num", "x")])
+    y = pdf.cnt.to_numpy()
+    lg = np.array([math.lgamma(v + 1) for v in y])
+    X = np.column_stack([np.ones(len(pdf)), (pdf.cat == "b"), (pdf.cat == "c"), pdf.x]).astype(float)
+    eta = X @ fit.params
+    llf = (y * eta - np.exp(eta) - lg).sum()
+    llnull = (y * math.log(y.mean()) - y.mean() - lg).sum()
+    assert math.isclose(fit.summary["llf"], llf, rel_tol=1e-9)
+    assert math.isclose(fit.summary["llnull"], llnull, rel_tol=1e-9)
+    assert math.isclose(fit.summary["pseudo_r2_cs"], 1 - math.exp(2 * (llnull - llf) / len(y)), rel_tol=1e-9)
