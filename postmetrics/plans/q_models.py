@@ -261,3 +261,29 @@ def model_robust_sweep(spark, d):
     out = spark.createDataFrame(rows, "threshold int, term string, value double")
     return out.select("threshold", "term", r6("value").alias("value"))
 
+
+
+# Multi-regressor fits with the reference's model shape (treatment-coded reply type, category,
+# weekday, hour and tier, plus a numeric control) on the engineered core sample.  No closed form
+# exists, so these are registered without an oracle (rows-only check); tests compare the same
+# code path with numpy.
+FULL_TERMS = [("cat", "reply_type"), ("cat", "category"), ("cat", "weekday"), ("cat", "hour_of_day"),
+              ("cat", "account_tier"), ("num", "k")]
+
+
+def _core(spark, d):
+    from postmetrics.plans.derived import core_sample, engineered
+    return core_sample(engineered(spark, d))
+
+
+@register("model_ols_full")
+def model_ols_full(spark, d):
+    fit = fit_ols(_core(spark, d), F.log1p("winsorized_engagement"), FULL_TERMS, cov_type="HC1")
+    return fit.table(spark).select("term", r6("coef").alias("coef"), r6("se").alias("se"))
+
+
+@register("model_poisson_full")
+def model_poisson_full(spark, d):
+    fit = fit_poisson(_core(spark, d), F.col("total_engagement").cast("double"), FULL_TERMS)
+    return fit.table(spark, exp=True).select("term", r6("coef").alias("irr"), r6("ci_lower").alias("ci_lower"),
+                                             r6("ci_upper").alias("ci_upper"))

@@ -302,3 +302,36 @@ def test_poisson_likelihoods(spark):
     assert math.isclose(fit.summary["llf"], llf, rel_tol=1e-9)
     assert math.isclose(fit.summary["llnull"], llnull, rel_tol=1e-9)
     assert math.isclose(fit.summary["pseudo_r2_cs"], 1 - math.exp(2 * (llnull - llf) / len(y)), rel_tol=1e-9)
+
+
+def test_full_shape_models_match_numpy(spark):
+    from postmetrics.plans.q_models import FULL_TERMS, _core
+    core = _core(spark, "/root/testdata/sf0.001").cache()
+    pdf = core.select(*[t[1] for t in FULL_TERMS], "winsorized_engagement", "total_engagement").toPandas()
+    cols, names = [np.ones(len(pdf))], ["Intercept"]
+    for kind, c in FULL_TERMS:
+        if kind == "cat":
+            for lv in sorted(pdf[c].dropna().unique())[1:]:
+                cols.append((pdf[c] == lv).astype(float).to_numpy())
+                names.append(f"C({c})[T.{lv}]")
+        else:
+            cols.append(pdf[c].astype(float).to_numpy())
+            names.append(c)
+    X = np.column_stack(cols)
+    y = np.log1p(pdf.winsorized_engagement.to_numpy())
+    fit = fit_ols(core, F.log1p("winsorized_engagement"), FULL_TERMS)
+    assert fit.names == names
+    assert np.allclose(fit.params, np.linalg.pinv(X, rcond=1e-10) @ y, atol=1e-7)
+    pfit = fit_poisson(core, F.col("total_engagement").cast("double"), FULL_TERMS)
+    cnt = pdf.total_engagement.to_numpy().astype(float)
+    b = np.zeros(X.shape[1])
+    b[0] = math.log(cnt.mean())
+    for _ in range(100):
+        mu = np.exp(X @ b)
+        nb = np.linalg.pinv(X.T @ (mu[:, None] * X), rcond=1e-12, hermitian=True) @ (X.T @ (mu * (X @ b + (cnt - mu) / mu)))
+        done = np.max(abs(nb - b)) < 1e-12 * max(1, np.max(abs(nb)))
+        b = nb
+        if done:
+            break
+    assert np.allclose(pfit.params, b, atol=1e-6)
+    core.unpersist()
