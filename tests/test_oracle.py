@@ -22,8 +22,11 @@ def con():
 @pytest.mark.parametrize("key", _keys())
 def test_query_matches_oracle(spark, con, key):
     import __spark_entry__ as E
-    r = compare(spark, con, key, E.queries()[key], E.oracle_sql().get(key), SF)
-    assert r["status"] == "ok", r
+    sql = E.oracle_sql().get(key)
+    r = compare(spark, con, key, E.queries()[key], sql, SF)
+    assert r["status"] == ("ok" if sql is not None else "rows-only"), r
+    if sql is None:
+        assert r["rows"] > 0
 
 
 def test_entry_smoke(spark):
