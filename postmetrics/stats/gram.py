@@ -95,14 +95,14 @@ def gram(frame: DataFrame, p: int, q: int, weight: str | None = None) -> dict[st
 
 def irls_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0) -> dict[str, np.ndarray]:
     """One Poisson IRLS step's sums, XᵀWX and XᵀWz with mu = exp(xβ), W = mu,
-    z = xβ + (y - mu)/mu, computed per Arrow batch from the current β (no per-iteration
-    query planning: β travels in the task closure)."""
+    z = xβ + (y - mu)/mu, and the deviance at the current β, computed per Arrow batch
+    (no per-iteration query planning: β travels in the task closure)."""
     xcols = [f"x{i}" for i in range(p)]
     ycol = f"y{y_index}"
     b = np.asarray(beta, dtype="float64").reshape(-1)
 
     def part(it):
-        xtx, xtz = np.zeros((p, p)), np.zeros((p, 1))
+        xtx, xtz, dev = np.zeros((p, p)), np.zeros((p, 1)), np.zeros((1, 1))
         for pdf in it:
             x = pdf[xcols].to_numpy(dtype="float64")
             y = pdf[ycol].to_numpy(dtype="float64")
@@ -111,10 +111,12 @@ def irls_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0) -> d
             z = eta + (y - mu) / mu
             xtx += x.T @ (mu[:, None] * x)
             xtz += x.T @ (mu * z)[:, None]
-        yield _emit({0: xtx, 1: xtz})
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dev[0, 0] += 2.0 * (np.where(y > 0, y * np.log(y / mu), 0.0) - (y - mu)).sum()
+        yield _emit({0: xtx, 1: xtz, 2: dev})
 
-    res = _collect(frame.select(*xcols, ycol).mapInPandas(part, _LONG), {0: (p, p), 1: (p, 1)})
-    return {"xtx": res[0], "xty": res[1]}
+    res = _collect(frame.select(*xcols, ycol).mapInPandas(part, _LONG), {0: (p, p), 1: (p, 1), 2: (1, 1)})
+    return {"xtx": res[0], "xty": res[1], "deviance": float(res[2][0, 0])}
 
 
 def _residual_jvm(frame: DataFrame, p: int, beta: np.ndarray, y_index: int) -> dict[str, np.ndarray]:
