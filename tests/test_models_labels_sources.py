@@ -335,3 +335,16 @@ def test_full_shape_models_match_numpy(spark):
             break
     assert np.allclose(pfit.params, b, atol=1e-6)
     core.unpersist()
+
+
+def test_account_lookup_duplicates_and_missing(spark, tmp_path):
+    batch = {"data": [{"id": "1", "username": "a", "most_recent_tweet_id": "10", "public_metrics": {"followers_count": 5}},
+                      {"id": "2", "username": "b", "most_recent_tweet_id": "99"}],
+             "includes": {"tweets": [{"id": "10", "created_at": "2024-01-01T00:00:00Z"},
+                                     {"id": "10", "created_at": "2024-02-01T00:00:00Z"}]}}
+    (tmp_path / "b1.json").write_text(json.dumps(batch, indent=2))
+    users, tweets = ar.load_account_batches(spark, str(tmp_path / "b*.json"))
+    got = {r.id: r for r in ar.flatten_users(users, tweets).collect()}
+    assert len(got) == 2
+    assert got["1"].most_recent_tweet_date == "2024-02-01T00:00:00Z" and got["1"].followers_count == 5
+    assert got["2"].most_recent_tweet_date is None and got["2"].followers_count is None
