@@ -65,12 +65,17 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
     # active set feeds the next round.
     rounds = [_write_round(base)]
     active = _read(spark, rounds[-1:]).where(~F.col("done"))
-    if max_rounds is None:
-        n = max(2, spark.read.parquet(rounds[0]).count())
-        max_rounds = int(math.ceil(math.log2(n))) + 2
-    for _ in range(max_rounds):
+    # the cycle bound ceil(log2(n)) + 2 needs a count; acyclic inputs finish long before
+    # 20 rounds (depth < 2^19), so the count is only taken if the loop gets that far
+    bound = max_rounds if max_rounds is not None else 20
+    r = 0
+    while r < bound:
         if active.limit(1).count() == 0:
             break
+        if max_rounds is None and r == 19:
+            n = max(2, spark.read.parquet(rounds[0]).count())
+            bound = max(bound, int(math.ceil(math.log2(n))) + 2)
+        r += 1
         look = _resolved(spark, rounds).unionByName(active).select(
             F.col("id").alias("_lid"), F.col("ptr").alias("_lptr"), F.col("mn").alias("_lmn"),
             F.col("is_root").alias("_lroot"), F.col("done").alias("_ldone"))
