@@ -113,3 +113,28 @@ def select_rows(df: DataFrame, key: str, tie: str, positions: list[int], accurac
     wanted = [p - c + o for p, c, o in zip(positions, below, offset)]
     got = {r["_b"]: (r[key], r[tie]) for r in ranked.where(F.col("_b").isin(wanted)).collect()}
     return [got[w] for w in wanted]
+
+
+def with_previous(df: DataFrame, order: Sequence, cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
+    """Columns of the previous row in a total ``order`` (a distributed global ``lag``).
+
+    Rows are range-partitioned by the order and written once; inside each range
+    partition a window (partitioned by the partition id, so bounded by the partition
+    size, never by a key's frequency) gives the local predecessor; the first row of
+    each partition takes the last row of the preceding non-empty partition from a
+    one-row-per-partition table (a bounded broadcast).  One shuffle, no self-join.
+    """
+    tagged = materialize(df.orderBy(*_cols(order))
+                         .withColumn(_PID, F.spark_partition_id())
+                         .withColumn(_MONO, F.monotonically_increasing_id()), "ordinal-prev")
+    last = tagged.groupBy(_PID).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(_MONO)).alias("_pm_last"))
+    border = last.select(_PID, F.lag("_pm_last").over(Window.orderBy(_PID)).alias("_pm_border"))
+    w = Window.partitionBy(_PID).orderBy(_MONO)
+    local = tagged.select("*", F.lag(F.col(_MONO)).over(w).alias("_pm_pm"),
+                          *[F.lag(F.col(c)).over(w).alias(prefix + c) for c in cols])
+    j = local.join(F.broadcast(border), _PID, "left")
+    first = F.col("_pm_pm").isNull()
+    out = j.select(*[F.col(c) for c in df.columns],
+                   *[F.when(first, F.col("_pm_border")[c]).otherwise(F.col(prefix + c)).alias(prefix + c)
+                     for c in cols])
+    return out

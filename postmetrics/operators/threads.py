@@ -143,14 +143,13 @@ def previous_in_group(df: DataFrame, group: str, order: Sequence, cols: Sequence
                       prefix: str = "prev_") -> DataFrame:
     """Columns of the previous row inside ``group`` by ``order`` (a distributed ``lag``).
 
-    Rows are numbered in the global (group, order) order; the predecessor is the row
-    numbered one less, kept only when it belongs to the same group.
+    The predecessor in the global (group, order) order, kept only when it belongs to
+    the same group (a hot group is split across range partitions like any other rows).
     """
-    from postmetrics.operators.ordinal import with_global_index
-    idx = with_global_index(df, [F.col(group), *[F.col(o) if isinstance(o, str) else o for o in order]], "_g")
-    prev = idx.select((F.col("_g") + 1).alias("_g"), F.col(group).alias("_pg"),
-                      *[F.col(c).alias(prefix + c) for c in cols])
-    j = idx.join(prev, "_g", "left")
-    same = F.col("_pg").eqNullSafe(F.col(group))
-    return j.select(*[F.col(c) for c in df.columns],
-                    *[F.when(same, F.col(prefix + c)).alias(prefix + c) for c in cols])
+    from postmetrics.operators.ordinal import with_previous
+    prev = with_previous(df.withColumn("_pg0", F.col(group)),
+                         [F.col(group), *[F.col(o) if isinstance(o, str) else o for o in order]],
+                         ["_pg0", *cols], prefix)
+    same = F.col(prefix + "_pg0").eqNullSafe(F.col(group))
+    return prev.select(*[F.col(c) for c in df.columns],
+                       *[F.when(same, F.col(prefix + c)).alias(prefix + c) for c in cols])

@@ -24,7 +24,7 @@ from postmetrics.functions import features as fx
 from postmetrics.operators.aggregates import mode_value
 from postmetrics.operators.engineer import core_sample as _core_sample
 from postmetrics.operators.engineer import engineer_posts
-from postmetrics.operators.ordinal import with_global_index
+from postmetrics.operators.ordinal import with_previous
 from postmetrics.session import materialize
 from postmetrics.sources.tables import posts
 
@@ -35,12 +35,10 @@ EVENT_TIER_B = "2024-01-21"
 def previous_in_time(df: DataFrame, ts: str, key: str, cols: list[str], prefix: str = "prev_") -> DataFrame:
     """Attach columns of the previous row in the global (ts, key) order.
 
-    A global ``lag`` would need one task; positions come from the distributed
-    ordinal and the neighbour is found by an equi-join on position - 1.
+    A global ``lag`` would need one task; ``ordinal.with_previous`` does it per range
+    partition with a bounded border table.
     """
-    idx = with_global_index(df, [F.col(ts), F.col(key)], "_g")
-    prev = idx.select((F.col("_g") + 1).alias("_g"), *[F.col(c).alias(prefix + c) for c in cols])
-    return idx.join(prev, "_g", "left").drop("_g")
+    return with_previous(df, [F.col(ts), F.col(key)], cols, prefix)
 
 
 def archive_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,3 +190,14 @@ def test_band_quantiles_null_group(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r.g: r.m for r in quantiles(df, "v", [0.5], ["g"], ["m"], method="band").collect()}
     assert got == {None: 24.5, "a": 4.5}
+
+
+def test_with_previous_matches_python(spark):
+    from postmetrics.operators.ordinal import with_previous
+    rnd = random.Random(4)
+    rows = [(i, rnd.randint(0, 50), f"v{i}") for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, t long, val string").repartition(5)
+    got = {r.id: r.prev_val for r in with_previous(df, [F.col("t"), F.col("id")], ["val"]).collect()}
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    expect = {r[0]: (ordered[i - 1][2] if i else None) for i, r in enumerate(ordered)}
+    assert got == expect
