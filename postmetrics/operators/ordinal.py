@@ -109,7 +109,7 @@ def select_rows(df: DataFrame, key: str, tie: str, positions: list[int], accurac
         inside = c if inside is None else inside | c
     band = df.where(inside).select(key, tie)
     ranked = with_global_index(band, [F.col(key), F.col(tie)], "_b")
-    offset = [band.where(k < F.lit(lo)).count() for lo, _ in bands]
+    offset = list(band.agg(*[F.count_if(k < F.lit(lo)) for lo, _ in bands]).first())
     wanted = [p - c + o for p, c, o in zip(positions, below, offset)]
     got = {r["_b"]: (r[key], r[tie]) for r in ranked.where(F.col("_b").isin(wanted)).collect()}
     return [got[w] for w in wanted]
