@@ -79,7 +79,8 @@ def row_tiebreak(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def select_rows(df: DataFrame, key: str, tie: str, positions: list[int], accuracy: int = 10_000):
+def select_rows(df: DataFrame, key: str, tie: str, positions: list[int], accuracy: int = 10_000,
+                n: int | None = None):
     """Exact rows at 0-based ``positions`` of the ascending (key, tie) order, without a
     full sort: a ``percentile_approx`` sketch brackets each position, one pass counts
     the rows below each bracket, and only the rows inside the brackets are ranked.
@@ -88,7 +89,7 @@ def select_rows(df: DataFrame, key: str, tie: str, positions: list[int], accurac
     or ``None`` when a bracket missed its position (the caller then sorts everything).
     ``key`` must be a non-null double; ``tie`` unique.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     if n == 0 or not positions:
         return []
     eps = 3.0 / accuracy

@@ -36,7 +36,7 @@ def _strata(df, value, tiebreak, fractions, name):
     keyed = df.withColumn("_sk", key)
     n = keyed.count()
     bounds = [int(n * a // b) for a, b in fractions]
-    picked = select_rows(keyed.select("_sk", tiebreak), "_sk", tiebreak, bounds) if n else []
+    picked = select_rows(keyed.select("_sk", tiebreak), "_sk", tiebreak, bounds, n=n) if n else []
     if picked is None:
         idx = with_global_index(df, [F.col(value).desc_nulls_last(), F.col(tiebreak).asc()], "_r")
         s = F.lit(1)
