@@ -12,8 +12,6 @@ JSON lines split across tasks.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,19 +65,24 @@ def _wrapper_schema() -> T.StructType:
 
 
 def detect_shape(spark: SparkSession, path: str) -> str:
-    """'lines' | 'document' | 'empty' from the first non-blank line of the input."""
-    first = (spark.read.text(path).where(F.trim("value") != "").limit(1).collect())
+    """'lines' | 'document' | 'empty' from the first non-blank line of the input.
+
+    Only the first and last characters of that line reach the driver (a single-line
+    archive is one line holding the whole document): '[' -> a JSON array document;
+    '{' ... '}' -> JSON lines (a one-line object is a one-row JSON-lines file); a
+    line opening '{' without closing it -> a pretty-printed document; else an error.
+    """
+    line = F.trim(F.col("value"))
+    first = (spark.read.text(path).where(line != "")
+             .select(F.substring(line, 1, 1).alias("a"), F.substring(F.reverse(line), 1, 1).alias("z"))
+             .limit(1).collect())
     if not first:
         return "empty"
-    line = first[0][0].strip()
-    if line.startswith("["):
+    a, z = first[0]["a"], first[0]["z"]
+    if a == "[":
         return "document"
-    if line.startswith("{"):
-        try:
-            json.loads(line)
-            return "lines"
-        except ValueError:
-            return "document"
+    if a == "{":
+        return "lines" if z == "}" else "document"
     raise ValueError("Unsupported JSON structure in archive")
 
 
