@@ -54,11 +54,15 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
     spark = df.sparkSession
     edges = parent_edges(df, id_col, parent_col, last_wins_order)
     ids = df.select(F.col(id_col).cast("string").alias("id")).where(F.col("id").isNotNull()).distinct()
-    base = ids.join(edges, "id", "left").select(
+    # pointers only ever move to ancestors, i.e. to ids that are someone's parent: only those
+    # "target" nodes are needed on the lookup side of a round (leaves never are)
+    targets = edges.select(F.col("parent").alias("id")).distinct().withColumn("_t", F.lit(True))
+    base = ids.join(edges, "id", "left").join(targets, "id", "left").select(
         "id",
         F.coalesce("parent", "id").alias("ptr"),
         F.least(F.col("id"), F.coalesce("parent", "id")).alias("mn"),
         F.col("parent").isNull().alias("is_root"),
+        F.coalesce(F.col("_t"), F.lit(False)).alias("is_target"),
         F.col("parent").isNull().alias("done"))
     # Every round is written once, partitioned by ``done``: resolved rows are never
     # rewritten (later rounds read them by partition pruning); only the shrinking
@@ -76,7 +80,7 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
             n = max(2, spark.read.parquet(rounds[0]).count())
             bound = max(bound, int(math.ceil(math.log2(n))) + 2)
         r += 1
-        look = _resolved(spark, rounds).unionByName(active).select(
+        look = _resolved(spark, rounds).unionByName(active).where(F.col("is_target")).select(
             F.col("id").alias("_lid"), F.col("ptr").alias("_lptr"), F.col("mn").alias("_lmn"),
             F.col("is_root").alias("_lroot"), F.col("done").alias("_ldone"))
         step = active.join(look, active["ptr"] == look["_lid"], "left")
@@ -86,7 +90,7 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
             "id",
             F.when(at_root, F.col("ptr")).otherwise(F.col("_lptr")).alias("ptr"),
             F.when(finished, F.col("mn")).otherwise(F.least(F.col("mn"), F.col("_lmn"))).alias("mn"),
-            F.col("is_root"),
+            F.col("is_root"), F.col("is_target"),
             finished.alias("done"))))
         active = _read(spark, rounds[-1:]).where(~F.col("done"))
     resolved = _resolved(spark, rounds).select("id", F.col("ptr").alias("thread_id"))
@@ -94,7 +98,8 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
         return resolved
     # still active: nodes on (or leading into) a cycle.  After the rounds the pointer sits
     # on the cycle, and that node's running minimum covers exactly the cycle.
-    look = _resolved(spark, rounds).unionByName(active).select(F.col("id").alias("_lid"), F.col("mn").alias("_lmn"))
+    look = (_resolved(spark, rounds).unionByName(active).where(F.col("is_target"))
+            .select(F.col("id").alias("_lid"), F.col("mn").alias("_lmn")))
     cyc = active.join(look, active["ptr"] == look["_lid"], "left").select("id", F.col("_lmn").alias("thread_id"))
     return resolved.unionByName(cyc)
 
@@ -110,7 +115,7 @@ def _read(spark, paths: list[str]) -> DataFrame:
     # of them); the partition column comes back as text, a filter on it prunes folders
     out = None
     for path in paths:
-        part = spark.read.parquet(path).select("id", "ptr", "mn", "is_root",
+        part = spark.read.parquet(path).select("id", "ptr", "mn", "is_root", "is_target",
                                                (F.col("done") == F.lit("true")).alias("done"))
         out = part if out is None else out.unionByName(part)
     return out
