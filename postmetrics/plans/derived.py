@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmetrics.functions import features as fx
 from postmetrics.operators.aggregates import mode_value
 from postmetrics.operators.engineer import core_sample as _core_sample
 from postmetrics.operators.engineer import engineer_posts

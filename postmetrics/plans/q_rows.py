@@ -13,7 +13,7 @@ from postmetrics.operators.ordinal import with_global_index
 from postmetrics.plans.derived import SQL_CORE, SQL_ENGINEERED, archive_inputs, core_sample, engineered
 from postmetrics.plans.q_aggregates import (SQL_CAPPED, SQL_CATEGORY_STATS, SQL_ORDERS_REL, capped_events,
                                             event_study, monthly)
-from postmetrics.plans.registry import SQL_POSTS, r6, register, ts_text
+from postmetrics.plans.registry import r6, register, ts_text
 from postmetrics.sources.tables import posts, table
 
 SQL_ENG = "WITH " + SQL_ENGINEERED + " "
