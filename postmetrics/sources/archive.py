@@ -141,7 +141,12 @@ def read_labelled_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_kv_first_line(spark: SparkSession, path: str, default: str | None = None) -> DataFrame:
-    """First 'Label: value' line of a text file -> value (trimmed); ``default`` when missing."""
-    lines = spark.read.text(path).where(F.col("value").contains(": ")).limit(1)
+    """First 'Label: value' line of a text file -> value (trimmed); ``default`` when the file
+    or the line is missing (one row either way)."""
+    from pyspark.errors import AnalysisException
+    try:
+        lines = spark.read.text(path).where(F.col("value").contains(": ")).limit(1)
+    except AnalysisException:
+        return spark.range(1).select(F.lit(default).cast("string").alias("value"))
     picked = lines.agg(F.max(F.trim(F.split(F.col("value"), ": ", 2)[1])).alias("value"))
     return picked.select(F.coalesce(F.col("value"), F.lit(default)).alias("value"))

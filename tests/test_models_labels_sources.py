@@ -348,3 +348,13 @@ def test_account_lookup_duplicates_and_missing(spark, tmp_path):
     assert len(got) == 2
     assert got["1"].most_recent_tweet_date == "2024-02-01T00:00:00Z" and got["1"].followers_count == 5
     assert got["2"].most_recent_tweet_date is None and got["2"].followers_count is None
+
+
+def test_metadata_placeholder_and_empty_glob(spark, tmp_path):
+    got = ar.read_kv_first_line(spark, str(tmp_path / "missing.txt"), "placeholder").collect()
+    assert [r.value for r in got] == ["placeholder"]
+    (tmp_path / "sel.txt").write_text("Selected Model: kw_swap\nAgreement: 97.1%\n")
+    assert ar.read_kv_first_line(spark, str(tmp_path / "sel.txt")).first().value == "kw_swap"
+    from pyspark.errors import AnalysisException
+    with pytest.raises(AnalysisException):
+        ar.load_account_batches(spark, str(tmp_path / "nothing_here*.json"))[0].collect()
