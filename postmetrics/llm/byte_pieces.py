@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from postmetrics.llm.chunk_table import ChunkTable, per_row_counts
+from postmetrics.llm.chunk_table import ChunkTable, gather, per_row_counts
 from postmetrics.llm.textops import SPACES, row_of, row_slices, text_buffer
 
 STEP_BYTES = 4 << 20
@@ -55,24 +55,35 @@ class Encoder:
         self.break_id = ranks[b"\n"]
         self.table = ChunkTable(self._encode_chunks)
 
-    def _encode_chunks(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_chunks(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # Words go through the library as one text, each after its own space or after a line break
         # that is taken out again; the split restarts at each of them.
-        ids_of: list = [None] * len(chunks)
-        words = []
-        for k, c in enumerate(chunks):
-            if SPACES[c[-1]] or not len(c):
-                ids_of[k] = np.array(self.merges.encode_ordinary(c.decode()), np.int64)
-            else:
-                words.append(k)
-        if words:
-            spaced = [chunks[k] if chunks[k][0] == SPACE else b"\n" + chunks[k] for k in words]
-            ids = np.array(self.merges.encode_ordinary(b"".join(spaced).decode()), np.int64)
-            to = np.cumsum(self.length[ids])
-            cut = np.searchsorted(to, np.cumsum([len(x) for x in spaced]), side="left") + 1
-            for k, a, z, x in zip(words, np.concatenate(([0], cut[:-1])).tolist(), cut.tolist(), spaced):
-                ids_of[k] = ids[a + (x[0] != SPACE):z]
-        return np.concatenate(ids_of), np.array([len(x) for x in ids_of], np.int64)
+        size = np.zeros(len(start), np.int64)
+        word = ~SPACES[buf[end - 1]]
+        s, n = start[word], (end - start)[word]
+        bare = buf[s] != SPACE
+        text = np.full(int((n + bare).sum()), 0x0A, np.uint8)
+        to = np.cumsum(n + bare)
+        inside = np.ones(len(text), bool)
+        inside[(to - n - bare)[bare]] = False
+        text[inside] = gather(buf, s, n)
+        ids = self.merges.encode_to_numpy(text.tobytes().decode(), disallowed_special=()).astype(np.int32)
+        last = np.searchsorted(np.cumsum(self.length[ids]), to, side="left") + 1
+        first = np.concatenate(([0], last[:-1])).astype(np.int64)
+        keep = np.ones(len(ids), bool)
+        keep[first[bare]] = False
+        size[word] = last - first - bare
+        runs = np.flatnonzero(~word)
+        if not len(runs):
+            return ids[keep], size
+        # runs of white space, a few kinds only, one by one
+        own = [np.array(self.merges.encode_ordinary(buf[a:z].tobytes().decode()), np.int32)
+               for a, z in zip(start[runs].tolist(), end[runs].tolist())]
+        size[runs] = [len(x) for x in own]
+        out = np.empty(int(size.sum()), np.int32)
+        of_run = np.repeat(~word, size)
+        out[~of_run], out[of_run] = ids[keep], np.concatenate(own)
+        return out, size
 
     def encode(self, texts: pa.Array):
         """Yield (row range, ids of its rows one after the other, number of ids of each row)."""

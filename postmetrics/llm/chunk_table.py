@@ -15,14 +15,14 @@ from typing import Callable
 
 import numpy as np
 
-from postmetrics.llm.textops import U64, prefix_sums, sorted_distinct, span_hash
+from postmetrics.llm.textops import U64, grouping_order, prefix_sums, span_hash
 
-#: list of chunks (bytes) -> (all ids one after the other, number of ids of each chunk)
-Encoder = Callable[[list], tuple[np.ndarray, np.ndarray]]
+#: (bytes, start and end of each chunk) -> (all ids one after the other, number of ids of each chunk)
+Encoder = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 class ChunkTable:
-    def __init__(self, encode: Encoder, most: int = 400_000):
+    def __init__(self, encode: Encoder, most: int = 1_500_000):
         self.encode, self.most = encode, most
         self._clear()
 
@@ -32,8 +32,8 @@ class ChunkTable:
         self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
 
-    def _add(self, keys: np.ndarray, chunks: list) -> None:
-        ids, size = self.encode(chunks)
+    def _add(self, keys: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        ids, size = self.encode(buf, start, end)
         at = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
         where = np.searchsorted(self.keys, keys)
@@ -46,26 +46,34 @@ class ChunkTable:
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         keys = span_hash(prefix_sums(buf), start, end)
-        distinct, _ = sorted_distinct(keys)
+        order = grouping_order(keys)
+        near = keys[order]
+        first = np.concatenate(([True], near[1:] != near[:-1]))
+        example = order[first]
+        distinct = keys[example]
+        by_key = np.argsort(distinct)
+        distinct, example = distinct[by_key], example[by_key]
         if len(self.keys) + len(distinct) > self.most:
             self._clear()
-        known = np.searchsorted(self.keys, distinct)
-        known[known == len(self.keys)] = 0
-        new = distinct[self.keys[known] != distinct] if len(self.keys) else distinct
-        if len(new):
-            # one occurrence of each new chunk
-            place = np.searchsorted(new, keys)
-            place[place == len(new)] = 0
-            hit = np.flatnonzero(new[place] == keys)
-            example = np.zeros(len(new), np.int64)
-            example[place[hit]] = hit
-            raw = buf.tobytes()
-            self._add(new, [raw[s:e] for s, e in zip(start[example].tolist(), end[example].tolist())])
-        entry = np.searchsorted(self.keys, keys)
+        new = np.ones(len(distinct), bool)
+        if len(self.keys):
+            known = np.searchsorted(self.keys, distinct)
+            known[known == len(self.keys)] = 0
+            new = self.keys[known] != distinct
+        if new.any():
+            self._add(distinct[new], buf, start[example[new]], end[example[new]])
+        found = np.empty(len(distinct), np.int64)
+        found[by_key] = np.searchsorted(self.keys, distinct)
+        entry = np.empty(len(keys), np.int64)
+        entry[order] = found[np.cumsum(first) - 1]
         size = self.size[entry].astype(np.int64)
-        first = np.cumsum(size) - size
-        take = np.arange(int(size.sum())) + np.repeat(self.at[entry] - first, size)
-        return self.ids[take], size
+        return gather(self.ids, self.at[entry], size), size
+
+
+def gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of ``buf`` one after the other."""
+    first = np.cumsum(size) - size
+    return buf[np.arange(int(size.sum())) + np.repeat(start - first, size)]
 
 
 def per_row_counts(rows: np.ndarray, size: np.ndarray, n_rows: int) -> np.ndarray:

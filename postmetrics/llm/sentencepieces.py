@@ -49,7 +49,9 @@ class Codec:
         self.mark = one[:2 * len(one) - len(two)]
         self.table = ChunkTable(self._encode_chunks)
 
-    def _encode_chunks(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_chunks(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = buf.tobytes()
+        chunks = [raw[s:e] for s, e in zip(start.tolist(), end.tolist())]
         # The library puts one marker before what it encodes.  It stands for the first space of a
         # chunk; before a chunk without a space a line break goes first and its ids go again.
         texts = [c[1:].decode() if c[0] == SPACE else "\n" + c.decode() for c in chunks]

@@ -115,3 +115,20 @@ def sorted_distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.sort(x)
     at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
     return x[at], np.diff(np.append(at, len(x)))
+
+
+def grouping_order(keys: np.ndarray) -> np.ndarray:
+    """An order that puts equal 64-bit keys side by side.
+
+    Position and the upper bits of the key are packed into one integer and sorted, which is several
+    times faster than an argsort; if two keys differ only in the lower bits, argsort decides.
+    """
+    bits = max(1, int(len(keys) - 1).bit_length())
+    low = U64((1 << bits) - 1)
+    packed = np.sort((keys & ~low) | np.arange(len(keys), dtype=U64))
+    order = (packed & low).astype(np.int64)
+    high = packed >> U64(bits)
+    near = keys[order]
+    if np.any((high[1:] == high[:-1]) & (near[1:] != near[:-1])):
+        return np.argsort(keys, kind="stable")
+    return order
