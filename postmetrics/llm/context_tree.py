@@ -1,7 +1,7 @@
 """Language-model scores by context-tree weighting over binary-decomposed bytes.
 
-A text is its lower-cased words joined by one space and closed by an end byte.  Every byte is eight
-binary decisions; for each decision a tree over the preceding bytes holds, at depths 0 to ``DEPTH``,
+A text is its lower-cased words joined by one space and closed by an end byte.  Every byte is a path
+of binary decisions, in the Huffman tree of the training bytes; for each decision a tree over the preceding bytes holds, at depths 0 to ``DEPTH``,
 the counts of zeros and ones and their Krichevsky-Trofimov estimate.  A node's weighted block
 probability is half its own estimate's and half the product of its children's; the share that falls
 to its own estimate is the weight with which that depth enters a prediction.  Contexts never met in
@@ -26,6 +26,7 @@ one half; an empty table gives no rows; columns not asked for are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -118,8 +119,47 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - math.log(math.pi)
 
 
+class Decomposition:
+    """A byte as binary decisions: its path in the Huffman tree of the training bytes.
+
+    Leaves are numbered from left to right, so the leaves below a node are adjacent; ``node`` and
+    ``bit`` give, for every leaf, the decision node (0 to 254) and its outcome at each step.
+    """
+
+    def __init__(self, frequency: np.ndarray):
+        heap = [(int(n) + 1, b, (b,)) for b, n in enumerate(frequency)]
+        heapq.heapify(heap)
+        serial = 256
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (a[0] + b[0], serial, (a[2], b[2])))
+            serial += 1
+        paths: dict[int, list] = {}
+        todo, number, order = [(heap[0][2], [])], 0, []
+        while todo:
+            tree, path = todo.pop()
+            if len(tree) == 1:
+                paths[tree[0]] = path
+                order.append(tree[0])
+                continue
+            todo += [(tree[1], [*path, (number, 1)]), (tree[0], [*path, (number, 0)])]
+            number += 1
+        self.leaf = np.zeros(256, U64)
+        self.leaf[order] = np.arange(256, dtype=U64)
+        self.steps = np.array([len(paths[b]) for b in order])
+        self.node = np.zeros((256, self.steps.max()), U64)
+        self.bit = np.zeros((256, self.steps.max()), bool)
+        for k, b in enumerate(order):
+            for j, (node, bit) in enumerate(paths[b]):
+                self.node[k, j], self.bit[k, j] = node, bool(bit)
+
+    def leaves(self, codes: np.ndarray) -> np.ndarray:
+        """Codes with the next byte replaced by its leaf."""
+        return (codes & ~U64(255)) | self.leaf[(codes & U64(255)).astype(np.int64)]
+
+
 class Level:
-    """Nodes of one depth: key (context << 8 | bits so far with a leading one), counts, weights."""
+    """Nodes of one depth: key (context << 8 | decision node), counts, weights."""
 
     def __init__(self, keys, zeros, ones):
         order = np.argsort(keys)
@@ -150,18 +190,21 @@ def _parent(keys: np.ndarray) -> np.ndarray:
     return ((keys >> U64(16)) << U64(8)) | (keys & U64(255))
 
 
-def _level(codes: np.ndarray, counts: np.ndarray) -> Level:
-    """Nodes of the distinct, sorted codes (context << 8 | next byte)."""
+def _level(codes: np.ndarray, counts: np.ndarray, way: Decomposition) -> Level:
+    """Nodes of the distinct, sorted codes (context << 8 | leaf)."""
     keys, zeros, ones = [], [], []
-    for j in range(8):
-        heap = U64(1 << j) | ((codes & U64(255)) >> U64(8 - j))
-        key = (codes & ~U64(255)) | heap
-        bit = ((codes >> U64(7 - j)) & U64(1)).astype(np.int64)
-        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        if len(at):
-            keys.append(key[at])
-            ones.append(np.add.reduceat(counts * bit, at))
-            zeros.append(np.add.reduceat(counts * (1 - bit), at))
+    leaf = (codes & U64(255)).astype(np.int64)
+    for j in range(way.node.shape[1]):
+        on = way.steps[leaf] > j
+        codes, counts, leaf = codes[on], counts[on], leaf[on]
+        if not len(codes):
+            break
+        key = (codes & ~U64(255)) | way.node[leaf, j]
+        bit = way.bit[leaf, j]
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        keys.append(key[at])
+        ones.append(np.add.reduceat(counts * bit, at))
+        zeros.append(np.add.reduceat(counts * ~bit, at))
     if not keys:
         none = np.zeros(0, np.int64)
         return Level(np.zeros(0, U64), none, none)
@@ -173,7 +216,7 @@ def _shorten(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return _merge([(((codes >> U64(16)) << U64(8)) | (codes & U64(255)), counts)]) if len(codes) else (codes, counts)
 
 
-def deep_levels(codes: np.ndarray, counts: np.ndarray, depth: int) -> dict[int, Level]:
+def deep_levels(codes: np.ndarray, counts: np.ndarray, depth: int, way: Decomposition) -> dict[int, Level]:
     """Levels SHARED..depth of the contexts of one bucket, weighted from the deepest up."""
     order = np.argsort(codes)
     codes, counts = codes[order], counts[order]
@@ -181,20 +224,23 @@ def deep_levels(codes: np.ndarray, counts: np.ndarray, depth: int) -> dict[int,
     codes, counts = codes[seen], counts[seen]
     levels = {}
     for d in range(depth, SHARED - 1, -1):
-        levels[d] = _level(codes, counts)
+        levels[d] = _level(codes, counts, way)
         levels[d].weigh(levels[d].sum_children(levels[d + 1]) if d < depth else None)
         codes, counts = _shorten(codes, counts)
     return levels
 
 
-def code_lengths(codes: np.ndarray, levels: dict[int, Level], depth: int) -> np.ndarray:
-    """log10 probability of the next byte of every code."""
+def code_lengths(codes: np.ndarray, levels: dict[int, Level], depth: int, way: Decomposition) -> np.ndarray:
+    """log10 probability of the next byte of every code (context << 8 | leaf)."""
     total = np.zeros(len(codes))
-    for j in range(8):
-        heap = U64(1 << j) | ((codes & U64(255)) >> U64(8 - j))
-        bit = ((codes >> U64(7 - j)) & U64(1)).astype(bool)
-        mixed, rest = np.zeros(len(codes)), np.ones(len(codes))
-        here, seen = levels[0].find(heap)
+    leaf = (codes & U64(255)).astype(np.int64)
+    for j in range(way.node.shape[1]):
+        on = np.flatnonzero(way.steps[leaf] > j)
+        if not len(on):
+            break
+        node, bit, context = way.node[leaf[on], j], way.bit[leaf[on], j], codes[on] >> U64(8)
+        mixed, rest = np.zeros(len(on)), np.ones(len(on))
+        here, seen = levels[0].find(node)
         mixed[~seen], rest[~seen] = 0.5, 0.0
         for d in range(depth + 1):
             level = levels[d]
@@ -203,15 +249,14 @@ def code_lengths(codes: np.ndarray, levels: dict[int, Level], depth: int) -> np.
             n = np.where(bit, level.ones[here], level.zeros[here])
             own = (n + 0.5) / (level.zeros[here] + level.ones[here] + 1)
             if d < depth:
-                context = codes >> U64(8 * (depth - d))  # d + 1 bytes of context
-                below, goes_on = levels[d + 1].find((context << U64(8)) | heap)
+                below, goes_on = levels[d + 1].find((context >> U64(8 * (depth - d - 1)) << U64(8)) | node)
             else:
-                below, goes_on = here, np.zeros(len(codes), bool)
+                below, goes_on = here, np.zeros(len(on), bool)
             share = np.where(goes_on, level.stop[here], 1.0)
             mixed = np.where(seen, mixed + rest * share * own, mixed)
             rest = np.where(seen, rest * (1 - share), rest)
             here, seen = below, seen & goes_on
-        total += np.log10(mixed)
+        total[on] += np.log10(mixed)
     return total
 
 
@@ -238,11 +283,11 @@ def _block_grams(depth: int):
     return run
 
 
-def _shallow_sums(depth: int):
+def _shallow_sums(depth: int, way: Decomposition):
     """Bucket to partial sums of its depth-2 nodes: counts, and log weights of their children."""
     def run(table: pa.Table) -> pa.Table:
-        codes = table.column("key").to_numpy().view(U64)
-        level = deep_levels(codes, table.column("n").to_numpy(), depth)[SHARED]
+        codes = way.leaves(table.column("key").to_numpy().view(U64))
+        level = deep_levels(codes, table.column("n").to_numpy(), depth, way)[SHARED]
         parents = _parent(level.keys)
         order = np.argsort(parents, kind="stable")
         parents = parents[order]
@@ -301,22 +346,26 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     n_train, n_kinds = int(known["tokens"]) + ends, int(known["kinds"]) + (ends > 0)
 
     contexts = counts.where("key >= 0")
+    of_byte = contexts.groupBy(F.col("key").bitwiseAND(255).alias("byte")).agg(F.sum("n").alias("n")).collect()  # 256 rows at most
+    frequency = np.zeros(256)
+    frequency[[r["byte"] for r in of_byte]] = [r["n"] for r in of_byte]
+    way = Decomposition(frequency)
     buckets = max(spark.sparkContext.defaultParallelism, -(-contexts.count() // BUCKET_GRAMS))
     shift = 8 * (depth + 1 - SHARED)
     contexts = contexts.withColumn("bucket", F.pmod(F.xxhash64(F.shiftrightunsigned("key", shift)), F.lit(buckets)).cast("int"))
-    sums = contexts.groupBy("bucket").applyInArrow(_shallow_sums(depth), "node long, zeros double, ones double, below double")
+    sums = contexts.groupBy("bucket").applyInArrow(_shallow_sums(depth, way), "node long, zeros double, ones double, below double")
     two = sums.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
     two = stage(two.mapInArrow(_weigh_nodes, "node long, zeros double, ones double, log_weighted double, stop double"), "depth_two")
     top = _top_levels(two)
 
     def predict(left: pa.Table, right: pa.Table) -> pa.Table:
-        codes = left.column("key").to_numpy().view(U64)
+        codes = way.leaves(left.column("key").to_numpy().view(U64))
         levels = dict(top)
         middle = Level(right.column("node").to_numpy().view(U64), right.column("zeros").to_numpy(), right.column("ones").to_numpy())
         middle.stop = right.column("stop").to_numpy()[np.argsort(right.column("node").to_numpy().view(U64))]
         levels[2] = middle
-        levels.update(deep_levels(codes, left.column("n").to_numpy(), depth))
-        return pa.table({"key": left.column("key"), "value": pa.array(code_lengths(codes, levels, depth))})
+        levels.update(deep_levels(codes, left.column("n").to_numpy(), depth, way))
+        return pa.table({"key": left.column("key"), "value": pa.array(code_lengths(codes, levels, depth, way))})
 
     wanted = contexts.select("bucket", F.shiftrightunsigned("key", shift + 8).alias("context")).distinct()
     spread = two.withColumn("context", F.shiftrightunsigned("node", 8)).join(wanted, "context").select(
