@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmetrics.functions.numeric import round_half_even
-from postmetrics.session import ensure_checkpoint_dir
+from postmetrics.session import ensure_checkpoint_dir, make_importable
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,7 @@ def prepare(spark: SparkSession) -> None:
     """Semantics the operators rely on: UTC wall clock, a checkpoint location."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    make_importable(spark)
 
 
 def r6(c) -> Column:
