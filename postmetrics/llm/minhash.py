@@ -2,11 +2,11 @@
 
 A document is the set of its word shingles.  Each of ``COORDINATES`` min-hash values matches between
 two documents with a chance equal to their Jaccard similarity, so a linked pair (similarity at least
-``percent`` in 100) has at least ``MATCHES`` equal values but for a chance of a few in a million.
+``percent`` in 100) has at least ``matches`` equal values but for a chance of ``MISS``.
 
 The first ``POSTED`` coordinates are posted as (coordinate, value) keys.  A linked pair shares at
-least ``POSTED_MATCHES`` of them, hence at least one of its ``POSTED - POSTED_MATCHES + 1`` rarest
-keys (prefix); frequent keys, long posting lists, are passed over unless a document has little else.
+least ``posted_matches`` of them (same chance), hence at least one of its ``POSTED - posted_matches
++ 1`` rarest keys (prefix); frequent keys, long posting lists, are passed over unless a document has little else.
 Inside a list the collisions of a pair are counted over all coordinates, and only at the first key
 its two prefixes share; later lists skip it.  Pairs above the match threshold are confirmed on their
 full shingle sets.
@@ -23,6 +23,8 @@ rows are copies; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,9 +34,8 @@ from postmetrics.llm.components import connected_components
 from postmetrics.llm.staging import drop, release_shuffles, stage
 from postmetrics.llm.textops import LOWER, U64, mix, prefix_sums, row_slices, sorted_distinct, span_hash, text_buffer, word_spans
 
-COORDINATES, MATCHES = 128, 90
-POSTED, POSTED_MATCHES = 48, 29
-PREFIX = POSTED - POSTED_MATCHES + 1
+COORDINATES, POSTED = 128, 48
+MISS = 4e-6
 BLOCK = 512
 STEP_BYTES = 2 << 20
 
@@ -43,6 +44,16 @@ _XOR = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(U64)
 _FACTOR = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 
+def match_threshold(coordinates: int, percent: int, miss: float = MISS) -> int:
+    """Largest number of matches that a pair at the similarity threshold falls below with chance <= miss."""
+    p, tail = percent / 100, 0.0
+    for k in range(coordinates + 1):
+        tail += math.comb(coordinates, k) * p ** k * (1 - p) ** (coordinates - k)
+        if tail > miss:
+            return k
+    return coordinates
+
+
 def shingle_sets(texts: pa.Array, words: int):
     """Yield (row, sorted distinct 64-bit shingle hashes) for every row of a string column."""
     buf, starts, ends = text_buffer(texts)
@@ -109,11 +120,11 @@ def _matching(sig_x: pa.Array, sig_y: pa.Array) -> np.ndarray:
     return (x == y).sum(1)
 
 
-def _above_threshold(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (x, y) whose signatures match on at least MATCHES coordinates."""
+def _above_threshold(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
+    """Pairs (x, y) whose signatures match on at least ``matches`` coordinates."""
     def run(batches):
         for b in batches:
-            keep = pa.array(_matching(b.column(2), b.column(3)) >= MATCHES) if b.num_rows else pa.array([], pa.bool_())
+            keep = pa.array(_matching(b.column(2), b.column(3)) >= matches) if b.num_rows else pa.array([], pa.bool_())
             yield b.select([0, 1]).filter(keep)
     wide = (pairs.join(sigs.select(F.col("node").alias("x"), F.col("sig").alias("sx")), "x")
             .join(sigs.select(F.col("node").alias("y"), F.col("sig").alias("sy")), "y").select("x", "y", "sx", "sy"))
@@ -139,7 +150,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return wide.mapInArrow(run, "x long, y long")
 
 
-def _pairs_of_block(rows: pa.Table) -> pa.RecordBatch:
+def _pairs_of_block(rows: pa.Table, matches: int) -> pa.RecordBatch:
     """Pairs of one list (or of two blocks of it) above the threshold whose first shared key this is."""
     key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
     node = rows.column("node").to_numpy()
@@ -153,7 +164,7 @@ def _pairs_of_block(rows: pa.Table) -> pa.RecordBatch:
             other &= block[r + 1:] != block[r]
         at = np.flatnonzero(other) + r + 1
         if len(at):
-            at = at[(sig[at] == sig[r]).sum(1) >= MATCHES]
+            at = at[(sig[at] == sig[r]).sum(1) >= matches]
             found_a.append(np.full(len(at), r))
             found_b.append(at)
     a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
@@ -166,7 +177,7 @@ def _pairs_of_block(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
 
 
-def _count_in_lists(members: DataFrame) -> DataFrame:
+def _count_in_lists(members: DataFrame, matches: int) -> DataFrame:
     """Candidate pairs from list members sorted by list and block."""
     def run(batches):
         open_rows, open_key = [], None
@@ -179,11 +190,11 @@ def _count_in_lists(members: DataFrame) -> DataFrame:
                 own = tuple(int(c[lo]) for c in at)
                 if own != open_key:
                     if open_rows:
-                        yield _pairs_of_block(pa.Table.from_batches(open_rows).combine_chunks())
+                        yield _pairs_of_block(pa.Table.from_batches(open_rows).combine_chunks(), matches)
                     open_rows, open_key = [], own
                 open_rows.append(b.slice(lo, hi - lo))
         if open_rows:
-            yield _pairs_of_block(pa.Table.from_batches(open_rows).combine_chunks())
+            yield _pairs_of_block(pa.Table.from_batches(open_rows).combine_chunks(), matches)
 
     dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "x long, y long")
@@ -192,6 +203,8 @@ def _count_in_lists(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable), kept: one row for every document."""
     spark = docs.sparkSession
+    matches = match_threshold(COORDINATES, percent)
+    prefix_keys = POSTED - match_threshold(POSTED, percent) + 1
     rows = stage(signatures(docs, words, id_col, text_col), "signatures")
     usable = rows.where("n_shingles > 0 AND id IS NOT NULL")
     classes = stage(usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id", "text_hash")).alias("first")), "set_classes")
@@ -206,7 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     own = Window.partitionBy("node")
     ranked = posts.join(shared, "key").withColumn("n", F.count("*").over(own)).withColumn(
         "rank", F.row_number().over(own.orderBy("count", "key")))
-    prefix = stage(ranked.where(F.col("rank") + POSTED - F.col("n") <= PREFIX).select("node", "key"), "prefixes")
+    prefix = stage(ranked.where(F.col("rank") + POSTED - F.col("n") <= prefix_keys).select("node", "key"), "prefixes")
     lists = stage(prefix.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1"), "lists")
     posted = stage(prefix.join(lists, "key"), "posted")
     drop(shared)
@@ -220,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
 
     sigs = nodes.select("node", "sig")
     stars = stage(posted.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), "star_pairs")
-    likely = stage(_above_threshold(stars, sigs), "likely_star_pairs")
+    likely = stage(_above_threshold(stars, sigs, matches), "likely_star_pairs")
     star_links = stage(confirm(likely, texts, words, percent).distinct(), "star_links")
     star_components = stage(connected_components(star_links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "star_components")
     release_shuffles(spark)
@@ -237,7 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     described = open_lists.join(sigs, "node").join(prefixes, "node")
     described = described.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "node", "component", "blk", "sig", "prefix")
-    across = stage(_count_in_lists(described).distinct(), "likely_pairs")
+    across = stage(_count_in_lists(described, matches).distinct(), "likely_pairs")
     links = stage(confirm(across, texts, words, percent).distinct(), "further_links")
     every = star_links.unionByName(links).select(F.col("x").alias("a"), F.col("y").alias("b"))
     component = connected_components(every)
