@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmetrics.llm import line_dedup, minhash, packing, pu_quality, suffix_dedup
@@ -29,37 +29,36 @@ SIMILARITY_PERCENT = 80
 REPEAT_BYTES = 250
 
 
-def _with_text(docs: DataFrame, columns: list, text: str) -> DataFrame:
-    """``columns`` of ``docs`` with another column as text and its length as n_chars."""
-    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
-    return docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+def _with_text(columns: list, text: Column, of) -> list:
+    """``columns`` with ``text`` as the text and its length as n_chars; ``of`` gives any other column."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return [new[c].alias(c) if c in new else of(c).alias(c) for c in columns]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     labels = spark.read.parquet(os.path.join(sf_dir, "labels.parquet"))
     scored = pu_quality.score(docs, pu_quality.train(docs, labels), keep=docs.columns)
-    return scored.where(F.col("score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    return scored.where(F.col("score") >= QUALITY_THRESHOLD).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     cleaned = line_dedup.remove_boilerplate(docs, MIN_SITES)
-    return _with_text(cleaned, docs.columns, "text")
+    return cleaned.select(*_with_text(docs.columns, F.col("text"), F.col))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    judged = minhash.near_duplicates(docs, 5, SIMILARITY_PERCENT)
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    gone = minhash.near_duplicates(docs, 5, SIMILARITY_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("own_id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_text"))
+    return rows.join(gone, "own_id", "left_anti").dropDuplicates(["own_id", "own_text"]).select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     cut = suffix_dedup.remove_repeats(docs, REPEAT_BYTES, keep=docs.columns)
-    return _with_text(cut, docs.columns, "kept_text")
+    return cut.select(*_with_text(docs.columns, F.col("kept_text"), lambda c: F.col("row")[c]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ the threshold cannot pass, so only the others are sketched.
 
 Defined results: every occurrence of a boilerplate line goes; a document keeps its other lines in
 order, and stays even if none is left; a null text counts as empty, a null site as no site; rows
-with equal id and text share one result, whatever the id (null included); other columns pass through.
+with equal id and text share one result, whatever the id (null included); other columns pass through,
+but for any already named like the two counts.
 """
 
 from __future__ import annotations
@@ -61,15 +62,16 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     """``docs`` with the boilerplate lines gone from its text, plus n_lines and n_lines_removed."""
     gone = boilerplate_lines(docs, min_sites, site_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hits = (docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), F.explode(F.split(text, "\n")).alias("_line"))
-            .select("_id", "_text", line_key(F.col("_line")).alias("line_key"))
+    hits = (docs.select(F.col(id_col).alias("hit_id"), F.xxhash64(text).alias("hit_text"), F.explode(F.split(text, "\n")).alias("line"))
+            .select("hit_id", "hit_text", line_key(F.col("line")).alias("line_key"))
             .join(gone, "line_key", "left_semi")
-            .groupBy("_id", "_text").agg(F.collect_set("line_key").alias("_gone")))
-    joined = docs.withColumn("_own", F.xxhash64(text)).join(
-        hits, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text")), "left")
-    lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_gone", line_key(x)))
-    columns = [F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c)
-               for c in docs.columns]
-    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size(lines) - F.size(kept))
-    return joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), removed.cast("long").alias("n_lines_removed"))
+            .groupBy("hit_id", "hit_text").agg(F.collect_set("line_key").alias("gone")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own_id"), text.alias("whole"), F.xxhash64(text).alias("own_text"))
+    joined = rows.join(hits, F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_text") == F.col("hit_text")), "left")
+    lines = F.split("whole", "\n")
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("gone", line_key(x)))
+    cleaned = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size(lines) - F.size(kept))
+    counts = {"n_lines": F.size(lines).cast("long"), "n_lines_removed": removed.cast("long")}
+    columns = [cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in counts]
+    return joined.select(*columns, *[v.alias(k) for k, v in counts.items()])

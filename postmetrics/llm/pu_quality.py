@@ -188,14 +188,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list | None = None) -> DataFrame:
-    """The id column (or the columns of ``keep``) and ``score`` of every row."""
-    columns = keep or [id_col]
-
+    """The id column, or a struct ``row`` of the columns ``keep``, and ``score`` of every row."""
     def run(batches):
         for b in batches:
             x = features(b.column(0))
             s = np.full(len(x), 0.5) if model is None else model.score(x)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], names=[*b.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(s, pa.float64())], names=["row", "score"])
 
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", score double"
-    return docs.select(F.col(text_col).alias("_text"), *columns).mapInArrow(run, ddl)
+    rows = docs.select(F.col(text_col).alias("text"), (F.struct(*keep) if keep else F.col(id_col)).alias("row"))
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return out if keep else out.withColumnRenamed("row", id_col)

@@ -39,6 +39,8 @@ LENGTH = 400
 TUPLE = 100
 BLOCK = 64
 STEP_BYTES = 1 << 20
+#: Windows of one text ranked at a time.
+PART = 1 << 20
 _PLACE_BITS = U64(28)
 _PLACES = U64((1 << 28) - 1)
 
@@ -58,10 +60,16 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def sample_positions(sums: np.ndarray, start: int, end: int, length: int) -> np.ndarray:
     """Offset (from ``start``) of the sample position of every window of the row [start, end)."""
     tuple_bytes = min(TUPLE, length)
-    at = np.arange(start, end - tuple_bytes + 1)
-    # the hash's upper bits, then the position counted backwards: a smaller value is later on ties
-    ranked = (span_hash(sums, at, at + tuple_bytes) >> _PLACE_BITS << _PLACE_BITS) | (_PLACES - (at - start).astype(U64))
-    return (_PLACES - (_sliding_min(ranked, length - tuple_bytes + 1) & _PLACES)).astype(np.int64)
+    width = length - tuple_bytes + 1
+    windows = end - start - length + 1
+    out = np.empty(windows, np.int64)
+    for lo in range(0, windows, PART):
+        n = min(PART, windows - lo)
+        at = np.arange(lo, lo + n + width - 1)
+        # the hash's upper bits, then the position counted backwards: a smaller value is later on ties
+        ranked = (span_hash(sums, start + at, start + at + tuple_bytes) >> _PLACE_BITS << _PLACE_BITS) | (_PLACES - at.astype(U64))
+        out[lo:lo + n] = _PLACES - (_sliding_min(ranked, width) & _PLACES)
+    return out
 
 
 def _blocks_of(sums: np.ndarray, start: int, end: int, length: int):
@@ -172,9 +180,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
                    keep: list | None = None) -> DataFrame:
-    """Columns ``keep`` (the id alone if None), kept text, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    """The id, or a struct ``row`` of the columns ``keep``; kept_text, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spans = repeated_windows(docs, length, id_col, text_col)
-    columns = keep or [id_col]
 
     def run(batches):
         for b in batches:
@@ -205,8 +212,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                  pa.array(runs, pa.int64()), pa.array(digests, pa.string())],
                 names=[*b.schema.names[2:], "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    texts = docs.withColumn("_own", F.xxhash64(text_col))
-    joined = texts.join(spans, texts[id_col].eqNullSafe(spans["id"]) & (texts["_own"] == spans["own"]), "left").select(
-        texts[text_col].alias("_text"), "spans", *[texts[c] for c in columns])
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return joined.mapInArrow(run, ddl + ", kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    first = F.struct(*keep).alias("row") if keep else F.col(id_col).alias("row")
+    texts = docs.select(first, F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_text"), F.col(text_col).alias("text"))
+    joined = texts.join(spans, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_text") == F.col("own")), "left").select("text", "spans", "row")
+    out = joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, kept_text string, n_bytes long, n_removed long, "
+                                 "n_spans long, kept_sha256 string")
+    return out if keep else out.withColumnRenamed("row", id_col)
