@@ -42,7 +42,7 @@ def parse_post_time(x) -> Column:
     dropped before parsing; unparseable text becomes NULL (pandas ``errors='coerce'``).
     """
     s = F.trim(_c(x).cast("string"))
-    archive = F.try_to_timestamp(F.substring(s, 5, 64), F.lit(ARCHIVE_TIME_FORMAT))
+    archive = F.try_to_timestamp(s.substr(F.lit(5), F.length(s)), F.lit(ARCHIVE_TIME_FORMAT))
     iso = F.try_to_timestamp(s)
     return F.coalesce(archive, iso)
 
@@ -69,7 +69,7 @@ def month_label(ts) -> Column:
 def week_period(ts) -> Column:
     """Monday/Sunday label of the calendar week, e.g. '2024-01-01/2024-01-07'."""
     start = F.to_date(F.date_trunc("week", _c(ts)))
-    return F.concat_ws("/", start.cast("string"), F.date_add(start, 6).cast("string"))
+    return F.concat(start.cast("string"), F.lit("/"), F.date_add(start, 6).cast("string"))
 
 
 def relative_week(ts, event_ts) -> Column:
@@ -101,7 +101,8 @@ def account_tier(ts, upgraded_start, post_start) -> Column:
 
 def coerce_count(x) -> Column:
     """Numeric-coerce a count delivered as text: bad or missing -> 0, truncated to bigint."""
-    return F.coalesce(_c(x).cast("string").try_cast("double"), F.lit(0.0)).cast("bigint")
+    number = _c(x).cast("string").try_cast("double")
+    return F.coalesce(F.when(~F.isnan(number), number).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def total_engagement(likes, retweets, replies, bookmarks) -> Column:
@@ -196,9 +197,9 @@ def min_length(text, k: int) -> Column:
 
 
 def winsorize(x, cap) -> Column:
-    """Upper clip at ``cap``; a NULL cap (empty frame) leaves values unchanged
-    (``least`` skips NULLs, so the cap expression is referenced once)."""
-    return F.least(_c(x), _c(cap))
+    """Upper clip at ``cap``; a NULL value stays NULL, a NULL cap (empty frame) changes nothing."""
+    value = _c(x)
+    return F.when(value.isNotNull(), F.least(value, _c(cap)))
 
 
 def ci_equal(a, b) -> Column:

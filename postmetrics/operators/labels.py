@@ -43,7 +43,7 @@ HUMOR_TYPES = ["absurdist", "self_deprecating", "observational", "none"]
 TOPICS = ["tech", "housing", "religion", "politics", "social_commentary", "personal", "general"]
 CRITIQUES = ["systemic", "institutional", "personal", "none"]
 
-PROMPT_TEMPLATE = "{instructions}\n\nTweet to classify: \"{text}\""
+PROMPT_TEMPLATE = "{instructions}\n\nText:\n{text}"
 
 
 @dataclass(frozen=True)
@@ -138,11 +138,15 @@ class PromptLabeler:
 
 
 def _safe_call(labeler: Labeler, texts: pd.Series) -> pd.Series:
+    """Replies of a batch; a failing batch is halved until only the failing texts are without one."""
     try:
         out = labeler(texts)
         return pd.Series(out, index=texts.index, dtype="object")
-    except Exception:  # a failed call behaves like an unusable reply -> neutral
-        return pd.Series([None] * len(texts), index=texts.index, dtype="object")
+    except Exception:
+        if len(texts) <= 1:  # behaves like an unusable reply -> neutral
+            return pd.Series([None] * len(texts), index=texts.index, dtype="object")
+        half = len(texts) // 2
+        return pd.concat([_safe_call(labeler, texts.iloc[:half]), _safe_call(labeler, texts.iloc[half:])])
 
 
 def label_replies(df: DataFrame, id_col: str, text_col: str, labelers: Mapping[str, Labeler],
@@ -153,7 +157,7 @@ def label_replies(df: DataFrame, id_col: str, text_col: str, labelers: Mapping[s
     Arrow batch and the batch fans out to one reply row per labeler.
     """
     names = list(labelers)
-    src = _ensure_parallel(df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")))
+    src = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     id_type = df.schema[id_col].dataType.simpleString()
     lab = dict(labelers)
     shared = all(isinstance(x, KeywordLabeler) for x in lab.values())
@@ -177,16 +181,6 @@ def label_replies(df: DataFrame, id_col: str, text_col: str, labelers: Mapping[s
     return out.withColumnRenamed("_id", id_col)
 
 
-def _ensure_parallel(df: DataFrame) -> DataFrame:
-    """Spread the Python work over all cores when the input has fewer partitions
-    than the cluster's default parallelism (e.g. one large row group); inputs that
-    are already split are left alone, so no extra shuffle at scale."""
-    if df.isStreaming:
-        return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def validate(reply: Column) -> list[Column]:
     """Parse a reply into the five fields; invalid JSON or any missing field -> neutral record."""
     parsed = F.from_json(reply, LABEL_SCHEMA, {"mode": "PERMISSIVE"})

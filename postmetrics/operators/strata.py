@@ -50,15 +50,18 @@ def _strata(df, value, tiebreak, fractions, name):
     return keyed.withColumn(name, s.cast("int")).drop("_sk")
 
 
-# Fixed multiplicative-hash parameters (shared with the SQL oracle).
-HASH_PRIME = 1000003
-HASH_MULT = 2654435761 % HASH_PRIME
+#: Hex digits of the md5 order key that the candidate threshold looks at.
+KEY_DIGITS = 13
 
 
 def seeded_key(id_col: str, seed: int = 42) -> Column:
-    """Deterministic pseudo-random order key; operands stay below 2^40 (no overflow)."""
-    x = F.pmod(F.col(id_col).cast("long"), F.lit(HASH_PRIME))
-    return F.pmod(x * F.lit(HASH_MULT) + F.lit(seed), F.lit(HASH_PRIME))
+    """Deterministic pseudo-random order key: md5 of ``id:seed``, for ids of any type."""
+    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
+
+
+def _share(key: Column) -> Column:
+    """The key's place in [0, 1): its leading digits as a fraction."""
+    return F.conv(F.substring(key, 1, KEY_DIGITS), 16, 10).cast("double") / F.lit(float(16 ** KEY_DIGITS))
 
 
 def _quota(per_stratum, stratum: str) -> Column:
@@ -72,25 +75,22 @@ def stratified_sample(df: DataFrame, stratum: str, id_col: str, per_stratum: int
                       seed: int = 42, name: str = "_pos", oversample: float = 4.0) -> DataFrame:
     """At most k rows per stratum, without replacement: the k smallest (seeded key, id).
 
-    Exact, without sorting the table: hash keys are uniform on [0, HASH_PRIME), so a
-    per-stratum key threshold sized for ~``oversample`` x k rows keeps a small candidate
-    set; a partial-aggregate check proves each stratum kept at least min(k, n) rows
-    (otherwise the threshold widens and the check repeats), and only the candidates
-    are ranked.
+    Exact, without sorting the table: hash keys are uniform, so a per-stratum share sized for
+    ~``oversample`` x k rows keeps a small candidate set; a partial-aggregate check proves each
+    stratum kept at least min(k, n) rows (otherwise the share widens and the check repeats), and
+    only the candidates are ranked.
     """
     keyed = df.withColumn("_key", seeded_key(id_col, seed))
     sizes = keyed.groupBy(stratum).agg(F.count(F.lit(1)).alias("_ns")).withColumn("_q", _quota(per_stratum, stratum))
     factor = oversample
     while True:
         want = F.lit(factor) * F.col("_q") + F.lit(32)
-        th = sizes.select(stratum, "_ns", "_q", F.least(F.lit(HASH_PRIME).cast("double"),
-                                                       F.ceil(F.lit(float(HASH_PRIME)) * want / F.col("_ns")))
-                          .cast("long").alias("_t"))
-        cand = keyed.join(th.select(stratum, "_t"), stratum).where(F.col("_key") < F.col("_t")).drop("_t")
+        th = sizes.select(stratum, "_ns", "_q", F.least(F.lit(1.0), want / F.col("_ns")).alias("_t"))
+        cand = keyed.join(th.select(stratum, "_t"), stratum).where(_share(F.col("_key")) <= F.col("_t")).drop("_t")
         got = cand.groupBy(stratum).agg(F.count(F.lit(1)).alias("_nc"))
         short = (th.join(got, stratum, "left")
                  .where((F.coalesce(F.col("_nc"), F.lit(0)) < F.least(F.col("_q"), F.col("_ns")))
-                        & (F.col("_t") < F.lit(HASH_PRIME))))
+                        & (F.col("_t") < F.lit(1.0))))
         if short.limit(1).count() == 0:
             break
         factor *= 8

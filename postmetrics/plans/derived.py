@@ -3,8 +3,9 @@
 ``events`` carries no archive flags, so archive-shaped inputs are derived from
 its columns deterministically (and identically in the SQL oracle):
 
-* reply target   = author of the previous event in global time order, for
-                   'view' and 'click' events (NULL otherwise);
+* reply target   = for 'view' and 'click' events (NULL otherwise) the user numbered
+                   k % 5 before the author, and the event 1 + k % 3 before this one
+                   (no event for k in 60..64);
 * retweet inputs = flag TRUE for k < 5, FALSE for k > 90, a retweeted-status
                    struct for k in 5..9, 'RT @' text for k in 10..14;
 * quote inputs   = flag TRUE for k in 15..19, FALSE for k in 85..89, a quoted
@@ -24,7 +25,6 @@ from postmetrics.operators.aggregates import mode_value
 from postmetrics.operators.engineer import core_sample as _core_sample
 from postmetrics.operators.engineer import engineer_posts
 from postmetrics.operators.ordinal import with_previous
-from postmetrics.session import materialize
 from postmetrics.sources.tables import posts
 
 EVENT_TIER_A = "2024-01-11"
@@ -42,16 +42,15 @@ def previous_in_time(df: DataFrame, ts: str, key: str, cols: list[str], prefix:
 
 def archive_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posts(spark, sf_dir)
-    p = previous_in_time(p, "post_datetime", "post_id", ["author_id", "post_id"])
     k = F.col("k")
+    replying = F.col("category").isin("view", "click")
     url = (F.when(k.between(25, 29), F.concat(F.lit("https://twitter.com/u/status/"), F.col("post_id").cast("string")))
            .when(k.between(30, 34), F.concat(F.lit("https://example.com/p/"), F.col("post_id").cast("string"))))
     return p.select(
         "post_id", "author_id", "post_datetime", "category", "engagement", "k",
         F.col("post_id").cast("string").alias("id_str"),
-        F.when(F.col("category").isin("view", "click"), F.col("prev_author_id").cast("string"))
-         .alias("in_reply_to_user_id_str"),
-        F.when(F.col("category").isin("view", "click"), F.col("prev_post_id").cast("string"))
+        F.when(replying, (F.col("author_id") - k % 5).cast("string")).alias("in_reply_to_user_id_str"),
+        F.when(replying & ~k.between(60, 64), (F.col("post_id") - 1 - k % 3).cast("string"))
          .alias("in_reply_to_status_id_str"),
         F.when(k < 5, F.lit(True)).when(k > 90, F.lit(False)).alias("retweeted"),
         F.when(k.between(5, 9), F.struct(F.col("post_id").cast("string").alias("id_str")))
@@ -78,9 +77,7 @@ def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
         "in_reply_to_user_id_str", "in_reply_to_status_id_str", "favorite_count", "retweet_count")
     e = engineer_posts(posts_like, owner_id=owner, tier_start=EVENT_TIER_A, tier_end=EVENT_TIER_B,
                        threads=False, keep=("post_id", "author_id", "category", "engagement", "k"))
-    # persisted once (as the engineered table is in the reference): later size checks,
-    # aggregates and model passes read pruned parquet instead of re-running the lineage
-    return materialize(e, "engineered")
+    return e
 
 
 def core_sample(eng: DataFrame) -> DataFrame:
@@ -91,9 +88,7 @@ def core_sample(eng: DataFrame) -> DataFrame:
 SQL_ENGINEERED = """
 p0 AS (
   SELECT event_id AS post_id, user_id AS author_id, ts AS post_datetime, event_type AS category,
-         value AS engagement, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-         LAG(user_id) OVER (ORDER BY ts, event_id) AS prev_author_id,
-         LAG(event_id) OVER (ORDER BY ts, event_id) AS prev_post_id
+         value AS engagement, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
   FROM events),
 owner AS (
   SELECT CAST(author_id AS VARCHAR) AS owner_id FROM (
@@ -101,7 +96,8 @@ owner AS (
     ORDER BY n DESC, author_id LIMIT 1)),
 a AS (
   SELECT *,
-    CASE WHEN category IN ('view', 'click') THEN CAST(prev_author_id AS VARCHAR) END AS reply_to,
+    CASE WHEN category IN ('view', 'click') THEN CAST(author_id - k % 5 AS VARCHAR) END AS reply_to,
+    CASE WHEN category IN ('view', 'click') AND NOT k BETWEEN 60 AND 64 THEN CAST(post_id - 1 - k % 3 AS VARCHAR) END AS reply_status,
     CASE WHEN k < 5 THEN TRUE WHEN k > 90 THEN FALSE END AS rt_flag,
     (k BETWEEN 5 AND 9) AS rt_struct,
     CASE WHEN k BETWEEN 10 AND 14 THEN 'RT @user' || CAST(author_id AS VARCHAR) ELSE category END AS full_text,
@@ -111,7 +107,7 @@ a AS (
   FROM p0),
 e0 AS (
   SELECT post_id, CAST(post_id AS VARCHAR) AS id_str, author_id, post_datetime, category, engagement, k,
-    reply_to AS in_reply_to_user_id_str,
+    reply_to AS in_reply_to_user_id_str, reply_status AS in_reply_to_status_id_str,
     COALESCE(rt_flag, CASE WHEN rt_struct THEN TRUE END, starts_with(COALESCE(full_text, ''), 'RT @')) AS is_retweet,
     COALESCE(q_flag, CASE WHEN q_id THEN TRUE END, CASE WHEN q_url THEN TRUE END, FALSE) AS is_quote_tweet,
     CASE WHEN reply_to IS NULL THEN 'none'
@@ -130,7 +126,7 @@ e0 AS (
   FROM a),
 e1 AS (SELECT *, likes + retweets + replies + bookmarks AS total_engagement FROM e0),
 eng AS (
-  SELECT *, least(total_engagement, (SELECT quantile_cont(total_engagement, 0.95) FROM e1)) AS winsorized_engagement
+  SELECT *, CASE WHEN total_engagement > (SELECT quantile_cont(total_engagement, 0.95) FROM e1) THEN (SELECT quantile_cont(total_engagement, 0.95) FROM e1) ELSE total_engagement END AS winsorized_engagement
   FROM e1)"""
 
 SQL_CORE = "core AS (SELECT * FROM eng WHERE NOT is_retweet AND NOT is_quote_tweet AND reply_type IN ('none', 'reply_other'))"

@@ -33,7 +33,7 @@ def category_stats(spark, d):
 
 
 SQL_CAPPED = SQL_POSTS + """,
-capped AS (SELECT *, least(engagement, (SELECT quantile_cont(engagement, 0.95) FROM posts)) AS winsorized FROM posts)"""
+capped AS (SELECT *, CASE WHEN engagement > (SELECT quantile_cont(engagement, 0.95) FROM posts) THEN (SELECT quantile_cont(engagement, 0.95) FROM posts) ELSE engagement END AS winsorized FROM posts)"""
 
 SQL_CATEGORY_STATS = "WITH " + SQL_CAPPED + """,
 stats AS (
@@ -58,7 +58,7 @@ def agg_mean_median(spark, d):
 
 
 @register("agg_topic_having", """
-WITH c AS (SELECT o_custkey, least(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.95) FROM orders)) AS w FROM orders)
+WITH c AS (SELECT o_custkey, CASE WHEN o_totalprice > (SELECT quantile_cont(o_totalprice, 0.95) FROM orders) THEN (SELECT quantile_cont(o_totalprice, 0.95) FROM orders) ELSE o_totalprice END AS w FROM orders)
 SELECT o_custkey, count(w) AS count, round_even(avg(w), 6) AS mean, round_even(median(w), 6) AS median
 FROM c WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING count(w) >= 3""")
 def agg_topic_having(spark, d):
@@ -252,7 +252,7 @@ def orders_relative(spark, d, event="1998-01-01"):
 SQL_ORDERS_REL = """
 WITH c AS (
   SELECT o_orderkey, o_orderdate AS ts, o_totalprice,
-    least(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.95) FROM orders)) AS w,
+    CASE WHEN o_totalprice > (SELECT quantile_cont(o_totalprice, 0.95) FROM orders) THEN (SELECT quantile_cont(o_totalprice, 0.95) FROM orders) ELSE o_totalprice END AS w,
     CAST(floor((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1998-01-01')) / 604800000000.0) AS INTEGER) AS rel_week
   FROM orders),
 es AS (
@@ -278,7 +278,7 @@ def agg_event_study(spark, d):
 
 @register("agg_monthly", """
 WITH c AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus,
-  least(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.95) FROM orders)) AS w, o_totalprice FROM orders)
+  CASE WHEN o_totalprice > (SELECT quantile_cont(o_totalprice, 0.95) FROM orders) THEN (SELECT quantile_cont(o_totalprice, 0.95) FROM orders) ELSE o_totalprice END AS w, o_totalprice FROM orders)
 SELECT month, o_orderstatus, round_even(avg(w), 6) AS mean_capped, count(o_totalprice) AS count
 FROM c WHERE month IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY month, o_orderstatus""")
 def agg_monthly(spark, d):

@@ -53,8 +53,7 @@ def export_events_archive(spark, d, wrapped: bool = True) -> str:
 SQL_ARCHIVE = "WITH " + SQL_ENGINEERED + """,
 x AS (
   SELECT a.*, CAST(post_id AS VARCHAR) AS id_str2,
-    full_text || ' from @user' || CAST(author_id AS VARCHAR) || ' at ' || strftime(post_datetime, '%H:%M') AS text2,
-    CASE WHEN category IN ('view', 'click') THEN CAST(prev_post_id AS VARCHAR) END AS reply_status
+    full_text || ' from @user' || CAST(author_id AS VARCHAR) || ' at ' || strftime(post_datetime, '%H:%M') AS text2
   FROM a)"""
 
 
@@ -81,7 +80,7 @@ SELECT id_str2 AS id, text2 AS text, strftime(post_datetime, '%a %b %d %H:%M:%S
   k AS retweet_count, CAST(trunc(engagement) AS BIGINT) AS favorite_count,
   CAST(trunc(engagement) AS BIGINT) + 10 * k AS weighted_engagement,
   reply_status IS NOT NULL AS is_reply,
-  CASE WHEN reply_status IS NOT NULL THEN 'user' || CAST(prev_author_id AS VARCHAR) END AS reply_to_screen_name,
+  'user' || reply_to AS reply_to_screen_name,
   CAST(length(text2) AS INTEGER) AS char_count
 FROM x WHERE length(regexp_replace(text2, '^{fx.WHITESPACE_CLASS}+|{fx.WHITESPACE_CLASS}+$', '', 'g')) > 15""")
 def scan_posts_projection(spark, d):

@@ -25,9 +25,11 @@ WS_SQL = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028
 
 @register("proj_alias_resolve", """
 SELECT CAST(event_id AS VARCHAR) AS id_str, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS post_datetime,
-       CAST(NULL AS VARCHAR) AS text FROM events""")
+       event_type || ' by ' || CAST(user_id AS VARCHAR) AS text FROM events""")
 def proj_alias_resolve(spark, d):
-    ev = table(spark, d, "events")
+    """Aliases of every kind: plain, dotted inside a struct, and a name that holds a dot."""
+    ev = table(spark, d, "events").withColumn("tweet.full_text", F.concat(
+        F.col("event_type"), F.lit(" by "), F.col("user_id").cast("string")))
     pid = resolve(ev, ["id_str", "tweet.id_str", "id", "tweet.id", "event_id"], required=True, what="id")
     t = resolve(ev, ["created_at", "tweet.created_at", "time", "date", "ts"], endswith="created_at", required=True)
     text = resolve(ev, ["full_text", "text", "tweet.full_text", "tweet.text"], contains="full_text")
@@ -60,17 +62,21 @@ WITH c AS (
   SELECT event_id AS post_id,
     COALESCE(CAST(trunc(TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE)) AS BIGINT), 0) AS likes,
     COALESCE(CAST(trunc(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS BIGINT), 0) AS retweets,
-    COALESCE(CAST(trunc(TRY_CAST(event_type AS DOUBLE)) AS BIGINT), 0) AS replies,
+    COALESCE(TRY_CAST(trunc(TRY_CAST(CASE WHEN k % 10 = 0 THEN 'NaN' WHEN k % 10 = 1 THEN '1e30' WHEN k % 10 = 2 THEN '-Infinity'
+      WHEN k % 10 = 3 THEN 'many' WHEN k % 10 = 4 THEN NULL ELSE CAST(k AS VARCHAR) || '.75' END AS DOUBLE)) AS BIGINT), 0) AS replies,
     CAST(0 AS BIGINT) AS bookmarks
-  FROM events)"""
+  FROM (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
 
 
 def _counts(spark, d):
     ev = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    odd = (F.when(k % 10 == 0, "NaN").when(k % 10 == 1, "1e30").when(k % 10 == 2, "-Infinity").when(k % 10 == 3, "many")
+           .when(k % 10 == 4, F.lit(None)).otherwise(F.concat(k.cast("string"), F.lit(".75"))))
     return ev.select(F.col("event_id").alias("post_id"),
                      fx.coerce_count(F.col("value").cast("string")).alias("likes"),
                      fx.coerce_count(F.get_json_object("props", "$.k")).alias("retweets"),
-                     fx.coerce_count("event_type").alias("replies"),
+                     fx.coerce_count(odd).alias("replies"),
                      fx.coerce_count(F.lit(None).cast("string")).alias("bookmarks"))
 
 
@@ -110,23 +116,26 @@ def proj_reply_type(spark, d):
     return engineered(spark, d).select("post_id", "reply_type")
 
 
-@register("proj_is_reply", SQL_ENG + "SELECT post_id, in_reply_to_user_id_str IS NOT NULL AS is_reply FROM eng")
+@register("proj_is_reply", SQL_ENG + "SELECT post_id, in_reply_to_status_id_str IS NOT NULL AS is_reply FROM eng")
 def proj_is_reply(spark, d):
     a = archive_inputs(spark, d)
-    return a.select("post_id", fx.is_reply("in_reply_to_user_id_str").alias("is_reply"))
+    return a.select("post_id", fx.is_reply("in_reply_to_status_id_str").alias("is_reply"))
 
 
 @register("proj_has_link", """
-SELECT page_id, regexp_matches(COALESCE(html, ''), 'https://t.co/') AS has_link FROM pages""")
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN TRUE WHEN page_id % 3 = 1 THEN regexp_matches(COALESCE(html, ''), 'https://t.co/')
+  ELSE FALSE END AS has_link FROM pages""")
 def proj_has_link(spark, d):
-    return table(spark, d, "pages").select("page_id", fx.has_link("html").alias("has_link"))
+    """Page texts, a third of them with a short link added and a third without any text."""
+    text = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit(" https://t.co/x"))).when(F.col("page_id") % 3 == 1, F.col("html"))
+    return table(spark, d, "pages").select("page_id", fx.has_link(text).alias("has_link"))
 
 
 @register("proj_has_media", """
-SELECT page_id, COALESCE(len(regexp_extract_all(html, '<img[^>]*>')) > 0, FALSE) AS has_media FROM pages""")
+SELECT page_id, COALESCE(len(regexp_extract_all(html, '<h1[^>]*>')) > 0, FALSE) AND page_id % 4 <> 0 AS has_media FROM pages""")
 def proj_has_media(spark, d):
     pg = table(spark, d, "pages")
-    media = F.regexp_extract_all("html", F.lit("<img[^>]*>"), 0)
+    media = F.when(F.col("page_id") % 4 != 0, F.regexp_extract_all("html", F.lit("<h1[^>]*>"), 0))
     return pg.select("page_id", fx.has_media(media).alias("has_media"))
 
 
@@ -412,7 +421,7 @@ SQL_QUARTILE = SQL_RANKED_ORDERS + """,
 q AS (SELECT o_orderkey, CAST(1 + (rn >= n // 4)::INT + (rn >= n // 2)::INT + (rn >= (3 * n) // 4)::INT AS INTEGER) AS stratum FROM r)"""
 SQL_THREE = SQL_RANKED_ORDERS + """,
 q3 AS (SELECT o_orderkey, CASE WHEN rn < n // 4 THEN 'high' WHEN rn < (3 * n) // 4 THEN 'mid' ELSE 'low' END AS stratum FROM r)"""
-SQL_SEEDED = "(((o_orderkey % 1000003) * 427799 + 42) % 1000003)"
+SQL_SEEDED = "md5(CAST(o_orderkey AS VARCHAR) || ':42')"
 
 
 @register("win_quartile_strata", SQL_QUARTILE + " SELECT o_orderkey, stratum FROM q")
@@ -509,7 +518,7 @@ def limit_head(spark, d):
 
 @register("limit_tail", """
 WITH c AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus,
-  least(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.95) FROM orders)) AS w, o_totalprice FROM orders),
+  CASE WHEN o_totalprice > (SELECT quantile_cont(o_totalprice, 0.95) FROM orders) THEN (SELECT quantile_cont(o_totalprice, 0.95) FROM orders) ELSE o_totalprice END AS w, o_totalprice FROM orders),
 m AS (SELECT month, o_orderstatus, round_even(avg(w), 6) AS mean_capped, count(o_totalprice) AS count
       FROM c WHERE month IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY month, o_orderstatus)
 SELECT * FROM m ORDER BY month DESC, o_orderstatus DESC LIMIT 12""")

@@ -83,28 +83,28 @@ def detect_shape(spark: SparkSession, path: str) -> str:
         return "document"
     if a == "{":
         return "lines" if z == "}" else "document"
-    raise ValueError("Unsupported JSON structure in archive")
+    raise ValueError(f"{path}: the first line opens neither a JSON object nor an array")
 
 
-def load_posts(spark: SparkSession, path: str, shape: str = "auto") -> DataFrame:
-    """Posts with the canonical schema, whatever the archive shape (see module doc)."""
+def load_posts(spark: SparkSession, path: str, shape: str = "auto", skip_bad: bool = False) -> DataFrame:
+    """Posts with the canonical schema, whatever the archive shape (see module doc).
+
+    A line or file that is not JSON of that shape fails the read, or is left out if ``skip_bad``.
+    """
     if shape == "auto":
         shape = detect_shape(spark, path)
     POST_SCHEMA = post_schema()
     if shape == "empty":
         return spark.createDataFrame([], POST_SCHEMA)
-    reader = spark.read.schema(_wrapper_schema())
+    reader = spark.read.schema(_wrapper_schema()).option("mode", "DROPMALFORMED" if skip_bad else "FAILFAST")
     if shape == "document":
         reader = reader.option("multiLine", True)
     raw = reader.json(path)
-    bare = F.struct(*[F.col(f.name) for f in POST_SCHEMA.fields])
-    # object rows holding a ``tweets`` list are exploded; other rows are records themselves
-    listed = (raw.where(F.col("tweets").isNotNull())
-              .select(F.explode("tweets").alias("t"))
-              .select(F.coalesce(F.col("t.tweet"), F.struct(*[F.col(f"t.{f.name}") for f in POST_SCHEMA.fields]))
-                      .alias("p")))
-    direct = raw.where(F.col("tweets").isNull()).select(F.coalesce(F.col("tweet"), bare).alias("p"))
-    return listed.unionByName(direct).select("p.*")
+    names = [f.name for f in POST_SCHEMA.fields]
+    # an object with a ``tweets`` list holds many records, any other row is one
+    itself = F.array(F.struct(F.col("tweet"), *[F.col(n) for n in names]))
+    records = raw.select(F.explode(F.coalesce(F.col("tweets"), itself)).alias("t"))
+    return records.select(F.coalesce(F.col("t.tweet"), F.struct(*[F.col(f"t.{n}") for n in names])).alias("p")).select("p.*")
 
 
 def load_relation_ids(spark: SparkSession, path: str, key: str, name: str = "account_id") -> DataFrame:
@@ -145,8 +145,10 @@ def read_kv_first_line(spark: SparkSession, path: str, default: str | None = Non
     or the line is missing (one row either way)."""
     from pyspark.errors import AnalysisException
     try:
-        lines = spark.read.text(path).where(F.col("value").contains(": ")).limit(1)
+        lines = spark.read.text(path).where(F.col("value").contains(": "))
     except AnalysisException:
         return spark.range(1).select(F.lit(default).cast("string").alias("value"))
-    picked = lines.agg(F.max(F.trim(F.split(F.col("value"), ": ", 2)[1])).alias("value"))
+    # file order: the offsets of text partitions grow with their number, and rows inside follow the file
+    placed = lines.select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at"), "value")
+    picked = placed.agg(F.min_by(F.trim(F.split(F.col("value"), ": ", 2)[1]), F.struct("f", "at")).alias("value"))
     return picked.select(F.coalesce(F.col("value"), F.lit(default)).alias("value"))

@@ -119,7 +119,7 @@ def irls_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0) -> d
     return {"xtx": res[0], "xty": res[1], "deviance": float(res[2][0, 0])}
 
 
-def _residual_jvm(frame: DataFrame, p: int, beta: np.ndarray, y_index: int) -> dict[str, np.ndarray]:
+def _residual_jvm(frame: DataFrame, p: int, beta: np.ndarray, y_index: int, centre: float) -> dict[str, np.ndarray]:
     x = [F.col(f"x{i}") for i in range(p)]
     eta = F.lit(0.0)
     for b, c in zip(np.asarray(beta, dtype="float64").reshape(-1), x):
@@ -131,32 +131,33 @@ def _residual_jvm(frame: DataFrame, p: int, beta: np.ndarray, y_index: int) -> d
         for j in range(i, p):
             aggs.append(F.sum(e2 * x[i] * x[j]))
             keys.append((i, j))
-    aggs += [F.count(F.lit(1)), F.sum(e), F.sum(e2), F.sum(e2 * e), F.sum(e2 * e2)]
+    about = F.col(f"y{y_index}") - F.lit(float(centre))
+    aggs += [F.count(F.lit(1)), F.sum(e), F.sum(e2), F.sum(e2 * e), F.sum(e2 * e2), F.sum(about * about)]
     row = frame.agg(*aggs).first()
     meat = np.zeros((p, p))
     for (i, j), v in zip(keys, row[:len(keys)]):
         meat[i, j] = meat[j, i] = float(v or 0.0)
-    n, s1, s2, s3, s4 = [float(v or 0.0) for v in row[len(keys):]]
+    n, s1, s2, s3, s4, yc2 = [float(v or 0.0) for v in row[len(keys):]]
     return {"meat": meat, "n": n, "sum_e": s1, "sum_e2": s2, "sum_e3": s3, "sum_e4": s4,
-            "deviance": float("nan"), "pearson": float("nan"), "llf": float("nan")}
+            "sum_yc2": yc2, "deviance": float("nan"), "pearson": float("nan"), "llf": float("nan")}
 
 
 def residual_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0,
-                  mu_link: str = "identity") -> dict[str, np.ndarray]:
+                  mu_link: str = "identity", centre: float = 0.0) -> dict[str, np.ndarray]:
     """Σ e² x xᵀ (meat), Σe², Σe³, Σe⁴, Σe, Σ(y-ȳ)… for one response and fitted β.
 
     ``mu_link='log'`` gives Poisson residuals y - exp(xβ) plus deviance terms
     (log-factorials need numpy, so that path always runs in ``mapInPandas``).
     """
     if mu_link == "identity" and p * (p + 1) // 2 + 5 <= JVM_MAX_SUMS:
-        return _residual_jvm(frame, p, beta, y_index)
+        return _residual_jvm(frame, p, beta, y_index, centre)
     xcols = [f"x{i}" for i in range(p)]
     ycol = f"y{y_index}"
     b = np.asarray(beta, dtype="float64").reshape(-1)
 
     def part(it):
         meat = np.zeros((p, p))
-        mom = np.zeros(9)
+        mom = np.zeros(10)
         for pdf in it:
             x = pdf[xcols].to_numpy(dtype="float64")
             y = pdf[ycol].to_numpy(dtype="float64")
@@ -169,6 +170,7 @@ def residual_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0,
             mom[2] += (e ** 2).sum()
             mom[3] += (e ** 3).sum()
             mom[4] += (e ** 4).sum()
+            mom[9] += ((y - centre) ** 2).sum()
             if mu_link == "log":
                 with np.errstate(divide="ignore", invalid="ignore"):
                     term = np.where(y > 0, y * np.log(y / mu), 0.0) - (y - mu)
@@ -180,19 +182,18 @@ def residual_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0,
         yield _emit({0: meat, 1: mom.reshape(1, -1)})
 
     sel = frame.select(*xcols, ycol)
-    res = _collect(sel.mapInPandas(part, _LONG), {0: (p, p), 1: (1, 9)})
+    res = _collect(sel.mapInPandas(part, _LONG), {0: (p, p), 1: (1, 10)})
     m = res[1][0]
     return {"meat": res[0], "n": m[0], "sum_e": m[1], "sum_e2": m[2], "sum_e3": m[3], "sum_e4": m[4],
-            "deviance": m[5], "pearson": m[6], "llf": m[7], "sum_lgamma": m[8]}
+            "deviance": m[5], "pearson": m[6], "llf": m[7], "sum_lgamma": m[8], "sum_yc2": m[9]}
 
 
 def _lgamma1p(y: np.ndarray) -> np.ndarray:
-    """log(y!) for count responses via a per-batch table of cumulative logs (vectorised)."""
-    if len(y) == 0:
-        return np.zeros(0)
-    yi = np.rint(y)
-    if np.all(yi == y) and yi.min() >= 0 and yi.max() < 1e7:
-        table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(yi.max()) + 1, dtype="float64")))])
-        return table[yi.astype("int64")]
-    from math import lgamma
-    return np.frompyfunc(lambda v: lgamma(v + 1.0), 1, 1)(y).astype("float64")
+    """log Gamma(y + 1) by Stirling's series after a shift by ten (vectorised, any y >= 0)."""
+    x = np.asarray(y, dtype="float64") + 1.0
+    shift = np.zeros_like(x)
+    for k in range(10):
+        shift += np.log(x + k)
+    x = x + 10.0
+    series = 1 / (12 * x) - 1 / (360 * x ** 3) + 1 / (1260 * x ** 5) - 1 / (1680 * x ** 7)
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift

@@ -9,22 +9,40 @@ import numpy as np
 Z975 = 1.959963984540054  # fixed: standard normal 97.5% quantile
 
 
-def sym_pinv(g: np.ndarray, rcond: float = 1e-12) -> tuple[np.ndarray, int]:
-    """Symmetric pseudo-inverse of the *unscaled* Gram matrix and its numerical rank.
+def sym_pinv(g: np.ndarray, rcond: float = 1e-11) -> tuple[np.ndarray, int]:
+    """Symmetric pseudo-inverse of a Gram matrix and its numerical rank.
 
-    Eigenvalues below ``rcond * max|eig|`` are treated as zero, so a rank-deficient
-    design gets the minimum-norm solution (same as pinv(X) @ y).
+    The rank is decided on the matrix scaled to a unit diagonal, so regressors of very
+    different size do not hide each other: eigenvalues below ``rcond`` times the largest are
+    zero.  The inverse found there is mapped back, and its part along the null directions is
+    projected out, which gives the Moore-Penrose inverse (minimum-norm estimates).
     """
-    w, v = np.linalg.eigh((g + g.T) / 2.0)
-    tol = rcond * max(abs(w).max(), 1e-300)
-    keep = w > tol
-    inv = (v[:, keep] / w[keep]) @ v[:, keep].T
-    return inv, int(keep.sum())
+    g = (g + g.T) / 2.0
+    diagonal = np.diag(g)
+    d = np.where(diagonal > 0, 1.0 / np.sqrt(np.where(diagonal > 0, diagonal, 1.0)), 0.0)
+    scaled = g * d[:, None] * d[None, :]
+    w, v = np.linalg.eigh(scaled)
+    keep = w > rcond * max(abs(w).max(), 1e-300)
+    inner = (v[:, keep] / w[keep]) @ v[:, keep].T
+    # one refinement of the scaled inverse against rounding
+    inner = 2 * inner - inner @ scaled @ inner
+    inv = inner * d[:, None] * d[None, :]
+    rank = int(keep.sum())
+    if rank < len(g):
+        # null directions of g: those of the scaled matrix, and empty columns
+        live = diagonal > 0
+        null = [d * v[:, k] for k in np.flatnonzero(~keep) if np.any(np.abs(v[live, k]) > 1e-8)]
+        null += [np.eye(len(g))[k] for k in np.flatnonzero(~live)]
+        q, r = np.linalg.qr(np.array([x / np.linalg.norm(x) for x in null]).T)
+        q = q[:, np.abs(np.diag(r)) > 1e-10]
+        off = np.eye(len(g)) - q @ q.T
+        inv = off @ inv @ off
+    return inv, rank
 
 
 def condition_number(g: np.ndarray) -> float:
     """Condition number of X (sqrt of the eigenvalue ratio of XᵀX)."""
-    w = np.linalg.eigvalsh((g + g.T) / 2.0)
+    w = np.linalg.eigvalsh((g + g.T) / 2.0)  # of X as it is, as usually reported
     w = np.clip(w, 0, None)
     return float(math.sqrt(w.max() / w.min())) if w.min() > 0 else float("inf")
 
@@ -78,6 +96,17 @@ def t_sf2(t: float, df: float) -> float:
     return betainc(df / 2.0, 0.5, df / (df + t * t))
 
 
+def t_quantile(p: float, df: float) -> float:
+    """Quantile of Student's t for p > 0.5, by bisection on the two-sided tail."""
+    lo, hi = 0.0, 1.0
+    while t_sf2(hi, df) > 2 * (1 - p):
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_sf2(mid, df) > 2 * (1 - p) else (lo, mid)
+    return hi
+
+
 def f_sf(f: float, d1: float, d2: float) -> float:
     """Upper tail of the F distribution."""
     if f <= 0:

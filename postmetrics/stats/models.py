@@ -27,6 +27,7 @@ class Fit:
     n: float
     rank: int
     summary: dict
+    t_df: float | None = None  # Student reference with so many degrees of freedom; None: normal
 
     @property
     def bse(self) -> np.ndarray:
@@ -34,12 +35,13 @@ class Fit:
         return np.sqrt(np.where(d >= 0, d, np.nan))
 
     def table(self, spark: SparkSession, exp: bool = False) -> DataFrame:
-        """term, coef, se, z, p, ci_lower, ci_upper (normal reference, as with robust covariances)."""
+        """term, coef, se, z, p, ci_lower, ci_upper (normal reference, or Student's for ``t_df``)."""
         rows = []
+        reach = la.t_quantile(0.975, self.t_df) if self.t_df else la.Z975
         for name, b, s in zip(self.names, self.params, self.bse):
             z = b / s if s and s > 0 else float("nan")
-            p = la.norm_sf2(z) if math.isfinite(z) else float("nan")
-            lo, hi = b - la.Z975 * s, b + la.Z975 * s
+            p = (la.t_sf2(z, self.t_df) if self.t_df else la.norm_sf2(z)) if math.isfinite(z) else float("nan")
+            lo, hi = b - reach * s, b + reach * s
             if exp:
                 b, lo, hi = _exp(b), _exp(lo), _exp(hi)
             rows.append((name, _f(b), _f(s), _f(z), _f(p), _f(lo), _f(hi)))
@@ -66,18 +68,18 @@ def fit_ols(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design:
     frame = design_frame(df, design, [y])
     p = design.p
     g = gram(frame, p, 1)
-    xtx, xty, yty, n = g["xtx"], g["xty"][:, 0], g["yty"][0, 0], g["n"]
+    xtx, xty, n = g["xtx"], g["xty"][:, 0], g["n"]
     inv, rank = la.sym_pinv(xtx)
     beta = inv @ xty
-    r = residual_sums(frame, p, beta)
+    ybar = xty[0] / n if intercept and n else 0.0
+    r = residual_sums(frame, p, beta, centre=ybar)
     ssr = r["sum_e2"]
     df_resid = n - rank
     if cov_type == "HC1":
         cov = inv @ r["meat"] @ inv * (n / df_resid)
     else:
         cov = inv * (ssr / df_resid)
-    ybar = xty[0] / n if intercept else 0.0
-    sst = yty - n * ybar * ybar if intercept else yty
+    sst = r["sum_yc2"]
     r2 = 1.0 - ssr / sst if sst > 0 else float("nan")
     df_model = rank - (1 if intercept else 0)
     llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1.0)
@@ -131,7 +133,7 @@ def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), des
     ybar = g1["xty"][0, 0] / g1["n"]
     beta = np.zeros(q)
     beta[0] = math.log(max(ybar, 1e-10))
-    it = 0
+    it, converged = 0, False
     inv = np.eye(q)
     rank = q
     prev_dev = None
@@ -147,6 +149,7 @@ def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), des
         settled = prev_dev is not None and abs(g["deviance"] - prev_dev) / (abs(g["deviance"]) + 0.1) < dev_tol
         prev_dev = g["deviance"]
         if step < tol * max(1.0, np.max(np.abs(beta))) or settled:
+            converged = True
             break
     r = residual_sums(work, q, beta, mu_link="log")
     rank_all = rank + len(sep)
@@ -162,7 +165,7 @@ def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), des
     # intercept-only model: mu = mean(y); its log-likelihood from the same sums
     sum_y, ybar_all = g0["xty"][0, 0], g0["xty"][0, 0] / n_all
     llnull = (sum_y * math.log(ybar_all) if sum_y > 0 else 0.0) - n_all * ybar_all - r["sum_lgamma"]
-    summary = dict(n=n_all, rank=rank_all, df_resid=df_resid, df_model=rank_all - 1, iterations=it,
+    summary = dict(n=n_all, rank=rank_all, df_resid=df_resid, df_model=rank_all - 1, iterations=it, converged=converged,
                    deviance=r["deviance"], pearson_chi2=r["pearson"], llf=r["llf"], llnull=llnull,
                    pseudo_r2_cs=1.0 - math.exp(2.0 * (llnull - r["llf"]) / n_all),
                    aic=-2.0 * r["llf"] + 2.0 * rank_all,
@@ -193,20 +196,22 @@ def fit_entity_fe(df: DataFrame, y: str, xs: Sequence[str], entity: str, min_siz
         f = float(fit.params[1:] @ v_inv @ fit.params[1:]) / max(q, 1)
         s.update(f_stat=f, f_df=(q, df_resid), f_pvalue=la.f_sf(f, q, df_resid))
     if not full_summary:
-        return Fit(["const" if nm == "Intercept" else nm for nm in fit.names], fit.params, cov, fit.n, k, s)
+        return Fit(["const" if nm == "Intercept" else nm for nm in fit.names], fit.params, cov, fit.n, k, s, df_resid)
     # R² overall / between use the slopes on untransformed data (squared correlations);
     # poolability F compares with the pooled OLS without entity effects
-    pred = sum((F.lit(float(b)) * F.col(x) for b, x in zip(fit.params[1:], xs)), F.lit(0.0))
-    scored = data.select(entity, F.col(y).alias("_y"), pred.alias("_p"))
-    overall = scored.agg(F.corr("_y", "_p")).first()[0]
-    between = (scored.groupBy(entity).agg(F.avg("_y").alias("_my"), F.avg("_p").alias("_mp"))
-               .agg(F.corr("_my", "_mp")).first()[0])
+    slopes = sum((F.lit(float(b)) * F.col(x) for b, x in zip(fit.params[1:], xs)), F.lit(0.0))
+    scored = data.select(entity, F.col(y).alias("_y"), (F.lit(float(fit.params[0])) + slopes).alias("_p"))
+
+    def explained(rows):  # 1 - SSR / TSS about the mean; below 0 where the fit does worse than the mean
+        r = rows.agg(F.sum((F.col("_y") - F.col("_p")) ** 2).alias("ssr"), F.var_pop("_y").alias("v"), F.count("_y").alias("n")).first()
+        return 1.0 - r["ssr"] / (r["v"] * r["n"]) if r["n"] and r["v"] else float("nan")
+    overall = explained(scored)
+    between = explained(scored.groupBy(entity).agg(F.avg("_y").alias("_y"), F.avg("_p").alias("_p")))
     pooled = fit_ols(data, y, [("num", x) for x in xs], cov_type="classical")
     ssr_fe, ssr_pool = fit.summary["ssr"], pooled.summary["ssr"]
     pool_f = ((ssr_pool - ssr_fe) / max(n_ent - 1, 1)) / (ssr_fe / df_resid) if ssr_fe > 0 else float("nan")
     s.update(r_squared_within=fit.summary["r_squared"],
-             r_squared_overall=(overall or 0.0) ** 2 if overall is not None else float("nan"),
-             r_squared_between=(between or 0.0) ** 2 if between is not None else float("nan"),
+             r_squared_overall=overall, r_squared_between=between,
              poolability_f=pool_f, poolability_df=(n_ent - 1, df_resid),
              poolability_pvalue=la.f_sf(pool_f, n_ent - 1, df_resid) if math.isfinite(pool_f) else float("nan"))
-    return Fit(["const" if nm == "Intercept" else nm for nm in fit.names], fit.params, cov, fit.n, k, s)
+    return Fit(["const" if nm == "Intercept" else nm for nm in fit.names], fit.params, cov, fit.n, k, s, df_resid)
