@@ -13,7 +13,9 @@ full shingle sets.
 
 Documents with equal sets are one class from the start.  Every list first links its members to one
 of them; then only pairs of still different components are counted, in blocks of at most ``BLOCK``
-members, so a large group of copies costs about its size and no group is held by one task.
+members; a block's likely pairs travel as one row per member, and only links that join what was still
+apart leave it.  So a large group of copies makes rows in proportion to its size, and no group is
+held by one task.
 
 Words are lower-cased (A-Z) runs of bytes other than ASCII white space.  Defined results: a document
 with fewer words than a shingle is that one sequence; a null text or one without words has an empty
@@ -139,25 +141,45 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 part = b.slice(lo, 64)
                 left = [s for _, s in shingle_sets(part.column(2), words)]
                 right = [s for _, s in shingle_sets(part.column(3), words)]
-                keep = []
-                for s, t in zip(left, right):
-                    both = np.sort(np.concatenate((s, t)))
-                    shared = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * shared >= percent * (len(both) - shared) and shared > 0)
+                keep = [_linked(s, t, percent) for s, t in zip(left, right)]
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
     wide = (pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
             .join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty"))
     return wide.mapInArrow(run, "x long, y long")
 
 
-def _pairs_of_block(rows: pa.Table, matches: int) -> pa.RecordBatch:
-    """Pairs of one list (or of two blocks of it) above the threshold whose first shared key this is."""
-    key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
-    node = rows.column("node").to_numpy()
-    component = rows.column("component").to_numpy()
-    block = rows.column("blk").to_numpy()
+def _groups(batches, columns: list):
+    """Consecutive rows with equal ``columns`` as tables, across batch borders."""
+    open_rows, open_key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = [b.column(c).to_numpy() for c in columns]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in at], axis=0)) + 1
+        for lo, hi in zip([0, *change.tolist()], [*change.tolist(), b.num_rows]):
+            own = tuple(int(c[lo]) for c in at)
+            if own != open_key:
+                if open_rows:
+                    yield open_key, pa.Table.from_batches(open_rows).combine_chunks()
+                open_rows, open_key = [], own
+            open_rows.append(b.slice(lo, hi - lo))
+    if open_rows:
+        yield open_key, pa.Table.from_batches(open_rows).combine_chunks()
+
+
+_LIST = ["key", "i", "j"]
+
+
+def _likely_in_block(own: tuple, rows: pa.Table, matches: int) -> pa.RecordBatch | None:
+    """Members of one list (or of two blocks of it) with their later partners above the threshold.
+
+    A pair counts here only if this is the first key that its two prefixes share.
+    """
+    key, i, j = own
+    node, component, block = (rows.column(c).to_numpy() for c in ("node", "component", "blk"))
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
-    found_a, found_b = [], []
+    prefix = None
+    partners: dict[int, list] = {}
     for r in range(len(node) - 1):
         other = component[r + 1:] != component[r]
         if i != j:
@@ -165,39 +187,75 @@ def _pairs_of_block(rows: pa.Table, matches: int) -> pa.RecordBatch:
         at = np.flatnonzero(other) + r + 1
         if len(at):
             at = at[(sig[at] == sig[r]).sum(1) >= matches]
-            found_a.append(np.full(len(at), r))
-            found_b.append(at)
-    a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-    b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-    if len(a):
-        prefix = [set(p) for p in rows.column("prefix").to_pylist()]
-        first = np.array([min(prefix[x] & prefix[y]) == key for x, y in zip(a.tolist(), b.tolist())], bool)
-        a, b = a[first], b[first]
-    x, y = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
-
-
-def _count_in_lists(members: DataFrame, matches: int) -> DataFrame:
-    """Candidate pairs from list members sorted by list and block."""
+        if len(at):
+            prefix = prefix or [set(p) for p in rows.column("prefix").to_pylist()]
+            at = [x for x in at.tolist() if min(prefix[r] & prefix[x]) == key]
+        if len(at):
+            partners[r] = node[at].tolist()
+            for x in at:
+                partners.setdefault(x, [])
+    if not partners:
+        return None
+    n = len(partners)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([key] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()),
+         pa.array(node[list(partners)], pa.int64()), pa.array(list(partners.values()), pa.list_(pa.int64()))],
+        names=[*_LIST, "node", "partners"])
+
+
+def _likely_in_lists(members: DataFrame, matches: int) -> DataFrame:
+    """key, i, j, node, partners: one row for each member of a block that has a likely partner in it."""
     def run(batches):
-        open_rows, open_key = [], None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            at = [b.column(c).to_numpy() for c in ("key", "i", "j")]
-            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in at], axis=0)) + 1
-            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), b.num_rows]):
-                own = tuple(int(c[lo]) for c in at)
-                if own != open_key:
-                    if open_rows:
-                        yield _pairs_of_block(pa.Table.from_batches(open_rows).combine_chunks(), matches)
-                    open_rows, open_key = [], own
-                open_rows.append(b.slice(lo, hi - lo))
-        if open_rows:
-            yield _pairs_of_block(pa.Table.from_batches(open_rows).combine_chunks(), matches)
-
-    dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "x long, y long")
+        for own, rows in _groups(batches, _LIST):
+            found = _likely_in_block(own, rows, matches)
+            if found is not None:
+                yield found
+    return members.repartition(*_LIST).sortWithinPartitions(*_LIST).mapInArrow(
+        run, "key long, i int, j int, node long, partners array<long>")
+
+
+def _confirm_in_blocks(likely: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (x, y) of each block's likely pairs that join what the block's links had left apart.
+
+    Confirmed on full shingle sets; pairs already joined by links of the same block are not needed
+    for components and are passed over.
+    """
+    def run(batches):
+        for _, rows in _groups(batches, _LIST):
+            sets: dict[int, np.ndarray] = {}
+            node = rows.column("node").to_pylist()
+            for lo in range(0, len(node), 64):
+                part = rows.column("text").slice(lo, 64).combine_chunks()
+                for r, s in shingle_sets(part, words):
+                    sets[node[lo + r]] = s
+            root = {x: x for x in node}
+            x_out, y_out = [], []
+            for x, ys in zip(node, rows.column("partners").to_pylist()):
+                for y in ys:
+                    a, b = _root(root, x), _root(root, y)
+                    if a != b and _linked(sets[x], sets[y], percent):
+                        root[max(a, b)] = min(a, b)
+                        x_out.append(x)
+                        y_out.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x_out, pa.int64()), pa.array(y_out, pa.int64())], names=["x", "y"])
+    wide = likely.join(texts, "node").select(*_LIST, "node", "partners", "text")
+    return wide.repartition(*_LIST).sortWithinPartitions(*_LIST).mapInArrow(run, "x long, y long")
+
+
+def _root(root: dict, x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    small, large = sorted((len(s), len(t)))
+    if 100 * small < percent * large:
+        return False
+    both = np.sort(np.concatenate((s, t)))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared > 0 and 100 * shared >= percent * (len(both) - shared)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,8 +291,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
 
     sigs = nodes.select("node", "sig")
     stars = stage(posted.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), "star_pairs")
-    likely = stage(_above_threshold(stars, sigs, matches), "likely_star_pairs")
-    star_links = stage(confirm(likely, texts, words, percent).distinct(), "star_links")
+    likely_stars = stage(_above_threshold(stars, sigs, matches), "likely_star_pairs")
+    star_links = stage(confirm(likely_stars, texts, words, percent).distinct(), "star_links")
     star_components = stage(connected_components(star_links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "star_components")
     release_shuffles(spark)
 
@@ -250,8 +308,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     described = open_lists.join(sigs, "node").join(prefixes, "node")
     described = described.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "node", "component", "blk", "sig", "prefix")
-    across = stage(_count_in_lists(described, matches).distinct(), "likely_pairs")
-    links = stage(confirm(across, texts, words, percent).distinct(), "further_links")
+    likely = stage(_likely_in_lists(described, matches), "likely_members")
+    links = stage(_confirm_in_blocks(likely, texts, words, percent).distinct(), "further_links")
     every = star_links.unionByName(links).select(F.col("x").alias("a"), F.col("y").alias("b"))
     component = connected_components(every)
     drop(texts, placed, open_lists, stars)
