@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from postmetrics.functions.features import winsorize
 from postmetrics.functions.numeric import round_half_even
-from postmetrics.operators.quantiles import choose_method, quantiles, scalar_quantile_frame
+from postmetrics.operators.quantiles import quantiles, scalar_quantile_frame
 
 
 def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -56,8 +56,6 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str,
     }
     want_median = "median" in stats
     method = quantile_method
-    if want_median and method == "auto":
-        method = choose_method(data, value, keys)
     aggs = [simple[s].alias(names.get(s, s)) for s in stats if s in simple]
     if want_median and method == "builtin":
         aggs.append(F.median(v).alias(names.get("median", "median")))

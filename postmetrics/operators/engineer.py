@@ -22,6 +22,7 @@ TIME_ALIASES = ["created_at", "tweet.created_at", "time", "date"]
 TEXT_ALIASES = ["full_text", "text", "tweet.full_text", "tweet.text"]
 REPLY_USER_ALIASES = ["in_reply_to_user_id_str", "tweet.in_reply_to_user_id_str",
                       "in_reply_to_user_id", "tweet.in_reply_to_user_id"]
+SCREEN_NAME_ALIASES = ["user.screen_name", "user.screen_name_str", "screen_name"]
 REPLY_STATUS_ALIASES = ["in_reply_to_status_id_str", "tweet.in_reply_to_status_id_str"]
 
 
@@ -29,6 +30,14 @@ def _opt(df, names):
     return resolve(df, names)
 
 
+def _array(df, name, kind):
+    """A list column by its path, bare or below ``tweet``, nested or with dots in its name."""
+    for path in (name, f"tweet.{name}"):
+        if has_column(df, path):
+            return resolve(df, [path])
+    return F.lit(None).cast(kind)
+
+
 def _count(df, names):
     return fx.coerce_count(_opt(df, names))
 
@@ -43,19 +52,17 @@ def engineer_posts(df: DataFrame, owner_id: str | Column | None = None, screen_n
     ts = t_raw.cast("timestamp") if isinstance(t_type, (T.TimestampType, T.TimestampNTZType)) else fx.parse_post_time(t_raw)
     text = F.coalesce(resolve(df, TEXT_ALIASES, contains="full_text").cast("string"), F.lit(""))
     reply_user = resolve(df, REPLY_USER_ALIASES).cast("string")
-    media = (F.col("extended_entities.media") if has_column(df, "extended_entities.media")
-             else F.lit(None).cast("array<string>"))
-    hashtags = F.col("entities.hashtags") if has_column(df, "entities.hashtags") else F.lit(None).cast("array<string>")
-    mentions = (F.col("entities.user_mentions") if has_column(df, "entities.user_mentions")
-                else F.lit(None).cast("array<string>"))
-    urls = (F.col("entities.urls") if has_column(df, "entities.urls")
-            else F.lit(None).cast("array<struct<expanded_url:string>>"))
+    media = _array(df, "extended_entities.media", "array<string>")
+    hashtags = _array(df, "entities.hashtags", "array<string>")
+    mentions = _array(df, "entities.user_mentions", "array<string>")
+    urls = _array(df, "entities.urls", "array<struct<expanded_url:string>>")
 
     if owner_id is None:
         author = resolve(df, ["user.id_str", "user.id"]).cast("string")
-        screen = resolve(df, ["user.screen_name"]).cast("string")
+        screen = resolve(df, SCREEN_NAME_ALIASES).cast("string")
         who = df.select(author.alias("a"), screen.alias("s"), reply_user.alias("r"))
-        owner = infer_owner(who, "a", "s", "r", hint=screen_name_hint).scalar()
+        found = infer_owner(who, "a", "s", "r", hint=screen_name_hint).scalar()
+        owner = F.coalesce(found, F.raise_error(F.lit("the account owner can't be inferred")).cast("string"))
     else:
         owner = owner_id if isinstance(owner_id, Column) else F.lit(owner_id)
 
@@ -92,7 +99,9 @@ def engineer_posts(df: DataFrame, owner_id: str | Column | None = None, screen_n
     out = cap_column(out, "total_engagement", cap_q, "winsorized_engagement")
     if threads:
         from postmetrics.operators.threads import thread_features
-        out = thread_features(out, "id_str", "in_reply_to_status_id_str", "post_datetime").drop("thread_size")
+        # of rows that share an id, the last one's parent counts
+        rows = out.withColumn("_row", F.monotonically_increasing_id())
+        out = thread_features(rows, "id_str", "in_reply_to_status_id_str", "post_datetime", ["_row"]).drop("thread_size", "_row")
     return out
 
 

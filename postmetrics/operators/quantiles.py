@@ -1,18 +1,16 @@
 """Exact, linearly interpolated quantiles (pandas ``quantile`` / DuckDB ``quantile_cont``).
 
-Two physical strategies, chosen behind a size check:
+One plan at every size:
 
-* ``builtin`` - Spark's exact ``percentile`` aggregate.  Its buffer holds the
-  distinct values of a group (partial per map task, merged in one task), so it
-  is used only when an ``approx_count_distinct`` pre-pass proves every group's
-  distinct count is below ``max_buffer``.
-* ``band`` - a ``percentile_approx`` sketch brackets each target rank; only the
+* ``band`` (``auto``) - a ``percentile_approx`` sketch brackets each target rank; only the
   rows inside the brackets are sorted (about 6/10000 of a group), and a count
   check proves exactness (falling back to ``sort`` if a bracket missed).
 * ``sort`` - global range-partitioned sort + positions (``ordinal``), then
   only the two neighbouring order statistics per requested probability are
   kept.  No task ever holds a whole group, so it survives hot groups and
   high-cardinality doubles.
+* ``builtin`` - Spark's exact ``percentile`` aggregate, only when a caller names it:
+  its buffer holds a group's distinct values in one task.
 
 ``percentile_approx`` is offered as ``approx`` for callers that accept rank error.
 """
@@ -26,9 +24,6 @@ from pyspark.sql import functions as F
 
 from postmetrics.operators.ordinal import with_group_position
 
-DEFAULT_MAX_BUFFER = 200_000
-
-
 def _names(probs, names):
     if names is None:
         names = [f"q{int(round(p * 100)):02d}" if abs(p * 100 - round(p * 100)) < 1e-9
@@ -36,19 +31,8 @@ def _names(probs, names):
     return list(names)
 
 
-def choose_method(df: DataFrame, value: str, groups: Sequence[str] = (),
-                  max_buffer: int = DEFAULT_MAX_BUFFER) -> str:
-    """'builtin' when every group's distinct-value buffer is provably small, else 'sort'."""
-    d = F.approx_count_distinct(F.col(value), 0.05).alias("_d")
-    per_group = df.groupBy(*groups).agg(d) if groups else df.agg(d)
-    worst = per_group.agg(F.max("_d")).first()[0]
-    # approx_count_distinct has ~5% relative error: keep a margin
-    return "builtin" if (worst or 0) * 1.2 <= max_buffer else "band"
-
-
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
-              names: Sequence[str] | None = None, method: str = "auto",
-              max_buffer: int = DEFAULT_MAX_BUFFER) -> DataFrame:
+              names: Sequence[str] | None = None, method: str = "auto") -> DataFrame:
     """One row per group (or one row) with one column per probability.
 
     Nulls in ``value`` are ignored; a group with no values yields NULL.
@@ -57,7 +41,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequenc
     probs = [float(p) for p in probs]
     names = _names(probs, names)
     if method == "auto":
-        method = choose_method(df, value, groups, max_buffer)
+        method = "band"
     if method == "builtin":
         arr = F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs]))
         base = (df.groupBy(*groups).agg(arr.alias("_qs")) if groups else df.agg(arr.alias("_qs")))
@@ -80,7 +64,14 @@ BAND_ACCURACY = 10_000
 
 
 def _nsjoin(a, b, key):
-    """Inner join on group keys where NULL matches NULL (a group may be NULL)."""
+    """Inner join on group keys where NULL matches NULL (a group may be NULL).
+
+    Without groups (the constant key ``_g``) ``b`` is one row and comes in as a scalar.
+    """
+    if list(key) == ["_g"]:
+        names = [c for c in b.columns if c != "_g"]
+        one = a.withColumn("_one", b.select(F.struct(*names)).scalar())
+        return one.select(*a.columns, *[F.col("_one")[c].alias(c) for c in names])
     b2 = b.select(*[F.col(k).alias(f"_r_{k}") for k in key], *[c for c in b.columns if c not in key])
     j = a.join(b2, [a[k].eqNullSafe(b2[f"_r_{k}"]) for k in key], "inner")
     return j.drop(*[f"_r_{k}" for k in key])

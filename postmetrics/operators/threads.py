@@ -16,7 +16,6 @@ lost executor only recomputes one round.
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -38,8 +37,7 @@ def parent_edges(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
     return rows.groupBy("id").agg(pick.alias("parent"))
 
 
-def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: Sequence[str] = (),
-                 max_rounds: int | None = None) -> DataFrame:
+def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: Sequence[str] = ()) -> DataFrame:
     """(id, thread_id) for every distinct id of ``df`` (ids as strings).
 
     Each node carries a pointer ``ptr`` (initially its parent), the smallest id
@@ -47,9 +45,10 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
     its pointer reaches a thread root: a non-reply node, an id outside the
     archive, or a node already done (whose pointer is final).  Otherwise the
     pointer jumps to the pointed node's pointer (path length doubles).  Only the
-    active nodes are joined each round.  Nodes still active after
-    ceil(log2(n)) + 2 rounds lie on, or lead into, a cycle: their pointer then
-    sits on the cycle and that node's running minimum covers exactly the cycle.
+    active nodes are joined each round.  Every round finishes some nodes while any
+    acyclic one is left (a chain has a node at each depth), so once the number of
+    active nodes stops falling all of them lie on, or lead into, a cycle; after
+    log2 of that number of rounds the running minima cover the cycles.
     """
     spark = df.sparkSession
     edges = parent_edges(df, id_col, parent_col, last_wins_order)
@@ -69,20 +68,19 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
     # active set feeds the next round.
     rounds = [_write_round(base)]
     active = _read(spark, rounds[-1:]).where(~F.col("done"))
-    # the cycle bound ceil(log2(n)) + 2 needs a count; acyclic inputs finish long before
-    # 20 rounds (depth < 2^19), so the count is only taken if the loop gets that far
-    bound = max_rounds if max_rounds is not None else 20
-    r = 0
-    while r < bound:
-        if active.limit(1).count() == 0:
+    r, before = 0, None
+    while True:
+        n_active = active.count()
+        if n_active == 0 or (n_active == before and 2 ** r >= 2 * n_active):
             break
-        if max_rounds is None and r == 19:
-            n = max(2, spark.read.parquet(rounds[0]).count())
-            bound = max(bound, int(math.ceil(math.log2(n))) + 2)
+        before = n_active
         r += 1
         look = _resolved(spark, rounds).unionByName(active).where(F.col("is_target")).select(
             F.col("id").alias("_lid"), F.col("ptr").alias("_lptr"), F.col("mn").alias("_lmn"),
             F.col("is_root").alias("_lroot"), F.col("done").alias("_ldone"))
+        # only the nodes that active ones point at: this cuts the lookup before the join moves it
+        wanted = active.select(F.col("ptr").alias("_lid")).distinct()
+        look = look.join(wanted, "_lid", "left_semi")
         step = active.join(look, active["ptr"] == look["_lid"], "left")
         at_root = F.col("_lid").isNull() | F.col("_lroot")
         finished = at_root | F.col("_ldone")
@@ -94,7 +92,7 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
             finished.alias("done"))))
         active = _read(spark, rounds[-1:]).where(~F.col("done"))
     resolved = _resolved(spark, rounds).select("id", F.col("ptr").alias("thread_id"))
-    if active.limit(1).count() == 0:
+    if n_active == 0:
         return resolved
     # still active: nodes on (or leading into) a cycle.  After the rounds the pointer sits
     # on the cycle, and that node's running minimum covers exactly the cycle.

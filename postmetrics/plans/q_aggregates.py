@@ -7,27 +7,20 @@ from pyspark.sql import functions as F
 from postmetrics.functions import features as fx
 from postmetrics.functions.numeric import round_half_even
 from postmetrics.operators import aggregates as ag
-from postmetrics.operators.quantiles import choose_method, quantiles
+from postmetrics.operators.quantiles import quantiles
 from postmetrics.plans.derived import SQL_CORE, SQL_ENGINEERED, core_sample, engineered
 from postmetrics.plans.registry import SQL_POSTS, r6, register
 from postmetrics.sources.tables import posts, table
 
 
-def capped_events(spark, d, with_method: bool = False):
-    """Events with the 95%-capped value.  The size check for exact quantiles runs once on
-    the raw value: capping adds at most one distinct value, so the same strategy is safe
-    for every per-group quantile of the capped column."""
-    p = posts(spark, d)
-    m = choose_method(p, "engagement")
-    capped = ag.cap_column(p, "engagement", fx.WINSORIZE_THRESHOLD, "winsorized", method=m)
-    return (capped, m) if with_method else capped
+def capped_events(spark, d):
+    """Events with the 95%-capped value."""
+    return ag.cap_column(posts(spark, d), "engagement", fx.WINSORIZE_THRESHOLD, "winsorized")
 
 
 def category_stats(spark, d):
     """Flagship: which category performs best once outliers are capped?"""
-    capped, m = capped_events(spark, d, with_method=True)
-    s = ag.group_stats(capped, ["category"], "winsorized", ("count", "mean", "median", "std"),
-                       quantile_method=m)
+    s = ag.group_stats(capped_events(spark, d), ["category"], "winsorized", ("count", "mean", "median", "std"))
     return s.select("category", "count", r6("mean").alias("mean"), r6("median").alias("median"),
                     r6("std").alias("std")).orderBy(F.desc("mean"), "category")
 
@@ -134,8 +127,7 @@ def agg_pivot_mean(spark, d):
 @register("agg_global_median", "WITH " + SQL_CAPPED + """
 SELECT round_even(median(winsorized), 6) AS median FROM capped""")
 def agg_global_median(spark, d):
-    capped, m = capped_events(spark, d, with_method=True)
-    q = quantiles(capped, "winsorized", [0.5], names=["median"], method=m)
+    q = quantiles(capped_events(spark, d), "winsorized", [0.5], names=["median"])
     return q.select(r6("median").alias("median"))
 
 

@@ -51,7 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached when nobody configured a shared folder (local tests).
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # one machine: any folder will do (local runs and tests)
         configured = tempfile.mkdtemp(prefix="postmetrics-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -113,9 +113,10 @@ def load_relation_ids(spark: SparkSession, path: str, key: str, name: str = "acc
     return raw.select(F.col(f"{key}.accountId").alias(name)).where(F.col(name).isNotNull()).distinct()
 
 
-def load_account_batches(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
-    """(users, tweets) from account batch files ``{data: [...], includes: {tweets: [...]}}``."""
-    raw = spark.read.schema(ACCOUNT_BATCH_DDL.replace("\n", " ")).option("multiLine", True).json(glob)
+def load_account_batches(spark: SparkSession, path: str, one_per_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(users, tweets) from account batches ``{data: [...], includes: {tweets: [...]}}``:
+    one document per file, or one per line (files then split across tasks)."""
+    raw = spark.read.schema(ACCOUNT_BATCH_DDL.replace("\n", " ")).option("multiLine", not one_per_line).json(path)
     users = raw.select(F.explode("data").alias("u")).select("u.*")
     tweets = raw.select(F.explode(F.coalesce(F.col("includes.tweets"), F.array())).alias("t")).select("t.*")
     return users, tweets

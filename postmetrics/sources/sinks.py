@@ -1,13 +1,13 @@
 """Sinks: partitioned parquet, CSV with header, JSON lines, text; resumable batch appends.
 
 Writers are plain ``DataFrameWriter`` calls (executors write in parallel, the
-driver only commits).  Resume is a ``left_anti`` join of the wanted batches
+driver only commits).  Resume is a ``left_anti`` join of the wanted rows
 against what the target already holds, then an append of the rest.
 """
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,17 +48,25 @@ def existing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 
 
 def resume_batches(spark: SparkSession, wanted: DataFrame, batch_col: str, path: str,
-                   produce: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Write only the batches not yet present at ``path`` (``left_anti``), append them, return all.
-
-    ``produce`` turns the wanted rows of the missing batches into output rows that
-    carry ``batch_col``.  A failed run leaves complete batches behind (each append
-    is one job commit), and the next run continues after them.
+                   produce: Callable[[DataFrame], DataFrame], key_cols: Sequence[str] | None = None,
+                   groups: int = 1) -> tuple[DataFrame, list[tuple[int, str]]]:
+    """Write only the rows not yet present at ``path``; return (all rows, failed groups).
+
+    Rows count as done by their key (``key_cols``, the columns of ``wanted`` if None), so a batch
+    that an earlier run left half written is completed.  ``produce`` turns the missing wanted rows
+    into output rows that carry the key and ``batch_col``.  Batches are dealt into ``groups``
+    appends; a group that fails is recorded with its error and left out, the others go on, and the
+    next run takes it up again.  Batches are a column, not folders.
     """
+    keys = list(key_cols or wanted.columns)
     done = existing(spark, path)
-    todo = wanted
-    if done is not None:
-        todo = wanted.join(done.select(batch_col).distinct(), batch_col, "left_anti")
-    out = produce(todo)
-    out.write.mode("append").partitionBy(batch_col).parquet(path)
-    return spark.read.parquet(path)
+    todo = wanted if done is None else wanted.join(done.select(*keys).distinct(), keys, "left_anti")
+    failed = []
+    for g in range(groups):
+        part = todo.where(F.pmod(F.xxhash64(batch_col), F.lit(groups)) == g) if groups > 1 else todo
+        try:
+            produce(part).write.mode("append").parquet(path)
+        except Exception as e:  # the next group goes on
+            failed.append((g, str(e).splitlines()[0]))
+    written = existing(spark, path)
+    return (written if written is not None else produce(todo.limit(0))), failed

@@ -167,18 +167,34 @@ def test_archive_scalar_raises_and_empty(spark, tmp_path):
 def test_resume_writes_only_missing_batches(spark, tmp_path):
     wanted = spark.createDataFrame([(i, i // 10) for i in range(50)], "id long, batch int")
     path = str(tmp_path / "out")
-    wanted.where("batch < 2").write.partitionBy("batch").parquet(path)
+    wanted.where("batch < 2 OR (batch = 2 AND id < 24)").write.parquet(path)
     produced = []
 
     def produce(todo):
-        produced.append(sorted({r.batch for r in todo.select("batch").distinct().collect()}))
+        produced.append(sorted(r.id for r in todo.collect()))
         return todo
 
-    final = sinks.resume_batches(spark, wanted, "batch", path, produce)
-    assert produced == [[2, 3, 4]]
+    final, failed = sinks.resume_batches(spark, wanted, "batch", path, produce, ["id"])
+    assert produced == [list(range(24, 50))] and not failed
     assert sorted(r.id for r in final.collect()) == list(range(50))
 
 
+def test_resume_goes_on_after_a_failing_group(spark, tmp_path):
+    wanted = spark.createDataFrame([(i, i // 10) for i in range(50)], "id long, batch int")
+    path = str(tmp_path / "out")
+
+    def produce(todo):
+        if todo.where("batch = 3").count():
+            raise OSError("service down")
+        return todo
+
+    final, failed = sinks.resume_batches(spark, wanted, "batch", path, produce, ["id"], groups=5)
+    missing = set(range(50)) - {r.id for r in final.collect()}
+    assert [e for _, e in failed] == ["service down"] and set(range(30, 40)) <= missing < set(range(50))
+    again, failed = sinks.resume_batches(spark, wanted, "batch", path, lambda t: t, ["id"], groups=5)
+    assert not failed and sorted(r.id for r in again.collect()) == list(range(50))
+
+
 def test_csv_roundtrip_keeps_texts(spark, tmp_path):
     texts = ['line one\nline "two"', "  padded  ", "comma, inside"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
