@@ -61,8 +61,8 @@ def engineer_posts(df: DataFrame, owner_id: str | Column | None = None, screen_n
         author = resolve(df, ["user.id_str", "user.id"]).cast("string")
         screen = resolve(df, SCREEN_NAME_ALIASES).cast("string")
         who = df.select(author.alias("a"), screen.alias("s"), reply_user.alias("r"))
-        found = infer_owner(who, "a", "s", "r", hint=screen_name_hint).scalar()
-        owner = F.coalesce(found, F.raise_error(F.lit("the account owner can't be inferred")).cast("string"))
+        # without any author or reply target there is no reply whose type depends on the owner
+        owner = infer_owner(who, "a", "s", "r", hint=screen_name_hint).scalar()
     else:
         owner = owner_id if isinstance(owner_id, Column) else F.lit(owner_id)
 

@@ -51,6 +51,24 @@ def model_ols_hc1(spark, d):
     return t.select("term", r6("coef").alias("coef"), r6("se").alias("se"))
 
 
+@register("model_ols_two_regressors", """
+WITH t AS (SELECT ln(1 + strlen(text)) AS y, n_chars::DOUBLE AS a, (lang = 'en')::INT::DOUBLE AS b FROM documents),
+m AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM t),
+s AS (SELECT sum((a - ma) * (a - ma)) AS aa, sum((a - ma) * (b - mb)) AS ab, sum((b - mb) * (b - mb)) AS bb,
+             sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS yb FROM t, m),
+c AS (SELECT (bb * ay - ab * yb) / (aa * bb - ab * ab) AS pa, (aa * yb - ab * ay) / (aa * bb - ab * ab) AS pb FROM s)
+SELECT 'Intercept' AS term, round_even(my - pa * ma - pb * mb, 6) AS coef FROM m, c
+UNION ALL SELECT '1000 n_chars', round_even(1000 * pa, 6) FROM c
+UNION ALL SELECT 'english[T.True]', round_even(pb, 6) FROM c""")
+def model_ols_two_regressors(spark, d):
+    """Text length next to a boolean: regressors of very different size."""
+    docs = table(spark, d, "documents").select(F.log1p(F.octet_length("text")).alias("y"), "n_chars", (F.col("lang") == "en").alias("english"))
+    t = fit_ols(docs, "y", [("num", "n_chars"), ("bool", "english")]).table(spark)
+    per = F.when(F.col("term") == "n_chars", 1000).otherwise(1)
+    term = F.when(F.col("term") == "n_chars", "1000 n_chars").otherwise(F.col("term"))
+    return t.select(term.alias("term"), r6(F.col("coef") * per).alias("coef"))
+
+
 @register("model_coef_table", SQL_OLS_BASE + """
 SELECT term, round_even(coef, 6) AS coef, round_even(se, 6) AS se, round_even(coef / se, 6) AS z,
   round_even(coef - 1.959963984540054 * se, 6) AS ci_lower, round_even(coef + 1.959963984540054 * se, 6) AS ci_upper

@@ -99,3 +99,16 @@ def test_weekly_volume_fills_empty_weeks(spark):
 def test_winsorize_null_cap_keeps_values(spark):
     df = spark.createDataFrame([(1.0, None), (5.0, 3.0)], "x double, cap double")
     assert [r[0] for r in df.select(fx.winsorize("x", "cap")).collect()] == [1.0, 3.0]
+
+
+def test_null_and_odd_values(spark):
+    from postmetrics.functions.numeric import round_half_even
+    df = spark.createDataFrame([(1.0, "NaN"), (2.0, "1e30"), (None, "-Infinity"), (100.0, "12.9")], "x double, t string")
+    got = df.select(fx.winsorize("x", F.lit(2.0)).alias("w"), fx.coerce_count("t").alias("c"),
+                    fx.week_period(F.lit(None).cast("timestamp")).alias("p")).collect()
+    assert [r.w for r in got] == [1.0, 2.0, None, 2.0]
+    assert [r.c for r in got] == [0, 0, 0, 12]
+    assert all(r.p is None for r in got)
+    near = spark.createDataFrame([(3.25009, 1, 3.3), (3.25, 1, 3.2), (12.5009, 0, 13.0), (12.5, 0, 12.0), (-0.35, 1, -0.4)], "x double, d int, want double")
+    for r in near.select("*", round_half_even("x", 1).alias("one"), round_half_even("x", 0).alias("none")).collect():
+        assert (r.one if r.d == 1 else r.none) == r.want

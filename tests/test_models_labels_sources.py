@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmetrics.operators import labels as lb
+from postmetrics.operators.engineer import engineer_posts
 from postmetrics.sources import archive as ar
 from postmetrics.sources import sinks
 from postmetrics.stats import linalg as la
+from postmetrics.stats.linalg import sym_pinv
 from postmetrics.stats.models import fit_entity_fe, fit_ols, fit_poisson
 
 
@@ -299,13 +301,83 @@ def test_entity_fe_summary_statistics(spark):
     pdf = pd.DataFrame({"ent": ent.astype(str), "x": x, "y": y})
     fit = fit_entity_fe(spark.createDataFrame(pdf), "y", ["x"], "ent")
     s = fit.summary
-    slope = fit.params[fit.names.index("x")]
-    assert math.isclose(s["r_squared_overall"], np.corrcoef(y, slope * x)[0, 1] ** 2, rel_tol=1e-9)
-    g = pdf.assign(p=slope * x).groupby("ent")[["y", "p"]].mean()
-    assert math.isclose(s["r_squared_between"], np.corrcoef(g.y, g.p)[0, 1] ** 2, rel_tol=1e-9)
+    fitted = fit.params[fit.names.index("const")] + fit.params[fit.names.index("x")] * x
+
+    def explained(y, p):
+        return 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    assert math.isclose(s["r_squared_overall"], explained(y, fitted), rel_tol=1e-9)
+    g = pdf.assign(p=fitted).groupby("ent")[["y", "p"]].mean()
+    assert math.isclose(s["r_squared_between"], explained(g.y, g.p), rel_tol=1e-9)
+    row = {r.term: r for r in fit.table(spark).collect()}["x"]
+    assert row.ci_upper - row.coef > 1.96 * row.se and 0 <= row.p <= 1  # Student's t, wider than normal
     assert s["poolability_df"] == (19, 500 - 2 - 19) and s["poolability_f"] > 1
 
 
+@pytest.mark.parametrize("unit", [1.0, 1e6, 1e-3])
+def test_ols_with_regressors_of_different_size(spark, unit):
+    """Estimates equal least squares when a large or tiny regressor stands next to a rare dummy."""
+    rnd = np.random.default_rng(3)
+    n = 4000
+    x = rnd.uniform(0, unit, n)
+    rare = np.arange(n) < 10
+    nested = np.arange(n) < 1000
+    y = 1.0 + 2.0 * x / unit + 0.7 * rare - 0.3 * nested + rnd.normal(size=n) * 0.1
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "rare": rare, "nested": nested, "y": y}))
+    fit = fit_ols(df, "y", [("num", "x"), ("bool", "rare"), ("bool", "nested")])
+    want = np.linalg.lstsq(np.column_stack([np.ones(n), x, rare, nested]).astype(float), y, rcond=None)[0]
+    assert fit.rank == 4
+    assert np.allclose(fit.params, want, rtol=1e-8, atol=0)
+
+
+def test_sym_pinv_is_the_moore_penrose_inverse():
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(200, 5)) * np.array([1, 1e5, 1e-3, 1, 1])
+    x[:, 4] = 3 * x[:, 0] - 2 * x[:, 3]
+    inv, rank = sym_pinv(x.T @ x)
+    y = rnd.normal(size=200)
+    assert rank == 4
+    scaled = np.linalg.pinv(x, rcond=1e-13) @ y
+    assert np.allclose(inv @ (x.T @ y), scaled, rtol=1e-6)
+    inv, rank = sym_pinv(np.diag([4.0, 0.0]))
+    assert rank == 1 and np.allclose(inv, np.diag([0.25, 0.0]))
+
+
+def test_log_gamma_series():
+    from postmetrics.stats.gram import _lgamma1p
+    y = np.array([0.0, 0.5, 1, 2, 7, 100, 1e6, 3e9])
+    assert np.allclose(_lgamma1p(y), [math.lgamma(v + 1) for v in y], rtol=1e-13, atol=1e-12)
+
+
+def test_one_failing_text_is_one_neutral_row(spark):
+    from postmetrics.operators.labels import label_replies
+
+    def labeler(texts):
+        if (texts == "bad").any():
+            raise ValueError("refused")
+        return texts.map(lambda t: "ok")
+    df = spark.createDataFrame([(i, "bad" if i == 37 else f"t{i}") for i in range(200)], "id long, text string").coalesce(1)
+    got = {r.id: r.reply for r in label_replies(df, "id", "text", {"m": labeler}).collect()}
+    assert [i for i, r in got.items() if r is None] == [37] and len(got) == 200
+
+
+def test_bad_json_line_fails_or_is_left_out(spark, tmp_path):
+    path = tmp_path / "posts.json"
+    path.write_text('{"id_str": "1"}\n{"id_str": \n{"tweets": [{"tweet": {"id_str": "2"}}, {"id_str": "3"}]}\n')
+    with pytest.raises(Exception, match="(?i)malformed|failfast"):
+        ar.load_posts(spark, str(path)).collect()
+    assert sorted(r.id_str for r in ar.load_posts(spark, str(path), skip_bad=True).collect()) == ["1", "2", "3"]
+
+
+def test_dotted_columns_and_last_parent(spark):
+    rows = [("1", "2024-01-01 00:00:00", None, ["m"], ["h", "g"]), ("2", "2024-01-02 00:00:00", "9", None, []),
+            ("2", "2024-01-03 00:00:00", "1", None, None)]
+    df = spark.createDataFrame(rows, "id_str string, created_at string, in_reply_to_status_id_str string, "
+                                     "`tweet.extended_entities.media` array<string>, `tweet.entities.hashtags` array<string>").coalesce(1)
+    got = engineer_posts(df, owner_id="7").collect()
+    assert {(r.id_str, r.has_media, r.num_hashtags) for r in got} == {("1", True, 2), ("2", False, 0)}
+    assert {r.thread_id for r in got if r.id_str == "2"} == {"1"}
+
+
 def test_poisson_likelihoods(spark):
     df, pdf = _frame(spark, seed=2)
     fit = fit_poisson(df, "cnt", [("cat", "cat"), ("num", "x")])

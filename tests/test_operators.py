@@ -201,3 +201,22 @@ def test_with_previous_matches_python(spark):
     ordered = sorted(rows, key=lambda r: (r[1], r[0]))
     expect = {r[0]: (ordered[i - 1][2] if i else None) for i, r in enumerate(ordered)}
     assert got == expect
+
+
+def test_sample_is_spread_over_ids(spark):
+    """Sampled ids of three million dense ones: spread over the range and over residues."""
+    from postmetrics.operators.strata import stratified_sample
+    df = spark.range(3_200_000).select(F.col("id"), F.lit(1).alias("s"))
+    ids = sorted(r.id for r in stratified_sample(df, "s", "id", 125).collect())
+    assert len(ids) == 125 and len({i % 1_000_003 for i in ids}) == 125
+    assert all(15 <= sum(lo <= i < lo + 800_000 for i in ids) <= 50 for lo in range(0, 3_200_000, 800_000))
+
+
+def test_cycles_of_any_length_beside_chains(spark):
+    from postmetrics.operators.threads import thread_roots
+    edges = [(f"a{i}", f"a{(i + 1) % 7}") for i in range(7)] + [("b0", "b1"), ("b1", "b0"), ("t0", "t1"), ("t1", "a3")]
+    edges += [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)]
+    df = spark.createDataFrame(edges + [("c060", None)], "id string, parent string")
+    got = {r.id: r.thread_id for r in thread_roots(df, "id", "parent").collect()}
+    assert all(got[f"a{i}"] == "a0" for i in range(7)) and got["b0"] == got["b1"] == "b0" and got["t0"] == got["t1"] == "a0"
+    assert {v for k, v in got.items() if k[0] == "c"} == {"c060"}
