@@ -55,7 +55,6 @@ class KeywordRules:
     data_reference: Sequence[str]
     vulnerability: Sequence[str]
     critique: Sequence[tuple[str, Sequence[str]]]
-    max_reply_chars: int | None = None  # replies longer than this are cut (token limit)
 
 
 DEFAULT_RULES = KeywordRules(
@@ -107,8 +106,6 @@ class KeywordLabeler:
                  + ', "shows_vulnerability": ' + js(hits(self.rules.vulnerability))
                  + ', "critique_type": "' + first(self.rules.critique, NEUTRAL["critique_type"]) + '"}')
         replies = pd.Series(reply, index=index, dtype="object")
-        if self.rules.max_reply_chars:
-            replies = replies.str.slice(0, self.rules.max_reply_chars)
         return replies
 
 
@@ -263,15 +260,5 @@ def rules_sql(rules: KeywordRules, text: str = "text") -> dict[str, str]:
     }
 
 
-def reply_length_sql(e: dict[str, str]) -> str:
-    """Length of ``json.dumps`` of the record built from the SQL expressions."""
-    fixed = len(json.dumps({k: "" for k in LABEL_FIELDS[:2]} | {LABEL_FIELDS[2]: None, LABEL_FIELDS[3]: None,
-                                                                LABEL_FIELDS[4]: ""}))
-    # null -> 'null' (4 chars); booleans are 'true' (4) / 'false' (5)
-    return (f"({fixed} - 8 + length({e['humor_type']}) + length({e['topic_category']}) + length({e['critique_type']})"
-            f" + CASE WHEN {e['has_data_reference']} THEN 4 ELSE 5 END"
-            f" + CASE WHEN {e['shows_vulnerability']} THEN 4 ELSE 5 END)")
-
-
 def _q(s: str) -> str:
     return s.replace("'", "''")

@@ -24,7 +24,6 @@ LABELER_RULES = {
     "kw_digits_low": replace(lb.DEFAULT_RULES, data_reference=list("01234"),
                              critique=[r for r in lb.DEFAULT_RULES.critique if r[0] != "personal"]),
 }
-TRUNCATED_RULES = replace(lb.DEFAULT_RULES, max_reply_chars=150)
 
 
 def labelers():
@@ -59,18 +58,29 @@ def label_posts(spark, d):
     return lb.label_posts(doc_texts(spark, d), "doc_id", "text")
 
 
-_E = lb.rules_sql(lb.DEFAULT_RULES)
+def _neutral_sql(f):
+    v = lb.NEUTRAL[f]
+    return repr(v).upper() if isinstance(v, bool) else f"'{v}'"
+
+
 SQL_VALIDATE = f"""
-WITH r AS (SELECT doc_id, {_sel(lb.DEFAULT_RULES)}, {lb.reply_length_sql(_E)} AS reply_len FROM documents)
-SELECT doc_id, {", ".join(
-    f"CASE WHEN reply_len <= 150 THEN {f} ELSE {repr(lb.NEUTRAL[f]).upper() if isinstance(lb.NEUTRAL[f], bool) else chr(39) + lb.NEUTRAL[f] + chr(39)} END AS {f}"
-    for f in lb.LABEL_FIELDS)} FROM r"""
+WITH r AS (SELECT doc_id, {_sel(lb.DEFAULT_RULES)} FROM documents)
+SELECT doc_id, {", ".join(f"CASE WHEN doc_id % 5 IN (0, 4) THEN {f} ELSE {_neutral_sql(f)} END AS {f}" for f in lb.LABEL_FIELDS)}
+FROM r"""
 
 
 @register("label_validate", SQL_VALIDATE)
 def label_validate(spark, d):
-    """Replies cut at 150 characters (a token limit) fail validation and become neutral."""
-    return lb.label_posts(doc_texts(spark, d), "doc_id", "text", lb.KeywordLabeler(TRUNCATED_RULES))
+    """Replies broken by a rule on the post: a field missing, a wrong type, no JSON at all.
+
+    The rest (whole replies, also of long texts) are valid; broken ones become neutral.
+    """
+    r = lb.label_replies(doc_texts(spark, d), "doc_id", "text", {"labeler": lb.KeywordLabeler()})
+    kind = F.col("doc_id") % 5
+    reply = (F.when(kind == 1, F.regexp_replace("reply", '"topic_category": "[a-z_]*", ', ""))
+             .when(kind == 2, F.regexp_replace("reply", '"has_data_reference": (true|false)', '"has_data_reference": "maybe"'))
+             .when(kind == 3, F.concat(F.lit("Here it is: "), F.substring("reply", 2, 40))).otherwise(F.col("reply")))
+    return r.select("doc_id", *lb.validate(reply))
 
 
 @register("label_posts_multi", SQL_LONG)

@@ -15,13 +15,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postmetrics.operators.quantiles import quantiles
-from postmetrics.plans.derived import previous_in_time
 from postmetrics.plans.registry import r6, register
 from postmetrics.sources.tables import posts, table
 from postmetrics.stats import linalg as la
+from postmetrics.stats import models
 from postmetrics.stats.design import build_design, design_frame
 from postmetrics.stats.gram import gram
-from postmetrics.stats.models import fit_entity_fe, fit_ols, fit_poisson
+from postmetrics.stats.models import fit_entity_fe, fit_ols, fit_poisson, main_terms
 
 CAT = [("cat", "category")]
 
@@ -100,8 +100,7 @@ def _residuals_in_time(spark, d, fit):
 
 def durbin_watson(spark, d, fit):
     e = _residuals_in_time(spark, d, fit)
-    lagged = previous_in_time(e, "post_datetime", "post_id", ["e"])
-    return lagged.agg((F.sum((F.col("e") - F.col("prev_e")) ** 2) / F.sum(F.col("e") ** 2)).alias("durbin_watson"))
+    return models.durbin_watson(e, ["post_datetime", "post_id"])
 
 
 SQL_DW = """,
@@ -181,10 +180,9 @@ def model_interactions(spark, d):
     return _interaction_fit(spark, d).table(spark).select("term", r6("coef").alias("coef"))
 
 
-@register("filt_term_regex", SQL_INTER + " SELECT term, round_even(coef, 6) AS coef FROM coefs WHERE contains(term, ':')")
+@register("filt_term_regex", SQL_INTER + " SELECT term, round_even(coef, 6) AS coef FROM coefs WHERE regexp_matches(term, '^[^:]+:[^:]+$')")
 def filt_term_regex(spark, d):
-    t = _interaction_fit(spark, d).table(spark)
-    return t.where(F.col("term").contains(":")).select("term", r6("coef").alias("coef"))
+    return main_terms(_interaction_fit(spark, d).table(spark), "^[^:]+:[^:]+$").select("term", r6("coef").alias("coef"))
 
 
 SQL_POISSON = """
@@ -219,6 +217,46 @@ def model_irr(spark, d):
     return t.select("term", r6("coef").alias("irr"), r6("ci_lower").alias("ci_lower"), r6("ci_upper").alias("ci_upper"))
 
 
+MAIN = r"\[T\.[psv]"
+
+
+@register("model_coef_main", SQL_OLS_BASE + f"""
+SELECT term, round_even(coef, 6) AS coef, round_even(se, 6) AS se FROM coefs WHERE regexp_matches(term, '{MAIN}') ORDER BY coef DESC""")
+def model_coef_main(spark, d):
+    """Coefficients of the main variables, largest first."""
+    return main_terms(_ols_fit(spark, d).table(spark), MAIN).select("term", r6("coef").alias("coef"), r6("se").alias("se"))
+
+
+@register("model_irr_main", SQL_POISSON + f"""
+SELECT term, round_even(exp(coef), 6) AS irr FROM coefs WHERE regexp_matches(term, '{MAIN}') ORDER BY irr DESC""")
+def model_irr_main(spark, d):
+    """Rate ratios of the main variables, largest first."""
+    return main_terms(_poisson_fit(spark, d).table(spark, exp=True), MAIN).select("term", r6("coef").alias("irr"))
+
+
+@register("model_panel_fe_summary", """
+WITH d AS (SELECT l_suppkey AS e, l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS x FROM lineitem
+           WHERE l_suppkey IS NOT NULL AND l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL),
+sz AS (SELECT e, count(*) AS c, avg(y) AS my, avg(x) AS mx FROM d GROUP BY e HAVING count(*) >= 2),
+dd AS (SELECT d.y - sz.my AS yt, d.x - sz.mx AS xt, d.y, d.x FROM d JOIN sz USING (e)),
+g AS (SELECT avg(y) AS gy, avg(x) AS gx, sum(xt * yt) / sum(xt * xt) AS b FROM dd),
+w AS (SELECT 1 - sum((yt - b * xt) * (yt - b * xt)) / sum(yt * yt) AS r2_within,
+             1 - sum((y - gy - b * (x - gx)) * (y - gy - b * (x - gx))) / sum((y - gy) * (y - gy)) AS r2_overall, count(*) AS n FROM dd, g),
+m AS (SELECT avg(my) AS mm, count(*) AS entities, min(c) AS least, max(c) AS most, avg(c) AS mean FROM sz),
+t AS (SELECT 1 - sum((my - gy - b * (mx - gx)) * (my - gy - b * (mx - gx))) / sum((my - mm) * (my - mm)) AS r2_between FROM sz, g, m)
+SELECT n::BIGINT AS nobs, entities::BIGINT AS entities, least::BIGINT AS min_obs, most::BIGINT AS max_obs, round_even(mean, 6) AS mean_obs,
+       round_even(r2_within, 6) AS r2_within, round_even(r2_between, 6) AS r2_between, round_even(r2_overall, 6) AS r2_overall FROM w, m, t""")
+def model_panel_fe_summary(spark, d):
+    """Header of the fixed-effects report: counts and the three R-squared variants."""
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_extendedprice", "l_quantity")
+    s = fit_entity_fe(li, "l_extendedprice", ["l_quantity"], "l_suppkey", min_size=2).summary
+    row = spark.createDataFrame([(int(s["n"]), s["entities"], *s["obs_per_entity"], s["r_squared_within"], s["r_squared_between"],
+                                  s["r_squared_overall"])],
+                                "nobs long, entities long, min_obs long, max_obs long, mean_obs double, r2_within double, "
+                                "r2_between double, r2_overall double")
+    return row.select("nobs", "entities", "min_obs", "max_obs", *[r6(c).alias(c) for c in ("mean_obs", "r2_within", "r2_between", "r2_overall")])
+
+
 @register("model_panel_fe", """
 WITH d AS (SELECT l_suppkey AS e, l_extendedprice AS y, l_quantity AS x FROM lineitem
            WHERE l_suppkey IS NOT NULL AND l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL),

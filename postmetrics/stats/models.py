@@ -49,6 +49,21 @@ class Fit:
         return spark.createDataFrame(rows, schema)
 
 
+def main_terms(table: DataFrame, pattern: str, by: str = "coef") -> DataFrame:
+    """Rows of a coefficient table whose term matches ``pattern`` (a regular expression), by value."""
+    from pyspark.sql import functions as F
+    return table.where(F.col("term").rlike(pattern)).orderBy(F.desc(by), "term")
+
+
+def durbin_watson(residuals: DataFrame, order: Sequence[str], name: str = "e") -> DataFrame:
+    """Durbin-Watson statistic of a residual column in the given row order, for any fitted design."""
+    from pyspark.sql import functions as F
+    from postmetrics.operators.ordinal import with_previous
+    lagged = with_previous(residuals, [F.col(c) for c in order], [name], "prev_")
+    e, before = F.col(name), F.col(f"prev_{name}")
+    return lagged.agg((F.sum((e - before) ** 2) / F.sum(e ** 2)).alias("durbin_watson"))
+
+
 def _f(x) -> float | None:
     x = float(x)
     return x if math.isfinite(x) else None
@@ -186,11 +201,13 @@ def fit_entity_fe(df: DataFrame, y: str, xs: Sequence[str], entity: str, min_siz
     data = data.select(entity, *[F.col(c).cast("double").alias(c) for c in [y, *xs]]).dropna()
     dm = entity_demean(data, entity, [y, *xs])
     fit = fit_ols(dm, y, [("num", x) for x in xs], cov_type="classical")
-    n_ent = data.select(entity).distinct().count()
+    of_entity = data.groupBy(entity).count().agg(
+        F.count("*").alias("entities"), F.min("count").alias("lo"), F.max("count").alias("hi"), F.avg("count").alias("mean")).first()
+    n_ent = of_entity["entities"]
     k = fit.rank
     df_resid = fit.n - k - (n_ent - 1)
     cov = fit.cov * (fit.n - k) / df_resid
-    s = dict(fit.summary, df_resid=df_resid, entities=n_ent)
+    s = dict(fit.summary, df_resid=df_resid, entities=n_ent, obs_per_entity=(of_entity["lo"], of_entity["hi"], of_entity["mean"]))
     if len(fit.params) > 1:
         v_inv, q = la.sym_pinv(cov[1:, 1:])
         f = float(fit.params[1:] @ v_inv @ fit.params[1:]) / max(q, 1)

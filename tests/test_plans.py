@@ -27,3 +27,12 @@ def test_event_window_pushes_time_range(spark):
 def test_no_cartesian_products(spark, key):
     plan = _plan(spark, key)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("key", ["proj_is_retweet", "proj_is_quote", "proj_is_reply"])
+def test_row_flags_move_no_rows(spark, key):
+    assert "Exchange" not in _plan(spark, key)
+
+
+def test_archive_is_scanned_once(spark):
+    assert _plan(spark, "scan_posts_json").count("FileScan json") == 1
