@@ -1,78 +1,41 @@
 """Distributed sums for least squares: XᵀWX, XᵀWy, Σ w e² x xᵀ, residual moments.
 
-Each partition reduces its Arrow batches with numpy (``mapInPandas``) to a
-p x p partial, emitted in long form (i, j, value); Spark sums the partials by
-(i, j).  Only p x p numbers ever reach the driver, whatever the row count.
+Each partition reduces its Arrow batches with numpy (``mapInPandas``) to p x p
+partials and sends them as one packed row; rows are summed in at most ``SLOTS``
+groups, and their sums on the driver.  So a pass moves one row per partition,
+whatever the design, and only p x p numbers ever reach the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-_LONG = "k int, i int, j int, v double"
-
-
-def _emit(blocks: dict[int, np.ndarray]) -> pd.DataFrame:
-    rows = []
-    for k, m in blocks.items():
-        m = np.atleast_2d(m)
-        ii, jj = np.indices(m.shape)
-        rows.append(pd.DataFrame({"k": k, "i": ii.ravel().astype("int32"), "j": jj.ravel().astype("int32"),
-                                  "v": m.ravel().astype("float64")}))
-    return pd.concat(rows, ignore_index=True)
-
-
-def _collect(long_df: DataFrame, shapes: dict[int, tuple]) -> dict[int, np.ndarray]:
-    summed = long_df.groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect()  # <= sum of p*p cells
-    out = {k: np.zeros(s) for k, s in shapes.items()}
-    for r in summed:
-        out[r["k"]][r["i"], r["j"]] = r["v"]
-    return out
-
-
-# Up to this many sums the Gram pass is plain SQL aggregates (JVM, whole-stage codegen);
-# wider designs reduce Arrow batches with numpy in ``mapInPandas``.
-JVM_MAX_SUMS = 600
-
-
-def _gram_jvm(frame: DataFrame, p: int, q: int, weight: str | None) -> dict[str, np.ndarray]:
-    x = [F.col(f"x{i}") for i in range(p)]
-    y = [F.col(f"y{j}") for j in range(q)]
-    w = F.col(weight) if weight else None
-    mul = (lambda a, b: a * b * w) if w is not None else (lambda a, b: a * b)
-    aggs, keys = [], []
-    for i in range(p):
-        for j in range(i, p):
-            aggs.append(F.sum(mul(x[i], x[j])))
-            keys.append((0, i, j))
-        for j in range(q):
-            aggs.append(F.sum(mul(x[i], y[j])))
-            keys.append((1, i, j))
-    for i in range(q):
-        for j in range(i, q):
-            aggs.append(F.sum(mul(y[i], y[j])))
-            keys.append((2, i, j))
-    aggs.append(F.count(F.lit(1)))
-    row = frame.agg(*aggs).first()
-    xtx, xty, yty = np.zeros((p, p)), np.zeros((p, q)), np.zeros((q, q))
-    for (k, i, j), v in zip(keys, row[:-1]):
-        v = float(v or 0.0)
-        if k == 0:
-            xtx[i, j] = xtx[j, i] = v
-        elif k == 1:
-            xty[i, j] = v
-        else:
-            yty[i, j] = yty[j, i] = v
-    return {"xtx": xtx, "xty": xty, "yty": yty, "n": float(row[-1])}
+
+#: Groups of the first level of the sum; a group holds one row for each of its partitions.
+SLOTS = 256
+_PACKED = "slot int, v binary"
+
+
+def _emit(*blocks: np.ndarray) -> pd.DataFrame:
+    flat = np.concatenate([np.asarray(m, dtype="float64").ravel() for m in blocks])
+    return pd.DataFrame({"slot": [TaskContext.get().partitionId() % SLOTS], "v": [flat.tobytes()]})
+
+
+def _add_up(group: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"v": [sum(np.frombuffer(v) for v in group["v"]).tobytes()]})
+
+
+def _collect(packed: DataFrame, *shapes: tuple) -> list[np.ndarray]:
+    rows = packed.groupBy("slot").applyInPandas(_add_up, "v binary").collect()  # SLOTS rows at most
+    ends = np.cumsum([int(np.prod(s)) for s in shapes])
+    total = sum((np.frombuffer(r["v"]) for r in rows), np.zeros(ends[-1]))
+    return [part.reshape(shape) for part, shape in zip(np.split(total, ends[:-1]), shapes)]
 
 
 def gram(frame: DataFrame, p: int, q: int, weight: str | None = None) -> dict[str, np.ndarray]:
     """XᵀWX (p x p), XᵀWY (p x q), YᵀWY (q x q) and n over a ``design_frame``."""
-    if p * (p + 1) // 2 + p * q + q * (q + 1) // 2 <= JVM_MAX_SUMS:
-        return _gram_jvm(frame, p, q, weight)
     xcols = [f"x{i}" for i in range(p)]
     ycols = [f"y{j}" for j in range(q)]
 
@@ -86,11 +49,11 @@ def gram(frame: DataFrame, p: int, q: int, weight: str | None = None) -> dict[st
             xty += x.T @ (w * y)
             yty += y.T @ (w * y)
             n += len(pdf)
-        yield _emit({0: xtx, 1: xty, 2: yty, 3: np.array([[n]])})
+        yield _emit(xtx, xty, yty, np.array([n]))
 
     sel = frame.select(*xcols, *ycols, *([weight] if weight else []))
-    res = _collect(sel.mapInPandas(part, _LONG), {0: (p, p), 1: (p, q), 2: (q, q), 3: (1, 1)})
-    return {"xtx": res[0], "xty": res[1], "yty": res[2], "n": float(res[3][0, 0])}
+    xtx, xty, yty, n = _collect(sel.mapInPandas(part, _PACKED), (p, p), (p, q), (q, q), (1,))
+    return {"xtx": xtx, "xty": xty, "yty": yty, "n": float(n[0])}
 
 
 def irls_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0) -> dict[str, np.ndarray]:
@@ -113,44 +76,18 @@ def irls_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0) -> d
             xtz += x.T @ (mu * z)[:, None]
             with np.errstate(divide="ignore", invalid="ignore"):
                 dev[0, 0] += 2.0 * (np.where(y > 0, y * np.log(y / mu), 0.0) - (y - mu)).sum()
-        yield _emit({0: xtx, 1: xtz, 2: dev})
-
-    res = _collect(frame.select(*xcols, ycol).mapInPandas(part, _LONG), {0: (p, p), 1: (p, 1), 2: (1, 1)})
-    return {"xtx": res[0], "xty": res[1], "deviance": float(res[2][0, 0])}
-
-
-def _residual_jvm(frame: DataFrame, p: int, beta: np.ndarray, y_index: int, centre: float) -> dict[str, np.ndarray]:
-    x = [F.col(f"x{i}") for i in range(p)]
-    eta = F.lit(0.0)
-    for b, c in zip(np.asarray(beta, dtype="float64").reshape(-1), x):
-        eta = eta + F.lit(float(b)) * c
-    e = F.col(f"y{y_index}") - eta
-    e2 = e * e
-    aggs, keys = [], []
-    for i in range(p):
-        for j in range(i, p):
-            aggs.append(F.sum(e2 * x[i] * x[j]))
-            keys.append((i, j))
-    about = F.col(f"y{y_index}") - F.lit(float(centre))
-    aggs += [F.count(F.lit(1)), F.sum(e), F.sum(e2), F.sum(e2 * e), F.sum(e2 * e2), F.sum(about * about)]
-    row = frame.agg(*aggs).first()
-    meat = np.zeros((p, p))
-    for (i, j), v in zip(keys, row[:len(keys)]):
-        meat[i, j] = meat[j, i] = float(v or 0.0)
-    n, s1, s2, s3, s4, yc2 = [float(v or 0.0) for v in row[len(keys):]]
-    return {"meat": meat, "n": n, "sum_e": s1, "sum_e2": s2, "sum_e3": s3, "sum_e4": s4,
-            "sum_yc2": yc2, "deviance": float("nan"), "pearson": float("nan"), "llf": float("nan")}
+        yield _emit(xtx, xtz, dev)
+
+    xtx, xtz, dev = _collect(frame.select(*xcols, ycol).mapInPandas(part, _PACKED), (p, p), (p, 1), (1,))
+    return {"xtx": xtx, "xty": xtz, "deviance": float(dev[0])}
 
 
 def residual_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0,
                   mu_link: str = "identity", centre: float = 0.0) -> dict[str, np.ndarray]:
     """Σ e² x xᵀ (meat), Σe², Σe³, Σe⁴, Σe, Σ(y-ȳ)… for one response and fitted β.
 
-    ``mu_link='log'`` gives Poisson residuals y - exp(xβ) plus deviance terms
-    (log-factorials need numpy, so that path always runs in ``mapInPandas``).
+    ``mu_link='log'`` gives Poisson residuals y - exp(xβ) plus deviance terms.
     """
-    if mu_link == "identity" and p * (p + 1) // 2 + 5 <= JVM_MAX_SUMS:
-        return _residual_jvm(frame, p, beta, y_index, centre)
     xcols = [f"x{i}" for i in range(p)]
     ycol = f"y{y_index}"
     b = np.asarray(beta, dtype="float64").reshape(-1)
@@ -179,12 +116,11 @@ def residual_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0,
                 lg = _lgamma1p(y)
                 mom[7] += (y * eta - mu - lg).sum()              # log-likelihood
                 mom[8] += lg.sum()                               # sum log(y!)
-        yield _emit({0: meat, 1: mom.reshape(1, -1)})
+        yield _emit(meat, mom)
 
     sel = frame.select(*xcols, ycol)
-    res = _collect(sel.mapInPandas(part, _LONG), {0: (p, p), 1: (1, 10)})
-    m = res[1][0]
-    return {"meat": res[0], "n": m[0], "sum_e": m[1], "sum_e2": m[2], "sum_e3": m[3], "sum_e4": m[4],
+    meat, m = _collect(sel.mapInPandas(part, _PACKED), (p, p), (10,))
+    return {"meat": meat, "n": m[0], "sum_e": m[1], "sum_e2": m[2], "sum_e3": m[3], "sum_e4": m[4],
             "deviance": m[5], "pearson": m[6], "llf": m[7], "sum_lgamma": m[8], "sum_yc2": m[9]}
 
 

@@ -14,6 +14,7 @@ from postmetrics.operators.engineer import engineer_posts
 from postmetrics.sources import archive as ar
 from postmetrics.sources import sinks
 from postmetrics.stats import linalg as la
+from postmetrics.stats.design import build_design, design_frame
 from postmetrics.stats.linalg import sym_pinv
 from postmetrics.stats.models import fit_entity_fe, fit_ols, fit_poisson
 
@@ -237,15 +238,19 @@ def test_engineer_posts_end_to_end(spark, tmp_path):
     assert core == {"0", "2", "5", "6"}
 
 
-def test_gram_paths_agree(spark, monkeypatch):
+def test_sums_do_not_depend_on_partitions(spark, monkeypatch):
+    """One packed row per partition, summed in slots: the same fit for any number of either."""
     from postmetrics.stats import gram as G
     df, _ = _frame(spark, seed=3)
-    jvm = fit_ols(df, "y", TERMS)
-    monkeypatch.setattr(G, "JVM_MAX_SUMS", 0)
-    arrow = fit_ols(df, "y", TERMS)
-    assert np.allclose(jvm.params, arrow.params, atol=1e-9)
-    assert np.allclose(jvm.cov, arrow.cov, atol=1e-9)
-    assert math.isclose(jvm.summary["kurtosis"], arrow.summary["kurtosis"], rel_tol=1e-9)
+    one = fit_ols(df.coalesce(1), "y", TERMS)
+    monkeypatch.setattr(G, "SLOTS", 3)
+    many = fit_ols(df.repartition(17), "y", TERMS)
+    assert np.allclose(one.params, many.params, atol=1e-9)
+    assert np.allclose(one.cov, many.cov, atol=1e-9)
+    assert math.isclose(one.summary["kurtosis"], many.summary["kurtosis"], rel_tol=1e-9)
+    frame = design_frame(df.repartition(5), build_design(df, TERMS), ["y"])
+    partials = frame.mapInPandas(lambda it: (G._emit(np.ones(2)) for _ in [list(it)]), G._PACKED)
+    assert partials.count() == 5
 
 
 def test_prompt_labeler_adapter(spark):
