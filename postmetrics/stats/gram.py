@@ -120,6 +120,7 @@ def residual_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0,
 
     sel = frame.select(*xcols, ycol)
     meat, m = _collect(sel.mapInPandas(part, _PACKED), (p, p), (10,))
+    m = m.tolist()
     return {"meat": meat, "n": m[0], "sum_e": m[1], "sum_e2": m[2], "sum_e3": m[3], "sum_e4": m[4],
             "deviance": m[5], "pearson": m[6], "llf": m[7], "sum_lgamma": m[8], "sum_yc2": m[9]}
 
