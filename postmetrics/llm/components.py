@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 from postmetrics.llm.staging import drop, stage
 
 
-def _toward_smallest(both: DataFrame) -> DataFrame:
-    """For each vertex u with smallest closed neighbour m: (v, m) for its neighbours v, and (u, m)."""
+def _toward_smallest(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each vertex u, m the smallest of it and its neighbours: (u, v, m) by neighbour v; (u, m), staged."""
     least = stage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-    pulled = both.join(least, "u")
-    return pulled, least
+    return both.join(least, "u"), least
 
 
 def connected_components(links: DataFrame) -> DataFrame:
