@@ -46,9 +46,9 @@ def entity_demean(df: DataFrame, entity: str, cols: Sequence[str], add_grand_mea
     """Within transform: x - mean_entity(x) (+ grand mean of x)."""
     means = df.groupBy(entity).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
     out = df.join(means, entity)
+    if add_grand_mean:  # all grand means from one aggregate
+        out = out.withColumn("_grand", df.agg(F.struct(*[F.avg(c).alias(c) for c in cols]).alias("g")).scalar())
     for c in cols:
         adj = F.col(c) - F.col(f"_m_{c}")
-        if add_grand_mean:
-            adj = adj + df.agg(F.avg(c)).scalar()
-        out = out.withColumn(c, adj)
-    return out.drop(*[f"_m_{c}" for c in cols])
+        out = out.withColumn(c, adj + F.col("_grand")[c] if add_grand_mean else adj)
+    return out.drop("_grand", *[f"_m_{c}" for c in cols])

@@ -20,6 +20,7 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),  # long texts: batches by size, not rows alone
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -39,11 +39,13 @@ def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
     return sorted(r[0] for r in rows)
 
 
-def _term_columns(df, term, lv_cache):
+def _term_columns(df, term, lv_cache, max_levels):
     kind = term[0]
     if kind == "cat":
         col = term[1]
-        lv = lv_cache.setdefault(col, levels(df, col))
+        if col not in lv_cache:
+            lv_cache[col] = levels(df, col, max_levels)
+        lv = lv_cache[col]
         return [(f"C({col})[T.{v}]", (F.col(col) == F.lit(v)).cast("double")) for v in lv[1:]]
     if kind == "bool":
         col = term[1]
@@ -52,19 +54,21 @@ def _term_columns(df, term, lv_cache):
         col = term[1]
         return [(col, F.col(col).cast("double"))]
     if kind == "inter":
-        left = _term_columns(df, term[1], lv_cache)
-        right = _term_columns(df, term[2], lv_cache)
+        left = _term_columns(df, term[1], lv_cache, max_levels)
+        right = _term_columns(df, term[2], lv_cache, max_levels)
         return [(f"{ln}:{rn}", lc * rc) for ln, lc in left for rn, rc in right]
     raise ValueError(f"unknown term kind {kind!r}")
 
 
-def build_design(df: DataFrame, terms: Sequence[tuple], intercept: bool = True) -> Design:
+def build_design(df: DataFrame, terms: Sequence[tuple], intercept: bool = True, max_levels: int = MAX_LEVELS) -> Design:
+    """Columns of the terms; a categorical with more than ``max_levels`` levels is an error, since the
+    driver solves systems as wide as the design."""
     names, exprs, cache = [], [], {}
     if intercept:
         names.append("Intercept")
         exprs.append(F.lit(1.0))
     for t in terms:
-        for n, e in _term_columns(df, t, cache):
+        for n, e in _term_columns(df, t, cache, max_levels):
             names.append(n)
             exprs.append(e)
     return Design(names, exprs)
