@@ -4,7 +4,8 @@ The vocabulary file (tokenizers JSON, byte-level BPE with the usual word pattern
 words, runs of white space and so on before merging.  Cuts that this split always makes are found by
 array operations: before a run of white space, after one that does not end in a space, and before
 the last white space of a longer run that a word follows.  Chunks between such cuts are encoded
-once; ids are gathered by position.  Rows with white space outside ASCII are encoded whole.
+once; ids are gathered by position.  Texts with white space outside ASCII or with an added token of
+the vocabulary (matched before any split) are encoded whole.
 """
 
 from __future__ import annotations
@@ -43,9 +44,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(vocabulary)
-        self.whole.encode_special_tokens = True
         spec = json.load(open(vocabulary, encoding="utf-8"))
         special = {t["content"] for t in spec.get("added_tokens", [])}
+        self.only_whole = re.compile(b"|".join([_OTHER_SPACE.pattern, *(re.escape(t.encode()) for t in sorted(special))]))
         back = _byte_of_char()
         ranks = {bytes(back[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
         self.merges = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -90,7 +91,7 @@ class Encoder:
         buf, starts, ends = text_buffer(texts)
         for lo, hi in row_slices(starts, ends, STEP_BYTES):
             part, s, e = buf[starts[lo]:ends[hi - 1]], starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo]
-            if _OTHER_SPACE.search(part.tobytes()):
+            if self.only_whole.search(part.tobytes()):
                 out = [self.whole.encode(part[a:z].tobytes().decode(), add_special_tokens=False).ids for a, z in zip(s, e)]
                 yield (lo, hi), np.array([x for i in out for x in i], np.int32), np.array([len(i) for i in out], np.int64)
                 continue

@@ -273,6 +273,23 @@ def test_byte_pieces_random_texts():
         assert [g.tolist() for g in got] == [w.ids for w in want]
 
 
+def test_byte_pieces_added_tokens():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    fresh = Tokenizer.from_file(vocabulary())
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "a", "b c", "é", "\u3000"]
+    texts = ["a <|endoftext|> b"] + ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(2000)]
+    for some in ([t] for t in texts):  # one by one, so that no text takes the path of another
+        (_, ids, size), = encoder(vocabulary()).encode(pa.array(some))
+        assert ids.tolist() == fresh.encode(some[0], add_special_tokens=False).ids and size.tolist() == [len(ids)]
+    got = []
+    for _, ids, size in encoder(vocabulary()).encode(pa.array(texts)):
+        got += np.split(ids, np.cumsum(size)[:-1])
+    assert [g.tolist() for g in got] == [w.ids for w in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert got[0].tolist() == [64, 220, 50256, 275]
+
+
 # -- scores ----------------------------------------------------------------------------------------
 
 def test_context_tree_baseline_and_tree(docs, rows):
