@@ -139,6 +139,39 @@ def proj_has_media(spark, d):
     return pg.select("page_id", fx.has_media(media).alias("has_media"))
 
 
+@register("proj_has_link_whole", """
+SELECT page_id, 'page' AS input, regexp_matches(COALESCE(html, ''), 'https://t.co/') AS has_link FROM pages
+UNION ALL
+SELECT page_id, 'link added', regexp_matches(COALESCE(html || ' https://t.co/x', ''), 'https://t.co/') FROM pages
+UNION ALL
+SELECT page_id, 'no text', FALSE FROM pages""")
+def proj_has_link_whole(spark, d):
+    """Every page by its whole text; beside it one row with a short link added and one without text."""
+    pg = table(spark, d, "pages")
+    texts = {"page": F.col("html"), "link added": F.concat("html", F.lit(" https://t.co/x")), "no text": F.lit(None).cast("string")}
+    return _beside(pg, texts).select("page_id", "input", fx.has_link("value").alias("has_link"))
+
+
+@register("proj_has_media_whole", """
+SELECT page_id, 'page' AS input, COALESCE(len(regexp_extract_all(html, '<h1[^>]*>')) > 0, FALSE) AS has_media FROM pages
+UNION ALL
+SELECT page_id, 'emptied', FALSE FROM pages
+UNION ALL
+SELECT page_id, 'no media', FALSE FROM pages""")
+def proj_has_media_whole(spark, d):
+    """Every page by its whole list; beside it one row with an empty list and one without a list."""
+    pg = table(spark, d, "pages")
+    lists = {"page": F.regexp_extract_all("html", F.lit("<h1[^>]*>"), 0), "emptied": F.array().cast("array<string>"),
+             "no media": F.lit(None).cast("array<string>")}
+    return _beside(pg, lists).select("page_id", "input", fx.has_media("value").alias("has_media"))
+
+
+def _beside(pg, values):
+    """One row for each page and named value, in one scan."""
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("input"), v.alias("value")) for name, v in values.items()]))
+    return pg.select("page_id", rows.alias("r")).select("page_id", "r.input", "r.value")
+
+
 @register("proj_question_mark", """
 SELECT page_id, contains(COALESCE(url, ''), '?') AS has_question_mark FROM pages""")
 def proj_question_mark(spark, d):

@@ -112,3 +112,16 @@ def test_null_and_odd_values(spark):
     near = spark.createDataFrame([(3.25009, 1, 3.3), (3.25, 1, 3.2), (12.5009, 0, 13.0), (12.5, 0, 12.0), (-0.35, 1, -0.4)], "x double, d int, want double")
     for r in near.select("*", round_half_even("x", 1).alias("one"), round_half_even("x", 0).alias("none")).collect():
         assert (r.one if r.d == 1 else r.none) == r.want
+
+
+def test_every_page_is_judged_by_its_whole_text(spark, tmp_path):
+    import __spark_entry__ as E
+    text = "x" * 200_000 + "\n<h1 id='a'> https://t.co/abc"
+    rows = [(k, "u", text if k < 12 else "plain" if k < 24 else None) for k in range(25)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for key, flag, more in (("proj_has_link_whole", "has_link", {"link added": 24, "no text": 0}),
+                            ("proj_has_media_whole", "has_media", {"emptied": 0, "no media": 0})):
+        got = E.queries()[key](spark, str(tmp_path)).collect()
+        assert {r["page_id"] for r in got if r["input"] == "page" and r[flag]} == set(range(12))
+        assert all(r[flag] is not None for r in got) and len(got) == 75
+        assert {n: sum(r[flag] for r in got if r["input"] == n) for n in more} == more
