@@ -65,9 +65,10 @@ def archive_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
+def engineered(spark: SparkSession, sf_dir: str, entities: bool = False) -> DataFrame:
     """Engineered post table over ``events``: the archive-shaped inputs go through the
-    general ``engineer_posts``; the owner is the modal author (ties: smallest id)."""
+    general ``engineer_posts``; the owner is the modal author (ties: smallest id).
+    With ``entities``, posts get links in their texts, media, hashtags and mentions by ranges of k."""
     a = archive_inputs(spark, sf_dir)
     owner = mode_value(a, "author_id", "owner_id").select(F.col("owner_id").cast("string")).scalar()
     posts_like = a.select(
@@ -75,11 +76,27 @@ def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("post_datetime").alias("created_at"), "full_text", "retweeted", "retweeted_status",
         "is_quote_status", "quoted_status_id_str", F.struct(F.col("urls").alias("urls")).alias("entities"),
         "in_reply_to_user_id_str", "in_reply_to_status_id_str", "favorite_count", "retweet_count")
+    if entities:
+        posts_like = _with_entities(posts_like)
     e = engineer_posts(posts_like, owner_id=owner, tier_start=EVENT_TIER_A, tier_end=EVENT_TIER_B,
                        threads=False, keep=("post_id", "author_id", "category", "engagement", "k"))
     return e
 
 
+def _with_entities(posts_like: DataFrame) -> DataFrame:
+    """A short link for k in 30..49, a picture for k in 45..64, k % 4 hashtags and k % 3 mentions (k known)."""
+    k = F.col("k")
+    link = F.when(k.between(30, 49), F.concat(F.lit(" https://t.co/"), F.col("id_str"))).otherwise("")
+
+    def names(n):
+        return F.coalesce(F.array_repeat(F.lit("name"), n.cast("int")), F.array().cast("array<string>"))
+    return posts_like.withColumns({
+        "full_text": F.concat(F.col("full_text"), link),
+        "extended_entities": F.struct(F.when(k.between(45, 64), F.array(F.lit("photo"))).alias("media")),
+        "entities": F.struct(F.col("entities.urls").alias("urls"), names(F.pmod(k, F.lit(4))).alias("hashtags"),
+                             names(F.pmod(k, F.lit(3))).alias("user_mentions"))})
+
+
 def core_sample(eng: DataFrame) -> DataFrame:
     return _core_sample(eng)
 

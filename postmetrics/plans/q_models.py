@@ -4,7 +4,7 @@
 * interactions: value ~ C(category) * is_weekend on events
 * Poisson / IRR: floor(value) ~ C(category)
 * entity fixed effects: l_extendedprice ~ l_quantity within l_suppkey (lineitem)
-* robustness sweep: log1p(capped value) ~ C(category) at caps .90 / .95 / .99
+* robustness sweep: log1p(capped value) ~ C(category) at caps .90 / .95 / .99; with the reference's terms on the core sample
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from postmetrics.operators.quantiles import quantiles
 from postmetrics.plans.registry import r6, register
+from postmetrics.session import materialize
 from postmetrics.sources.tables import posts, table
-from postmetrics.stats import linalg as la
 from postmetrics.stats import models
 from postmetrics.stats.design import build_design, design_frame
 from postmetrics.stats.gram import gram
@@ -297,27 +296,13 @@ UNION ALL
 SELECT pct, 'R-squared', round_even(1 - ssr / sst, 6) FROM ss""")
 def model_robust_sweep(spark, d):
     p = posts(spark, d).where(F.col("category").isNotNull() & F.col("engagement").isNotNull())
-    caps = quantiles(p, "engagement", THRESHOLDS, names=[f"c{int(t * 100)}" for t in THRESHOLDS])
-    ys = [F.log1p(F.least(F.col("engagement"), caps.select(f"c{int(t * 100)}").scalar())) for t in THRESHOLDS]
-    des = build_design(p, CAT)
-    # all three responses share X: one Gram pass with three y columns
-    g = gram(design_frame(p, des, ys), des.p, len(ys))
-    inv, _ = la.sym_pinv(g["xtx"])
-    rows = []
-    n = g["n"]
-    for j, t in enumerate(THRESHOLDS):
-        xty = g["xty"][:, j]
-        beta = inv @ xty
-        ssr = g["yty"][j, j] - 2 * beta @ xty + beta @ g["xtx"] @ beta
-        ybar = xty[0] / n
-        sst = g["yty"][j, j] - n * ybar * ybar
-        pct = int(round(t * 100))
-        rows += [(pct, nm, float(b)) for nm, b in zip(des.names[1:], beta[1:])]
-        rows.append((pct, "R-squared", float(1 - ssr / sst) if sst > 0 else math.nan))
-    out = spark.createDataFrame(rows, "threshold int, term string, value double")
-    return out.select("threshold", "term", r6("value").alias("value"))
+    return _sweep_table(spark, models.robust_sweep(p, "engagement", CAT, THRESHOLDS))
 
 
+def _sweep_table(spark, rows):
+    out = spark.createDataFrame([(int(round(t * 100)), nm, v) for t, nm, v in rows], "threshold int, term string, value double")
+    return out.select("threshold", "term", r6("value").alias("value"))
+
 
 # Multi-regressor fits with the reference's model shape (treatment-coded reply type, category,
 # weekday, hour and tier, plus a numeric control) on the engineered core sample.  No closed form
@@ -343,3 +328,19 @@ def model_poisson_full(spark, d):
     fit = fit_poisson(_core(spark, d), F.col("total_engagement").cast("double"), FULL_TERMS)
     return fit.table(spark, exp=True).select("term", r6("coef").alias("irr"), r6("ci_lower").alias("ci_lower"),
                                              r6("ci_upper").alias("ci_upper"))
+
+
+# The reference's sweep: reply type, link, media and its controls, without month and tier.
+SWEEP_TERMS = [("cat", "reply_type"), ("bool", "has_link"), ("bool", "has_media"), ("num", "text_length_chars"), ("num", "num_hashtags"),
+               ("num", "num_mentions"), ("cat", "weekday"), ("cat", "hour_of_day")]
+SWEEP_REPORT = ("C(reply_type)[T.reply_other]", "has_link[T.True]", "has_media[T.True]")
+
+
+@register("model_robust_sweep_core")
+def model_robust_sweep_core(spark, d):
+    """Key coefficients and R-squared of the core sample at each cap."""
+    from postmetrics.plans.derived import core_sample, engineered
+    columns = [t[1] for t in SWEEP_TERMS]
+    # written once: caps, levels and sums all read it
+    core = materialize(core_sample(engineered(spark, d, entities=True)).select(*columns, "total_engagement"), "sweep")
+    return _sweep_table(spark, models.robust_sweep(core, "total_engagement", SWEEP_TERMS, THRESHOLDS, SWEEP_REPORT))

@@ -64,6 +64,34 @@ def durbin_watson(residuals: DataFrame, order: Sequence[str], name: str = "e") -
     return lagged.agg((F.sum((e - before) ** 2) / F.sum(e ** 2)).alias("durbin_watson"))
 
 
+def robust_sweep(df: DataFrame, y: str, terms: Sequence[tuple] = (), thresholds: Sequence[float] = (0.90, 0.95, 0.99),
+                 report: Sequence[str] | None = None, design: Design | None = None) -> list[tuple]:
+    """OLS of log(1 + y) with ``y`` capped at each quantile: rows (threshold, term, estimate).
+
+    Caps are quantiles over all rows of ``df``; the fits take complete rows.  ``report`` names the
+    terms to return (None: all slopes; a term the design lacks counts as 0), then 'R-squared' follows.
+    All responses share X: one Gram pass with a y column for each threshold.
+    """
+    from pyspark.sql import functions as F
+    from postmetrics.operators.quantiles import quantiles
+    design = design or build_design(df, terms, True)
+    names = [f"c{j}" for j in range(len(thresholds))]
+    caps = quantiles(df, y, list(thresholds), names=names).first()
+    ys = [F.log1p(F.when(F.col(y).isNotNull(), F.least(F.col(y).cast("double"), F.lit(caps[c])))) for c in names]
+    g = gram(design_frame(df, design, ys), design.p, len(ys))
+    inv, _ = la.sym_pinv(g["xtx"])
+    rows, n = [], g["n"]
+    for j, t in enumerate(thresholds):
+        xty = g["xty"][:, j]
+        beta = inv @ xty
+        ssr = g["yty"][j, j] - 2 * beta @ xty + beta @ g["xtx"] @ beta
+        sst = g["yty"][j, j] - xty[0] ** 2 / n if n else 0.0
+        of = dict(zip(design.names, beta))
+        rows += [(t, nm, _f(of.get(nm, 0.0))) for nm in (design.names[1:] if report is None else report)]
+        rows.append((t, "R-squared", _f(1 - ssr / sst) if sst > 0 else None))
+    return rows
+
+
 def _f(x) -> float | None:
     x = float(x)
     return x if math.isfinite(x) else None

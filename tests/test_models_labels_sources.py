@@ -451,3 +451,41 @@ def test_metadata_placeholder_and_empty_glob(spark, tmp_path):
     from pyspark.errors import AnalysisException
     with pytest.raises(AnalysisException):
         ar.load_account_batches(spark, str(tmp_path / "nothing_here*.json"))[0].collect()
+
+
+def test_core_sweep_matches_numpy(spark):
+    import __spark_entry__ as E
+    from postmetrics.plans.derived import core_sample, engineered
+    from postmetrics.plans.q_models import SWEEP_REPORT, SWEEP_TERMS, THRESHOLDS
+    pdf = core_sample(engineered(spark, "/root/testdata/sf0.001", entities=True)).toPandas()
+    cols, names = [np.ones(len(pdf))], ["Intercept"]
+    for kind, c in SWEEP_TERMS:
+        levels = {"cat": sorted(pdf[c].dropna().unique())[1:], "bool": [True], "num": [None]}[kind]
+        for lv in levels:
+            cols.append(pdf[c].astype(float).to_numpy() if kind == "num" else (pdf[c] == lv).astype(float).to_numpy())
+            names.append({"cat": f"C({c})[T.{lv}]", "bool": f"{c}[T.True]", "num": c}[kind])
+    X = np.column_stack(cols)
+    assert all(0 < X[:, names.index(t)].sum() < len(X) for t in SWEEP_REPORT)
+    want = {}
+    for t in THRESHOLDS:
+        y = np.log1p(pdf.total_engagement.clip(upper=pdf.total_engagement.quantile(t)).to_numpy())
+        b = np.linalg.pinv(X, rcond=1e-10) @ y
+        e = y - X @ b
+        want |= {(round(t * 100), nm): b[names.index(nm)] for nm in SWEEP_REPORT}
+        want[(round(t * 100), "R-squared")] = 1 - (e @ e) / ((y - y.mean()) @ (y - y.mean()))
+    rows = E.queries()["model_robust_sweep_core"](spark, "/root/testdata/sf0.001").collect()
+    got = {(r["threshold"], r["term"]): r["value"] for r in rows}
+    assert got.keys() == want.keys() and len(rows) == 12
+    assert all(math.isclose(got[k], want[k], abs_tol=2e-6) for k in want)
+
+
+def test_sweep_on_any_design(spark):
+    from postmetrics.stats.models import robust_sweep
+    df, pdf = _frame(spark)
+    got = {(t, nm): v for t, nm, v in robust_sweep(df, "cnt", TERMS, (0.5, 0.975), ("x", "C(cat)[T.zz]"))}
+    for t in (0.5, 0.975):
+        y = np.log1p(pdf.cnt.clip(upper=pdf.cnt.quantile(t)).to_numpy())
+        X = _dense(pdf)
+        b = np.linalg.pinv(X, rcond=1e-10) @ y
+        assert math.isclose(got[(t, "x")], b[6], abs_tol=1e-8) and got[(t, "C(cat)[T.zz]")] == 0
+        assert math.isclose(got[(t, "R-squared")], 1 - ((y - X @ b) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs_tol=1e-8)
