@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from postmetrics.plans.registry import r6, register
 from postmetrics.session import materialize
 from postmetrics.sources.tables import posts, table
+from postmetrics.stats import linalg as la
 from postmetrics.stats import models
 from postmetrics.stats.design import build_design, design_frame
 from postmetrics.stats.gram import gram
@@ -141,6 +142,18 @@ def model_ols_summary(spark, d):
                        r6(dw.scalar()).alias("durbin_watson"))
 
 
+@register("model_ols_diagnostics")
+def model_ols_diagnostics(spark, d):
+    """The rest of the summary: omnibus, robust F and condition number."""
+    s = _ols_fit(spark, d).summary
+    k2 = la.omnibus(s["n"], s["skew"], s["kurtosis"])
+    row = [(int(s["n"]), k2, math.exp(-k2 / 2.0), float(s["f_stat"]), *map(int, s["f_df"]), float(s["f_pvalue"]), s["condition_number"])]
+    out = spark.createDataFrame(row, "nobs bigint, omnibus double, omnibus_pvalue double, f_robust double, f_df_num bigint, "
+                                     "f_df_den bigint, f_pvalue double, condition_number double")
+    return out.select("nobs", "f_df_num", "f_df_den", *[r6(c).alias(c) for c in ("omnibus", "omnibus_pvalue", "f_robust", "f_pvalue",
+                                                                                 "condition_number")])
+
+
 @register("model_design", """
 WITH d AS (SELECT event_type AS g FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL)
 SELECT 'Intercept' AS term, CAST(count(*) AS DOUBLE) AS col_sum FROM d

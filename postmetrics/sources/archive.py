@@ -153,3 +153,16 @@ def read_kv_first_line(spark: SparkSession, path: str, default: str | None = Non
     placed = lines.select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at"), "value")
     picked = placed.agg(F.min_by(F.trim(F.split(F.col("value"), ": ", 2)[1]), F.struct("f", "at")).alias("value"))
     return picked.select(F.coalesce(F.col("value"), F.lit(default)).alias("value"))
+
+
+def read_json_metadata(spark: SparkSession, path: str, schema: str, defaults: dict) -> DataFrame:
+    """Run metadata (one JSON document, on one or several lines) as one row; a missing file, a broken
+    document or a missing field gives the value in ``defaults`` (NULL without one)."""
+    from pyspark.errors import AnalysisException
+    try:
+        found = spark.read.schema(schema).option("multiLine", True).json(path)
+    except AnalysisException:
+        found = spark.createDataFrame([], schema)
+    # an aggregate without keys: one row for any input
+    return found.limit(1).agg(*[F.coalesce(F.first(f.name), F.lit(defaults.get(f.name)).cast(f.dataType)).alias(f.name)
+                                for f in found.schema.fields])

@@ -112,3 +112,22 @@ def f_sf(f: float, d1: float, d2: float) -> float:
     if f <= 0:
         return 1.0
     return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+
+
+def omnibus(n: float, skew: float, kurtosis: float) -> float:
+    """D'Agostino-Pearson statistic (chi-square with 2 df) of n residuals; kurtosis 3 is the normal one.
+    NaN below 8 rows, as the test is not defined there."""
+    if n < 8 or not (math.isfinite(skew) and math.isfinite(kurtosis)):
+        return float("nan")
+    y = skew * math.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
+    beta2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = math.sqrt(2 * (beta2 - 1)) - 1
+    z_skew = math.asinh(y / math.sqrt(2 / (w2 - 1))) / math.sqrt(0.5 * math.log(w2))
+    spread = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+    x = (kurtosis - 3.0 * (n - 1) / (n + 1)) / math.sqrt(spread)
+    b1 = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / b1 * (2 / b1 + math.sqrt(1 + 4 / b1 ** 2))
+    low = 1 + x * math.sqrt(2 / (a - 4))
+    root = math.copysign(((1 - 2 / a) / abs(low)) ** (1 / 3), low) if low else float("nan")
+    z_kurtosis = (1 - 2 / (9 * a) - root) / math.sqrt(2 / (9 * a))
+    return z_skew ** 2 + z_kurtosis ** 2

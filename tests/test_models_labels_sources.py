@@ -489,3 +489,41 @@ def test_sweep_on_any_design(spark):
         b = np.linalg.pinv(X, rcond=1e-10) @ y
         assert math.isclose(got[(t, "x")], b[6], abs_tol=1e-8) and got[(t, "C(cat)[T.zz]")] == 0
         assert math.isclose(got[(t, "R-squared")], 1 - ((y - X @ b) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs_tol=1e-8)
+
+
+def test_ols_diagnostics_row(spark):
+    import __spark_entry__ as E
+    pdf = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_type", "value").toPandas().dropna()
+    X = np.column_stack([np.ones(len(pdf)), *[(pdf.event_type == g).astype(float) for g in sorted(pdf.event_type.unique())[1:]]])
+    y = pdf.value.to_numpy()
+    b = np.linalg.lstsq(X, y, rcond=None)[0]
+    e, (n, k) = y - X @ b, X.shape
+    bread = np.linalg.inv(X.T @ X)
+    cov = bread @ (X.T * e ** 2) @ X @ bread * n / (n - k)
+    row = E.queries()["model_ols_diagnostics"](spark, "/root/testdata/sf0.001").first()
+    assert (row.nobs, row.f_df_num, row.f_df_den) == (n, k - 1, n - k)
+    assert math.isclose(row.f_robust, b[1:] @ np.linalg.inv(cov[1:, 1:]) @ b[1:] / (k - 1), rel_tol=1e-5, abs_tol=2e-6)
+    assert math.isclose(row.condition_number, np.linalg.cond(X), rel_tol=1e-6)
+    z = (e - e.mean()) / e.std()
+    assert math.isclose(row.omnibus, la.omnibus(n, (z ** 3).mean(), (z ** 4).mean()), rel_tol=1e-6)
+
+
+def test_omnibus_of_published_fits():
+    # the reference's printed summary (skew and kurtosis rounded there), and kurtosistest(range(20)) of scipy's manual
+    assert math.isclose(la.omnibus(3386, 0.445, 2.453), 185.233, rel_tol=5e-3)
+    z = (np.arange(20) - 9.5) / np.arange(20).std()
+    assert math.isclose(la.omnibus(20, 0.0, (z ** 4).mean()), 1.7058104152122062 ** 2, rel_tol=1e-9)
+    assert math.isnan(la.omnibus(7, 0.0, 3.0))
+
+
+def test_json_metadata_with_defaults(spark, tmp_path):
+    schema, defaults = "model_used string, total bigint", {"model_used": "placeholder"}
+
+    def read(path):
+        return [tuple(r) for r in ar.read_json_metadata(spark, str(path), schema, defaults).collect()]
+    good, broken, part = tmp_path / "a.json", tmp_path / "b.json", tmp_path / "c.json"
+    good.write_text(json.dumps({"model_used": "kw", "total": 7}, indent=2))
+    broken.write_text("{not json")
+    part.write_text('{"total": 3}')
+    assert read(good) == [("kw", 7)] and read(part) == [("placeholder", 3)]
+    assert read(broken) == read(tmp_path / "missing.json") == [("placeholder", None)]
