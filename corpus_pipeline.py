@@ -50,9 +50,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    gone = minhash.near_duplicates(docs, 5, SIMILARITY_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("own_id")).distinct()
+    judged = minhash.near_duplicates(docs, 5, SIMILARITY_PERCENT, text_hash=True)
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_text")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_text"))
-    return rows.join(gone, "own_id", "left_anti").dropDuplicates(["own_id", "own_text"]).select("row.*")
+    return rows.join(gone, ["own_id", "own_text"], "left_anti").dropDuplicates(["own_id", "own_text"]).select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -258,8 +258,10 @@ def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return shared > 0 and 100 * shared >= percent * (len(both) - shared)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (smallest id reachable), kept: one row for every document."""
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
+                    text_hash: bool = False) -> DataFrame:
+    """id, n_shingles, component_id (smallest id reachable), kept: one row for every document; with
+    ``text_hash`` also that column, the xxhash64 of its text."""
     spark = docs.sparkSession
     matches = match_threshold(COORDINATES, percent)
     prefix_keys = POSTED - match_threshold(POSTED, percent) + 1
@@ -321,8 +323,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     named = stage(named.select(*same_set, "rep", "component"), "named_classes")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = named.select(*same_set, "component").join(smallest, "component").drop("component")
-    out = rows.select("id", *same_set).join(by_class, same_set, "left")
+    own = ["text_hash"] if text_hash else []
+    out = rows.select("id", *own, *same_set).join(by_class, same_set, "left")
     reached = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     reached = F.when(F.col("id").isNotNull(), reached)
     return out.select(F.col("id").alias(id_col), "n_shingles", reached.alias("component_id"),
-                      F.coalesce(reached == F.col("id"), F.lit(True)).alias("kept"))
+                      F.coalesce(reached == F.col("id"), F.lit(True)).alias("kept"), *own)

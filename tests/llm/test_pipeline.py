@@ -75,3 +75,15 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_drop_rows_not_ids(spark):
+    prepare(spark)
+    rng = random.Random(3)
+    first, other, third = (_words(rng, 80) for _ in range(3))
+    near = [t.rsplit(" ", 1)[0] + " changed" for t in (first, other)]
+    # 5 has a near copy of 1's text and a clean one, which 7 nearly repeats
+    rows = [(1, first), (5, near[0]), (5, other), (7, near[1]), (9, third), (None, third), (11, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], SCHEMA)
+    got = pipeline.near_duplicates(spark, docs, "").collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {rows[i] for i in (0, 2, 4, 5, 6)} and len(got) == 5
