@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by counting collisions on sorted one-dimensional projections.
+"""Near-duplicate vectors by counting collisions on one-dimensional projections inside cells.
 
 Unit vectors are projected on many random directions.  Two vectors collide on a projection when one
 lies in the window of half-width ``window`` centred on the other.  Vectors at the wanted cosine
