@@ -27,15 +27,20 @@ def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(cond) if cond is not None else df
 
 
+def cap_value(df: DataFrame, value: str, q: float, method: str = "auto") -> float | None:
+    """The ``q`` quantile of a column as a number (one job); None without values."""
+    return scalar_quantile_frame(df, value, q, "_cap", method).first()["_cap"]
+
+
 def cap_column(df: DataFrame, value: str, q: float, out: str,
                scope: DataFrame | None = None, method: str = "auto") -> DataFrame:
     """Winsorize: clip ``value`` at its ``q`` quantile computed over ``scope`` (default: df).
 
-    The cap is a scalar subquery (computed once, then a literal to every task),
-    so no join and no cross product is planned.
+    The cap is computed once, here, and is a literal in every later plan: a plan over the capped
+    column does not carry the plan of its quantile.
     """
-    cap = scalar_quantile_frame(scope if scope is not None else df, value, q, "_cap", method)
-    return df.withColumn(out, winsorize(F.col(value), cap.scalar()))
+    cap = cap_value(scope if scope is not None else df, value, q, method)
+    return df.withColumn(out, winsorize(F.col(value), F.lit(cap).cast("double")))
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], value: str,

@@ -3,7 +3,7 @@
 ``engineer_posts`` takes archive posts (canonical schema from ``sources.archive``
 or any frame with the usual aliases) and returns the feature table; ``core_sample``
 is the modelling subset.  All features are native Column expressions; the owner
-id and the winsorizing cap are scalar subqueries; threads use pointer doubling.
+id is a scalar subquery, the winsorizing cap a number; threads use pointer doubling.
 """
 
 from __future__ import annotations
@@ -45,8 +45,12 @@ def _count(df, names):
 def engineer_posts(df: DataFrame, owner_id: str | Column | None = None, screen_name_hint: str | None = None,
                    tz: str = "UTC", tier_start: str = fx.TIER_UPGRADED_START,
                    tier_end: str = fx.TIER_POST_UPGRADE_START, cap_q: float = fx.WINSORIZE_THRESHOLD,
-                   threads: bool = True, keep: tuple = ()) -> DataFrame:
-    """Feature table over archive posts (one row per input row)."""
+                   threads: bool = True, keep: tuple = (), cap: bool = True) -> DataFrame:
+    """Feature table over archive posts (one row per input row).
+
+    With ``cap`` the table has ``winsorized_engagement``, whose cap takes a job here; without it, no
+    job runs until the result is asked for (``with_cap`` adds the column later).
+    """
     t_raw = resolve(df, TIME_ALIASES, endswith="created_at", required=True, what="timestamp")
     t_type = df.select(t_raw.alias("_t")).schema["_t"].dataType
     ts = t_raw.cast("timestamp") if isinstance(t_type, (T.TimestampType, T.TimestampNTZType)) else fx.parse_post_time(t_raw)
@@ -96,7 +100,8 @@ def engineer_posts(df: DataFrame, owner_id: str | Column | None = None, screen_n
         fx.account_tier("post_datetime", tier_start, tier_end).alias("account_tier"),
         fx.total_engagement("likes", "retweets", "replies", "bookmarks").alias("total_engagement"),
     )
-    out = cap_column(out, "total_engagement", cap_q, "winsorized_engagement")
+    if cap:
+        out = with_cap(out, cap_q)
     if threads:
         from postmetrics.operators.threads import thread_features
         # of rows that share an id, the last one's parent counts
@@ -105,6 +110,11 @@ def engineer_posts(df: DataFrame, owner_id: str | Column | None = None, screen_n
     return out
 
 
+def with_cap(eng: DataFrame, cap_q: float = fx.WINSORIZE_THRESHOLD) -> DataFrame:
+    """``winsorized_engagement``: the total engagement capped at its quantile over all rows of ``eng``."""
+    return cap_column(eng, "total_engagement", cap_q, "winsorized_engagement")
+
+
 def core_sample(eng: DataFrame) -> DataFrame:
     """Modelling sample: no reposts, no quotes, replies only to others (or none)."""
     return eng.where(~F.col("is_retweet") & ~F.col("is_quote_tweet")

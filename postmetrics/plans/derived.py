@@ -65,10 +65,11 @@ def archive_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def engineered(spark: SparkSession, sf_dir: str, entities: bool = False) -> DataFrame:
+def engineered(spark: SparkSession, sf_dir: str, entities: bool = False, cap: bool = False) -> DataFrame:
     """Engineered post table over ``events``: the archive-shaped inputs go through the
     general ``engineer_posts``; the owner is the modal author (ties: smallest id).
-    With ``entities``, posts get links in their texts, media, hashtags and mentions by ranges of k."""
+    With ``entities``, posts get links in their texts, media, hashtags and mentions by ranges of k.
+    With ``cap`` there is also the capped engagement (one job while the frame is made)."""
     a = archive_inputs(spark, sf_dir)
     owner = mode_value(a, "author_id", "owner_id").select(F.col("owner_id").cast("string")).scalar()
     posts_like = a.select(
@@ -79,7 +80,7 @@ def engineered(spark: SparkSession, sf_dir: str, entities: bool = False) -> Data
     if entities:
         posts_like = _with_entities(posts_like)
     e = engineer_posts(posts_like, owner_id=owner, tier_start=EVENT_TIER_A, tier_end=EVENT_TIER_B,
-                       threads=False, keep=("post_id", "author_id", "category", "engagement", "k"))
+                       threads=False, keep=("post_id", "author_id", "category", "engagement", "k"), cap=cap)
     return e
 
 

@@ -175,7 +175,7 @@ SELECT account_tier, reply_type, round_even(avg(winsorized_engagement), 6) AS me
        round_even(median(winsorized_engagement), 6) AS median, count(winsorized_engagement) AS count
 FROM core WHERE account_tier IS NOT NULL AND reply_type IS NOT NULL GROUP BY account_tier, reply_type""")
 def agg_two_key_stats(spark, d):
-    s = ag.group_stats(core_sample(engineered(spark, d)), ["account_tier", "reply_type"],
+    s = ag.group_stats(core_sample(engineered(spark, d, cap=True)), ["account_tier", "reply_type"],
                        "winsorized_engagement", ("mean", "median", "count"))
     return s.select("account_tier", "reply_type", r6("mean").alias("mean"), r6("median").alias("median"), "count")
 
@@ -185,7 +185,7 @@ SELECT account_tier, reply_type, round_even(avg(winsorized_engagement), 6) AS me
        round_even(stddev_samp(winsorized_engagement), 6) AS sd
 FROM core WHERE account_tier IS NOT NULL AND reply_type IS NOT NULL GROUP BY account_tier, reply_type""")
 def agg_mean_sd_cells(spark, d):
-    s = ag.group_stats(core_sample(engineered(spark, d)), ["account_tier", "reply_type"],
+    s = ag.group_stats(core_sample(engineered(spark, d, cap=True)), ["account_tier", "reply_type"],
                        "winsorized_engagement", ("mean", "std"))
     return s.select("account_tier", "reply_type", r6("mean").alias("mean"), r6("std").alias("sd"))
 
@@ -196,7 +196,7 @@ SELECT account_tier,
   round_even(avg(winsorized_engagement) FILTER (WHERE reply_type = 'reply_other'), 6) AS "reply_other"
 FROM core WHERE account_tier IS NOT NULL AND reply_type IS NOT NULL GROUP BY account_tier""")
 def agg_two_key_pivot(spark, d):
-    pv = ag.pivot_mean(core_sample(engineered(spark, d)), "account_tier", "reply_type",
+    pv = ag.pivot_mean(core_sample(engineered(spark, d, cap=True)), "account_tier", "reply_type",
                        "winsorized_engagement", [fx.REPLY_NONE, fx.REPLY_OTHER])
     return pv.select("account_tier", r6("none").alias("none"), r6("reply_other").alias("reply_other"))
 

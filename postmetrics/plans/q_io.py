@@ -256,7 +256,7 @@ def sink_resume(spark, d):
 @register("sink_parquet", "WITH " + SQL_ENGINEERED + """
 SELECT month, count(*) AS n, CAST(sum(total_engagement) AS BIGINT) AS total_engagement FROM eng GROUP BY month""")
 def sink_parquet(spark, d):
-    path = sinks.write_parquet(engineered(spark, d).drop("post_datetime"), scratch_path(spark, "engineered"), ["month"])
+    path = sinks.write_parquet(engineered(spark, d, cap=True).drop("post_datetime"), scratch_path(spark, "engineered"), ["month"])
     back = spark.read.parquet(path)
     return back.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("total_engagement").alias("total_engagement"))
 

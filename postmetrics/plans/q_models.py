@@ -327,7 +327,7 @@ FULL_TERMS = [("cat", "reply_type"), ("cat", "category"), ("cat", "weekday"), ("
 
 def _core(spark, d):
     from postmetrics.plans.derived import core_sample, engineered
-    return core_sample(engineered(spark, d))
+    return core_sample(engineered(spark, d, cap=True))
 
 
 @register("model_ols_full")

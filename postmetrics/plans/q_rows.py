@@ -425,7 +425,7 @@ SELECT post_id, round_even(engagement, 6) AS engagement, round_even((SELECT quan
   engagement > (SELECT quantile_cont(engagement, 0.95) FROM posts) AS above_cap FROM capped""")
 def join_scalar_threshold(spark, d):
     p = posts(spark, d)
-    cap = ag.scalar_quantile_frame(p, "engagement", 0.95, "cap").scalar()
+    cap = F.lit(ag.cap_value(p, "engagement", 0.95)).cast("double")
     return p.select("post_id", r6("engagement").alias("engagement"), r6(cap).alias("cap"),
                     (F.col("engagement") > cap).alias("above_cap"))
 

@@ -33,7 +33,7 @@ def test_sort_and_builtin_quantiles_agree(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     a = quantiles(df, "v", [0.1, 0.5, 0.95], method="sort").first()
     b = quantiles(df, "v", [0.1, 0.5, 0.95], method="builtin").first()
-    c = quantiles(df, "v", [0.1, 0.5, 0.95], method="band").first()
+    c = quantiles(df, "v", [0.1, 0.5, 0.95], method="radix").first()
     for x, y, z in zip(a, b, c):
         assert abs(x - y) <= 1e-9 * max(1.0, abs(y))
         assert abs(z - y) <= 1e-9 * max(1.0, abs(y))

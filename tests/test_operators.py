@@ -33,7 +33,7 @@ def test_group_position_with_hot_group(spark):
             assert got[(g, r[1])] == (pos, len(members))
 
 
-@pytest.mark.parametrize("method", ["builtin", "sort", "band"])
+@pytest.mark.parametrize("method", ["builtin", "sort", "radix"])
 def test_quantiles_match_numpy(spark, method):
     rnd = random.Random(5)
     rows = [("hot" if i % 2 else f"g{i % 4}", rnd.choice([None, rnd.random() * 100, 7.0])) for i in range(400)]
@@ -161,14 +161,14 @@ def test_mode_ties_smallest(spark):
     assert ag.mode_value(df, "x").first()[0] == 1
 
 
-def test_band_quantiles_large_group_exact(spark):
+def test_radix_quantiles_large_group_exact(spark):
     rnd = np.random.default_rng(9)
     vals = np.concatenate([rnd.normal(size=60000), np.full(20000, 1.5)])   # many ties in one spot
     groups = np.where(np.arange(len(vals)) % 5 == 0, "small", "hot")
     import pandas as pd
     df = spark.createDataFrame(pd.DataFrame({"g": groups, "v": vals}))
     got = {r.g: (r.a, r.b, r.c) for r in quantiles(df, "v", [0.05, 0.5, 0.99], ["g"], ["a", "b", "c"],
-                                                 method="band").collect()}
+                                                 method="radix").collect()}
     for g in ("small", "hot"):
         exp = np.percentile(vals[groups == g], [5, 50, 99])
         assert np.allclose(got[g], exp, rtol=1e-12, atol=1e-12)
@@ -185,10 +185,10 @@ def test_select_rows_exact_with_ties(spark):
     assert got == [ordered[p] for p in positions]
 
 
-def test_band_quantiles_null_group(spark):
+def test_radix_quantiles_null_group(spark):
     rows = [(None, float(i)) for i in range(50)] + [("a", float(i)) for i in range(10)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r.m for r in quantiles(df, "v", [0.5], ["g"], ["m"], method="band").collect()}
+    got = {r.g: r.m for r in quantiles(df, "v", [0.5], ["g"], ["m"], method="radix").collect()}
     assert got == {None: 24.5, "a": 4.5}
 
 
