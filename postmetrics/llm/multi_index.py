@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 
 from postmetrics.llm.staging import drop, stage
 
-CELL_ROWS = 128
+CELL_ROWS = 512
 SAMPLE_ROWS = 16_384
 #: Rows of a shelf and queries of a block: a share of the table between these bounds.
-SHELF_ROWS = (512, 65_536)
-QUERY_ROWS = (256, 8_192)
+SHELF_ROWS = (1_024, 65_536)
+QUERY_ROWS = (1_024, 16_384)
 LLOYD_STEPS = 8
 
 
@@ -163,7 +163,7 @@ def build(rows: DataFrame, n: int) -> tuple[Index, DataFrame]:
             radius[h[key]], norms[h[key]], number[h[key]] = h["r"] + 1e-6 * (1 + h["n"]), h["n"], h["rows"]
         halves.append(Half(book, radius, norms))
         counts = number if counts is None else counts
-    most = _between(n // 64, SHELF_ROWS)
+    most = _between(n // 32, SHELF_ROWS)
     shelf_of, salts, shelf, i = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
     while i < len(counts):
         end, held = i + 1, counts[i]
@@ -231,21 +231,27 @@ def search_shelf(index: Index, queries: np.ndarray, query_ids, query_labels, wan
     key = np.searchsorted(firsts, i) * len(seconds) + np.searchsorted(seconds, j)
     edges = np.searchsorted(key, np.arange(len(firsts) * len(seconds) + 1))
     one, two = (h.bounds(p) for h, p in zip(index.halves, index.split(queries)))
+    one, two = one[:, firsts], two[:, seconds]
+    own_label = {label: (labels == label) == same for label in set(query_labels)}
+    place_of = {i: at for at, i in enumerate(ids.tolist())}
     visited = 0
     for q in range(len(queries)):
-        mine = wanted[q]
-        for bound, a, b in cells_in_order(one[q, firsts], two[q, seconds]):
-            if bound < mine.needs():  # certified: no later cell holds a better row
+        mine, query, fits = wanted[q], queries[q], own_label[query_labels[q]]
+        own = place_of.get(query_ids[q]) if same else None  # its own row is no candidate
+        for bound, a, b in cells_in_order(one[q], two[q]):
+            needed = mine.needs()
+            if bound < needed:  # certified: no later cell holds a better row
                 break
-            cell = slice(edges[a * len(seconds) + b], edges[a * len(seconds) + b + 1])
-            if cell.start == cell.stop:
+            low, high = edges[a * len(seconds) + b], edges[a * len(seconds) + b + 1]
+            if low == high:
                 continue
             visited += 1
-            scores = x[cell] @ queries[q]
-            keep = (labels[cell] == query_labels[q]) == same
-            keep &= (ids[cell] != query_ids[q]) & (scores >= mine.needs())
-            if keep.any():
-                mine.offer(scores[keep], ids[cell][keep])
+            scores = x[low:high] @ query
+            at = np.flatnonzero(fits[low:high] & (scores >= needed))
+            if own is not None and low <= own < high:
+                at = at[at != own - low]
+            if len(at):
+                mine.offer(scores[at], ids[low + at])
     return visited
 
 
