@@ -19,8 +19,8 @@ from postmetrics.session import materialize
 from postmetrics.sources.tables import posts, table
 from postmetrics.stats import linalg as la
 from postmetrics.stats import models
-from postmetrics.stats.design import build_design, design_frame
-from postmetrics.stats.gram import gram
+from postmetrics.stats.design import build_design
+from postmetrics.stats.gram import sums
 from postmetrics.stats.models import fit_entity_fe, fit_ols, fit_poisson, main_terms
 
 CAT = [("cat", "category")]
@@ -162,7 +162,7 @@ SELECT 'C(category)[T.' || g || ']', CAST(count(*) AS DOUBLE) FROM d WHERE g <>
 def model_design(spark, d):
     p = posts(spark, d)
     des = build_design(p, CAT)
-    g = gram(design_frame(p, des, ["engagement"]), des.p, 1)
+    g = sums(p, des, "engagement").gram()
     rows = [(nm, float(g["xtx"][0, j])) for j, nm in enumerate(des.names)]
     return spark.createDataFrame(rows, "term string, col_sum double")
 

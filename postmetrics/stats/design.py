@@ -8,14 +8,19 @@ Terms are given as a Python list (no formula parser):
 * ``("inter", a, b)``        product of two terms' columns -> ``a_name:b_name``
 
 Levels are found with one ``distinct`` per categorical under a size guard (the
-design width must stay small: the Gram matrix is p x p on the driver).
+design width must stay small: the Gram matrix is p x p on the driver; ``models.fit_ols``
+takes one factor of any width out of the matrix).
+
+Rows travel as factor codes (``narrow_frame``: one column per base column, however many
+levels it has) and become design rows (``expand``) only inside the arithmetic.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Sequence
+from typing import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +31,36 @@ MAX_LEVELS = 1000
 class Design:
     names: list[str]
     exprs: list[Column] = field(repr=False)
+    terms: tuple = ()
+    levels: dict = field(default_factory=dict, repr=False)
+    intercept: bool = True
 
     @property
     def p(self) -> int:
         return len(self.names)
 
+    def base_columns(self) -> dict[str, str]:
+        """Every column that a term reads, with its kind (cat, bool, num)."""
+        out: dict[str, str] = {}
+
+        def walk(term):
+            if term[0] == "inter":
+                walk(term[1]), walk(term[2])
+            else:
+                out.setdefault(term[1], term[0])
+        for t in self.terms:
+            walk(t)
+        return out
+
+    def recipe(self) -> "Design":
+        """What ``expand`` needs, without Columns: it can travel to tasks."""
+        return Design(self.names, [], self.terms, self.levels, self.intercept)
+
+    @property
+    def discrete(self) -> bool:
+        """True if the rows of X repeat: no numeric column."""
+        return "num" not in self.base_columns().values()
+
 
 def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
     rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect()
@@ -71,7 +101,40 @@ def build_design(df: DataFrame, terms: Sequence[tuple], intercept: bool = True,
         for n, e in _term_columns(df, t, cache, max_levels):
             names.append(n)
             exprs.append(e)
-    return Design(names, exprs)
+    return Design(names, exprs, tuple(terms), cache, intercept)
+
+
+def narrow_frame(df: DataFrame, design: Design, y: Sequence[Column | str] = ()) -> DataFrame:
+    """Complete rows with one column per base column (b0.., categoricals as level codes) and y0.. ."""
+    cols, need = [], []
+    for i, (name, kind) in enumerate(design.base_columns().items()):
+        if kind == "cat":
+            known = F.array(*[F.lit(v) for v in design.levels[name]])
+            code = F.array_position(known, F.col(name)) - 1 if design.levels[name] else F.lit(None)
+            cols.append(F.when(code >= 0, code).cast("int").alias(f"b{i}"))
+        else:
+            cols.append(F.col(name).cast("double").alias(f"b{i}"))
+        need.append(f"b{i}")
+    for j, c in enumerate(y):
+        cols.append((F.col(c) if isinstance(c, str) else c).cast("double").alias(f"y{j}"))
+        need.append(f"y{j}")
+    return df.select(*cols).dropna(subset=need)
+
+
+def expand(design: Design, data: Mapping[str, np.ndarray], n: int) -> np.ndarray:
+    """The n x p design rows of ``data``: values per base column, categoricals as level codes."""
+    def term(t) -> np.ndarray:
+        if t[0] == "inter":
+            a, b = term(t[1]), term(t[2])
+            return (a[:, :, None] * b[:, None, :]).reshape(n, -1)
+        v = np.asarray(data[t[1]])
+        if t[0] != "cat":
+            return v.astype(np.float64)[:, None]
+        out = np.zeros((n, max(len(design.levels[t[1]]), 1)))
+        out[np.arange(n), v.astype(np.int64)] = 1.0
+        return out[:, 1:]
+    parts = [np.ones((n, 1))] if design.intercept else []
+    return np.concatenate(parts + [term(t) for t in design.terms], axis=1) if parts or design.terms else np.zeros((n, 0))
 
 
 def design_frame(df: DataFrame, design: Design, y: Sequence[Column | str] = (), extra: Sequence[str] = ()) -> DataFrame:

@@ -1,128 +1,256 @@
 """Distributed sums for least squares: XᵀWX, XᵀWy, Σ w e² x xᵀ, residual moments.
 
-Each partition reduces its Arrow batches with numpy (``mapInPandas``) to p x p
-partials and sends them as one packed row; rows are summed in at most ``SLOTS``
-groups, and their sums on the driver.  So a pass moves one row per partition,
-whatever the design, and only p x p numbers ever reach the driver.
+Two sources of the same sums:
+
+* ``CellSums`` - a design without numeric columns has few distinct rows of X.  One native
+  aggregation per cell (a combination of the discrete columns) gives n, mean and central moments of
+  y; every later sum, Newton step or residual moment is arithmetic over the cells.
+* ``RowSums`` - rows travel as factor codes; each task expands its Arrow batches into design rows, in
+  slices of bounded size, and sends p x p partials as one array.  Arrays are added up in the JVM in at
+  most ``SLOTS`` groups, and those on the driver.
+
+Either way only p x p numbers, or one row per cell (checked), reach the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from postmetrics.session import materialize
+from postmetrics.stats.design import Design, expand, narrow_frame
 
-#: Groups of the first level of the sum; a group holds one row for each of its partitions.
+#: Groups of the first level of the sum; a group holds one array for each of its partitions.
 SLOTS = 256
-_PACKED = "slot int, v binary"
+#: Numbers of a slice of design rows inside a task; cells (and their design rows) the driver may hold.
+SLICE_NUMBERS = 2_000_000
+MAX_CELLS, MAX_CELL_NUMBERS = 100_000, 20_000_000
+_PACKED = "slot int, v array<double>"
 
 
-def _emit(*blocks: np.ndarray) -> pd.DataFrame:
+def _emit(*blocks: np.ndarray) -> pa.RecordBatch:
     flat = np.concatenate([np.asarray(m, dtype="float64").ravel() for m in blocks])
-    return pd.DataFrame({"slot": [TaskContext.get().partitionId() % SLOTS], "v": [flat.tobytes()]})
-
-
-def _add_up(group: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"v": [sum(np.frombuffer(v) for v in group["v"]).tobytes()]})
+    return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SLOTS], pa.int32()),
+                                       pa.array([flat], pa.list_(pa.float64()))], names=["slot", "v"])
 
 
 def _collect(packed: DataFrame, *shapes: tuple) -> list[np.ndarray]:
-    rows = packed.groupBy("slot").applyInPandas(_add_up, "v binary").collect()  # SLOTS rows at most
     ends = np.cumsum([int(np.prod(s)) for s in shapes])
-    total = sum((np.frombuffer(r["v"]) for r in rows), np.zeros(ends[-1]))
+    zero = F.array_repeat(F.lit(0.0), int(ends[-1]))
+    added = F.aggregate(F.collect_list("v"), zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    rows = packed.groupBy("slot").agg(added.alias("v")).toArrow().column("v")  # SLOTS rows at most
+    total = sum((r.values.to_numpy() for r in rows), np.zeros(ends[-1]))
     return [part.reshape(shape) for part, shape in zip(np.split(total, ends[:-1]), shapes)]
 
 
-def gram(frame: DataFrame, p: int, q: int, weight: str | None = None) -> dict[str, np.ndarray]:
-    """XᵀWX (p x p), XᵀWY (p x q), YᵀWY (q x q) and n over a ``design_frame``."""
-    xcols = [f"x{i}" for i in range(p)]
-    ycols = [f"y{j}" for j in range(q)]
+def _slices(batches, x_of, p: int, ys: list[str]):
+    """(X, Y) of consecutive slices of the batches, of at most about SLICE_NUMBERS numbers of X."""
+    step = max(1, SLICE_NUMBERS // max(p, 1))
+    for b in batches:
+        for at in range(0, b.num_rows, step):
+            part = b.slice(at, step)
+            y = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ys], axis=1) if ys else np.zeros((part.num_rows, 0))
+            yield x_of(part), y
 
-    def part(it):
+
+def _dense(p: int):
+    def x_of(b):
+        return np.stack([b.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(p)], axis=1) if p else np.zeros((b.num_rows, 0))
+    return x_of
+
+
+def gram(frame: DataFrame, p: int, q: int, x_of=None) -> dict[str, np.ndarray]:
+    """XᵀX (p x p), XᵀY (p x q), YᵀY (q x q) and n; ``x_of`` makes design rows of a batch (else x0..)."""
+    make, ys = x_of or _dense(p), [f"y{j}" for j in range(q)]
+
+    def part(batches):
         xtx, xty, yty, n = np.zeros((p, p)), np.zeros((p, q)), np.zeros((q, q)), 0.0
-        for pdf in it:
-            x = pdf[xcols].to_numpy(dtype="float64")
-            y = pdf[ycols].to_numpy(dtype="float64")
-            w = pdf[weight].to_numpy(dtype="float64")[:, None] if weight else 1.0
-            xtx += x.T @ (w * x)
-            xty += x.T @ (w * y)
-            yty += y.T @ (w * y)
-            n += len(pdf)
+        for x, y in _slices(batches, make, p, ys):
+            xtx += x.T @ x
+            xty += x.T @ y
+            yty += y.T @ y
+            n += len(x)
         yield _emit(xtx, xty, yty, np.array([n]))
 
-    sel = frame.select(*xcols, *ycols, *([weight] if weight else []))
-    xtx, xty, yty, n = _collect(sel.mapInPandas(part, _PACKED), (p, p), (p, q), (q, q), (1,))
+    xtx, xty, yty, n = _collect(frame.mapInArrow(part, _PACKED), (p, p), (p, q), (q, q), (1,))
     return {"xtx": xtx, "xty": xty, "yty": yty, "n": float(n[0])}
 
 
-def irls_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0) -> dict[str, np.ndarray]:
-    """One Poisson IRLS step's sums, XᵀWX and XᵀWz with mu = exp(xβ), W = mu,
-    z = xβ + (y - mu)/mu, and the deviance at the current β, computed per Arrow batch
-    (no per-iteration query planning: β travels in the task closure)."""
-    xcols = [f"x{i}" for i in range(p)]
-    ycol = f"y{y_index}"
-    b = np.asarray(beta, dtype="float64").reshape(-1)
-
-    def part(it):
-        xtx, xtz, dev = np.zeros((p, p)), np.zeros((p, 1)), np.zeros((1, 1))
-        for pdf in it:
-            x = pdf[xcols].to_numpy(dtype="float64")
-            y = pdf[ycol].to_numpy(dtype="float64")
-            eta = x @ b
-            mu = np.exp(eta)
-            z = eta + (y - mu) / mu
-            xtx += x.T @ (mu[:, None] * x)
-            xtz += x.T @ (mu * z)[:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dev[0, 0] += 2.0 * (np.where(y > 0, y * np.log(y / mu), 0.0) - (y - mu)).sum()
-        yield _emit(xtx, xtz, dev)
-
-    xtx, xtz, dev = _collect(frame.select(*xcols, ycol).mapInPandas(part, _PACKED), (p, p), (p, 1), (1,))
-    return {"xtx": xtx, "xty": xtz, "deviance": float(dev[0])}
-
-
-def residual_sums(frame: DataFrame, p: int, beta: np.ndarray, y_index: int = 0,
-                  mu_link: str = "identity", centre: float = 0.0) -> dict[str, np.ndarray]:
-    """Σ e² x xᵀ (meat), Σe², Σe³, Σe⁴, Σe, Σ(y-ȳ)… for one response and fitted β.
-
-    ``mu_link='log'`` gives Poisson residuals y - exp(xβ) plus deviance terms.
-    """
-    xcols = [f"x{i}" for i in range(p)]
-    ycol = f"y{y_index}"
-    b = np.asarray(beta, dtype="float64").reshape(-1)
-
-    def part(it):
-        meat = np.zeros((p, p))
-        mom = np.zeros(10)
-        for pdf in it:
-            x = pdf[xcols].to_numpy(dtype="float64")
-            y = pdf[ycol].to_numpy(dtype="float64")
-            eta = x @ b
-            mu = np.exp(eta) if mu_link == "log" else eta
-            e = y - mu
-            meat += x.T @ (e[:, None] ** 2 * x)
-            mom[0] += len(y)
-            mom[1] += e.sum()
-            mom[2] += (e ** 2).sum()
-            mom[3] += (e ** 3).sum()
-            mom[4] += (e ** 4).sum()
-            mom[9] += ((y - centre) ** 2).sum()
-            if mu_link == "log":
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    term = np.where(y > 0, y * np.log(y / mu), 0.0) - (y - mu)
-                mom[5] += 2.0 * term.sum()                       # deviance
-                mom[6] += ((e ** 2) / mu).sum()                  # Pearson chi2
-                lg = _lgamma1p(y)
-                mom[7] += (y * eta - mu - lg).sum()              # log-likelihood
-                mom[8] += lg.sum()                               # sum log(y!)
-        yield _emit(meat, mom)
-
-    sel = frame.select(*xcols, ycol)
-    meat, m = _collect(sel.mapInPandas(part, _PACKED), (p, p), (10,))
-    m = m.tolist()
-    return {"meat": meat, "n": m[0], "sum_e": m[1], "sum_e2": m[2], "sum_e3": m[3], "sum_e4": m[4],
-            "deviance": m[5], "pearson": m[6], "llf": m[7], "sum_lgamma": m[8], "sum_yc2": m[9]}
+def _deviance_terms(y: np.ndarray, mu: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2.0 * (np.where(y > 0, y * np.log(y / mu), 0.0) - (y - mu))
+
+
+class RowSums:
+    """Sums over the rows of ``df``; ``keep`` are the columns of X used, ``zero`` those whose rows are left out."""
+
+    def __init__(self, df: DataFrame, design: Design, y: Column | str, staged: bool = False):
+        self.frame = narrow_frame(df, design, [y])
+        if staged:  # passes of an iteration read a narrow table, not the source
+            self.frame = materialize(self.frame, "design")
+        self.design, self.keep, self.zero = design, list(range(design.p)), []
+
+    def without(self, separated: list[int]) -> "RowSums":
+        """The sums over the rows where all the given columns are 0, and over the other columns."""
+        out = object.__new__(RowSums)
+        out.frame, out.design, out.zero = self.frame, self.design, separated
+        out.keep = [j for j in self.keep if j not in separated]
+        return out
+
+    def _reader(self):
+        """A function of Arrow batches that gives (X, y) of consecutive slices; it holds no DataFrame."""
+        recipe, names, width = self.design.recipe(), list(self.design.base_columns()), self.design.p
+        keep, zero = self.keep, self.zero
+
+        def x_of(b):
+            data = {c: b.column(f"b{i}").to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+            return expand(recipe, data, b.num_rows)
+
+        def read(batches):
+            for x, y in _slices(batches, x_of, width, ["y0"]):
+                if zero:
+                    rows = (x[:, zero] == 0).all(1)
+                    x, y = x[rows], y[rows]
+                yield (x if len(keep) == width else x[:, keep]), y[:, 0]
+        return read
+
+    def gram(self) -> dict[str, np.ndarray]:
+        p, read = len(self.keep), self._reader()
+
+        def part(batches):
+            xtx, xty, sums = np.zeros((p, p)), np.zeros(p), np.zeros(2)
+            for x, y in read(batches):
+                xtx += x.T @ x
+                xty += x.T @ y
+                sums += (len(y), y.sum())
+            yield _emit(xtx, xty, sums)
+        xtx, xty, sums = _collect(self.frame.mapInArrow(part, _PACKED), (p, p), (p,), (2,))
+        return {"xtx": xtx, "xty": xty, "n": float(sums[0]), "sum_y": float(sums[1])}
+
+    def newton(self, beta: np.ndarray) -> dict[str, np.ndarray]:
+        """XᵀWX and XᵀWz of a Poisson step (W = mu, z = xβ + (y - mu)/mu), and the deviance at β."""
+        p, read = len(self.keep), self._reader()
+
+        def part(batches):
+            xtx, xtz, dev = np.zeros((p, p)), np.zeros(p), np.zeros(1)
+            for x, y in read(batches):
+                eta = x @ beta
+                mu = np.exp(eta)
+                xtx += x.T @ (mu[:, None] * x)
+                xtz += x.T @ (mu * eta + y - mu)
+                dev += _deviance_terms(y, mu).sum()
+            yield _emit(xtx, xtz, dev)
+        xtx, xtz, dev = _collect(self.frame.mapInArrow(part, _PACKED), (p, p), (p,), (1,))
+        return {"xtx": xtx, "xtz": xtz, "deviance": float(dev[0])}
+
+    def residuals(self, beta: np.ndarray, log_link: bool = False, centre: float = 0.0) -> dict:
+        """Σ e² x xᵀ (meat), Σe … Σe⁴, Σ(y - centre)², and for the log link deviance, Pearson, log-likelihood."""
+        p, read = len(self.keep), self._reader()
+
+        def part(batches):
+            meat, mom = np.zeros((p, p)), np.zeros(len(_MOMENTS))
+            for x, y in read(batches):
+                eta = x @ beta
+                mu = np.exp(eta) if log_link else eta
+                e = y - mu
+                meat += x.T @ ((e * e)[:, None] * x)
+                mom[:6] += (len(y), e.sum(), (e ** 2).sum(), (e ** 3).sum(), (e ** 4).sum(), ((y - centre) ** 2).sum())
+                if log_link:
+                    lg = _lgamma1p(y)
+                    mom[6:] += (_deviance_terms(y, mu).sum(), (e * e / mu).sum(), (y * eta - mu - lg).sum(), lg.sum())
+            yield _emit(meat, mom)
+        meat, mom = _collect(self.frame.mapInArrow(part, _PACKED), (p, p), (len(_MOMENTS),))
+        return {"meat": meat, **dict(zip(_MOMENTS, mom.tolist()))}
+
+
+_MOMENTS = ("n", "sum_e", "sum_e2", "sum_e3", "sum_e4", "sum_yc2", "deviance", "pearson", "llf", "sum_lgamma")
+
+
+def cells(df: DataFrame, design: Design, y: Column | str) -> DataFrame:
+    """One row per combination of the discrete columns: n, mean and central moments of y, Σ y ln y, Σ ln y!."""
+    names = list(design.base_columns())
+    v = F.col("_y")
+    rows = df.select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(names)],
+                     (F.col(y) if isinstance(y, str) else y).cast("double").alias("_y")).dropna()
+    return rows.groupBy(*[f"b{i}" for i in range(len(names))]).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"), F.skewness(v).alias("skew"),
+        F.kurtosis(v).alias("kurt"), F.sum(F.when(v > 0, v * F.ln(v)).otherwise(0.0)).alias("ylny"),
+        F.sum(log_factorial(v)).alias("lgamma"))
+
+
+class CellSums:
+    """The sums of ``RowSums`` from the cells of a discrete design, held by the driver."""
+
+    def __init__(self, design: Design, table: pa.Table):
+        names = list(design.base_columns())
+        n = table.num_rows
+        data = {}
+        for i, c in enumerate(names):
+            values = table.column(f"b{i}").to_pylist()
+            code = {v: k for k, v in enumerate(design.levels[c])} if c in design.levels else None
+            data[c] = np.array([code.get(v, -1) for v in values] if code is not None else values, dtype=np.float64)
+        known = np.ones(n, bool)
+        for v in data.values():
+            known &= v >= 0
+        data = {c: v[known] for c, v in data.items()}
+        self.x = expand(design, data, int(known.sum()))
+
+        def column(name):
+            return np.nan_to_num(table.column(name).to_numpy().astype(np.float64))[known]
+        self.n, self.mean, self.ylny, self.lgamma = (column(c) for c in ("n", "mean", "ylny", "lgamma"))
+        self.m2 = column("var") * self.n
+        self.m3 = column("skew") * self.m2 ** 1.5 / np.sqrt(np.maximum(self.n, 1))
+        self.m4 = (column("kurt") + 3) * self.m2 ** 2 / np.maximum(self.n, 1)
+
+    def without(self, separated: list[int]) -> "CellSums":
+        out = object.__new__(CellSums)
+        rows = (self.x[:, separated] == 0).all(1)
+        for k, v in vars(self).items():
+            setattr(out, k, v[rows])
+        out.x = np.delete(out.x, separated, axis=1)
+        return out
+
+    def gram(self) -> dict[str, np.ndarray]:
+        w = self.n[:, None]
+        return {"xtx": self.x.T @ (w * self.x), "xty": self.x.T @ (self.n * self.mean), "n": float(self.n.sum()),
+                "sum_y": float((self.n * self.mean).sum())}
+
+    def newton(self, beta: np.ndarray) -> dict[str, np.ndarray]:
+        eta = self.x @ beta
+        mu = np.exp(eta)
+        w = self.n * mu
+        return {"xtx": self.x.T @ (w[:, None] * self.x), "xtz": self.x.T @ (w * eta + self.n * (self.mean - mu)),
+                "deviance": float(self._deviance(eta, mu))}
+
+    def _deviance(self, eta, mu):
+        return 2.0 * (self.ylny - self.n * self.mean * eta - self.n * (self.mean - mu)).sum()
+
+    def residuals(self, beta: np.ndarray, log_link: bool = False, centre: float = 0.0) -> dict:
+        eta = self.x @ beta
+        mu = np.exp(eta) if log_link else eta
+        n, d = self.n, self.mean - mu  # a residual is (y - mean of its cell) + d
+        e2 = self.m2 + n * d ** 2
+        out = {"meat": self.x.T @ (e2[:, None] * self.x), "n": n.sum(), "sum_e": (n * d).sum(), "sum_e2": e2.sum(),
+               "sum_e3": (self.m3 + 3 * d * self.m2 + n * d ** 3).sum(),
+               "sum_e4": (self.m4 + 4 * d * self.m3 + 6 * d ** 2 * self.m2 + n * d ** 4).sum(),
+               "sum_yc2": (self.m2 + n * (self.mean - centre) ** 2).sum()}
+        if log_link:
+            out.update(deviance=self._deviance(eta, mu), pearson=(e2 / mu).sum(),
+                       llf=(n * (self.mean * eta - mu) - self.lgamma).sum(), sum_lgamma=self.lgamma.sum())
+        return {k: v if k == "meat" else float(v) for k, v in out.items()}
+
+
+def sums(df: DataFrame, design: Design, y: Column | str, staged: bool = False):
+    """``CellSums`` where the design is discrete and its cells are few (checked), else ``RowSums``."""
+    if design.discrete:
+        most = int(min(MAX_CELLS, MAX_CELL_NUMBERS // max(design.p, 1)))
+        table = cells(df, design, y).limit(most + 1).toArrow()
+        if table.num_rows <= most:
+            return CellSums(design, table)
+    return RowSums(df, design, y, staged)
 
 
 def _lgamma1p(y: np.ndarray) -> np.ndarray:
@@ -134,3 +262,13 @@ def _lgamma1p(y: np.ndarray) -> np.ndarray:
     x = x + 10.0
     series = 1 / (12 * x) - 1 / (360 * x ** 3) + 1 / (1260 * x ** 5) - 1 / (1680 * x ** 7)
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift
+
+
+def log_factorial(y: Column) -> Column:
+    """``_lgamma1p`` as a Column."""
+    shift = F.ln(y + 1)
+    for k in range(1, 10):
+        shift = shift + F.ln(y + (1 + k))
+    x = y + 11
+    series = 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    return (x - 0.5) * F.ln(x) - x + 0.5 * float(np.log(2 * np.pi)) + series - shift

@@ -15,15 +15,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from postmetrics.stats import linalg as la
-from postmetrics.stats.design import Design, build_design, design_frame
-from postmetrics.stats.gram import gram, irls_sums, residual_sums
+from postmetrics.stats.design import Design, build_design, levels
+from postmetrics.stats.gram import sums
 
 
 @dataclass
 class Fit:
     names: list[str]
     params: np.ndarray
-    cov: np.ndarray
+    cov: np.ndarray  # covariance of the estimates, or (for a wide factor) their variances only
     n: float
     rank: int
     summary: dict
@@ -31,7 +31,7 @@ class Fit:
 
     @property
     def bse(self) -> np.ndarray:
-        d = np.diag(self.cov)
+        d = np.diag(self.cov) if self.cov.ndim == 2 else self.cov
         return np.sqrt(np.where(d >= 0, d, np.nan))
 
     def table(self, spark: SparkSession, exp: bool = False) -> DataFrame:
@@ -70,25 +70,24 @@ def robust_sweep(df: DataFrame, y: str, terms: Sequence[tuple] = (), thresholds:
 
     Caps are quantiles over all rows of ``df``; the fits take complete rows.  ``report`` names the
     terms to return (None: all slopes; a term the design lacks counts as 0), then 'R-squared' follows.
-    All responses share X: one Gram pass with a y column for each threshold.
+    R-squared comes from residuals and centred responses, not from differences of raw sums.
     """
     from pyspark.sql import functions as F
     from postmetrics.operators.quantiles import quantiles
     design = design or build_design(df, terms, True)
     names = [f"c{j}" for j in range(len(thresholds))]
     caps = quantiles(df, y, list(thresholds), names=names).first()
-    ys = [F.log1p(F.when(F.col(y).isNotNull(), F.least(F.col(y).cast("double"), F.lit(caps[c])))) for c in names]
-    g = gram(design_frame(df, design, ys), design.p, len(ys))
-    inv, _ = la.sym_pinv(g["xtx"])
-    rows, n = [], g["n"]
-    for j, t in enumerate(thresholds):
-        xty = g["xty"][:, j]
-        beta = inv @ xty
-        ssr = g["yty"][j, j] - 2 * beta @ xty + beta @ g["xtx"] @ beta
-        sst = g["yty"][j, j] - xty[0] ** 2 / n if n else 0.0
+    rows = []
+    for c, t in zip(names, thresholds):
+        capped = F.log1p(F.when(F.col(y).isNotNull(), F.least(F.col(y).cast("double"), F.lit(caps[c]))))
+        s = sums(df, design, capped)
+        g = s.gram()
+        inv, _ = la.sym_pinv(g["xtx"])
+        beta = inv @ g["xty"]
+        r = s.residuals(beta, centre=g["sum_y"] / g["n"] if g["n"] else 0.0)
         of = dict(zip(design.names, beta))
         rows += [(t, nm, _f(of.get(nm, 0.0))) for nm in (design.names[1:] if report is None else report)]
-        rows.append((t, "R-squared", _f(1 - ssr / sst) if sst > 0 else None))
+        rows.append((t, "R-squared", _f(1 - r["sum_e2"] / r["sum_yc2"]) if r["sum_yc2"] > 0 else None))
     return rows
 
 
@@ -106,16 +105,19 @@ def _exp(x: float) -> float:
 
 def fit_ols(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design: Design | None = None,
             cov_type: str = "HC1", intercept: bool = True) -> Fit:
-    """OLS with HC1 (or classical) covariance; min-norm solution when rank-deficient."""
+    """OLS with HC1 (or classical) covariance; min-norm solution when rank-deficient.
+
+    A discrete design is fitted from the sums of its cells (one native aggregation), any other from
+    Gram passes over factor codes.
+    """
     design = design or build_design(df, terms, intercept)
-    frame = design_frame(df, design, [y])
-    p = design.p
-    g = gram(frame, p, 1)
-    xtx, xty, n = g["xtx"], g["xty"][:, 0], g["n"]
+    s = sums(df, design, y)
+    g = s.gram()
+    xtx, xty, n = g["xtx"], g["xty"], g["n"]
     inv, rank = la.sym_pinv(xtx)
     beta = inv @ xty
-    ybar = xty[0] / n if intercept and n else 0.0
-    r = residual_sums(frame, p, beta, centre=ybar)
+    r = s.residuals(beta, centre=g["sum_y"] / n if design.intercept and n else 0.0)
+    intercept = design.intercept
     ssr = r["sum_e2"]
     df_resid = n - rank
     if cov_type == "HC1":
@@ -150,7 +152,7 @@ def fit_ols(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design:
 
 def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design: Design | None = None,
                 cov_type: str = "HC1", tol: float = 1e-12, dev_tol: float = 1e-10, max_iter: int = 100) -> Fit:
-    """Poisson GLM (log link) by IRLS: one weighted Gram pass per iteration.
+    """Poisson GLM (log link) by IRLS: one weighted pass over cells or staged factor codes per iteration.
 
     Separation: a dummy term whose rows all have y = 0 has no finite estimate.  Such
     terms are found from the first Gram pass (Σ x_j y = 0 with Σ x_j > 0), their rows
@@ -158,22 +160,18 @@ def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), des
     terms are reported with NULL estimates and listed in ``summary['separated']``;
     n and the rank for the HC1 scale still count them, as in the full-design fit.
     """
-    from pyspark.sql import functions as F
     design = design or build_design(df, terms, True)
-    frame = design_frame(df, design, [y]).cache()
     p = design.p
-    g0 = gram(frame, p, 1)
+    everything = sums(df, design, y, staged=True)
+    g0 = everything.gram()
     n_all = g0["n"]
     sep = [j for j in range(1, p) if "[T." in design.names[j]
-           and g0["xtx"][j, j] > 0 and g0["xty"][j, 0] == 0]
+           and g0["xtx"][j, j] > 0 and g0["xty"][j] == 0]
     keep = [j for j in range(p) if j not in sep]
-    work = frame
-    if sep:
-        in_sep = sum((F.col(f"x{j}") for j in sep[1:]), F.col(f"x{sep[0]}"))
-        work = frame.where(in_sep == 0).select(*[F.col(f"x{j}").alias(f"x{i}") for i, j in enumerate(keep)], "y0")
+    work = everything.without(sep) if sep else everything
     q = len(keep)
-    g1 = gram(work, q, 1) if sep else g0
-    ybar = g1["xty"][0, 0] / g1["n"]
+    g1 = work.gram() if sep else g0
+    ybar = g1["sum_y"] / g1["n"]
     beta = np.zeros(q)
     beta[0] = math.log(max(ybar, 1e-10))
     it, converged = 0, False
@@ -181,9 +179,9 @@ def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), des
     rank = q
     prev_dev = None
     for it in range(1, max_iter + 1):
-        g = irls_sums(work, q, beta)
+        g = work.newton(beta)
         inv, rank = la.sym_pinv(g["xtx"])
-        new = inv @ g["xty"][:, 0]
+        new = inv @ g["xtz"]
         step = np.max(np.abs(new - beta))
         beta = new
         # stop on a settled coefficient step, or once the deviance (evaluated at the previous
@@ -194,11 +192,10 @@ def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), des
         if step < tol * max(1.0, np.max(np.abs(beta))) or settled:
             converged = True
             break
-    r = residual_sums(work, q, beta, mu_link="log")
+    r = work.residuals(beta, log_link=True)
     rank_all = rank + len(sep)
     df_resid = n_all - rank_all
     cov_k = inv @ r["meat"] @ inv * (n_all / df_resid) if cov_type == "HC1" else inv
-    frame.unpersist()
     params = np.full(p, np.nan)
     cov = np.full((p, p), np.nan)
     for a, i in enumerate(keep):
@@ -206,7 +203,7 @@ def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), des
         for b, j in enumerate(keep):
             cov[i, j] = cov_k[a, b]
     # intercept-only model: mu = mean(y); its log-likelihood from the same sums
-    sum_y, ybar_all = g0["xty"][0, 0], g0["xty"][0, 0] / n_all
+    sum_y, ybar_all = g0["sum_y"], g0["sum_y"] / n_all
     llnull = (sum_y * math.log(ybar_all) if sum_y > 0 else 0.0) - n_all * ybar_all - r["sum_lgamma"]
     summary = dict(n=n_all, rank=rank_all, df_resid=df_resid, df_model=rank_all - 1, iterations=it, converged=converged,
                    deviance=r["deviance"], pearson_chi2=r["pearson"], llf=r["llf"], llnull=llnull,

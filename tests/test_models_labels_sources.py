@@ -249,7 +249,7 @@ def test_sums_do_not_depend_on_partitions(spark, monkeypatch):
     assert np.allclose(one.cov, many.cov, atol=1e-9)
     assert math.isclose(one.summary["kurtosis"], many.summary["kurtosis"], rel_tol=1e-9)
     frame = design_frame(df.repartition(5), build_design(df, TERMS), ["y"])
-    partials = frame.mapInPandas(lambda it: (G._emit(np.ones(2)) for _ in [list(it)]), G._PACKED)
+    partials = frame.mapInArrow(lambda it: (G._emit(np.ones(2)) for _ in [list(it)]), G._PACKED)
     assert partials.count() == 5
 
 
