@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postmetrics.functions.numeric import round_half_even
 from postmetrics.plans.registry import r6, register
 from postmetrics.session import materialize
 from postmetrics.sources.tables import posts, table
@@ -69,6 +70,31 @@ def model_ols_two_regressors(spark, d):
     return t.select(term.alias("term"), r6(F.col("coef") * per).alias("coef"))
 
 
+@register("model_wide_factor", """
+WITH d AS (SELECT l_partkey AS f, l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS z FROM lineitem
+           WHERE l_partkey IS NOT NULL AND l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL),
+m AS (SELECT f, count(*) AS n, avg(y) AS my, avg(z) AS mz FROM d GROUP BY f),
+t AS (SELECT d.f, d.y - m.my AS yt, d.z - m.mz AS zt FROM d JOIN m USING (f)),
+g AS (SELECT sum(zt * yt) / sum(zt * zt) AS b, sum(zt * zt) AS s FROM t),
+e AS (SELECT f, yt - b * zt AS e, zt FROM t, g),
+u AS (SELECT f, sum(e * e) AS s2, sum(e * e * zt) AS u FROM e GROUP BY f),
+v AS (SELECT sum(e * e * zt * zt) / (any_value(s) * any_value(s)) AS v FROM e, g),
+k AS (SELECT (SELECT count(*) FROM d) AS n, (SELECT count(*) FROM m) + 1 AS p),
+a AS (SELECT m.f, my - b * mz AS alpha, s2 / (n * n) - 2 * u / n / s * mz + mz * mz * v AS va, u / n / s AS c, mz FROM m JOIN u USING (f), g, v),
+o AS (SELECT alpha AS alpha0, va AS va0, c AS c0, mz AS mz0 FROM a WHERE f = (SELECT min(f) FROM a))
+SELECT 'Intercept' AS term, round_even(alpha0, 2) AS coef, round_even(sqrt(n * 1.0 / (n - p) * va0), 2) AS se FROM o, k
+UNION ALL
+SELECT 'C(l_partkey)[T.' || f || ']', round_even(alpha - alpha0, 2),
+       round_even(sqrt(n * 1.0 / (n - p) * (va + va0 - 2 * (mz * mz0 * v - c * mz0 - c0 * mz))), 2) FROM a, o, k, v WHERE f <> (SELECT min(f) FROM a)
+UNION ALL
+SELECT 'l_quantity', round_even(b, 2), round_even(sqrt(n * 1.0 / (n - p) * v), 2) FROM g, v, k""")
+def model_wide_factor(spark, d):
+    """Price on every part (thousands of levels) and quantity."""
+    li = table(spark, d, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity")
+    fit = models.fit_wide_factor(li, F.col("l_extendedprice").cast("double"), "l_partkey", [("num", "l_quantity")])
+    return fit.table(spark).select("term", round_half_even(F.col("coef"), 2).alias("coef"), round_half_even(F.col("se"), 2).alias("se"))
+
+
 @register("model_coef_table", SQL_OLS_BASE + """
 SELECT term, round_even(coef, 6) AS coef, round_even(se, 6) AS se, round_even(coef / se, 6) AS z,
   round_even(coef - 1.959963984540054 * se, 6) AS ci_lower, round_even(coef + 1.959963984540054 * se, 6) AS ci_upper

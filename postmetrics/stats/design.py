@@ -62,10 +62,18 @@ class Design:
         return "num" not in self.base_columns().values()
 
 
+class TooManyLevels(ValueError):
+    """A categorical is too wide for the matrix on the driver."""
+
+    def __init__(self, column: str, most: int):
+        super().__init__(f"categorical {column}: more than {most} levels")
+        self.column = column
+
+
 def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
     rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect()
     if len(rows) > max_levels:
-        raise ValueError(f"categorical {col}: more than {max_levels} levels")
+        raise TooManyLevels(col, max_levels)
     return sorted(r[0] for r in rows)
 
 
@@ -91,8 +99,8 @@ def _term_columns(df, term, lv_cache, max_levels):
 
 
 def build_design(df: DataFrame, terms: Sequence[tuple], intercept: bool = True, max_levels: int = MAX_LEVELS) -> Design:
-    """Columns of the terms; a categorical with more than ``max_levels`` levels is an error, since the
-    driver solves systems as wide as the design."""
+    """Columns of the terms; a categorical with more than ``max_levels`` levels raises ``TooManyLevels``,
+    since the driver solves systems as wide as the design."""
     names, exprs, cache = [], [], {}
     if intercept:
         names.append("Intercept")

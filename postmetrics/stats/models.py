@@ -15,8 +15,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from postmetrics.stats import linalg as la
-from postmetrics.stats.design import Design, build_design, levels
-from postmetrics.stats.gram import sums
+from postmetrics.stats.design import Design, TooManyLevels, build_design, design_frame
+from postmetrics.stats.gram import gram, sums
+
+#: Levels of the one factor that ``fit_wide_factor`` takes out of the matrix (a row each on the driver).
+MAX_WIDE_LEVELS = 1_000_000
 
 
 @dataclass
@@ -108,9 +111,16 @@ def fit_ols(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design:
     """OLS with HC1 (or classical) covariance; min-norm solution when rank-deficient.
 
     A discrete design is fitted from the sums of its cells (one native aggregation), any other from
-    Gram passes over factor codes.
+    Gram passes over factor codes.  One categorical may have more levels than the matrix takes: then
+    ``fit_wide_factor`` fits the same model.
     """
-    design = design or build_design(df, terms, intercept)
+    if design is None:
+        try:
+            design = build_design(df, terms, intercept)
+        except TooManyLevels as wide:
+            if not intercept or cov_type != "HC1" or ("cat", wide.column) not in terms:
+                raise
+            return fit_wide_factor(df, y, wide.column, [t for t in terms if t != ("cat", wide.column)])
     s = sums(df, design, y)
     g = s.gram()
     xtx, xty, n = g["xtx"], g["xty"], g["n"]
@@ -150,6 +160,58 @@ def fit_ols(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design:
     return Fit(design.names, beta, cov, n, rank, summary)
 
 
+def fit_wide_factor(df: DataFrame, y: Column | str, factor: str, terms: Sequence[tuple] = ()) -> Fit:
+    """OLS with HC1 errors of ``C(factor)`` and ``terms``, the factor taken out by its level sums.
+
+    With treatment coding the factor's block of XᵀX is diagonal, so the other columns solve a system
+    of their own width on rows centred by level, and each level follows from its means:
+    a_l = mean_l(y) - mean_l(z) g.  Errors need per level only Σe² and Σe² z.  All level sums are
+    native aggregations; the driver holds one row of numbers per level.
+    """
+    from pyspark.sql import functions as F
+    other = build_design(df, terms, False)
+    q = other.p
+    xs, means = [f"x{i}" for i in range(q)], [f"m{i}" for i in range(q)]
+    rows = design_frame(df.where(F.col(factor).isNotNull()), other, [y], [factor])
+    by_level = rows.groupBy(factor).agg(F.count("*").alias("n"), F.avg("y0").alias("my"), *[F.avg(x).alias(m) for x, m in zip(xs, means)])
+    centred = rows.join(by_level.withColumnRenamed(factor, "_f"), F.col(factor) == F.col("_f")).select(
+        factor, (F.col("y0") - F.col("my")).alias("y0"), *[(F.col(x) - F.col(m)).alias(x) for x, m in zip(xs, means)])
+    if q:
+        g = gram(centred, q, 1)
+        inv, inner_rank = la.sym_pinv(g["xtx"])
+        slope = inv @ g["xty"][:, 0]
+    else:
+        inv, inner_rank, slope = np.zeros((0, 0)), 0, np.zeros(0)
+    e = sum((F.lit(-float(b)) * F.col(x) for b, x in zip(slope, xs)), F.col("y0"))
+    scored = centred.withColumn("e", e)
+    level_sums = scored.groupBy(F.col(factor).alias("_f")).agg(
+        F.sum(F.col("e") ** 2).alias("s"), *[F.sum(F.col("e") ** 2 * F.col(x)).alias(f"u{i}") for i, x in enumerate(xs)])
+    table = by_level.join(level_sums, F.col(factor) == F.col("_f")).drop("_f").limit(MAX_WIDE_LEVELS + 1).toArrow()
+    if table.num_rows > MAX_WIDE_LEVELS:
+        raise TooManyLevels(factor, MAX_WIDE_LEVELS)
+    table = table.sort_by(factor)
+    number = {c: table.column(c).to_numpy().astype(np.float64) for c in table.column_names if c != factor}
+    count, n = number["n"], float(number["n"].sum())
+    zbar = np.stack([number[m] for m in means], axis=1) if q else np.zeros((len(count), 0))
+    u = np.stack([number[f"u{i}"] for i in range(q)], axis=1) if q else np.zeros((len(count), 0))
+    meat = gram(scored.select(*[(F.col(x) * F.col("e")).alias(x) for x in xs]), q, 0)["xtx"] if q else np.zeros((0, 0))
+    v = inv @ meat @ inv
+    level = number["my"] - zbar @ slope
+    # the error of a level: its mean residual, less zbar times the error of the slopes
+    cross = (u / count[:, None]) @ inv
+    var = number["s"] / count ** 2 - 2 * (cross * zbar).sum(1) + ((zbar @ v) * zbar).sum(1)
+    with_base = -cross @ zbar[0] - zbar @ cross[0] + zbar @ v @ zbar[0]
+    rank = len(count) + inner_rank
+    scale = n / (n - rank)
+    names = ["Intercept"] + [f"C({factor})[T.{f}]" for f in table.column(factor).to_pylist()[1:]] + other.names
+    params = np.concatenate([level[:1], level[1:] - level[0], slope])
+    variances = scale * np.concatenate([var[:1], (var + var[0] - 2 * with_base)[1:], np.diag(v)])
+    ssr = float(number["s"].sum())
+    total = rows.agg(F.var_pop("y0")).first()[0]
+    summary = dict(n=n, rank=rank, df_model=rank - 1, df_resid=n - rank, ssr=ssr, r_squared=1.0 - ssr / (total * n) if total else float("nan"))
+    return Fit(names, params, variances, n, rank, summary)
+
+
 def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design: Design | None = None,
                 cov_type: str = "HC1", tol: float = 1e-12, dev_tol: float = 1e-10, max_iter: int = 100) -> Fit:
     """Poisson GLM (log link) by IRLS: one weighted pass over cells or staged factor codes per iteration.
