@@ -29,9 +29,11 @@ def lookup_left(left: DataFrame, lookup: DataFrame, cond: Column) -> DataFrame:
 
 
 def infer_owner(df: DataFrame, author: str, screen_name: str, reply_to: str,
-                hint: str | None = None) -> DataFrame:
+                hint: str | None = None, required: bool = False) -> DataFrame:
     """Owner id: author matching the screen-name hint, else the modal author, else the
-    modal reply target.  Each candidate is a one-row aggregate used as a scalar."""
+    modal reply target.  Each candidate is a one-row aggregate used as a scalar.
+
+    Without any the owner is NULL (no reply is then one to the owner); with ``required`` reading it fails."""
     candidates = []
     if hint:
         matched = df.where(ci_equal(screen_name, F.lit(hint)))
@@ -39,7 +41,10 @@ def infer_owner(df: DataFrame, author: str, screen_name: str, reply_to: str,
     candidates.append(mode_value(df, author, "o").scalar())
     candidates.append(mode_value(df, reply_to, "o").scalar())
     base = df.agg(F.count(F.lit(1)).alias("_n"))
-    return base.select(F.coalesce(*[c.cast("string") for c in candidates]).alias("owner_id"))
+    found = [c.cast("string") for c in candidates]
+    if required:
+        found.append(F.raise_error(F.lit("no owner can be inferred: no author and no reply target")).cast("string"))
+    return base.select(F.coalesce(*found).alias("owner_id"))
 
 
 def entity_demean(df: DataFrame, entity: str, cols: Sequence[str], add_grand_mean: bool = True) -> DataFrame:

@@ -28,6 +28,28 @@ def mutuals(following: DataFrame, followers: DataFrame, key: str = "account_id")
     return following.select(key).join(followers.select(key), key, "left_semi").distinct()
 
 
+def mutuals_by_account(following: DataFrame, followers: DataFrame, account: str = "account_id", other: str = "other_id") -> DataFrame:
+    """Distinct (account, other) pairs that stand in both lists.
+
+    Both sides are reduced to distinct pairs first (partial aggregates), then semi-joined on the pair:
+    an account with most of the edges is spread over all partitions, since its pairs differ.
+    """
+    pairs = [df.select(account, other).where(F.col(account).isNotNull() & F.col(other).isNotNull()).distinct()
+             for df in (following, followers)]
+    return pairs[0].join(pairs[1], [account, other], "left_semi")
+
+
+def network_summary_by_account(following: DataFrame, followers: DataFrame, account: str = "account_id", other: str = "other_id") -> DataFrame:
+    """``network_summary`` for every account of either list."""
+    sides = [df.select(account, other).where(F.col(account).isNotNull() & F.col(other).isNotNull()).distinct().withColumn(name, F.lit(1))
+             for df, name in ((following, "_a"), (followers, "_b"))]
+    both = sides[0].join(sides[1], [account, other], "full_outer")
+    s = both.groupBy(account).agg(
+        F.count("_a").alias("total_following"), F.count("_b").alias("total_followers"),
+        F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)).alias("total_mutual"))
+    return s.select(account, *_summary_columns())
+
+
 def network_summary(following: DataFrame, followers: DataFrame, key: str = "account_id") -> DataFrame:
     """One row: totals, mutual, follow-back shares (%), ratio and exclusive counts (0 guards)."""
     a = following.select(key).distinct().withColumn("_a", F.lit(1))
@@ -37,13 +59,15 @@ def network_summary(following: DataFrame, followers: DataFrame, key: str = "acco
         F.count(F.col("_a")).alias("total_following"),
         F.count(F.col("_b")).alias("total_followers"),
         F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)).alias("total_mutual"))
+    return s.select(*_summary_columns())
+
+
+def _summary_columns() -> list[Column]:
     fol, fer, mut = F.col("total_following"), F.col("total_followers"), F.col("total_mutual")
-    return s.select(
-        fol.alias("total_following"), fer.alias("total_followers"), mut.alias("total_mutual"),
-        _pct(mut, fol).alias("pct_following_back"),
-        _pct(mut, fer).alias("pct_followed_back"),
-        F.when(fol > 0, fer / fol).otherwise(F.lit(0.0)).alias("follow_ratio"),
-        (fol - mut).alias("following_only"), (fer - mut).alias("followers_only"))
+    return [fol.alias("total_following"), fer.alias("total_followers"), mut.alias("total_mutual"),
+            _pct(mut, fol).alias("pct_following_back"), _pct(mut, fer).alias("pct_followed_back"),
+            F.when(fol > 0, fer / fol).otherwise(F.lit(0.0)).alias("follow_ratio"),
+            (fol - mut).alias("following_only"), (fer - mut).alias("followers_only")]
 
 
 def _pct(num: Column, den: Column) -> Column:
