@@ -19,7 +19,7 @@ from postmetrics.plans.q_rows import SQL_FOLLOW, follow_lists
 from postmetrics.plans.registry import r6, register
 from postmetrics.session import scratch_path
 from postmetrics.sources import archive as ar
-from postmetrics.sources import sinks
+from postmetrics.sources import ledger, sinks
 from postmetrics.sources.tables import table
 
 # ---------------------------------------------------------------- post archive export
@@ -218,6 +218,35 @@ def fetch_accounts(spark, d):
                                              F.floor("c_acctbal").cast("bigint").alias("followers_count"))
     return ids.join(acc, "id", "left").select("id", "batch", "username", "followers_count")
 
+
+
+def _directory(ids):
+    """Stand-in for the account service: a record per id."""
+    return [{"id": i, "username": f"user{i}", "followers_count": int(i) * 7 % 1000} for i in ids]
+
+
+def _directory_down(ids):
+    """The service while the batch that holds customer 201 cannot be fetched."""
+    if "201" in ids:
+        raise TimeoutError("no answer")
+    return _directory(ids)
+
+
+@register("fetch_accounts_ledger", """
+SELECT CAST(c_custkey AS VARCHAR) AS id, b AS batch, 'user' || c_custkey AS username, (c_custkey * 7) % 1000 AS followers_count,
+       CASE WHEN b = 2 THEN 2 ELSE 1 END::BIGINT AS attempts, CASE WHEN b = 2 THEN 'failed' ELSE 'done' END AS first_state
+FROM (SELECT *, CAST((ROW_NUMBER() OVER (ORDER BY c_custkey) - 1) // 100 AS INTEGER) AS b FROM customer)""")
+def fetch_accounts_ledger(spark, d):
+    """Accounts of all customers in 100-id batches: in the first run one batch fails and is passed over,
+    the second run asks for that one only."""
+    wanted = _customer_batches(spark, d).select(F.col("c_custkey").cast("string").alias("id"), F.col("batch").cast("int").alias("batch"))
+    path, fields = scratch_path(spark, "accounts"), "id string, username string, followers_count bigint"
+    ledger.fetch_batches(spark, wanted, _directory_down, path, fields)
+    first = ledger.ledger(spark, path).select("batch", F.col("state").alias("first_state"))
+    rows = ledger.fetch_batches(spark, wanted, _directory, path, fields)
+    return rows.join(ledger.ledger(spark, path).select("batch", "attempts"), "batch").join(first, "batch")
+
+
 # ---------------------------------------------------------------- resume
 
 
@@ -229,7 +258,7 @@ def _partial_run(spark, d, path, first_batches: int = 3):
     """An earlier, interrupted run: the first batches, and every second row of the next one."""
     b = _customer_batches(spark, d)
     half = (F.col("batch") == first_batches) & (F.col("c_custkey") % 2 == 0)
-    b.where((F.col("batch") < first_batches) | half).write.mode("overwrite").parquet(path)
+    sinks.publish(b.where((F.col("batch") < first_batches) | half), path)
     return b
 
 
@@ -239,7 +268,7 @@ WHERE batch > 3 OR (batch = 3 AND c_custkey % 2 <> 0)""")
 def join_anti_resume(spark, d):
     path = scratch_path(spark, "resume")
     wanted = _partial_run(spark, d, path)
-    return wanted.join(spark.read.parquet(path), "c_custkey", "left_anti").select("c_custkey")
+    return wanted.join(sinks.published(spark, path), "c_custkey", "left_anti").select("c_custkey")
 
 
 @register("sink_resume", """

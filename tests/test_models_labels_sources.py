@@ -198,6 +198,120 @@ def test_resume_goes_on_after_a_failing_group(spark, tmp_path):
     assert not failed and sorted(r.id for r in again.collect()) == list(range(50))
 
 
+def test_a_killed_append_is_never_half_visible(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    rows = spark.range(100).select(F.col("id"), (F.col("id") % 4).cast("int").alias("batch")).repartition(4)
+    sinks.resume_batches(spark, rows.where("batch < 1"), "batch", path, lambda t: t, ["id"])
+    commit = sinks._commit
+
+    def killed(*a, **k):
+        raise KeyboardInterrupt("killed between write and publish")
+    monkeypatch.setattr(sinks, "_commit", killed)
+    with pytest.raises(KeyboardInterrupt):
+        sinks.resume_batches(spark, rows, "batch", path, lambda t: t, ["id"])
+    assert len(list((tmp_path / "out" / "data").iterdir())) == 2  # written, but
+    assert sinks.published(spark, path).count() == 25             # not visible
+    monkeypatch.setattr(sinks, "_commit", commit)
+    final, failed = sinks.resume_batches(spark, rows, "batch", path, lambda t: t, ["id"])
+    assert sorted(r.id for r in final.collect()) == list(range(100)) and not failed
+
+
+def test_resume_raises_programming_errors_and_total_failure(spark, tmp_path):
+    rows = spark.range(10).select(F.col("id"), F.lit(0).alias("batch"))
+    with pytest.raises(NameError):
+        sinks.resume_batches(spark, rows, "batch", str(tmp_path / "a"), lambda t: undefined_name, ["id"], groups=2)  # noqa: F821
+
+    def down(todo):
+        raise OSError("service down")
+    with pytest.raises(OSError):
+        sinks.resume_batches(spark, rows, "batch", str(tmp_path / "b"), down, ["id"], groups=2)
+
+
+def test_ledger_records_failures_and_resumes(spark, tmp_path):
+    from postmetrics.sources import ledger
+    wanted = spark.createDataFrame([(str(i), i // 3) for i in range(10)], "id string, batch int")
+    path, schema = str(tmp_path / "accounts"), "id string, n bigint"
+
+    def flaky(ids):
+        if "4" in ids:
+            raise TimeoutError("no answer")
+        return [{"id": i, "n": int(i) * 2} for i in ids]
+    assert ledger.progress(spark, path, wanted).first()[:] == (4, 0, 0, 4)
+    got = ledger.fetch_batches(spark, wanted, flaky, path, schema)
+    assert sorted(int(r.id) for r in got.collect()) == [0, 1, 2, 6, 7, 8, 9]
+    assert ledger.progress(spark, path, wanted).first()[:] == (4, 3, 1, 0)
+    state = {r.batch: (r.attempts, r.state, r.error, r.records) for r in ledger.ledger(spark, path).collect()}
+    assert state[1] == (1, "failed", "TimeoutError: no answer", 0) and state[0] == (1, "done", None, 3)
+    again = ledger.fetch_batches(spark, wanted, lambda ids: [{"id": i, "n": -1} for i in ids], path, schema)
+    assert {int(r.id): r.n for r in again.collect()} == {**{i: 2 * i for i in range(10)}, 3: -1, 4: -1, 5: -1}
+    assert {r.batch: r.attempts for r in ledger.ledger(spark, path).collect()} == {0: 1, 1: 2, 2: 1, 3: 1}
+
+
+def test_accounts_have_their_own_owner_cap_and_tiers(spark):
+    from pyspark.errors import PySparkException
+    from postmetrics.operators import accounts as ac
+    from postmetrics.operators.joins import infer_owner
+    rows = [("a", "1", "Anna", "9", 1.0), ("a", "1", "Anna", "1", 3.0), ("a", "2", "Bob", None, 5.0),
+            ("b", None, None, "7", 10.0), ("b", None, None, "7", 20.0), ("b", None, None, "8", 30.0), ("c", None, None, None, 2.0)]
+    df = spark.createDataFrame(rows, "acct string, author string, screen string, target string, v double")
+    hints = spark.createDataFrame([("a", "bob"), ("b", "nobody")], "account string, screen_name string")
+    own = ac.owners(df, "acct", "author", "screen", "target", hints)
+    assert {r.account: r.owner_id for r in own.collect()} == {"a": "2", "b": "7", "c": None}
+    assert {r.account: r.owner_id for r in ac.owners(df, "acct", "author", "screen", "target").collect()}["a"] == "1"
+    dim = ac.account_dimension(df, "acct", "v", own, cap_q=0.5)
+    assert {r.account: r.cap for r in dim.collect()} == {"a": 3.0, "b": 20.0, "c": 2.0}
+    with pytest.raises(PySparkException):
+        ac.account_dimension(df, "acct", "v", own, required=True).collect()
+    nobody = df.where("acct = 'c'")
+    assert infer_owner(nobody, "author", "screen", "target").first()[0] is None
+    with pytest.raises(PySparkException):
+        infer_owner(nobody, "author", "screen", "target", required=True).collect()
+
+
+def test_mutual_pairs_by_account(spark):
+    from postmetrics.operators import network as nw
+    following = spark.createDataFrame([(0, i) for i in range(50)] * 2 + [(1, 3), (1, None), (None, 3)], "account_id long, other_id long")
+    followers = spark.createDataFrame([(0, i) for i in range(40, 60)] + [(1, 4), (2, 3)], "account_id long, other_id long")
+    assert sorted(tuple(r) for r in nw.mutuals_by_account(following, followers).collect()) == [(0, i) for i in range(40, 50)]
+    got = {r.account_id: (r.total_following, r.total_followers, r.total_mutual) for r in nw.network_summary_by_account(following, followers).collect()}
+    assert got == {0: (50, 20, 10), 1: (1, 1, 0), 2: (0, 1, 0)}
+
+
+def test_wide_factor_equals_the_dense_fit(spark):
+    from postmetrics.stats import models as M
+    rng = np.random.default_rng(12)
+    f, z = rng.integers(0, 40, 3000), rng.normal(size=3000)
+    flag = rng.random(3000) < 0.4
+    y = f * 0.3 + 2 * z - flag + rng.normal(size=3000) * (1 + (f % 3))
+    df = spark.createDataFrame(pd.DataFrame({"f": f, "z": z, "flag": flag, "y": y}))
+    terms = [("cat", "f"), ("num", "z"), ("bool", "flag")]
+    dense, wide = fit_ols(df, "y", terms), M.fit_wide_factor(df, "y", "f", terms[1:])
+    assert wide.names == dense.names and wide.rank == dense.rank
+    assert np.allclose(wide.params, dense.params, atol=1e-9) and np.allclose(wide.bse, dense.bse, atol=1e-9)
+    assert math.isclose(wide.summary["r_squared"], dense.summary["r_squared"], rel_tol=1e-9)
+    alone, dense = M.fit_wide_factor(df, "y", "f"), fit_ols(df, "y", terms[:1])
+    assert np.allclose(alone.params, dense.params, atol=1e-9) and np.allclose(alone.bse, dense.bse, atol=1e-9)
+    # wider than the matrix takes: the same entry point
+    wide_rows = spark.range(6000).select((F.col("id") % 1500).alias("f"), F.col("id").cast("double").alias("y"))
+    assert len(fit_ols(wide_rows, "y", [("cat", "f")]).names) == 1500
+
+
+def test_cells_and_rows_give_the_same_fits(spark, monkeypatch):
+    from postmetrics.stats import gram as G
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(pd.DataFrame({"a": rng.choice(list("xyz"), 2000), "b": rng.random(2000) < 0.3,
+                                             "y": rng.poisson(3.0, 2000).astype(float)}))
+    terms = [("cat", "a"), ("bool", "b"), ("inter", ("cat", "a"), ("bool", "b"))]
+    fits = [(fit_ols(df, "y", terms), fit_poisson(df, "y", terms))]
+    monkeypatch.setattr(G, "MAX_CELLS", 0)
+    fits.append((fit_ols(df, "y", terms), fit_poisson(df, "y", terms)))
+    for one, two in zip(*fits):
+        assert np.allclose(one.params, two.params, atol=1e-8) and np.allclose(one.cov, two.cov, atol=1e-8)
+        for k in ("llf", "skew", "kurtosis", "deviance", "pearson_chi2", "pseudo_r2_cs"):
+            if k in one.summary:
+                assert math.isclose(one.summary[k], two.summary[k], rel_tol=1e-8, abs_tol=1e-8), k
+
+
 def test_csv_roundtrip_keeps_texts(spark, tmp_path):
     texts = ['line one\nline "two"', "  padded  ", "comma, inside"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
