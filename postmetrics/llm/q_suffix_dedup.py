@@ -8,6 +8,6 @@ from postmetrics.llm.registry import register, table
 
 @register("op5_suffix_dedup")
 def op5_suffix_dedup(spark, sf_dir):
-    """What is left of every whole document, as counts and digest."""
+    """What is left of every whole document, with counts and digest."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")

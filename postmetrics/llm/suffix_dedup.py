@@ -16,7 +16,8 @@ and the others are placed by their distance to it:
   window, together with one representative of every settled block of the same core.
 
 Every step is an aggregation or join of fixed-size rows by name; no group of equal strings is ever
-held by one task.  Names are two independent 64-bit hashes (core and wide or window).
+held by one task.  Names are pairs of hashes (core, and wide or window), each of two polynomials modulo a
+prime; they share these polynomials.
 
 Defined results: null texts are empty; texts shorter than ``length`` keep all bytes; repeated rows are
 documents of their own, so they remove each other; ids may be null or shared; an empty table gives
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmetrics.llm.staging import drop, release_shuffles, stage
-from postmetrics.llm.textops import U64, mix, prefix_sums, row_slices, span_hash, text_buffer
+from postmetrics.llm.textops import U64, mix, prefix_sums, row_slices, span_hash, span_rank, text_buffer
 
 LENGTH = 400
 TUPLE = 100
@@ -66,9 +67,9 @@ def sample_positions(sums: np.ndarray, start: int, end: int, length: int) -> np.
     for lo in range(0, windows, PART):
         n = min(PART, windows - lo)
         at = np.arange(lo, lo + n + width - 1)
-        # the hash's upper bits, then the position counted backwards: a smaller value is later on ties
-        ranked = (span_hash(sums, start + at, start + at + tuple_bytes) >> _PLACE_BITS << _PLACE_BITS) | (_PLACES - at.astype(U64))
-        out[lo:lo + n] = _PLACES - (_sliding_min(ranked, width) & _PLACES)
+        # the rank's upper bits, then the place in the part counted backwards: a smaller value is later on ties
+        ranked = (span_rank(sums, start + at, start + at + tuple_bytes) >> _PLACE_BITS << _PLACE_BITS) | (_PLACES - (at - lo).astype(U64))
+        out[lo:lo + n] = lo + (_PLACES - (_sliding_min(ranked, width) & _PLACES)).astype(np.int64)
     return out
 
 

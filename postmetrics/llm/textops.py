@@ -18,9 +18,11 @@ SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+#: Spans are hashed by two polynomials modulo this prime; a modulus of 2**64 would let some long texts
+#: that swap two letters (Thue-Morse order) collide whatever the base.
+_PRIME = (1 << 31) - 1
+_BASES = (0x3C6EF372 % _PRIME, 0x1F83D9AB % _PRIME)
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x) -> np.ndarray:
@@ -34,15 +36,28 @@ def mix(x) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
+_BYTE_VALUE = np.stack([(mix(np.arange(1, 257, dtype=U64) * U64(k)) >> U64(34)) + U64(1)
+                        for k in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)])
 
 
-def _power_table(kind: str, n: int) -> np.ndarray:
-    table = _powers[kind]
-    if len(table) < n:
-        step = np.full(max(n, 1 << 20), U64(_BASE if kind == "up" else _BASE_INVERSE), dtype=U64)
-        step[0] = 1
-        table = _powers[kind] = np.cumprod(step, dtype=U64)
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """``x`` (below 2**62 or so) modulo the prime, in place."""
+    for _ in range(2):
+        high = x >> U64(31)
+        x &= U64(_PRIME)
+        x += high
+    x -= U64(_PRIME) * (x >= U64(_PRIME))
+    return x
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo the prime, built by doubling."""
+    table = _powers.get(base)
+    if table is None or len(table) < n:
+        table = np.ones(1, U64) if table is None else table
+        while len(table) < max(n, 1 << 16):
+            table = np.concatenate((table, _reduce(table * U64(pow(base, len(table), _PRIME)))))
+        _powers[base] = table
     return table[:n]
 
 
@@ -77,17 +92,28 @@ def row_of(starts: np.ndarray, positions: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
-    """Sums from which ``span_hash`` takes any span's polynomial hash."""
-    sums = np.empty(len(buf) + 1, U64)
-    sums[0] = 0
-    np.cumsum(_BYTE_VALUE[buf] * _power_table("up", len(buf)), out=sums[1:])
+    """Sums (one row per polynomial) from which ``span_hash`` takes any span's hash; below 8 GB a buffer."""
+    sums = np.zeros((len(_BASES), len(buf) + 1), U64)
+    for k, base in enumerate(_BASES):
+        np.cumsum(_reduce(_BYTE_VALUE[k][buf] * _power_table(base, len(buf))), out=sums[k, 1:])
     return sums
 
 
+def _polynomial(sums: np.ndarray, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial ``k`` of the bytes [start, end), as if they stood at 0."""
+    inverse = pow(_BASES[k], -1, _PRIME)
+    return _reduce(_reduce(sums[k][end] - sums[k][start]) * _power_table(inverse, sums.shape[1])[start])
+
+
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes [start, end); equal bytes give equal hashes wherever they stand."""
-    down = _power_table("down", len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + mix((end - start).astype(U64)))
+    both = (_polynomial(sums, 0, start, end) << U64(31)) | _polynomial(sums, 1, start, end)
+    return mix(both + mix((end - start).astype(U64)))
+
+
+def span_rank(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A cheaper number that equal spans of one length share, to order them by; different spans may tie."""
+    return mix(_polynomial(sums, 0, start, end))
 
 
 def word_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

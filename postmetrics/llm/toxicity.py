@@ -163,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).where(usable)
     marks = marks.groupBy("id").agg(F.max("label").alias("label"))
-    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(usable).join(marks, "id"), "labelled")
+    # the same join at every size: labels grow with the documents
+    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(usable).join(marks.hint("merge"), "id"), "labelled")
     release_shuffles(docs.sparkSession)
 
     counts = document_counts(rows).toArrow()  # one row per bucket at most
@@ -262,7 +263,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).where(usable)
     marks = marks.groupBy("id").agg(F.max("label").alias("label"))
-    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(usable).join(marks, "id"), "labelled")
+    # the same join at every size: labels grow with the documents
+    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(usable).join(marks.hint("merge"), "id"), "labelled")
     release_shuffles(docs.sparkSession)
 
     counts = document_counts(rows).toArrow()  # one row per bucket at most

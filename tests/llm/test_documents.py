@@ -160,6 +160,57 @@ def test_sample_positions_do_not_depend_on_parts(monkeypatch):
     assert np.array_equal(whole, suffix_dedup.sample_positions(sums, 0, len(raw), 400))
 
 
+# -- hashes of spans ---------------------------------------------------------------------------
+
+def _letter_swaps(n):
+    """Two words that swap two letters in Thue-Morse order: equal under any polynomial modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_span_hash_of_letter_swaps_and_places():
+    from postmetrics.llm import textops
+    one, two = _letter_swaps(2048)
+    raw = np.frombuffer((one + "xyz" + two + one).encode(), np.uint8)
+    at = np.array([0, 2051, 4099])
+    keys = textops.span_hash(textops.prefix_sums(raw), at, at + 2048)
+    assert keys[0] == keys[2] != keys[1]
+    rng = np.random.default_rng(2)
+    buf = np.tile(rng.integers(0, 256, 40_000).astype(np.uint8), 2)
+    start = rng.integers(0, 40_000, 3000)
+    end = np.minimum(start + rng.integers(0, 300, 3000), 40_000)
+    sums = textops.prefix_sums(buf)
+    first, again = textops.span_hash(sums, start, end), textops.span_hash(sums, start + 40_000, end + 40_000)
+    assert np.array_equal(first, again)
+    assert len(set(first.tolist())) == len({buf[a:b].tobytes() for a, b in zip(start, end)})
+
+
+def test_operators_tell_letter_swaps_apart(spark):
+    import sentencepiece
+    import tokenizers
+    import zlib
+    from postmetrics.llm import q_packing, q_sentencepieces
+    one, two = _letter_swaps(4096)
+    texts = [one, two, one + " tail", two + " tail"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    piece = sentencepiece.SentencePieceProcessor(model_file=q_sentencepieces.model_file())
+    got = {r.doc_id: r.ids for r in sentencepieces.encode(df, q_sentencepieces.model_file()).collect()}
+    assert got == {k: piece.encode(t) for k, t in enumerate(texts)}
+    library = tokenizers.Tokenizer.from_file(q_packing.vocabulary())
+    crc = {}
+    for r in packing.pack_documents(df, q_packing.vocabulary()).orderBy("doc_id", "start").collect():
+        crc.setdefault(r.doc_id, []).append((r.length, r.ids_crc32))
+    for k, t in enumerate(texts):
+        ids, at = library.encode(t, add_special_tokens=False).ids + [0], 0
+        for length, value in crc[k]:
+            assert zlib.crc32(np.asarray(ids[at:at + length], "<u4").tobytes()) == value
+            at += length
+    sets = {r.doc_id: (r.component_id, r.n_shingles) for r in minhash.near_duplicates(df, 5, 85).collect()}
+    assert sets == {k: (k, 1) for k in range(4)}
+    cut = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df, 400).collect()}
+    assert cut == {r[0]: r[2] for r in _cut([(k, t, None) for k, t in enumerate(texts)], 400)}
+
+
 # -- lines -----------------------------------------------------------------------------------------
 
 def test_line_dedup(docs, rows):
