@@ -3,7 +3,7 @@
 Alternating large-star and small-star steps: each joins links with the smallest neighbour of a
 vertex, so the table never grows beyond the links it began with and ends as one star per component.
 Every step is an aggregation with partial sums and a join whose skewed keys Spark can split; each
-round is a written table.
+step is a written table, and the rounds end when one count finds only stars.
 """
 
 from __future__ import annotations
@@ -14,10 +14,24 @@ from pyspark.sql import functions as F
 from postmetrics.llm.staging import drop, stage
 
 
-def _toward_smallest(both: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For each vertex u, m the smallest of it and its neighbours: (u, v, m) by neighbour v; (u, m), staged."""
-    least = stage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-    return both.join(least, "u"), least
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """One step: u and its neighbours above it (large star) or below it (small star) link to m, the
+    smallest of u and its neighbours."""
+    if large:  # a link is kept downwards; for what lies above u it is needed both ways
+        links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    pulled = links.join(links.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "u")
+    moved = F.explode(F.array(F.struct(F.col("u").alias("x")), F.struct(F.col("v").alias("x"))))
+    taken = pulled.select(moved.alias("t"), "u", "m").select(F.col("t.x").alias("x"), "u", "m")
+    taken = taken.where("x >= u" if large else "x <= u")
+    return taken.where("x > m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _is_settled(links: DataFrame) -> bool:
+    """True if every vertex has one link up and none down, or none up: one star per component."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not each.agg(F.max((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1)))).first()[0]
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -27,25 +41,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     clean = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     current = stage(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = _fingerprint(current)
-    while mark[0]:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        pulled, least = _toward_smallest(both)
-        large = stage(pulled.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                      .unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "large_star")
-        drop(least)
-        pulled, least = _toward_smallest(large)
-        small = stage(pulled.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                      .unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "small_star")
-        drop(least, large, current)
-        current, before, mark = small, mark, _fingerprint(small)
-        if mark == before:
-            break
+    while not _is_settled(current):
+        large = stage(_star(current, True), "large_star")
+        small = stage(_star(large, False), "small_star")
+        drop(current, large)
+        current = small
     return current.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
-
-
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Number of links and an order-free sum over them: equal exactly when a round changed nothing."""
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]

@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     prefix_keys = POSTED - match_threshold(POSTED, percent) + 1
     rows = stage(signatures(docs, words, id_col, text_col), "signatures")
     usable = rows.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = stage(usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id", "text_hash")).alias("first")), "set_classes")
+    classes = usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id", "text_hash")).alias("first"))
     classes = stage(classes.select("set_a", "set_b", "n_shingles", F.col("first.id").alias("rep"), F.col("first.text_hash").alias("rep_text"),
                                    F.monotonically_increasing_id().alias("node")), "numbered_classes")
     same_set = ["set_a", "set_b", "n_shingles"]
@@ -275,14 +275,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
 
     # posting lists, and the rarest keys of each document that anything shares
     posts = nodes.select("node", F.explode("keys").alias("key"))
-    shared = stage(posts.groupBy("key").count().where("count > 1"), "shared_keys")
+    shared = posts.groupBy("key").count().where("count > 1")
     own = Window.partitionBy("node")
     ranked = posts.join(shared, "key").withColumn("n", F.count("*").over(own)).withColumn(
         "rank", F.row_number().over(own.orderBy("count", "key")))
     prefix = stage(ranked.where(F.col("rank") + POSTED - F.col("n") <= prefix_keys).select("node", "key"), "prefixes")
-    lists = stage(prefix.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1"), "lists")
+    lists = prefix.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1")
     posted = stage(prefix.join(lists, "key"), "posted")
-    drop(shared)
     release_shuffles(spark)
 
     # texts of the documents that stand in any list
@@ -293,8 +292,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
 
     sigs = nodes.select("node", "sig")
     stars = stage(posted.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), "star_pairs")
-    likely_stars = stage(_above_threshold(stars, sigs, matches), "likely_star_pairs")
-    star_links = stage(confirm(likely_stars, texts, words, percent).distinct(), "star_links")
+    star_links = stage(confirm(_above_threshold(stars, sigs, matches), texts, words, percent).distinct(), "star_links")
     star_components = stage(connected_components(star_links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "star_components")
     release_shuffles(spark)
 
@@ -307,13 +305,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     open_lists = placed.join(mixed, "key", "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn(
         "blk", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     open_lists = stage(open_lists.select("key", "node", "component", "blk", "blocks"), "open_lists")
-    described = open_lists.join(sigs, "node").join(prefixes, "node")
-    described = described.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "node", "component", "blk", "sig", "prefix")
-    likely = stage(_likely_in_lists(described, matches), "likely_members")
-    links = stage(_confirm_in_blocks(likely, texts, words, percent).distinct(), "further_links")
-    every = star_links.unionByName(links).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    component = connected_components(every)
+    component = star_components
+    if not open_lists.isEmpty():  # members of a list that its star left in different components
+        described = open_lists.join(sigs, "node").join(prefixes, "node")
+        described = described.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "node", "component", "blk", "sig", "prefix")
+        likely = stage(_likely_in_lists(described, matches), "likely_members")
+        links = _confirm_in_blocks(likely, texts, words, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        # the stars' links are known by their components
+        known = star_components.select(F.col("vertex").alias("a"), F.col("component").alias("b"))
+        component = connected_components(links.unionByName(known))
     drop(texts, placed, open_lists, stars)
     release_shuffles(spark)
 
