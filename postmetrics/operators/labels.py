@@ -1,14 +1,15 @@
 """Batch labelling of posts through a pluggable labeler, validation, labeler evaluation.
 
-A *labeler* is any picklable callable ``texts: pandas.Series -> pandas.Series``
+The default labeler is an offline keyword rule set (no network).  Rule sets are plain data and are
+compiled: to Column expressions (``rule_columns``), so that labelling stays inside the JVM and adds
+no shuffle and no Python worker, and to SQL for the oracle.
+
+Any other *labeler* is a picklable callable ``texts: pandas.Series -> pandas.Series``
 of reply strings (JSON with the five label fields), ``None`` for a failed call.
 It runs inside ``mapInPandas`` on Arrow batches, so parallelism is the number
 of partitions and the batch size is ``spark.sql.execution.arrow.maxRecordsPerBatch``.
 Validation is native Spark (``from_json`` + NULL checks): an invalid reply, a
 missing field or a failed call gives the neutral record, as in the reference.
-
-The default labeler is an offline keyword rule set (no network).  Rule sets are
-plain data, so the DuckDB oracle is generated from the same rules.
 """
 
 from __future__ import annotations
@@ -188,14 +189,48 @@ def validate(reply: Column) -> list[Column]:
     return [F.when(ok, parsed[f]).otherwise(F.lit(NEUTRAL[f])).alias(f) for f in LABEL_FIELDS]
 
 
+def rule_columns(rules: KeywordRules, padded: Column) -> dict[str, Column]:
+    """The five label fields of a rule set over ``padded`` (' ' + lower-cased text + ' ')."""
+    def any_of(words):
+        hit = F.lit(False)
+        for k in words:
+            hit = hit | padded.contains(k)
+        return hit
+
+    def first_of(listed, default):
+        out = None
+        for label, words in listed:
+            out = F.when(any_of(words), label) if out is None else out.when(any_of(words), label)
+        return F.lit(default) if out is None else out.otherwise(default)
+
+    return {"humor_type": first_of(rules.humor, NEUTRAL["humor_type"]), "topic_category": first_of(rules.topic, NEUTRAL["topic_category"]),
+            "has_data_reference": any_of(rules.data_reference), "shows_vulnerability": any_of(rules.vulnerability),
+            "critique_type": first_of(rules.critique, NEUTRAL["critique_type"])}
+
+
+def _padded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return df.select(id_col, F.concat(F.lit(" "), F.lower(text), F.lit(" ")).alias("_padded"))
+
+
 def label_posts(df: DataFrame, id_col: str, text_col: str, labeler: Labeler | None = None) -> DataFrame:
-    """(id, five label fields) for every post with one labeler."""
-    r = label_replies(df, id_col, text_col, {"labeler": labeler or KeywordLabeler()})
+    """(id, five label fields) for every post with one labeler; a keyword rule set is compiled."""
+    labeler = labeler or KeywordLabeler()
+    if isinstance(labeler, KeywordLabeler):
+        fields = rule_columns(labeler.rules, F.col("_padded"))
+        return _padded(df, id_col, text_col).select(id_col, *[fields[f].alias(f) for f in LABEL_FIELDS])
+    r = label_replies(df, id_col, text_col, {"labeler": labeler})
     return r.select(id_col, *validate(F.col("reply")))
 
 
 def label_posts_multi(df: DataFrame, id_col: str, text_col: str, labelers: Mapping[str, Labeler]) -> DataFrame:
-    """Long table (id, model, five fields) for several labelers."""
+    """Long table (id, model, five fields) for several labelers; rule sets alone are compiled."""
+    if all(isinstance(x, KeywordLabeler) for x in labelers.values()):
+        records = []
+        for name, labeler in labelers.items():
+            fields = rule_columns(labeler.rules, F.col("_padded"))
+            records.append(F.struct(F.lit(name).alias("model"), *[fields[f].alias(f) for f in LABEL_FIELDS]))
+        return _padded(df, id_col, text_col).select(id_col, F.explode(F.array(*records)).alias("r")).select(id_col, "r.*")
     r = label_replies(df, id_col, text_col, labelers)
     return r.select(id_col, "model", *validate(F.col("reply")))
 
@@ -223,6 +258,18 @@ def agreement_matches(pairs: DataFrame) -> Column:
     return m
 
 
+def evaluation_detail(pairs: DataFrame, posts: DataFrame, id_col: str, text_col: str, value_col: str) -> DataFrame:
+    """The 13-column evaluation table: post, text, engagement, model, agreement, and four of the five
+    fields (humor, topic, data reference, vulnerability) of the truth labeler and of the model."""
+    scored = pairs.withColumn("agreement_score", agreement_matches(pairs) / F.lit(5.0))
+    shown = {"humor": "humor_type", "topic": "topic_category", "has_data": "has_data_reference", "vulnerable": "shows_vulnerability"}
+    joined = scored.join(posts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(value_col).alias("_value")),
+                         F.col(id_col) == F.col("_id"), "left")
+    return joined.select(id_col, F.col("_text").alias("text"), F.col("_value").alias("engagement"), "model", "agreement_score",
+                         *[F.col(f"{side}{field}").alias(f"{who}_{short}") for short, field in shown.items()
+                           for who, side in (("truth", "truth_"), ("model", ""))])
+
+
 def model_scores(pairs: DataFrame, digits: int = 3) -> DataFrame:
     """mean / count / sample std of the agreement score per model."""
     a = pairs.select("model", agreement_matches(pairs).alias("_m"))

@@ -20,14 +20,19 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmetrics.session import materialize
 
 _PID = "_pm_pid"
 _MONO = "_pm_mono"
 _OFF = "_pm_off"
+_FIRST, _LAST = "_pm_first", "_pm_last"
 
 
 def _cols(xs) -> list[Column]:
@@ -119,23 +124,49 @@ def select_rows(df: DataFrame, key: str, tie: str, positions: list[int], accurac
 def with_previous(df: DataFrame, order: Sequence, cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Columns of the previous row in a total ``order`` (a distributed global ``lag``).
 
-    Rows are range-partitioned by the order and written once; inside each range
-    partition a window (partitioned by the partition id, so bounded by the partition
-    size, never by a key's frequency) gives the local predecessor; the first row of
-    each partition takes the last row of the preceding non-empty partition from a
-    one-row-per-partition table (a bounded broadcast).  One shuffle, no self-join.
+    Rows are range-partitioned and sorted by the order, and one pass over each sorted partition
+    carries every row's predecessor to it while the rows are written; so the sort's exchange is
+    the only one.  The first row of a partition takes the last row of the preceding non-empty
+    partition from a table with one row per partition (a bounded broadcast).
     """
-    tagged = materialize(df.orderBy(*_cols(order))
-                         .withColumn(_PID, F.spark_partition_id())
-                         .withColumn(_MONO, F.monotonically_increasing_id()), "ordinal-prev")
-    last = tagged.groupBy(_PID).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(_MONO)).alias("_pm_last"))
-    border = last.select(_PID, F.lag("_pm_last").over(Window.orderBy(_PID)).alias("_pm_border"))
-    w = Window.partitionBy(_PID).orderBy(_MONO)
-    local = tagged.select("*", F.lag(F.col(_MONO)).over(w).alias("_pm_pm"),
-                          *[F.lag(F.col(c)).over(w).alias(prefix + c) for c in cols])
-    j = local.join(F.broadcast(border), _PID, "left")
-    first = F.col("_pm_pm").isNull()
-    out = j.select(*[F.col(c) for c in df.columns],
-                   *[F.when(first, F.col("_pm_border")[c]).otherwise(F.col(prefix + c)).alias(prefix + c)
-                     for c in cols])
-    return out
+    spark = df.sparkSession
+    kinds = {c: df.schema[c].dataType for c in cols}
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(prefix + c, t) for c, t in kinds.items()]
+                          + [T.StructField(_PID, T.IntegerType()), T.StructField(_FIRST, T.BooleanType()), T.StructField(_LAST, T.BooleanType())])
+
+    def carry(batches):
+        pid, last, held = TaskContext.get().partitionId(), None, None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            shifted = []
+            for c in cols:
+                column = b.column(c)
+                before = pa.nulls(1, column.type) if last is None else last[c]
+                shifted.append(pa.concat_arrays([before, column.slice(0, n - 1)]))
+            flags = np.zeros(n, bool)
+            flags[0] = last is None
+            last = {c: b.column(c).slice(n - 1, 1) for c in cols}
+            if held is not None:
+                yield _flagged(*held, False)
+            held = (b, shifted, pid, flags)
+        if held is not None:
+            yield _flagged(*held, True)
+
+    def _flagged(b, shifted, pid, first, is_end):
+        end = np.zeros(b.num_rows, bool)
+        end[-1] = is_end
+        return pa.RecordBatch.from_arrays(
+            [*b.columns, *shifted, pa.array(np.full(b.num_rows, pid, np.int32)), pa.array(first), pa.array(end)],
+            names=[*b.schema.names, *[prefix + c for c in cols], _PID, _FIRST, _LAST])
+
+    rows = materialize(df.orderBy(*_cols(order)).mapInArrow(carry, schema), "ordinal-prev")
+    ends = rows.where(F.col(_LAST)).select(_PID, *cols).toArrow().sort_by(_PID)  # one row per partition
+    carried = pa.table([ends.column(_PID).slice(1), *[ends.column(c).slice(0, max(ends.num_rows - 1, 0)) for c in cols]],
+                       names=["_pm_p", *[f"_pm_{c}" for c in cols]])
+    border_schema = T.StructType([T.StructField("_pm_p", T.IntegerType())] + [T.StructField(f"_pm_{c}", t) for c, t in kinds.items()])
+    border = spark.createDataFrame(carried, border_schema)
+    j = rows.join(F.broadcast(border), (F.col(_PID) == F.col("_pm_p")) & F.col(_FIRST), "left")
+    return j.select(*[F.col(c) for c in df.columns],
+                    *[F.when(F.col(_FIRST), F.col(f"_pm_{c}")).otherwise(F.col(prefix + c)).alias(prefix + c) for c in cols])

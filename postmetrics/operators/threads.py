@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postmetrics.operators.ordinal import with_group_position
@@ -66,11 +66,11 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
     # Every round is written once, partitioned by ``done``: resolved rows are never
     # rewritten (later rounds read them by partition pruning); only the shrinking
     # active set feeds the next round.
-    rounds = [_write_round(base)]
+    path, n_active = _write_round(base)
+    rounds = [path]
     active = _read(spark, rounds[-1:]).where(~F.col("done"))
     r, before = 0, None
     while True:
-        n_active = active.count()
         if n_active == 0 or (n_active == before and 2 ** r >= 2 * n_active):
             break
         before = n_active
@@ -84,12 +84,13 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
         step = active.join(look, active["ptr"] == look["_lid"], "left")
         at_root = F.col("_lid").isNull() | F.col("_lroot")
         finished = at_root | F.col("_ldone")
-        rounds.append(_write_round(step.select(
+        path, n_active = _write_round(step.select(
             "id",
             F.when(at_root, F.col("ptr")).otherwise(F.col("_lptr")).alias("ptr"),
             F.when(finished, F.col("mn")).otherwise(F.least(F.col("mn"), F.col("_lmn"))).alias("mn"),
             F.col("is_root"), F.col("is_target"),
-            finished.alias("done"))))
+            finished.alias("done")))
+        rounds.append(path)
         active = _read(spark, rounds[-1:]).where(~F.col("done"))
     resolved = _resolved(spark, rounds).select("id", F.col("ptr").alias("thread_id"))
     if n_active == 0:
@@ -102,10 +103,11 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
     return resolved.unionByName(cyc)
 
 
-def _write_round(df: DataFrame) -> str:
-    path = scratch_path(df.sparkSession, "thread-round")
-    df.write.partitionBy("done").parquet(path)
-    return path
+def _write_round(df: DataFrame) -> tuple[str, int]:
+    """Folder of the round, and how many of its nodes are still active (counted while they are written)."""
+    path, seen = scratch_path(df.sparkSession, "thread-round"), Observation()
+    df.observe(seen, F.count_if(~F.col("done")).alias("active")).write.partitionBy("done").parquet(path)
+    return path, int(seen.get["active"])
 
 
 def _read(spark, paths: list[str]) -> DataFrame:

@@ -109,6 +109,16 @@ def agg_model_scores(spark, d):
     return lb.model_scores(pairs(spark, d)).orderBy(F.desc("mean"), "model")
 
 
+@register("eval_labelers_detail", SQL_PAIRS + """
+SELECT p.doc_id, d.text, d.n_chars AS engagement, p.model, a.m / 5.0 AS agreement_score, truth_humor_type AS truth_humor, humor_type AS model_humor,
+  truth_topic_category AS truth_topic, topic_category AS model_topic, truth_has_data_reference AS truth_has_data, has_data_reference AS model_has_data,
+  truth_shows_vulnerability AS truth_vulnerable, shows_vulnerability AS model_vulnerable
+FROM pairs p JOIN agree a ON p.doc_id = a.doc_id AND p.model = a.model JOIN documents d ON p.doc_id = d.doc_id""")
+def eval_labelers_detail(spark, d):
+    """The evaluation table behind the scores: 13 columns per post and model."""
+    return lb.evaluation_detail(pairs(spark, d), table(spark, d, "documents"), "doc_id", "text", "n_chars")
+
+
 @register("eval_labelers", SQL_PAIRS + """
 SELECT model AS best_model, mean AS agreement FROM scores ORDER BY mean DESC, model LIMIT 1""")
 def eval_labelers(spark, d):

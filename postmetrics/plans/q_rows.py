@@ -122,43 +122,34 @@ def proj_is_reply(spark, d):
     return a.select("post_id", fx.is_reply("in_reply_to_status_id_str").alias("is_reply"))
 
 
-@register("proj_has_link", """
-SELECT page_id, CASE WHEN page_id % 3 = 0 THEN TRUE WHEN page_id % 3 = 1 THEN regexp_matches(COALESCE(html, ''), 'https://t.co/')
-  ELSE FALSE END AS has_link FROM pages""")
-def proj_has_link(spark, d):
-    """Page texts, a third of them with a short link added and a third without any text."""
-    text = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit(" https://t.co/x"))).when(F.col("page_id") % 3 == 1, F.col("html"))
-    return table(spark, d, "pages").select("page_id", fx.has_link(text).alias("has_link"))
-
-
-@register("proj_has_media", """
-SELECT page_id, COALESCE(len(regexp_extract_all(html, '<h1[^>]*>')) > 0, FALSE) AND page_id % 4 <> 0 AS has_media FROM pages""")
-def proj_has_media(spark, d):
-    pg = table(spark, d, "pages")
-    media = F.when(F.col("page_id") % 4 != 0, F.regexp_extract_all("html", F.lit("<h1[^>]*>"), 0))
-    return pg.select("page_id", fx.has_media(media).alias("has_media"))
-
-
-@register("proj_has_link_whole", """
+SQL_HAS_LINK = """
 SELECT page_id, 'page' AS input, regexp_matches(COALESCE(html, ''), 'https://t.co/') AS has_link FROM pages
 UNION ALL
 SELECT page_id, 'link added', regexp_matches(COALESCE(html || ' https://t.co/x', ''), 'https://t.co/') FROM pages
 UNION ALL
-SELECT page_id, 'no text', FALSE FROM pages""")
-def proj_has_link_whole(spark, d):
+SELECT page_id, 'no text', FALSE FROM pages"""
+
+
+@register("proj_has_link", SQL_HAS_LINK)
+@register("proj_has_link_whole", SQL_HAS_LINK)
+def proj_has_link(spark, d):
     """Every page by its whole text; beside it one row with a short link added and one without text."""
     pg = table(spark, d, "pages")
     texts = {"page": F.col("html"), "link added": F.concat("html", F.lit(" https://t.co/x")), "no text": F.lit(None).cast("string")}
     return _beside(pg, texts).select("page_id", "input", fx.has_link("value").alias("has_link"))
 
 
-@register("proj_has_media_whole", """
+SQL_HAS_MEDIA = """
 SELECT page_id, 'page' AS input, COALESCE(len(regexp_extract_all(html, '<h1[^>]*>')) > 0, FALSE) AS has_media FROM pages
 UNION ALL
 SELECT page_id, 'emptied', FALSE FROM pages
 UNION ALL
-SELECT page_id, 'no media', FALSE FROM pages""")
-def proj_has_media_whole(spark, d):
+SELECT page_id, 'no media', FALSE FROM pages"""
+
+
+@register("proj_has_media", SQL_HAS_MEDIA)
+@register("proj_has_media_whole", SQL_HAS_MEDIA)
+def proj_has_media(spark, d):
     """Every page by its whole list; beside it one row with an empty list and one without a list."""
     pg = table(spark, d, "pages")
     lists = {"page": F.regexp_extract_all("html", F.lit("<h1[^>]*>"), 0), "emptied": F.array().cast("array<string>"),
