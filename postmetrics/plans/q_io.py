@@ -67,6 +67,34 @@ def scan_posts_json(spark, d):
                     F.col("user.id_str").alias("user_id_str"))
 
 
+@register("scan_posts_mixed", SQL_ARCHIVE + """
+SELECT id_str2 AS id_str, CASE k % 3 WHEN 0 THEN 'lines' WHEN 1 THEN 'array' ELSE 'object' END AS kind, text2 AS full_text,
+  CAST(author_id AS VARCHAR) AS user_id_str FROM x WHERE k IS NOT NULL""")
+def scan_posts_mixed(spark, d):
+    """One folder with JSON lines, arrays and objects with ``tweets``, read in one call."""
+    posts_ = spark.read.json(export_events_archive(spark, d), schema="tweet string").select("tweet")
+    keyed = posts_.select("tweet", F.get_json_object("tweet", "$.retweet_count").cast("bigint").alias("k")).where("k IS NOT NULL")
+    root = scratch_path(spark, "mixed-archive")
+    sinks.write_text_lines(keyed.where("k % 3 = 0").select(F.concat(F.lit('{"tweet": '), "tweet", F.lit("}")).alias("value")), "value", f"{root}/lines")
+    # documents over several lines: each file is one partition, streamed between its head and foot
+    for name, kind, head, foot in (("array", 1, "[", "]"), ("object", 2, '{"tweets": [', "]}")):
+        rows = keyed.where(F.col("k") % 3 == kind)
+        wrap = F.concat(F.lit('{"tweet": '), "tweet", F.lit("}")) if name == "object" else F.col("tweet")
+        files = rows.select((F.col("k") % 12).cast("int").alias("file"), F.lit(1).alias("part"), wrap.alias("value"))
+        firsts = files.groupBy("file").agg(F.min("value").alias("_first"))
+        body = files.join(F.broadcast(firsts), "file").select(
+            "file", F.when(F.col("value") == F.col("_first"), 1).otherwise(2).alias("part"),
+            F.when(F.col("value") == F.col("_first"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+        ends = firsts.select("file", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit(head).alias("value")),
+                                                       F.struct(F.lit(3).alias("part"), F.lit(foot).alias("value")))).alias("e"))
+        whole = body.unionByName(ends.select("file", "e.part", "e.value"))
+        whole.repartition("file").sortWithinPartitions("file", "part").select("file", "value").write.partitionBy("file").text(f"{root}/{name}")
+    p = ar.load_posts(spark, root, "per_file")
+    k = F.col("retweet_count").cast("bigint")
+    kind = F.when(k % 3 == 0, "lines").when(k % 3 == 1, "array").otherwise("object")
+    return p.select("id_str", kind.alias("kind"), "full_text", F.col("user.id_str").alias("user_id_str"))
+
+
 @register("scan_flatten", SQL_ARCHIVE + """
 SELECT id_str2 AS id_str, CAST(author_id AS VARCHAR) AS "user.id_str", 'user' || CAST(author_id AS VARCHAR) AS "user.screen_name",
   CASE WHEN rt_struct THEN id_str2 END AS "retweeted_status.id_str" FROM x""")
@@ -315,6 +343,36 @@ def scan_csv(spark, d):
     return back.select("doc_id", fx.text_length("text").alias("text_length"), "humor_type", "has_data_reference")
 
 
+@register("scan_csv_inferred", f"""
+WITH l AS ({SQL_LABELS})
+SELECT d.doc_id, d.text AS text, d.n_chars, d.n_chars / 8.0 AS ratio, CAST('2024-01-01' AS DATE) + CAST(d.doc_id % 300 AS INTEGER) AS day,
+  l.humor_type, l.has_data_reference FROM documents d JOIN l ON d.doc_id = l.doc_id""")
+def scan_csv_inferred(spark, d):
+    """A labelled CSV read without a schema: whole numbers, fractions, dates, flags and texts."""
+    docs = table(spark, d, "documents").select(
+        "doc_id", "text", "n_chars", (F.col("n_chars") / 8.0).alias("ratio"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).alias("day"))
+    lab = lb.label_posts(docs, "doc_id", "text").select("doc_id", "humor_type", "has_data_reference")
+    path = sinks.write_csv(docs.join(lab, "doc_id"), scratch_path(spark, "inferred-csv"))
+    return ar.read_inferred_csv(spark, path)
+
+
+RUN_DDL = "model_used string, total_tweets_classified bigint, date_classified string"
+
+
+@register("scan_run_metadata", """
+SELECT 'complete' AS run, 'keyword_rules' AS model_used, count(*) AS total_tweets_classified, 'unknown' AS date_classified FROM documents
+UNION ALL SELECT 'none', 'unknown', 0, 'unknown'""")
+def scan_run_metadata(spark, d):
+    """Run metadata of a run (without its date) and of a folder that holds none, with placeholders."""
+    meta = table(spark, d, "documents").agg(F.count("*").alias("total_tweets_classified")).withColumn("model_used", F.lit("keyword_rules"))
+    path = sinks.write_json(meta, scratch_path(spark, "run-metadata"))
+    defaults = {"model_used": "unknown", "total_tweets_classified": 0, "date_classified": "unknown"}
+    runs = [ar.read_json_metadata(spark, p, RUN_DDL, defaults).select(F.lit(name).alias("run"), "*")
+            for name, p in (("complete", path), ("none", scratch_path(spark, "no-metadata")))]
+    return runs[0].unionByName(runs[1])
+
+
 @register("sink_json", """
 SELECT 'keyword_rules' AS model_used, count(*) AS total_tweets_classified,
   'Selected model based on agreement with the truth labeler' AS methodology FROM documents""")

@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postmetrics.functions.numeric import round_half_even
+from postmetrics.plans.derived import SQL_CORE, SQL_ENGINEERED
 from postmetrics.plans.registry import r6, register
 from postmetrics.session import materialize
 from postmetrics.sources.tables import posts, table
@@ -104,6 +105,42 @@ def model_coef_table(spark, d):
     return t.select("term", *[r6(c).alias(c) for c in ("coef", "se", "z", "ci_lower", "ci_upper")])
 
 
+# the normal distribution from its power series; beyond 8 the tail is below 1e-15
+SQL_P = """CASE WHEN abs({z}) > 8 THEN 0.0 WHEN {z} = 0 THEN 1.0 ELSE 1 - 2 / sqrt(2 * pi()) * exp(-{z} * {z} / 2) * list_sum(list_transform(
+  range(0, 200), lambda j: exp((2 * j + 1) * ln(abs({z})) - lgamma(2 * j + 2) + j * ln(2) + lgamma(j + 1)))) END"""
+
+
+@register("model_coef_pvalues", SQL_OLS_BASE + ", z AS (SELECT term, coef / se AS z FROM coefs) SELECT term, round_even(z, 6) AS z, round_even("
+          + SQL_P.format(z="z") + ", 6) AS p FROM z")
+def model_coef_pvalues(spark, d):
+    """Test statistics and two-sided p values of the coefficient table."""
+    return _ols_fit(spark, d).table(spark).select("term", r6("z").alias("z"), r6("p").alias("p"))
+
+
+@register("model_ols_wald", SQL_OLS_BASE + """,
+mo AS (SELECT avg(e) AS me, avg(e * e) AS m2, avg(e * e * e) AS m3, avg(e * e * e * e) AS m4 FROM e),
+sk AS (SELECT (m3 - 3 * me * m2 + 2 * me * me * me) / pow(m2 - me * me, 1.5) AS skew,
+              (m4 - 4 * me * m3 + 6 * me * me * m2 - 3 * me * me * me * me) / pow(m2 - me * me, 2) AS kurt, n::DOUBLE AS n, k FROM mo, nn),
+s1 AS (SELECT *, skew * sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))) AS y,
+              sqrt(2 * (3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,
+              (kurt - 3.0 * (n - 1) / (n + 1)) / sqrt(24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+              6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b1 FROM sk),
+s2 AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS zs, 6 + 8 / b1 * (2 / b1 + sqrt(1 + 4 / (b1 * b1))) AS a FROM s1),
+s3 AS (SELECT *, 1 + x * sqrt(2 / (a - 4)) AS low FROM s2),
+om AS (SELECT zs * zs + pow((1 - 2 / (9 * a) - sign(low) * pow((1 - 2 / a) / abs(low), 1.0 / 3)) / sqrt(2 / (9 * a)), 2) AS k2, n, k FROM s3),
+w AS (SELECT sum(m / vg) / sum(1 / vg) AS mean FROM v),
+wald AS (SELECT sum((m - mean) * (m - mean) / vg) AS stat FROM v, w)
+SELECT n::BIGINT AS nobs, round_even(k2, 6) AS omnibus, round_even(exp(-k2 / 2), 6) AS omnibus_pvalue,
+  round_even(stat * (n - k) / n / (k - 1), 6) AS f_robust, CAST(k - 1 AS BIGINT) AS f_df_num, CAST(n - k AS BIGINT) AS f_df_den FROM om, wald""")
+def model_ols_wald(spark, d):
+    """Omnibus and robust F of the summary: with one factor the Wald test is that of weighted group means."""
+    s = _ols_fit(spark, d).summary
+    k2 = la.omnibus(s["n"], s["skew"], s["kurtosis"])
+    out = spark.createDataFrame([(int(s["n"]), k2, math.exp(-k2 / 2.0), float(s["f_stat"]), *map(int, s["f_df"]))],
+                                "nobs bigint, omnibus double, omnibus_pvalue double, f_robust double, f_df_num bigint, f_df_den bigint")
+    return out.select("nobs", *[r6(c).alias(c) for c in ("omnibus", "omnibus_pvalue", "f_robust")], "f_df_num", "f_df_den")
+
+
 @register("sort_coef", SQL_OLS_BASE + """
 SELECT term, round_even(coef, 6) AS coef, ROW_NUMBER() OVER (ORDER BY coef, term) - 1 AS position FROM coefs""")
 def sort_coef(spark, d):
@@ -255,6 +292,24 @@ def model_irr(spark, d):
     return t.select("term", r6("coef").alias("irr"), r6("ci_lower").alias("ci_lower"), r6("ci_upper").alias("ci_upper"))
 
 
+@register("model_poisson_summary", SQL_POISSON + """,
+t AS (SELECT d.y, gm.m FROM d JOIN gm USING (g)),
+r AS (SELECT 2 * sum(CASE WHEN y > 0 THEN y * ln(y / m) ELSE 0 END - (y - m)) AS deviance, sum((y - m) * (y - m) / m) AS pearson,
+             sum(y * ln(m) - m - lgamma(y + 1)) AS llf, sum(lgamma(y + 1)) AS lg, avg(y) AS ybar, sum(y) AS sy FROM t),
+q AS (SELECT *, sy * ln(ybar) - n * ybar - lg AS llnull FROM r, nn)
+SELECT n AS nobs, CAST(n - k AS BIGINT) AS df_resid, CAST(k - 1 AS BIGINT) AS df_model, round_even(deviance, 4) AS deviance,
+  round_even(pearson, 4) AS pearson_chi2, round_even(llf, 4) AS llf, round_even(-2 * llf + 2 * k, 4) AS aic,
+  round_even(1 - exp(2 * (llnull - llf) / n), 6) AS pseudo_r2_cs FROM q""")
+def model_poisson_summary(spark, d):
+    """Header of the Poisson report."""
+    s = _poisson_fit(spark, d).summary
+    row = [(int(s["n"]), int(s["df_resid"]), int(s["df_model"]), s["deviance"], s["pearson_chi2"], s["llf"], s["aic"], s["pseudo_r2_cs"])]
+    out = spark.createDataFrame(row, "nobs bigint, df_resid bigint, df_model bigint, deviance double, pearson_chi2 double, llf double, "
+                                     "aic double, pseudo_r2_cs double")
+    return out.select("nobs", "df_resid", "df_model", *[round_half_even(c, 4).alias(c) for c in ("deviance", "pearson_chi2", "llf", "aic")],
+                      r6("pseudo_r2_cs").alias("pseudo_r2_cs"))
+
+
 MAIN = r"\[T\.[psv]"
 
 
@@ -315,6 +370,34 @@ def model_panel_fe(spark, d):
     return fit.table(spark).select("term", r6("coef").alias("coef"), r6("se").alias("se"))
 
 
+@register("model_panel_fe_report", """
+WITH d0 AS (SELECT l_suppkey AS e, l_shipdate AS p, l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS x FROM lineitem
+            WHERE l_suppkey IS NOT NULL AND l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL),
+sz AS (SELECT e, count(*) AS c, avg(y) AS my, avg(x) AS mx FROM d0 GROUP BY e HAVING count(*) >= 2),
+d AS (SELECT d0.*, my, mx FROM d0 JOIN sz USING (e)),
+a AS (SELECT avg(y) AS gy, avg(x) AS gx, sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS b, sum((x - mx) * (x - mx)) AS sxx,
+             count(*) AS n, (SELECT count(*) FROM sz) AS ne FROM d),
+r AS (SELECT sum((y - my - b * (x - mx)) * (y - my - b * (x - mx))) AS ssr, sum((y - gy) * (y - gy)) AS syy,
+             sum((x - gx) * (y - gy)) AS sxy, sum((x - gx) * (x - gx)) AS sxx2 FROM d, a),
+t AS (SELECT count(*) AS periods, min(c) AS lo, max(c) AS hi, avg(c) AS mean FROM (SELECT p, count(*) AS c FROM d GROUP BY p))
+SELECT n::BIGINT AS nobs, round_even(-n / 2.0 * (ln(2 * pi()) + ln(ssr / n) + 1), 4) AS llf,
+  round_even(b * b * sxx / (ssr / (n - ne - 1)), 3) AS f_stat, CAST(n - ne - 1 AS BIGINT) AS f_df_den,
+  round_even(((syy - sxy * sxy / sxx2 - ssr) / (ne - 1)) / (ssr / (n - ne - 1)), 6) AS poolability_f, CAST(ne - 1 AS BIGINT) AS poolability_df,
+  periods::BIGINT AS time_periods, lo::BIGINT AS min_per_period, hi::BIGINT AS max_per_period, round_even(mean, 6) AS mean_per_period
+FROM a, r, t""")
+def model_panel_fe_report(spark, d):
+    """Log-likelihood, F statistics and time periods of the fixed-effects report."""
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    s = fit_entity_fe(li, "l_extendedprice", ["l_quantity"], "l_suppkey", min_size=2, time="l_shipdate").summary
+    row = [(int(s["n"]), s["llf"], s["f_stat"], int(s["f_df"][1]), s["poolability_f"], int(s["poolability_df"][0]), s["time_periods"],
+            *s["obs_per_period"])]
+    out = spark.createDataFrame(row, "nobs long, llf double, f_stat double, f_df_den long, poolability_f double, poolability_df long, "
+                                     "time_periods long, min_per_period long, max_per_period long, mean_per_period double")
+    return out.select("nobs", round_half_even("llf", 4).alias("llf"), round_half_even("f_stat", 3).alias("f_stat"), "f_df_den",
+                      r6("poolability_f").alias("poolability_f"), "poolability_df", "time_periods", "min_per_period", "max_per_period",
+                      r6("mean_per_period").alias("mean_per_period"))
+
+
 THRESHOLDS = (0.90, 0.95, 0.99)
 
 
@@ -383,3 +466,31 @@ def model_robust_sweep_core(spark, d):
     # written once: caps, levels and sums all read it
     core = materialize(core_sample(engineered(spark, d, entities=True)).select(*columns, "total_engagement"), "sweep")
     return _sweep_table(spark, models.robust_sweep(core, "total_engagement", SWEEP_TERMS, THRESHOLDS, SWEEP_REPORT))
+
+
+_LINK, _MEDIA, _REPLY = ("bool", "has_link"), ("bool", "has_media"), ("cat", "reply_type")
+SATURATED = [_REPLY, _LINK, _MEDIA, ("inter", _REPLY, _LINK), ("inter", _REPLY, _MEDIA), ("inter", _LINK, _MEDIA),
+             ("inter", ("inter", _REPLY, _LINK), _MEDIA)]
+
+
+@register("model_robust_sweep_saturated", "WITH " + SQL_ENGINEERED + ", " + SQL_CORE + """,
+c AS (SELECT reply_type AS r, k BETWEEN 30 AND 49 AS l, k BETWEEN 45 AND 64 AS m, total_engagement AS e FROM core WHERE k IS NOT NULL),
+caps AS (SELECT 90 AS threshold, quantile_cont(e, 0.90) AS cap FROM c UNION ALL SELECT 95, quantile_cont(e, 0.95) FROM c
+         UNION ALL SELECT 99, quantile_cont(e, 0.99) FROM c),
+y AS (SELECT threshold, r, l, m, ln(1 + least(e, cap)) AS y FROM c, caps),
+cell AS (SELECT threshold, r, l, m, avg(y) AS mean FROM y GROUP BY ALL),
+base AS (SELECT threshold, mean AS base FROM cell WHERE r = 'none' AND NOT l AND NOT m),
+tot AS (SELECT threshold, avg(y) AS mean FROM y GROUP BY threshold),
+ss AS (SELECT y.threshold, sum((y.y - cell.mean) * (y.y - cell.mean)) AS ssr, sum((y.y - tot.mean) * (y.y - tot.mean)) AS sst
+       FROM y JOIN cell ON y.threshold = cell.threshold AND y.r = cell.r AND y.l = cell.l AND y.m = cell.m
+       JOIN tot ON y.threshold = tot.threshold GROUP BY y.threshold)
+SELECT cell.threshold, CASE WHEN r <> 'none' THEN 'C(reply_type)[T.reply_other]' WHEN l THEN 'has_link[T.True]' ELSE 'has_media[T.True]' END AS term,
+  round_even(mean - base, 6) AS value
+FROM cell JOIN base ON cell.threshold = base.threshold WHERE (r <> 'none')::INT + l::INT + m::INT = 1
+UNION ALL SELECT threshold, 'R-squared', round_even(1 - ssr / sst, 6) FROM ss""")
+def model_robust_sweep_saturated(spark, d):
+    """The sweep on the core sample with reply type, link, media and all their interactions: each cell
+    has its mean, so the three coefficients and R-squared have a closed form."""
+    from postmetrics.plans.derived import core_sample, engineered
+    core = core_sample(engineered(spark, d, entities=True)).where("k IS NOT NULL").select("reply_type", "has_link", "has_media", "total_engagement")
+    return _sweep_table(spark, models.robust_sweep(core, "total_engagement", SATURATED, THRESHOLDS, SWEEP_REPORT))

@@ -3,7 +3,8 @@
 Shapes accepted by ``load_posts`` (auto-detected from the first line):
 JSON lines of wrapped or bare records; a JSON array of either; one object with
 a ``tweets`` list (single-line or pretty-printed); any other object is taken as
-one record; a scalar document raises ``ValueError``; an empty file gives no rows.
+one record; a scalar document raises ``ValueError``; an empty file gives no rows.  A folder may mix
+files of all shapes (``shape="per_file"``).
 
 Whole-document JSON (``multiLine``) is parsed one task per file, so large
 archives should be converted once to partitioned parquet (``sinks.write_parquet``);
@@ -12,7 +13,9 @@ JSON lines split across tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,16 +89,49 @@ def detect_shape(spark: SparkSession, path: str) -> str:
     raise ValueError(f"{path}: the first line opens neither a JSON object nor an array")
 
 
+def file_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """file, shape ('lines', 'document' or 'bad') of every file below ``path`` that is not blank.
+
+    One pass over the text without parsing; the first line of a file is the one with the smallest
+    offset, whichever task reads it.
+    """
+    line = F.trim(F.col("value"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).where(line != "").select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        F.struct(F.substring(line, 1, 1).alias("a"), F.substring(F.reverse(line), 1, 1).alias("z")).alias("ends"))
+    first = lines.groupBy("file").agg(F.min_by("ends", "at").alias("e"))
+    shape = (F.when(F.col("e.a") == "[", "document").when((F.col("e.a") == "{") & (F.col("e.z") == "}"), "lines")
+             .when(F.col("e.a") == "{", "document").otherwise("bad"))
+    return first.select("file", shape.alias("shape"))
+
+
 def load_posts(spark: SparkSession, path: str, shape: str = "auto", skip_bad: bool = False) -> DataFrame:
     """Posts with the canonical schema, whatever the archive shape (see module doc).
 
-    A line or file that is not JSON of that shape fails the read, or is left out if ``skip_bad``.
+    ``auto`` takes the shape of the first line for all files; ``per_file`` finds the shape of every
+    file below ``path`` (a pass over the text), so one call reads JSON lines, arrays and objects side by
+    side; lines still split across tasks.  A line or file that is not JSON of its shape fails the
+    read, or is left out if ``skip_bad``.
     """
+    if shape == "per_file":
+        found = {}
+        for r in file_shapes(spark, path).collect():  # a row per file, as the file index of the read holds
+            found.setdefault(r["shape"], []).append(unquote(r["file"]))
+        if "bad" in found and not skip_bad:
+            raise ValueError(f"{found['bad'][0]}: the first line opens neither a JSON object nor an array")
+        parts = [_records(spark, sorted(found[k]), k, skip_bad) for k in ("lines", "document") if k in found]
+        if not parts:
+            return spark.createDataFrame([], post_schema())
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if shape == "auto":
         shape = detect_shape(spark, path)
-    POST_SCHEMA = post_schema()
     if shape == "empty":
-        return spark.createDataFrame([], POST_SCHEMA)
+        return spark.createDataFrame([], post_schema())
+    return _records(spark, path, shape, skip_bad)
+
+
+def _records(spark: SparkSession, path: str | list[str], shape: str, skip_bad: bool) -> DataFrame:
+    POST_SCHEMA = post_schema()
     reader = spark.read.schema(_wrapper_schema()).option("mode", "DROPMALFORMED" if skip_bad else "FAILFAST")
     if shape == "document":
         reader = reader.option("multiLine", True)
@@ -141,6 +177,71 @@ def read_labelled_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
             .option("escape", '"').csv(path))
 
 
+#: Rows that the types of a CSV are first guessed from.
+CSV_SAMPLE_ROWS = 100_000
+_CSV_TYPES = ("boolean", "bigint", "double", "date", "timestamp")
+
+
+def _fits(column: str, kind: str) -> Column:
+    """True where a text can be read as ``kind`` (a missing value can be read as any)."""
+    v = F.trim(F.col(f"`{column}`"))
+    if kind == "boolean":
+        ok = F.lower(v).isin("true", "false")
+    elif kind == "bigint":
+        ok = v.rlike(r"^[+-]?[0-9]+$") & v.try_cast("bigint").isNotNull()
+    elif kind == "date":
+        ok = v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & v.try_cast("date").isNotNull()
+    elif kind == "timestamp":
+        ok = v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}") & v.try_cast("timestamp").isNotNull()
+    else:
+        ok = v.try_cast("double").isNotNull()
+    return F.coalesce(ok, v.isNull())
+
+
+def _narrowest(row, column: int) -> str:
+    """The first type of the lattice boolean < string, bigint < double, date < timestamp that all values fit."""
+    fitting = [k for k in _CSV_TYPES if row[f"c{column}_{k}"]]
+    return fitting[0] if fitting and row[f"c{column}_known"] else "string"
+
+
+def _column_types(rows: DataFrame, columns: list[str]) -> list[str]:
+    aggs = [F.bool_and(_fits(c, k)).alias(f"c{i}_{k}") for i, c in enumerate(columns) for k in _CSV_TYPES]
+    known = [F.count(f"`{c}`").alias(f"c{i}_known") for i, c in enumerate(columns)]
+    found = rows.agg(*aggs, *known).first()
+    return [_narrowest(found, i) for i in range(len(columns))]
+
+
+def read_inferred_csv(spark: SparkSession, path: str, on_misfit: str = "widen", sample_rows: int = CSV_SAMPLE_ROWS) -> DataFrame:
+    """A CSV with header whose types come from its values.
+
+    The narrowest type of every column (boolean, bigint, double, date, timestamp, else string; string
+    for a column without values) is found by one aggregate over the first ``sample_rows`` rows and
+    then holds for every row: with ``widen`` a second aggregate over all rows widens the columns whose
+    later values do not fit; with ``fail`` such a value fails the read, without that pass.  Empty
+    fields are NULL.  Quoted values may hold line breaks (one task per file).
+    """
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    columns = raw.columns
+    if not columns:
+        return raw
+    kinds = _column_types(raw.limit(sample_rows), columns)
+    if on_misfit == "widen":
+        fits = [F.bool_and(_fits(c, k)).alias(f"f{i}") for i, (c, k) in enumerate(zip(columns, kinds)) if k != "string"]
+        good = raw.agg(F.lit(True).alias("any"), *fits).first().asDict()
+        late = [i for i, k in enumerate(kinds) if k != "string" and good[f"f{i}"] is False]
+        if late:
+            for i, k in zip(late, _column_types(raw, [columns[i] for i in late])):
+                kinds[i] = k
+
+    def typed(c, k):
+        v = F.col(f"`{c}`")
+        if k == "string":
+            return v.alias(c)
+        misfit = F.raise_error(F.concat(F.lit(f"{c}: not a {k}: "), v)).cast(k)
+        return F.when(_fits(c, k), F.trim(v).try_cast(k)).otherwise(misfit).alias(c)
+    return raw.select(*[typed(c, k) for c, k in zip(columns, kinds)])
+
+
 def read_kv_first_line(spark: SparkSession, path: str, default: str | None = None) -> DataFrame:
     """First 'Label: value' line of a text file -> value (trimmed); ``default`` when the file
     or the line is missing (one row either way)."""
@@ -163,6 +264,9 @@ def read_json_metadata(spark: SparkSession, path: str, schema: str, defaults: di
         found = spark.read.schema(schema).option("multiLine", True).json(path)
     except AnalysisException:
         found = spark.createDataFrame([], schema)
-    # an aggregate without keys: one row for any input
-    return found.limit(1).agg(*[F.coalesce(F.first(f.name), F.lit(defaults.get(f.name)).cast(f.dataType)).alias(f.name)
-                                for f in found.schema.fields])
+    # an aggregate without keys: one row for any input; of several documents the first file's counts
+    names = [f.name for f in found.schema.fields]
+    placed = found.withColumn("_at", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")))
+    one = placed.agg(F.min_by(F.struct(*names), "_at").alias("d"))
+    return one.select(*[F.coalesce(F.col("d")[f.name], F.lit(defaults.get(f.name)).cast(f.dataType)).alias(f.name)
+                        for f in found.schema.fields])

@@ -276,16 +276,18 @@ def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), des
 
 
 def fit_entity_fe(df: DataFrame, y: str, xs: Sequence[str], entity: str, min_size: int = 2,
-                  full_summary: bool = True) -> Fit:
+                  full_summary: bool = True, time: str | None = None) -> Fit:
     """Entity fixed effects with a constant (within transform plus grand means), classical SE.
 
-    Entities with fewer than ``min_size`` rows are dropped; df = n - k - (entities - 1).
+    Entities with fewer than ``min_size`` rows are dropped; df = n - k - (entities - 1).  With ``time``
+    the summary also counts its periods and the rows in them.
     """
     from pyspark.sql import functions as F
     from postmetrics.operators.joins import entity_demean
     sizes = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_sz"))
     data = df.join(sizes, entity).where(F.col("_sz") >= min_size).drop("_sz")
-    data = data.select(entity, *[F.col(c).cast("double").alias(c) for c in [y, *xs]]).dropna()
+    data = data.select(entity, *([F.col(time).alias("_time")] if time else []), *[F.col(c).cast("double").alias(c) for c in [y, *xs]])
+    data = data.dropna(subset=[entity, y, *xs])
     dm = entity_demean(data, entity, [y, *xs])
     fit = fit_ols(dm, y, [("num", x) for x in xs], cov_type="classical")
     of_entity = data.groupBy(entity).count().agg(
@@ -299,6 +301,10 @@ def fit_entity_fe(df: DataFrame, y: str, xs: Sequence[str], entity: str, min_siz
         v_inv, q = la.sym_pinv(cov[1:, 1:])
         f = float(fit.params[1:] @ v_inv @ fit.params[1:]) / max(q, 1)
         s.update(f_stat=f, f_df=(q, df_resid), f_pvalue=la.f_sf(f, q, df_resid))
+    if time:
+        per = data.groupBy("_time").count().agg(F.count("*").alias("n"), F.min("count").alias("lo"), F.max("count").alias("hi"),
+                                                F.avg("count").alias("mean")).first()
+        s.update(time_periods=per["n"], obs_per_period=(per["lo"], per["hi"], per["mean"]))
     if not full_summary:
         return Fit(["const" if nm == "Intercept" else nm for nm in fit.names], fit.params, cov, fit.n, k, s, df_resid)
     # R² overall / between use the slopes on untransformed data (squared correlations);
