@@ -189,13 +189,19 @@ def validate(reply: Column) -> list[Column]:
     return [F.when(ok, parsed[f]).otherwise(F.lit(NEUTRAL[f])).alias(f) for f in LABEL_FIELDS]
 
 
-def rule_columns(rules: KeywordRules, padded: Column) -> dict[str, Column]:
-    """The five label fields of a rule set over ``padded`` (' ' + lower-cased text + ' ')."""
+def keywords(rules: KeywordRules) -> list[str]:
+    """Every keyword of a rule set."""
+    lists = [k for _, k in (*rules.humor, *rules.topic, *rules.critique)] + [rules.data_reference, rules.vulnerability]
+    return [k for words in lists for k in words]
+
+
+def rule_columns(rules: KeywordRules, hit: Mapping[str, Column]) -> dict[str, Column]:
+    """The five label fields of a rule set from ``hit``, the boolean column of every keyword."""
     def any_of(words):
-        hit = F.lit(False)
+        out = F.lit(False)
         for k in words:
-            hit = hit | padded.contains(k)
-        return hit
+            out = out | hit[k]
+        return out
 
     def first_of(listed, default):
         out = None
@@ -208,17 +214,22 @@ def rule_columns(rules: KeywordRules, padded: Column) -> dict[str, Column]:
             "critique_type": first_of(rules.critique, NEUTRAL["critique_type"])}
 
 
-def _padded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _hits(df: DataFrame, id_col: str, text_col: str, rule_sets: Sequence[KeywordRules]) -> tuple[DataFrame, dict[str, Column]]:
+    """One boolean column per distinct keyword of the rule sets: a text is searched once for each."""
+    words = sorted({k for rules in rule_sets for k in keywords(rules)})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(id_col, F.concat(F.lit(" "), F.lower(text), F.lit(" ")).alias("_padded"))
+    padded = df.select(id_col, F.concat(F.lit(" "), F.lower(text), F.lit(" ")).alias("_padded"))
+    found = padded.select(id_col, *[F.col("_padded").contains(k).alias(f"_h{i}") for i, k in enumerate(words)])
+    return found, {k: F.col(f"_h{i}") for i, k in enumerate(words)}
 
 
 def label_posts(df: DataFrame, id_col: str, text_col: str, labeler: Labeler | None = None) -> DataFrame:
     """(id, five label fields) for every post with one labeler; a keyword rule set is compiled."""
     labeler = labeler or KeywordLabeler()
     if isinstance(labeler, KeywordLabeler):
-        fields = rule_columns(labeler.rules, F.col("_padded"))
-        return _padded(df, id_col, text_col).select(id_col, *[fields[f].alias(f) for f in LABEL_FIELDS])
+        found, hit = _hits(df, id_col, text_col, [labeler.rules])
+        fields = rule_columns(labeler.rules, hit)
+        return found.select(id_col, *[fields[f].alias(f) for f in LABEL_FIELDS])
     r = label_replies(df, id_col, text_col, {"labeler": labeler})
     return r.select(id_col, *validate(F.col("reply")))
 
@@ -226,11 +237,12 @@ def label_posts(df: DataFrame, id_col: str, text_col: str, labeler: Labeler | No
 def label_posts_multi(df: DataFrame, id_col: str, text_col: str, labelers: Mapping[str, Labeler]) -> DataFrame:
     """Long table (id, model, five fields) for several labelers; rule sets alone are compiled."""
     if all(isinstance(x, KeywordLabeler) for x in labelers.values()):
+        found, hit = _hits(df, id_col, text_col, [x.rules for x in labelers.values()])
         records = []
         for name, labeler in labelers.items():
-            fields = rule_columns(labeler.rules, F.col("_padded"))
+            fields = rule_columns(labeler.rules, hit)
             records.append(F.struct(F.lit(name).alias("model"), *[fields[f].alias(f) for f in LABEL_FIELDS]))
-        return _padded(df, id_col, text_col).select(id_col, F.explode(F.array(*records)).alias("r")).select(id_col, "r.*")
+        return found.select(id_col, F.explode(F.array(*records)).alias("r")).select(id_col, "r.*")
     r = label_replies(df, id_col, text_col, labelers)
     return r.select(id_col, "model", *validate(F.col("reply")))
 

@@ -25,10 +25,13 @@ Either way the source is scanned at most four times.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmetrics.operators.ordinal import with_group_position
 
@@ -165,8 +168,8 @@ def _radix_quantiles(df, value, probs, groups, names):
         path = [*path, digit]
         if few:
             taken = found.toArrow()
-    if few:
-        found = spark.createDataFrame(taken, found.schema)
+    if few:  # settled ranks are at most FEW rows: a table of numbers, small enough for any join
+        return F.broadcast(_from_settled(spark, taken, found.schema, probs, groups, names))
     picked = found.groupBy(*key).agg(F.max("_total").alias("_total"), *[
         F.max(F.when(F.col("_i") == k, F.col("_val"))).alias(f"_o{k}") for k in range(2 * len(probs))])
     outs = []
@@ -175,10 +178,31 @@ def _radix_quantiles(df, value, probs, groups, names):
         low, high = F.col(f"_o{2 * i}"), F.col(f"_o{2 * i + 1}")
         outs.append((low + (high - low) * (rank - F.floor(rank))).alias(n))
     res = picked.select(*key, *outs)
-    if not groups:  # exactly one row, NULL for an empty input
-        res = res.agg(*[F.max(n).alias(n) for n in names])
-    # settled ranks are at most FEW rows: a table of numbers, small enough for any join
-    return F.broadcast(spark.createDataFrame(res.toArrow(), res.schema)) if few else res
+    # without groups exactly one row, NULL for an empty input
+    return res if groups else res.agg(*[F.max(n).alias(n) for n in names])
+
+
+def _from_settled(spark, taken: pa.Table, schema: T.StructType, probs, groups, names) -> DataFrame:
+    """The quantiles of groups whose settled ranks the driver holds; without groups exactly one row."""
+    group = list(zip(*(map(repr, taken.column(g).to_pylist()) for g in groups))) if groups else [()] * taken.num_rows
+    first, total, value = {}, {}, {}
+    for row, (g, n, i, v) in enumerate(zip(group, *(taken.column(c).to_pylist() for c in ("_total", "_i", "_val")))):
+        first.setdefault(g, row)
+        total[g] = n
+        if i is not None:
+            value[g, i] = v
+    if not groups:
+        first.setdefault((), 0)
+    columns = {g: taken.column(g).take(pa.array(list(first.values()), pa.int64())) for g in groups}
+    for k, (p, name) in enumerate(zip(probs, names)):
+        out = []
+        for g in first:
+            rank = (total.get(g, 0) - 1) * p
+            low, high = value.get((g, 2 * k)), value.get((g, 2 * k + 1))
+            out.append(None if low is None or high is None else low + (high - low) * (rank - math.floor(rank)))
+        columns[name] = pa.array(out, pa.float64())
+    fields = [schema[g] for g in groups] + [T.StructField(n, T.DoubleType()) for n in names]
+    return spark.createDataFrame(pa.table(columns), T.StructType(fields))
 
 
 def _sorted_quantiles(df, value, probs, groups, names):

@@ -41,7 +41,7 @@ def previous_in_time(df: DataFrame, ts: str, key: str, cols: list[str], prefix:
 
 
 def archive_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = posts(spark, sf_dir)
+    p = posts(spark, sf_dir, parse_once=True)
     k = F.col("k")
     replying = F.col("category").isin("view", "click")
     url = (F.when(k.between(25, 29), F.concat(F.lit("https://twitter.com/u/status/"), F.col("post_id").cast("string")))
@@ -71,7 +71,9 @@ def engineered(spark: SparkSession, sf_dir: str, entities: bool = False, cap: bo
     With ``entities``, posts get links in their texts, media, hashtags and mentions by ranges of k.
     With ``cap`` there is also the capped engagement (one job while the frame is made)."""
     a = archive_inputs(spark, sf_dir)
-    owner = mode_value(a, "author_id", "owner_id").select(F.col("owner_id").cast("string")).scalar()
+    modal = mode_value(posts(spark, sf_dir), "author_id", "owner_id").select(F.col("owner_id").cast("string"))
+    # with a cap a job runs here anyway: the owner is then a literal too, read once for all later plans
+    owner = F.lit(modal.first()["owner_id"]).cast("string") if cap else modal.scalar()
     posts_like = a.select(
         "post_id", "author_id", "category", "engagement", "k", "id_str",
         F.col("post_datetime").alias("created_at"), "full_text", "retweeted", "retweeted_status",
