@@ -84,39 +84,60 @@ def row_tiebreak(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def select_rows(df: DataFrame, key: str, tie: str, positions: list[int], accuracy: int = 10_000,
-                n: int | None = None):
+#: Rows around the wanted positions that the driver may hold; more of them are positioned by a sort.
+FEW = 10_000
+SKETCH_ACCURACY = 10_000
+
+
+def sketch_edges(probs: Sequence[float], accuracy: int = SKETCH_ACCURACY) -> list[float]:
+    """The probabilities on both sides of each of ``probs`` that a sketch has to answer for ``select_rows``."""
+    eps = 3.0 / accuracy
+    return sorted({min(1.0, max(0.0, q + d)) for q in probs for d in (-eps, eps)})
+
+
+def select_rows(df: DataFrame, key: str, tie: str, positions: list[int], accuracy: int = SKETCH_ACCURACY,
+                n: int | None = None, sketch: dict | None = None):
     """Exact rows at 0-based ``positions`` of the ascending (key, tie) order, without a
     full sort: a ``percentile_approx`` sketch brackets each position, one pass counts
     the rows below each bracket, and only the rows inside the brackets are ranked.
 
     Returns a list of (key, tie) tuples (one per position, bounded by ``len(positions)``),
     or ``None`` when a bracket missed its position (the caller then sorts everything).
-    ``key`` must be a non-null double; ``tie`` unique.
+    ``key`` must be a non-null double; ``tie`` unique.  ``n`` and ``sketch`` (value at every edge of
+    ``sketch_edges``) spare a pass if the caller has them, with ``probs`` close to the positions.
     """
     n = df.count() if n is None else n
     if n == 0 or not positions:
         return []
-    eps = 3.0 / accuracy
-    probs = [p / max(n - 1, 1) for p in positions]
-    edges = sorted({min(1.0, max(0.0, q + d)) for q in probs for d in (-eps, eps)})
-    sketch = df.agg(F.percentile_approx(key, edges, accuracy)).first()[0]
-    at = dict(zip(edges, sketch))
-    bands = [(at[min(1.0, max(0.0, q - eps))], at[min(1.0, max(0.0, q + eps))]) for q in probs]
     k = F.col(key)
-    counts = df.agg(*[F.count_if(k < F.lit(lo)) for lo, _ in bands],
-                    *[F.count_if((k >= F.lit(lo)) & (k <= F.lit(hi))) for lo, hi in bands]).first()
-    below, width = counts[:len(bands)], counts[len(bands):]
-    if any(not (c <= p < c + w) for p, c, w in zip(positions, below, width)):
-        return None
+    if sketch is None:
+        probs = [p / max(n - 1, 1) for p in positions]
+        edges = sketch_edges(probs, accuracy)
+        sketch = dict(zip(edges, df.agg(F.percentile_approx(key, edges, accuracy)).first()[0]))
+    else:
+        edges, probs = sorted(sketch), [p / max(n - 1, 1) for p in positions]
+    bands = []
+    for q in probs:  # the nearest edges on both sides
+        low = max((e for e in edges if e <= q - 1.0 / accuracy), default=edges[0])
+        high = min((e for e in edges if e >= q + 1.0 / accuracy), default=edges[-1])
+        bands.append((sketch[low], sketch[high]))
     inside = None
     for lo, hi in bands:
         c = (k >= F.lit(lo)) & (k <= F.lit(hi))
         inside = c if inside is None else inside | c
+    counts = df.agg(*[F.count_if(k < F.lit(lo)) for lo, _ in bands],
+                    *[F.count_if((k >= F.lit(lo)) & (k <= F.lit(hi))) for lo, hi in bands],
+                    *[F.count_if(inside & (k < F.lit(lo))) for lo, _ in bands], F.count_if(inside)).first()
+    m = len(bands)
+    below, width, offset, total = counts[:m], counts[m:2 * m], counts[2 * m:3 * m], counts[3 * m]
+    if any(not (c <= p < c + w) for p, c, w in zip(positions, below, width)):
+        return None
+    wanted = [p - c + o for p, c, o in zip(positions, below, offset)]
     band = df.where(inside).select(key, tie)
+    if total <= FEW:
+        rows = band.orderBy(key, tie).collect()
+        return [(rows[w][key], rows[w][tie]) for w in wanted]
     ranked = with_global_index(band, [F.col(key), F.col(tie)], "_b")
-    offset = list(band.agg(*[F.count_if(k < F.lit(lo)) for lo, _ in bands]).first())
-    wanted = [p - c + o for p, c, o in zip(positions, below, offset)]
     got = {r["_b"]: (r[key], r[tie]) for r in ranked.where(F.col("_b").isin(wanted)).collect()}
     return [got[w] for w in wanted]
 

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmetrics.operators.ordinal import select_rows, with_global_index, with_group_position
+from postmetrics.operators.ordinal import SKETCH_ACCURACY, select_rows, sketch_edges, with_global_index, with_group_position
 
 
 def quartile_strata(df: DataFrame, value: str, tiebreak: str, name: str = "stratum") -> DataFrame:
@@ -34,9 +34,12 @@ def _strata(df, value, tiebreak, fractions, name):
     sorting the table (``select_rows``); the sort-based positions are the fallback."""
     key = F.coalesce(-F.col(value).cast("double"), F.lit(float("inf")))   # value desc, NULL last
     keyed = df.withColumn("_sk", key)
-    n = keyed.count()
+    edges = sketch_edges([a / b for a, b in fractions])
+    seen = keyed.agg(F.count("*").alias("n"), F.percentile_approx("_sk", edges, SKETCH_ACCURACY).alias("e")).first()
+    n = seen["n"]
     bounds = [int(n * a // b) for a, b in fractions]
-    picked = select_rows(keyed.select("_sk", tiebreak), "_sk", tiebreak, bounds, n=n) if n else []
+    sketch = dict(zip(edges, seen["e"])) if n else None
+    picked = select_rows(keyed.select("_sk", tiebreak), "_sk", tiebreak, bounds, n=n, sketch=sketch) if n else []
     if picked is None:
         idx = with_global_index(df, [F.col(value).desc_nulls_last(), F.col(tiebreak).asc()], "_r")
         s = F.lit(1)
@@ -75,12 +78,33 @@ def stratified_sample(df: DataFrame, stratum: str, id_col: str, per_stratum: int
                       seed: int = 42, name: str = "_pos", oversample: float = 4.0) -> DataFrame:
     """At most k rows per stratum, without replacement: the k smallest (seeded key, id).
 
-    Exact, without sorting the table: hash keys are uniform, so a per-stratum share sized for
+    Exact, in one scan: every task keeps its k first rows of a stratum before anything moves, those of
+    some tasks are merged under a salt, and then those of a stratum; so no task sees more than k
+    rows of each of a bounded number of others.  Spark cuts groups that way up to a limit of
+    ``TASK_LIMIT`` rows; for larger k ``_thresholded`` finds the same rows.
+    """
+    keyed = df.withColumn("_key", seeded_key(id_col, seed))
+    most = max(per_stratum.values(), default=0) if isinstance(per_stratum, dict) else per_stratum
+    if most >= TASK_LIMIT:
+        return _thresholded(keyed, stratum, id_col, per_stratum, name, oversample)
+    salted = keyed.withColumn("_salt", F.spark_partition_id() % F.lit(SALTS))
+    for groups in ([stratum, "_salt"], [stratum]):
+        place = F.row_number().over(Window.partitionBy(*groups).orderBy("_key", id_col))
+        salted = salted.withColumn(name, place).where(F.col(name) <= most)
+    pos = salted.withColumn(name, (F.col(name) - 1).cast("long"))
+    return pos.where(F.col(name) < _quota(per_stratum, stratum)).drop("_key", "_salt")
+
+
+#: Largest k that tasks cut groups at (Spark's own limit for it), and salts of the first merge.
+TASK_LIMIT, SALTS = 1000, 256
+
+
+def _thresholded(keyed: DataFrame, stratum: str, id_col: str, per_stratum: int | dict, name: str, oversample: float) -> DataFrame:
+    """The sample for large k.  Hash keys are uniform, so a per-stratum share sized for
     ~``oversample`` x k rows keeps a small candidate set; a partial-aggregate check proves each
     stratum kept at least min(k, n) rows (otherwise the share widens and the check repeats), and
     only the candidates are ranked.
     """
-    keyed = df.withColumn("_key", seeded_key(id_col, seed))
     sizes = keyed.groupBy(stratum).agg(F.count(F.lit(1)).alias("_ns")).withColumn("_q", _quota(per_stratum, stratum))
     factor = oversample
     while True:
