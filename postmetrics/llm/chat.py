@@ -1,7 +1,7 @@
 """Chat formatting with relational operators only.
 
-Turns of a conversation are collected as structs and sorted; adjacent turns of one role become one
-block; blocks are concatenated.  The template::
+Turns of a conversation are collected as structs and sorted; an aggregation over the array merges
+adjacent turns of one role into blocks; blocks are concatenated.  The template::
 
     <turn:ROLE>
     first text<next/>
@@ -18,7 +18,7 @@ point offsets into ``formatted``, one span for each turn of ``loss_role``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN_OPEN, TURN_CLOSE, NEXT = "<turn:", "</turn>\n", "<next/>\n"
@@ -40,31 +40,62 @@ def unescape_role(c: Column) -> Column:
     return unescape_text(F.replace(c, F.lit("&gt;"), F.lit(">")))
 
 
+_BLOCKS = "array<struct<role:string,texts:array<string>>>"
+_SPANS = "array<struct<start:bigint,length:bigint>>"
+
+
+def _merged(turns: Column) -> Column:
+    """Blocks, array<struct<role, texts>>, of adjacent turns of one role of a sorted array of turns."""
+    start = F.struct(F.array().cast(_BLOCKS).alias("done"), F.lit(None).cast("string").alias("role"),
+                     F.array().cast("array<string>").alias("texts"))
+
+    def closed(acc):
+        return F.concat(acc["done"], F.array(F.struct(acc["role"].alias("role"), acc["texts"].alias("texts"))))
+
+    def take(acc, turn):
+        same = acc["role"] == turn["role"]  # null before the first turn
+        return F.struct(
+            F.when(acc["role"].isNull() | same, acc["done"]).otherwise(closed(acc)).cast(_BLOCKS).alias("done"),
+            turn["role"].alias("role"),
+            F.when(same, F.concat(acc["texts"], F.array(turn["text"]))).otherwise(F.array(turn["text"])).cast("array<string>").alias("texts"))
+
+    return F.aggregate(turns, start, take, closed)
+
+
+def _spans(blocks: Column, loss_role: str) -> Column:
+    """Where the texts of the blocks of ``loss_role`` stand in the concatenation of all blocks."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("spans"))
+
+    def text(acc, body):
+        size = F.length(body).cast("bigint")
+        span = F.array(F.struct(acc["at"].alias("start"), size.alias("length")))
+        return F.struct((acc["at"] + size + F.lit(len(NEXT))).cast("bigint").alias("at"), F.concat(acc["spans"], span).cast(_SPANS).alias("spans"))
+
+    def block(acc, b):
+        inside = F.aggregate(b["bodies"], F.struct((acc["at"] + F.length(b["head"])).cast("bigint").alias("at"), acc["spans"].alias("spans")), text)
+        return F.struct((acc["at"] + F.length(b["piece"])).cast("bigint").alias("at"),
+                        F.when(b["role"] == F.lit(loss_role), inside["spans"]).otherwise(acc["spans"]).cast(_SPANS).alias("spans"))
+
+    return F.aggregate(blocks, start, block, lambda acc: acc["spans"])
+
+
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans array<struct<start, length>>: one row for each conversation."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
                         F.coalesce("text", F.lit("")).alias("text"))
-    # The piece of a turn: what stands before its text (a block header, or the separator inside a
-    # block) and the text; a block is closed by the first piece of the next one or by the end.
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    opener = F.concat(F.lit(TURN_OPEN), escape_role(F.col("role")), F.lit(">\n"))
-    before = F.lag("role").over(order)
-    rows = rows.withColumn("head", F.when(before.isNull(), opener)
-                           .when(before == F.col("role"), F.lit(NEXT))
-                           .otherwise(F.concat(F.lit(TURN_CLOSE), opener)))
-    rows = rows.withColumn("body", escape_text(F.col("text")))
-    size = F.length("head") + F.length("body")
-    start = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("body")
-    rows = rows.withColumn("start", start)
-    piece = F.struct("turn", "role", "text", "start", F.concat("head", "body").alias("piece"),
-                     F.length("body").cast("long").alias("length"))
-    sorted_turns = F.sort_array(F.collect_list(piece))
-    grouped = rows.groupBy("conv_id").agg(sorted_turns.alias("t"))
-    masked = F.filter("t", lambda x: x["role"] == F.lit(loss_role))
-    return grouped.select(
-        "conv_id",
-        F.concat(F.array_join(F.transform("t", lambda x: x["piece"]), ""), F.lit(TURN_CLOSE)).alias("formatted"),
-        F.transform(masked, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss_spans"))
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+
+    def written(b):
+        head = F.concat(F.lit(TURN_OPEN), escape_role(b["role"]), F.lit(">\n"))
+        return F.struct(b["role"].alias("role"), head.alias("head"), F.transform(b["texts"], escape_text).alias("bodies"))
+
+    def whole(b):
+        piece = F.concat(b["head"], F.array_join(b["bodies"], NEXT), F.lit(TURN_CLOSE))
+        return F.struct(b["role"].alias("role"), b["head"].alias("head"), b["bodies"].alias("bodies"), piece.alias("piece"))
+
+    blocks = grouped.select("conv_id", F.transform(F.transform(_merged(F.col("t")), written), whole).alias("blocks"))
+    return blocks.select("conv_id", F.array_join(F.transform("blocks", lambda b: b["piece"]), "").alias("formatted"),
+                         _spans(F.col("blocks"), loss_role).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -9,8 +9,9 @@ threshold, and only pairs that reach it are verified by their cosine in double p
 Pairs are only looked for inside cells.  A cell of a table is a range of values (below or above the
 sampled median) on each of ``bits`` projections; a vector within ``margin`` of a median belongs to
 both ranges.  The number of tables is calibrated to ``RECALL`` from the chance that a pair at the
-threshold shares a cell of one.  ``bits`` grows with the logarithm of the number of vectors, which
-keeps cells small.  A pair is counted once: in its first common table, in the lowest common cell.
+threshold shares a cell of one, given the sampled spread of the projections about their medians (vectors
+that all point one way lie close to every median); of several margins the one with the fewest copies of
+a vector is taken.  ``bits`` grows with the logarithm of the number of vectors, which keeps cells small.  A pair is counted once: in its first common table, in the lowest common cell.
 
 Equal vectors are collapsed first and counted by their number.  A cell with more than ``BLOCK`` rows
 is compared in pairs of blocks, each its own group, so no task holds more than two blocks; tasks
@@ -39,9 +40,10 @@ from postmetrics.llm.staging import stage
 RECALL = 0.997
 MISS = 1e-4
 WINDOW_SHARE = 0.90
-MARGIN = 0.25
+MARGINS = tuple(k / 40 for k in range(1, 25))
 CELL_ROWS = 128
 MAX_BITS = 24
+MIN_COUNTED, MAX_COUNTED = 40, 96
 BLOCK = 1024
 SAMPLE = 4096
 
@@ -55,44 +57,69 @@ class Plan:
     tables: int
     window: float
     min_collisions: int
-    margin: float = MARGIN
+    margin: float
 
     @property
     def projections(self) -> int:
-        return max(40, self.bits * self.tables)
+        return max(MIN_COUNTED, self.bits * self.tables)
+
+    @property
+    def counted(self) -> int:
+        """Projections whose collisions are counted (the first ones)."""
+        return min(MAX_COUNTED, self.projections)
 
 
 def _normal_cdf(x: float) -> float:
     return 0.5 * (1 + math.erf(x / math.sqrt(2)))
 
 
-def calibrate(min_cosine: float, n: int) -> Plan:
-    distance = math.sqrt(2 - 2 * min_cosine)
-    bits = min(MAX_BITS, max(1, math.ceil(math.log2(max(n, 2) / CELL_ROWS)))) if n > CELL_ROWS else 1
-    # a pair is parted by a projection when its values lie on both sides, further than the margin
+def _tables(distance: float, spread: float, bits: int, margin: float) -> int:
+    """Tables that keep a pair at ``distance`` together in one of them with chance RECALL."""
+    # a projection parts a pair whose values lie on both sides of the median, further than the margin
     sigma = distance / 2
-    h = MARGIN / sigma
+    h = margin / sigma
     beyond = 2 * sigma * (math.exp(-h * h / 2) / math.sqrt(2 * math.pi) - h * (1 - _normal_cdf(h)))
-    together = (1 - 2 * beyond / math.sqrt(2 * math.pi)) ** bits
-    tables = max(1, math.ceil(math.log(1 - RECALL) / math.log(max(1e-12, 1 - together))))
+    together = max(0.0, 1 - 2 * beyond / (math.sqrt(2 * math.pi) * spread)) ** bits
+    if together >= RECALL:
+        return 1
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - together)) if together > 1e-9 else 1 << 30
+
+
+def calibrate(min_cosine: float, n: int, spread: float = 1.0) -> Plan:
+    """``spread``: standard deviation of the projections about their medians."""
+    distance = math.sqrt(2 - 2 * min_cosine)
+    bits = min(MAX_BITS, max(1, math.ceil(math.log2(max(n, 2) / CELL_ROWS)))) if n > CELL_ROWS else 1
+    spread = max(spread, distance / 20)
+
+    def copies(margin: float) -> float:
+        near = 2 * _normal_cdf(margin / spread) - 1
+        return _tables(distance, spread, bits, margin) * (2 + (1 + near) ** bits)
+    margin = min(MARGINS, key=copies)
+    tables = _tables(distance, spread, bits, margin)
     lo, hi = 0.0, 10.0
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if 2 * _normal_cdf(mid) - 1 < WINDOW_SHARE else (lo, mid)
-    m = max(40, bits * tables)
+    m = min(MAX_COUNTED, max(MIN_COUNTED, bits * tables))
     tail, least = 0.0, 0
     for k in range(m + 1):
         tail += math.comb(m, k) * WINDOW_SHARE ** k * (1 - WINDOW_SHARE) ** (m - k)
         if tail > MISS:
             least = k
             break
-    return Plan(min_cosine, bits, tables, hi * distance, least)
+    return Plan(min_cosine, bits, tables, hi * distance, least, margin)
 
 
 def directions(dim: int, n: int) -> np.ndarray:
     return np.random.default_rng(20_240_501).standard_normal((dim, n))
 
 
+def sampled_spread(units: np.ndarray) -> float:
+    """Spread of 64 projections of the sample about their medians (root mean square)."""
+    values = units @ directions(units.shape[1], 64)
+    return float(np.sqrt(np.mean((values - np.median(values, axis=0)) ** 2)))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -151,14 +178,14 @@ def _compare(rows: pd.DataFrame, plan: Plan, dim: int, same_block: bool) -> pd.D
     """Linked vectors of one cell (or of two blocks of it): id, links, root."""
     rows = rows.sort_values("id").reset_index(drop=True)
     x = _unit(_matrix(rows["v"], dim))
-    values = (x @ directions(dim, plan.projections)).astype(np.float32)
+    values = (x @ directions(dim, plan.projections)[:, :plan.counted]).astype(np.float32)
     side = np.zeros(len(rows), np.int8) if same_block else (rows["blk"] == rows["i"]).to_numpy().astype(np.int8)
     code = np.stack(rows["code"].to_numpy()).astype(np.int64)
     near = np.stack(rows["near"].to_numpy()).astype(np.int64)
     table, cell = int(rows["tbl"].iloc[0]), int(rows["cell"].iloc[0])
 
     hits = np.zeros((len(x), len(x)), np.int16)
-    for k in range(plan.projections):
+    for k in range(plan.counted):
         hits += np.abs(values[:, k][:, None] - values[:, k][None, :]) <= np.float32(plan.window * 1.0001)
     a, b = np.nonzero(np.triu(hits >= plan.min_collisions, 1))
     if not same_block:
@@ -185,9 +212,9 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.9, id_col: str = "
     members = stage(valid_vectors(vectors, id_col, vector_col).where("id IS NOT NULL"), "unit_vectors")
     distinct = stage(members.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "distinct_vectors")
     n = distinct.count()
-    plan = calibrate(min_cosine, n)
     sample = distinct.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
     dim = len(sample[0]) // 8 if sample else 1
+    plan = calibrate(min_cosine, n, sampled_spread(_unit(_matrix(sample, dim))) if sample else 1.0)
     medians = np.median(_unit(_matrix(sample, dim)) @ directions(dim, plan.projections), axis=0) if sample else np.zeros(plan.projections)
 
     def assign(batches):

@@ -1,6 +1,7 @@
 """Vector and conversation operators: nulls, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -166,3 +167,33 @@ def test_chat_plan_is_native(spark):
 def test_digest_helpers_agree_with_hashlib(spark):
     df = spark.createDataFrame([("é",)], "t string").select(F.sha2("t", 256).alias("h"))
     assert df.first()["h"] == hashlib.sha256("é".encode()).hexdigest()
+
+
+def test_roles_are_merged_without_a_window(spark):
+    prepare(spark)
+    df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    plan = chat.format_conversations(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "aggregate(" in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.7, 0.9])
+def test_pairs_meet_whatever_the_mean_cosine(mean_cosine):
+    """Pairs at cosine 0.905 share a cell and enough collisions, for 50,000 vectors that point one way."""
+    rng, dim, n = np.random.default_rng(0), 64, 1500
+    mu = projections._unit(rng.standard_normal((1, dim)))[0]
+
+    def population(m):
+        z = rng.standard_normal((m, dim))
+        z = projections._unit(z - (z @ mu)[:, None] * mu)
+        return math.sqrt(mean_cosine) * mu + math.sqrt(1 - mean_cosine) * z
+    sample, x = population(4096), population(n)
+    plan = projections.calibrate(0.9, 50_000, projections.sampled_spread(sample))
+    turn = rng.standard_normal((n, dim))
+    turn = projections._unit(turn - (turn * x).sum(1, keepdims=True) * x)
+    y = 0.905 * x + math.sqrt(1 - 0.905 ** 2) * turn
+    a = projections.directions(dim, plan.projections)
+    medians = np.median(sample @ a, axis=0)
+    (cx, nx), (cy, ny) = (projections._codes(v @ a, medians, plan) for v in (x, y))
+    shared = (((cx ^ cy) & ~nx & ~ny) == 0).any(1)
+    counted = (np.abs(x @ a - y @ a)[:, :plan.counted] <= plan.window).sum(1) >= plan.min_collisions
+    assert (shared & counted).mean() >= 0.99
