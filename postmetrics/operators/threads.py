@@ -66,16 +66,15 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
     # Every round is written once, partitioned by ``done``: resolved rows are never
     # rewritten (later rounds read them by partition pruning); only the shrinking
     # active set feeds the next round.
-    path, n_active = _write_round(base)
-    rounds = [path]
-    active = _read(spark, rounds[-1:]).where(~F.col("done"))
+    written, n_active = _write_round(base)
+    rounds, active = [written], written.where(~F.col("done"))
     r, before = 0, None
     while True:
         if n_active == 0 or (n_active == before and 2 ** r >= 2 * n_active):
             break
         before = n_active
         r += 1
-        look = _resolved(spark, rounds).unionByName(active).where(F.col("is_target")).select(
+        look = _resolved(rounds).unionByName(active).where(F.col("is_target")).select(
             F.col("id").alias("_lid"), F.col("ptr").alias("_lptr"), F.col("mn").alias("_lmn"),
             F.col("is_root").alias("_lroot"), F.col("done").alias("_ldone"))
         # only the nodes that active ones point at: this cuts the lookup before the join moves it
@@ -84,45 +83,43 @@ def thread_roots(df: DataFrame, id_col: str, parent_col: str, last_wins_order: S
         step = active.join(look, active["ptr"] == look["_lid"], "left")
         at_root = F.col("_lid").isNull() | F.col("_lroot")
         finished = at_root | F.col("_ldone")
-        path, n_active = _write_round(step.select(
+        written, n_active = _write_round(step.select(
             "id",
             F.when(at_root, F.col("ptr")).otherwise(F.col("_lptr")).alias("ptr"),
             F.when(finished, F.col("mn")).otherwise(F.least(F.col("mn"), F.col("_lmn"))).alias("mn"),
             F.col("is_root"), F.col("is_target"),
             finished.alias("done")))
-        rounds.append(path)
-        active = _read(spark, rounds[-1:]).where(~F.col("done"))
-    resolved = _resolved(spark, rounds).select("id", F.col("ptr").alias("thread_id"))
+        rounds.append(written)
+        active = written.where(~F.col("done"))
+    resolved = _resolved(rounds).select("id", F.col("ptr").alias("thread_id"))
     if n_active == 0:
         return resolved
     # still active: nodes on (or leading into) a cycle.  After the rounds the pointer sits
     # on the cycle, and that node's running minimum covers exactly the cycle.
-    look = (_resolved(spark, rounds).unionByName(active).where(F.col("is_target"))
+    look = (_resolved(rounds).unionByName(active).where(F.col("is_target"))
             .select(F.col("id").alias("_lid"), F.col("mn").alias("_lmn")))
     cyc = active.join(look, active["ptr"] == look["_lid"], "left").select("id", F.col("_lmn").alias("thread_id"))
     return resolved.unionByName(cyc)
 
 
-def _write_round(df: DataFrame) -> tuple[str, int]:
-    """Folder of the round, and how many of its nodes are still active (counted while they are written)."""
-    path, seen = scratch_path(df.sparkSession, "thread-round"), Observation()
-    df.observe(seen, F.count_if(~F.col("done")).alias("active")).write.partitionBy("done").parquet(path)
-    return path, int(seen.get["active"])
+_ROUND = "id string, ptr string, mn string, is_root boolean, is_target boolean, done string"
 
 
-def _read(spark, paths: list[str]) -> DataFrame:
-    # one read per round folder (each is its own partitioned table, about log2(depth)
-    # of them); the partition column comes back as text, a filter on it prunes folders
-    out = None
-    for path in paths:
-        part = spark.read.parquet(path).select("id", "ptr", "mn", "is_root", "is_target",
-                                               (F.col("done") == F.lit("true")).alias("done"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _write_round(df: DataFrame) -> tuple[DataFrame, int]:
+    """The written round, and how many of its nodes are still active (counted while they are written)."""
+    spark, path, seen = df.sparkSession, scratch_path(df.sparkSession, "thread-round"), Observation()
+    df.observe(seen, F.count_if(~F.col("done")).alias("active")).write.partitionBy("done").parquet(path)
+    # the partition column is a folder name; a filter on it prunes folders
+    rows = spark.read.schema(_ROUND).parquet(path).withColumn("done", F.col("done") == F.lit("true"))
+    return rows, int(seen.get["active"])
 
 
-def _resolved(spark, rounds: list[str]) -> DataFrame:
-    return _read(spark, rounds).where(F.col("done"))
+def _resolved(rounds: list[DataFrame]) -> DataFrame:
+    """Finished nodes of all rounds (about log2(depth) folders)."""
+    out = rounds[0].where(F.col("done"))
+    for rows in rounds[1:]:
+        out = out.unionByName(rows.where(F.col("done")))
+    return out
 
 
 def thread_sizes(df: DataFrame, id_col: str, parent_col: str, last_wins_order: Sequence[str] = ()) -> DataFrame:
