@@ -292,7 +292,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
 
     sigs = nodes.select("node", "sig")
     stars = stage(posted.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), "star_pairs")
-    star_links = stage(confirm(_above_threshold(stars, sigs, matches), texts, words, percent).distinct(), "star_links")
+    # written in between, so that a task runs one Python worker at a time
+    likely_stars = stage(_above_threshold(stars, sigs, matches), "likely_star_pairs")
+    star_links = stage(confirm(likely_stars, texts, words, percent).distinct(), "star_links")
     star_components = stage(connected_components(star_links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "star_components")
     release_shuffles(spark)
 
