@@ -234,7 +234,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
 
     admitted = q_packed.groupBy("qb", "nb").cogroup(n_packed.groupBy("qb", "nb")).applyInPandas(
         admit, f"id {id_kind}, v binary, floor double, qb int, route int, salt int")
-    spread = pages.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))))
+    # a node's pages go to the blocks of queries that its bound admits, and to no other
+    admitted = stage(admitted, "admitted")
+    wanted = admitted.select(F.col("qb").alias("b"), F.col("route").alias("r"), F.col("salt").alias("s")).distinct()
+    spread = pages.join(wanted, (F.col("route") == F.col("r")) & (F.col("salt") == F.col("s"))).drop("r", "s")
 
     def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -244,7 +247,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
                        routing[int(right["route"].iloc[0])], k)
         return rows_of(best, ids)
 
-    found = admitted.groupBy("qb", "route", "salt").cogroup(spread.groupBy("qb", "route", "salt")).applyInPandas(visit, hits)
+    found = admitted.groupBy("qb", "route", "salt").cogroup(spread.groupBy("b", "route", "salt")).applyInPandas(visit, hits)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
