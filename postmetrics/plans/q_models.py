@@ -225,7 +225,7 @@ SELECT 'C(category)[T.' || g || ']', CAST(count(*) AS DOUBLE) FROM d WHERE g <>
 def model_design(spark, d):
     p = posts(spark, d)
     des = build_design(p, CAT)
-    g = sums(p, des, "engagement").gram()
+    g = sums(p, des, "engagement")[0].gram()
     rows = [(nm, float(g["xtx"][0, j])) for j, nm in enumerate(des.names)]
     return spark.createDataFrame(rows, "term string, col_sum double")
 

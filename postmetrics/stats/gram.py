@@ -85,32 +85,31 @@ def _deviance_terms(y: np.ndarray, mu: np.ndarray) -> np.ndarray:
 
 
 class RowSums:
-    """Sums over the rows of ``df``; ``keep`` are the columns of X used, ``zero`` those whose rows are left out."""
+    """Sums over the rows of a ``narrow_frame``, for response ``j``; ``keep`` are the columns of X used,
+    ``zero`` those whose rows are left out."""
 
-    def __init__(self, df: DataFrame, design: Design, y: Column | str, staged: bool = False):
-        self.frame = narrow_frame(df, design, [y])
-        if staged:  # passes of an iteration read a narrow table, not the source
-            self.frame = materialize(self.frame, "design")
-        self.design, self.keep, self.zero = design, list(range(design.p)), []
+    def __init__(self, frame: DataFrame, design: Design, j: int = 0):
+        self.frame, self.design, self.j = frame, design, j
+        self.keep, self.zero = list(range(design.p)), []
 
     def without(self, separated: list[int]) -> "RowSums":
         """The sums over the rows where all the given columns are 0, and over the other columns."""
-        out = object.__new__(RowSums)
-        out.frame, out.design, out.zero = self.frame, self.design, separated
+        out = RowSums(self.frame, self.design, self.j)
+        out.zero = separated
         out.keep = [j for j in self.keep if j not in separated]
         return out
 
     def _reader(self):
         """A function of Arrow batches that gives (X, y) of consecutive slices; it holds no DataFrame."""
         recipe, names, width = self.design.recipe(), list(self.design.base_columns()), self.design.p
-        keep, zero = self.keep, self.zero
+        keep, zero, y_name = self.keep, self.zero, f"y{self.j}"
 
         def x_of(b):
             data = {c: b.column(f"b{i}").to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
             return expand(recipe, data, b.num_rows)
 
         def read(batches):
-            for x, y in _slices(batches, x_of, width, ["y0"]):
+            for x, y in _slices(batches, x_of, width, [y_name]):
                 if zero:
                     rows = (x[:, zero] == 0).all(1)
                     x, y = x[rows], y[rows]
@@ -169,22 +168,25 @@ class RowSums:
 _MOMENTS = ("n", "sum_e", "sum_e2", "sum_e3", "sum_e4", "sum_yc2", "deviance", "pearson", "llf", "sum_lgamma")
 
 
-def cells(df: DataFrame, design: Design, y: Column | str) -> DataFrame:
-    """One row per combination of the discrete columns: n, mean and central moments of y, Σ y ln y, Σ ln y!."""
+def cells(df: DataFrame, design: Design, ys: list) -> DataFrame:
+    """One row per combination of the discrete columns: for every response n, mean and central moments,
+    Σ y ln y and Σ ln y! (complete rows only)."""
     names = list(design.base_columns())
-    v = F.col("_y")
     rows = df.select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(names)],
-                     (F.col(y) if isinstance(y, str) else y).cast("double").alias("_y")).dropna()
-    return rows.groupBy(*[f"b{i}" for i in range(len(names))]).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"), F.skewness(v).alias("skew"),
-        F.kurtosis(v).alias("kurt"), F.sum(F.when(v > 0, v * F.ln(v)).otherwise(0.0)).alias("ylny"),
-        F.sum(log_factorial(v)).alias("lgamma"))
+                     *[(F.col(y) if isinstance(y, str) else y).cast("double").alias(f"_y{j}") for j, y in enumerate(ys)]).dropna()
+    aggs = []
+    for j in range(len(ys)):
+        v = F.col(f"_y{j}")
+        aggs += [F.count(v).alias(f"n{j}"), F.avg(v).alias(f"mean{j}"), F.var_pop(v).alias(f"var{j}"), F.skewness(v).alias(f"skew{j}"),
+                 F.kurtosis(v).alias(f"kurt{j}"), F.sum(F.when(v > 0, v * F.ln(v)).otherwise(0.0)).alias(f"ylny{j}"),
+                 F.sum(log_factorial(v)).alias(f"lgamma{j}")]
+    return rows.groupBy(*[f"b{i}" for i in range(len(names))]).agg(*aggs)
 
 
 class CellSums:
-    """The sums of ``RowSums`` from the cells of a discrete design, held by the driver."""
+    """The sums of ``RowSums`` from the cells of a discrete design, held by the driver (response ``j``)."""
 
-    def __init__(self, design: Design, table: pa.Table):
+    def __init__(self, design: Design, table: pa.Table, j: int = 0):
         names = list(design.base_columns())
         n = table.num_rows
         data = {}
@@ -199,7 +201,7 @@ class CellSums:
         self.x = expand(design, data, int(known.sum()))
 
         def column(name):
-            return np.nan_to_num(table.column(name).to_numpy().astype(np.float64))[known]
+            return np.nan_to_num(table.column(f"{name}{j}").to_numpy().astype(np.float64))[known]
         self.n, self.mean, self.ylny, self.lgamma = (column(c) for c in ("n", "mean", "ylny", "lgamma"))
         self.m2 = column("var") * self.n
         self.m3 = column("skew") * self.m2 ** 1.5 / np.sqrt(np.maximum(self.n, 1))
@@ -243,14 +245,17 @@ class CellSums:
         return {k: v if k == "meat" else float(v) for k, v in out.items()}
 
 
-def sums(df: DataFrame, design: Design, y: Column | str, staged: bool = False):
-    """``CellSums`` where the design is discrete and its cells are few (checked), else ``RowSums``."""
+def sums(df: DataFrame, design: Design, *ys: Column | str) -> list:
+    """For every response ``CellSums`` where the design is discrete and its cells are few (checked; one
+    aggregation for all of them), else ``RowSums`` over a narrow table that is written once."""
     if design.discrete:
         most = int(min(MAX_CELLS, MAX_CELL_NUMBERS // max(design.p, 1)))
-        table = cells(df, design, y).limit(most + 1).toArrow()
+        table = cells(df, design, list(ys)).limit(most + 1).toArrow()
         if table.num_rows <= most:
-            return CellSums(design, table)
-    return RowSums(df, design, y, staged)
+            return [CellSums(design, table, j) for j in range(len(ys))]
+    # passes of a fit or an iteration read this narrow table, not the source
+    frame = materialize(narrow_frame(df, design, list(ys)), "design")
+    return [RowSums(frame, design, j) for j in range(len(ys))]
 
 
 def _lgamma1p(y: np.ndarray) -> np.ndarray:

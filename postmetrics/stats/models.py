@@ -80,10 +80,9 @@ def robust_sweep(df: DataFrame, y: str, terms: Sequence[tuple] = (), thresholds:
     design = design or build_design(df, terms, True)
     names = [f"c{j}" for j in range(len(thresholds))]
     caps = quantiles(df, y, list(thresholds), names=names).first()
+    capped = [F.log1p(F.when(F.col(y).isNotNull(), F.least(F.col(y).cast("double"), F.lit(caps[c])))) for c in names]
     rows = []
-    for c, t in zip(names, thresholds):
-        capped = F.log1p(F.when(F.col(y).isNotNull(), F.least(F.col(y).cast("double"), F.lit(caps[c]))))
-        s = sums(df, design, capped)
+    for s, t in zip(sums(df, design, *capped), thresholds):
         g = s.gram()
         inv, _ = la.sym_pinv(g["xtx"])
         beta = inv @ g["xty"]
@@ -121,7 +120,7 @@ def fit_ols(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design:
             if not intercept or cov_type != "HC1" or ("cat", wide.column) not in terms:
                 raise
             return fit_wide_factor(df, y, wide.column, [t for t in terms if t != ("cat", wide.column)])
-    s = sums(df, design, y)
+    s = sums(df, design, y)[0]
     g = s.gram()
     xtx, xty, n = g["xtx"], g["xty"], g["n"]
     inv, rank = la.sym_pinv(xtx)
@@ -224,7 +223,7 @@ def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), des
     """
     design = design or build_design(df, terms, True)
     p = design.p
-    everything = sums(df, design, y, staged=True)
+    everything = sums(df, design, y)[0]
     g0 = everything.gram()
     n_all = g0["n"]
     sep = [j for j in range(1, p) if "[T." in design.names[j]
