@@ -6,9 +6,12 @@
 4. repeats: strings of at least 250 bytes (some 40 words) that stand more than once go from the texts.
 5. packing: the remaining texts, tokenized, in windows of 1024 tokens.
 
-Every stage but the last returns the columns of its input; ``n_chars`` follows the text.  Null texts
-count as empty; rows whose id is null are never taken for duplicates of others, but rows equal in id
-and text are.  An empty table passes through.
+Every stage but the last returns the columns of its input, extra ones with their values whatever their
+names (but ``n_lines`` and ``n_lines_removed``, which the line stage counts anew); ``n_chars`` follows the
+text.  Null texts count as empty; texts of any length are read whole, in Arrow batches bounded by bytes.
+Of near-duplicates the row with the smallest id stays; rows whose id is null are never taken for
+duplicates of others, but rows equal in id and text are, and one of them stays.  An empty table passes
+through.
 """
 
 from __future__ import annotations
