@@ -87,3 +87,27 @@ def test_near_duplicates_drop_rows_not_ids(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], SCHEMA)
     got = pipeline.near_duplicates(spark, docs, "").collect()
     assert {(r["doc_id"], r["text"]) for r in got} == {rows[i] for i in (0, 2, 4, 5, 6)} and len(got) == 5
+
+
+def test_extra_columns_and_very_long_texts_pass_through(spark, corpus, tmp_path):
+    """Columns named like the stages' own ones keep their values; one text is over 300 kB; rows repeat."""
+    path, rows, _ = corpus
+    rng = random.Random(5)
+    long_text = "\n".join(_words(rng, 100) + "." for _ in range(600))
+    few = [r for r in rows if r[0] is not None and (r[0] < 40 or r[0] in range(120, 130))] + [(950, long_text, "en", "site2", len(long_text))]
+    few += [few[3], few[3]]
+    extra = {"row": "string", "score": "double", "own_text": "long", "own_id": "string", "kept": "boolean", "start": "long", "id": "long"}
+    values = ("r", 0.25, 7, "o", False, 3, 5)
+    docs = spark.createDataFrame([(*r, *values) for r in few], SCHEMA + ", " + ", ".join(f"{k} {v}" for k, v in extra.items())).repartition(2)
+    columns = docs.columns
+    judged = pipeline.STAGES[0][1](spark, docs, path)
+    assert judged.columns == columns and not set(range(120, 130)) & {r["doc_id"] for r in judged.select("doc_id").collect()}
+    for name, step in pipeline.STAGES[1:-1]:
+        docs = pipeline.stage(step(spark, docs, path), name)
+        assert docs.columns == columns
+    got = {r["doc_id"]: r for r in docs.collect()}
+    assert all(tuple(r[k] for k in extra) == values for r in got.values())
+    assert set(range(40)) | {950} <= set(got)
+    assert got[950]["text"] == long_text and docs.count() == len(got)
+    packed = pipeline.STAGES[-1][1](spark, docs, path).where("doc_id = 950").collect()
+    assert sum(r["length"] for r in packed) == packed[0]["doc_tokens"] > 50_000
