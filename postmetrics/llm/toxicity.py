@@ -39,7 +39,7 @@ SMOOTHING = 1.0
 MIN_Z = 3.0
 MAX_FEATURES = 16_384
 MAX_ROWS = 4_000
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 18
 
 #: Multipliers of the n-gram hash, one for each place of an n-gram.
 _FACTORS = mix(np.arange(1, max(LENGTHS) + 1, dtype=np.uint64)) | np.uint64(1)
