@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmetrics.session import path_exists
+
 # Canonical post schema (fields the features read, plus the nested entities).
 POST_DDL = """
 id_str STRING, id STRING, created_at STRING, full_text STRING, text STRING, lang STRING, source STRING,
@@ -245,11 +247,9 @@ def read_inferred_csv(spark: SparkSession, path: str, on_misfit: str = "widen",
 def read_kv_first_line(spark: SparkSession, path: str, default: str | None = None) -> DataFrame:
     """First 'Label: value' line of a text file -> value (trimmed); ``default`` when the file
     or the line is missing (one row either way)."""
-    from pyspark.errors import AnalysisException
-    try:
-        lines = spark.read.text(path).where(F.col("value").contains(": "))
-    except AnalysisException:
+    if not path_exists(spark, path):
         return spark.range(1).select(F.lit(default).cast("string").alias("value"))
+    lines = spark.read.text(path).where(F.col("value").contains(": "))
     # file order: the offsets of text partitions grow with their number, and rows inside follow the file
     placed = lines.select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at"), "value")
     picked = placed.agg(F.min_by(F.trim(F.split(F.col("value"), ": ", 2)[1]), F.struct("f", "at")).alias("value"))
@@ -259,10 +259,9 @@ def read_kv_first_line(spark: SparkSession, path: str, default: str | None = Non
 def read_json_metadata(spark: SparkSession, path: str, schema: str, defaults: dict) -> DataFrame:
     """Run metadata (one JSON document, on one or several lines) as one row; a missing file, a broken
     document or a missing field gives the value in ``defaults`` (NULL without one)."""
-    from pyspark.errors import AnalysisException
-    try:
+    if path_exists(spark, path):
         found = spark.read.schema(schema).option("multiLine", True).json(path)
-    except AnalysisException:
+    else:
         found = spark.createDataFrame([], schema)
     # an aggregate without keys: one row for any input; of several documents the first file's counts
     names = [f.name for f in found.schema.fields]

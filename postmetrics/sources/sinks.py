@@ -17,7 +17,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from postmetrics.session import path_exists
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> str:
@@ -47,10 +48,7 @@ def write_text_lines(df: DataFrame, col: str, path: str, mode: str = "overwrite"
 
 
 def existing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    try:
-        return spark.read.format(fmt).load(path)
-    except AnalysisException:
-        return None
+    return spark.read.format(fmt).load(path) if path_exists(spark, path) else None
 
 
 MANIFEST_DDL = "folder string, kind string, batches array<string>"
@@ -81,10 +79,9 @@ def published(spark: SparkSession, path: str, kind: str = "rows") -> DataFrame |
 
     The manifest has one row per append, which the driver reads to know the folders.
     """
-    try:
-        rows = spark.read.schema(MANIFEST_DDL).json(f"{path}/manifest").where(F.col("kind") == kind).select("folder").collect()
-    except AnalysisException:
+    if not path_exists(spark, f"{path}/manifest"):
         return None
+    rows = spark.read.schema(MANIFEST_DDL).json(f"{path}/manifest").where(F.col("kind") == kind).select("folder").collect()
     folders = sorted(f"{path}/{r['folder']}" for r in rows)
     return spark.read.parquet(*folders) if folders else None
 
