@@ -39,7 +39,7 @@ from postmetrics.llm.textops import LOWER, U64, mix, prefix_sums, row_slices, so
 COORDINATES, POSTED = 128, 48
 MISS = 4e-6
 BLOCK = 512
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 
 _rng = np.random.default_rng(7_919)
 _XOR = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(U64)

@@ -30,7 +30,7 @@ from postmetrics.llm.textops import LOWER, prefix_sums, row_of, row_slices, span
 
 MAX_POSITIVES = 6_000
 MAX_UNLABELLED = 12_000
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 
 _CLASS = np.full(256, 7, np.uint8)
 _CLASS[ord("a"):ord("z") + 1] = 0

@@ -39,7 +39,7 @@ from postmetrics.llm.textops import U64, mix, prefix_sums, row_slices, span_hash
 LENGTH = 400
 TUPLE = 100
 BLOCK = 64
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: Windows of one text ranked at a time.
 PART = 1 << 20
 _PLACE_BITS = U64(28)
