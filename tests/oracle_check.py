@@ -67,8 +67,9 @@ def compare(spark, con, key, qfn, sql, sf_dir):
     if not ok_cols:
         out["cols"] = (s_cols, d_cols)
     elif not ok_vals:
-        diff_s = [r for r in sv if r not in set(dv)][:3]
-        diff_d = [r for r in dv if r not in set(sv)][:3]
+        other_d, other_s = set(dv), set(sv)
+        diff_s = [r for r in sv if r not in other_d][:3]
+        diff_d = [r for r in dv if r not in other_s][:3]
         out["diff"] = (diff_s, diff_d)
     return out
 
