@@ -2,24 +2,25 @@
 
 Every pass over the rows is a Spark job (``stats.gram``); the driver only solves
 p x p systems.  Results come back as small DataFrames (one row per term, or one
-summary row), built with ``createDataFrame`` from at most p rows.
+summary row), built with ``createDataFrame`` from at most p rows; the levels of a wide
+factor are rows that Spark keeps.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from postmetrics.session import materialize
 from postmetrics.stats import linalg as la
 from postmetrics.stats.design import Design, TooManyLevels, build_design, design_frame
-from postmetrics.stats.gram import gram, sums
-
-#: Levels of the one factor that ``fit_wide_factor`` takes out of the matrix (a row each on the driver).
-MAX_WIDE_LEVELS = 1_000_000
+from postmetrics.stats.gram import sums
 
 
 @dataclass
@@ -52,6 +53,56 @@ class Fit:
         return spark.createDataFrame(rows, schema)
 
 
+@dataclass
+class WideFit:
+    """A fit whose factor has any number of levels: they stay a table (f, term, coef, var), the base left out;
+    ``rest`` is the fit of the intercept and the other columns.  ``table`` takes none of the levels to the driver;
+    ``names``, ``params`` and ``cov`` (variances) do, in the order of the levels."""
+    rest: Fit
+    levels: DataFrame
+    n: float
+    rank: int
+    summary: dict
+
+    @cached_property
+    def _held(self):
+        return self.levels.orderBy("f").select("term", "coef", "var").toArrow()
+
+    @property
+    def names(self) -> list[str]:
+        return self.rest.names[:1] + self._held.column("term").to_pylist() + self.rest.names[1:]
+
+    def _between(self, of_rest: np.ndarray, column: str) -> np.ndarray:
+        return np.concatenate([of_rest[:1], self._held.column(column).to_numpy(), of_rest[1:]])
+
+    @property
+    def params(self) -> np.ndarray:
+        return self._between(self.rest.params, "coef")
+
+    @property
+    def cov(self) -> np.ndarray:
+        return self._between(self.rest.cov, "var")
+
+    bse = Fit.bse
+
+    def table(self, spark: SparkSession, exp: bool = False) -> DataFrame:
+        """The columns of ``Fit.table``; its rows come in no order."""
+        from pyspark.sql import functions as F
+
+        @F.pandas_udf("double")
+        def two_sided(z: pd.Series) -> pd.Series:
+            return z.map(la.norm_sf2, na_action="ignore")
+
+        def finite(c: Column) -> Column:
+            return F.when(F.abs(c) < float("inf"), c)
+        b, s = F.col("coef"), F.col("se")
+        shown = F.exp if exp else (lambda c: c)
+        rows = self.levels.withColumn("se", F.when(F.col("var") >= 0, F.sqrt("var"))).withColumn("z", finite(F.when(s > 0, b / s)))
+        rows = rows.select("term", finite(shown(b)).alias("coef"), finite(s).alias("se"), "z", two_sided("z").alias("p"),
+                           finite(shown(b - la.Z975 * s)).alias("ci_lower"), finite(shown(b + la.Z975 * s)).alias("ci_upper"))
+        return self.rest.table(spark, exp).unionByName(rows)
+
+
 def main_terms(table: DataFrame, pattern: str, by: str = "coef") -> DataFrame:
     """Rows of a coefficient table whose term matches ``pattern`` (a regular expression), by value."""
     from pyspark.sql import functions as F
@@ -106,7 +157,7 @@ def _exp(x: float) -> float:
 
 
 def fit_ols(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design: Design | None = None,
-            cov_type: str = "HC1", intercept: bool = True) -> Fit:
+            cov_type: str = "HC1", intercept: bool = True) -> Fit | WideFit:
     """OLS with HC1 (or classical) covariance; min-norm solution when rank-deficient.
 
     A discrete design is fitted from the sums of its cells (one native aggregation), any other from
@@ -122,12 +173,15 @@ def fit_ols(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design:
             return fit_wide_factor(df, y, wide.column, [t for t in terms if t != ("cat", wide.column)])
     s = sums(df, design, y)[0]
     g = s.gram()
-    xtx, xty, n = g["xtx"], g["xty"], g["n"]
-    inv, rank = la.sym_pinv(xtx)
-    beta = inv @ xty
-    r = s.residuals(beta, centre=g["sum_y"] / n if design.intercept and n else 0.0)
-    intercept = design.intercept
-    ssr = r["sum_e2"]
+    inv, rank = la.sym_pinv(g["xtx"])
+    beta = inv @ g["xty"]
+    r = s.residuals(beta, centre=g["sum_y"] / g["n"] if design.intercept and g["n"] else 0.0)
+    return _ols_report(design, g, r, inv, rank, beta, cov_type)
+
+
+def _ols_report(design: Design, g: dict, r: dict, inv: np.ndarray, rank: int, beta: np.ndarray, cov_type: str) -> Fit:
+    """Covariance and summary of an OLS fit from its Gram sums ``g`` and residual sums ``r``."""
+    xtx, n, intercept, ssr = g["xtx"], g["n"], design.intercept, r["sum_e2"]
     df_resid = n - rank
     if cov_type == "HC1":
         cov = inv @ r["meat"] @ inv * (n / df_resid)
@@ -159,56 +213,84 @@ def fit_ols(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design:
     return Fit(design.names, beta, cov, n, rank, summary)
 
 
-def fit_wide_factor(df: DataFrame, y: Column | str, factor: str, terms: Sequence[tuple] = ()) -> Fit:
+def fit_wide_factor(df: DataFrame, y: Column | str, factor: str, terms: Sequence[tuple] = ()) -> WideFit:
     """OLS with HC1 errors of ``C(factor)`` and ``terms``, the factor taken out by its level sums.
 
     With treatment coding the factor's block of XᵀX is diagonal, so the other columns solve a system
-    of their own width on rows centred by level, and each level follows from its means:
-    a_l = mean_l(y) - mean_l(z) g.  Errors need per level only Σe² and Σe² z.  All level sums are
-    native aggregations; the driver holds one row of numbers per level.
+    of their own width from the covariances inside levels, and each level follows from its means:
+    a_l = mean_l(y) - mean_l(z) g.  Errors need per level only Σe², Σe² z and Σe² z zᵀ.  All are native
+    aggregations, and levels stay rows of a table, however many: the driver holds totals and the base level.
+    Rows meet the means of their level in one hash join, which keeps levels, not rows, in memory.
     """
     from pyspark.sql import functions as F
     other = build_design(df, terms, False)
     q = other.p
-    xs, means = [f"x{i}" for i in range(q)], [f"m{i}" for i in range(q)]
-    rows = design_frame(df.where(F.col(factor).isNotNull()), other, [y], [factor])
-    by_level = rows.groupBy(factor).agg(F.count("*").alias("n"), F.avg("y0").alias("my"), *[F.avg(x).alias(m) for x, m in zip(xs, means)])
-    centred = rows.join(by_level.withColumnRenamed(factor, "_f"), F.col(factor) == F.col("_f")).select(
-        factor, (F.col("y0") - F.col("my")).alias("y0"), *[(F.col(x) - F.col(m)).alias(x) for x, m in zip(xs, means)])
+    xs, pairs = [f"x{i}" for i in range(q)], [(i, j) for i in range(q) for j in range(i, q)]
+    rows = design_frame(df.where(F.col(factor).isNotNull()), other, [y], [factor]).withColumnRenamed(factor, "f")
+    by_level = materialize(rows.groupBy("f").agg(
+        F.count("*").alias("n"), F.avg("y0").alias("my"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
+        *[F.covar_pop(x, "y0").alias(f"cy{i}") for i, x in enumerate(xs)],
+        *[F.covar_pop(xs[i], xs[j]).alias(f"c{i}_{j}") for i, j in pairs]), "levels")
+
+    def symmetric(values) -> np.ndarray:
+        out = np.zeros((q, q))
+        for (i, j), v in zip(pairs, values):
+            out[i, j] = out[j, i] = v
+        return out
+    total = by_level.agg(F.count("*").alias("levels"), F.sum("n").cast("double").alias("n"),
+                         *[F.sum(F.col("n") * F.col(f"cy{i}")).alias(f"cy{i}") for i in range(q)],
+                         *[F.sum(F.col("n") * F.col(f"c{i}_{j}")).alias(f"c{i}_{j}") for i, j in pairs]).first()
     if q:
-        g = gram(centred, q, 1)
-        inv, inner_rank = la.sym_pinv(g["xtx"])
-        slope = inv @ g["xty"][:, 0]
+        inv, inner_rank = la.sym_pinv(symmetric(total[f"c{i}_{j}"] for i, j in pairs))
+        slope = inv @ np.array([total[f"cy{i}"] for i in range(q)])
     else:
         inv, inner_rank, slope = np.zeros((0, 0)), 0, np.zeros(0)
-    e = sum((F.lit(-float(b)) * F.col(x) for b, x in zip(slope, xs)), F.col("y0"))
-    scored = centred.withColumn("e", e)
-    level_sums = scored.groupBy(F.col(factor).alias("_f")).agg(
-        F.sum(F.col("e") ** 2).alias("s"), *[F.sum(F.col("e") ** 2 * F.col(x)).alias(f"u{i}") for i, x in enumerate(xs)])
-    table = by_level.join(level_sums, F.col(factor) == F.col("_f")).drop("_f").limit(MAX_WIDE_LEVELS + 1).toArrow()
-    if table.num_rows > MAX_WIDE_LEVELS:
-        raise TooManyLevels(factor, MAX_WIDE_LEVELS)
-    table = table.sort_by(factor)
-    number = {c: table.column(c).to_numpy().astype(np.float64) for c in table.column_names if c != factor}
-    count, n = number["n"], float(number["n"].sum())
-    zbar = np.stack([number[m] for m in means], axis=1) if q else np.zeros((len(count), 0))
-    u = np.stack([number[f"u{i}"] for i in range(q)], axis=1) if q else np.zeros((len(count), 0))
-    meat = gram(scored.select(*[(F.col(x) * F.col("e")).alias(x) for x in xs]), q, 0)["xtx"] if q else np.zeros((0, 0))
-    v = inv @ meat @ inv
-    level = number["my"] - zbar @ slope
-    # the error of a level: its mean residual, less zbar times the error of the slopes
-    cross = (u / count[:, None]) @ inv
-    var = number["s"] / count ** 2 - 2 * (cross * zbar).sum(1) + ((zbar @ v) * zbar).sum(1)
-    with_base = -cross @ zbar[0] - zbar @ cross[0] + zbar @ v @ zbar[0]
-    rank = len(count) + inner_rank
+    n, rank = total["n"] or 0.0, total["levels"] + inner_rank
     scale = n / (n - rank)
-    names = ["Intercept"] + [f"C({factor})[T.{f}]" for f in table.column(factor).to_pylist()[1:]] + other.names
-    params = np.concatenate([level[:1], level[1:] - level[0], slope])
-    variances = scale * np.concatenate([var[:1], (var + var[0] - 2 * with_base)[1:], np.diag(v)])
-    ssr = float(number["s"].sum())
-    total = rows.agg(F.var_pop("y0")).first()[0]
-    summary = dict(n=n, rank=rank, df_model=rank - 1, df_resid=n - rank, ssr=ssr, r_squared=1.0 - ssr / (total * n) if total else float("nan"))
-    return Fit(names, params, variances, n, rank, summary)
+
+    known = ["n", "my", *[f"m{i}" for i in range(q)]]
+    zs = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(xs)]
+    e = sum((F.lit(-float(b)) * z for b, z in zip(slope, zs)), F.col("y0") - F.col("my"))
+    scored = rows.join(by_level.select("f", *known).hint("shuffle_hash"), "f").select(
+        "f", *known, (e ** 2).alias("e2"), *[z.alias(f"z{i}") for i, z in enumerate(zs)])
+    level_sums = materialize(scored.groupBy("f").agg(
+        *[F.first(c).alias(c) for c in known], F.sum("e2").alias("s"),
+        *[F.sum(F.col("e2") * F.col(f"z{i}")).alias(f"u{i}") for i in range(q)],
+        *[F.sum(F.col("e2") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"w{i}_{j}") for i, j in pairs]), "level_sums")
+    spread = level_sums.agg(F.sum("s").alias("s"), *[F.sum(f"w{i}_{j}").alias(f"w{i}_{j}") for i, j in pairs]).first()
+    v = inv @ symmetric(spread[f"w{i}_{j}"] for i, j in pairs) @ inv
+
+    def dot(columns: list, numbers) -> Column:
+        return sum((c * F.lit(float(b)) for c, b in zip(columns, numbers)), F.lit(0.0))
+    # the error of a level: its mean residual, less zbar times the error of the slopes
+    zbar = [F.col(f"m{i}") for i in range(q)]
+    cross = [dot([F.col(f"u{i}") / F.col("n") for i in range(q)], inv[:, j]) for j in range(q)]
+    reach = [dot(zbar, v[:, j]) for j in range(q)]
+    var = F.col("s") / F.col("n") ** 2 + sum((z * (r - 2 * c) for z, r, c in zip(zbar, reach, cross)), F.lit(0.0))
+    of_level = level_sums.select("f", (F.col("my") - dot(zbar, slope)).alias("level"), var.alias("own"),
+                                 *[c.alias(f"cross{j}") for j, c in enumerate(cross)],
+                                 *[r.alias(f"reach{j}") for j, r in enumerate(reach)], *[z.alias(f"m{j}") for j, z in enumerate(zbar)])
+    base = of_level.agg(F.min_by(F.struct(*of_level.columns), "f").alias("base")).first()["base"]
+    base_m, base_cross = [[base[f"{c}{j}"] for j in range(q)] for c in ("m", "cross")]
+    with_base = dot([F.col(f"reach{j}") - F.col(f"cross{j}") for j in range(q)], base_m) - dot(zbar, base_cross)
+    levels = of_level.where(F.col("f") != F.lit(base["f"])).select(
+        "f", F.concat(F.lit(f"C({factor})[T."), _shown(of_level, "f"), F.lit("]")).alias("term"),
+        (F.col("level") - F.lit(base["level"])).alias("coef"),
+        (F.lit(scale) * (F.col("own") + F.lit(base["own"]) - 2 * with_base)).alias("var"))
+    rest = Fit(["Intercept", *other.names], np.concatenate([[base["level"]], slope]),
+               scale * np.concatenate([[base["own"]], np.diag(v)]), n, rank, {})
+    ssr, variance = spread["s"], rows.agg(F.var_pop("y0")).first()[0]
+    summary = dict(n=n, rank=rank, df_model=rank - 1, df_resid=n - rank, ssr=ssr,
+                   r_squared=1.0 - ssr / (variance * n) if variance else float("nan"))
+    return WideFit(rest, levels, n, rank, summary)
+
+
+def _shown(df: DataFrame, name: str) -> Column:
+    """A level as Python shows it."""
+    from pyspark.sql import functions as F
+    if df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long", "string", "date"):
+        return F.col(name).cast("string")
+    return F.udf(str, "string")(name)
 
 
 def fit_poisson(df: DataFrame, y: Column | str, terms: Sequence[tuple] = (), design: Design | None = None,

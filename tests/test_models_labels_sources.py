@@ -296,6 +296,38 @@ def test_wide_factor_equals_the_dense_fit(spark):
     assert len(fit_ols(wide_rows, "y", [("cat", "f")]).names) == 1500
 
 
+def test_wide_factor_of_more_than_a_million_levels(spark):
+    """Levels are rows of a table, however many: level l has y = l % 7 - 1 and l % 7 + 1."""
+    from postmetrics.stats import models as M
+    k = 1_000_200
+    rows = spark.range(2 * k).select((F.col("id") % k).alias("f"), ((F.col("id") % k) % 7 + F.when(F.col("id") < k, -1.0).otherwise(1.0)).alias("y"))
+    fit = M.fit_wide_factor(rows, "y", "f")
+    assert fit.rank == k and fit.n == 2 * k
+    table = fit.table(spark)
+    found = table.agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.sum(F.abs("coef")).alias("s"), F.min("se").alias("lo"),
+                      F.max("se").alias("hi"), F.count("p").alias("p")).first()
+    assert (found.n, found.terms, found.p) == (k, k, k)
+    assert math.isclose(found.s, sum(i % 7 for i in range(1, k)), rel_tol=1e-9)
+    # HC1: sum of e^2 over n^2 is 1/2 for a level, twice that against the base, times n / (n - k)
+    assert math.isclose(found.lo, 1.0, rel_tol=1e-9) and math.isclose(found.hi, math.sqrt(2.0), rel_tol=1e-9)
+
+
+def test_wide_factor_table_is_that_of_the_dense_fit(spark):
+    from postmetrics.stats import models as M
+    rng = np.random.default_rng(21)
+    f, z = rng.choice(["b", "a", "d", "c"], 800), rng.normal(size=800)
+    flag = rng.random(800) < 0.4
+    y = (f == "c") * 1.5 + 0.7 * z - 0.2 * flag + rng.normal(size=800) * (1 + (f == "b"))
+    df = spark.createDataFrame(pd.DataFrame({"f": f, "z": z, "flag": flag, "y": y}))
+    for other in ([("num", "z")], [("num", "z"), ("bool", "flag")]):
+        for exp in (False, True):
+            want = {r.term: r for r in fit_ols(df, "y", [("cat", "f"), *other]).table(spark, exp).collect()}
+            got = {r.term: r for r in M.fit_wide_factor(df, "y", "f", other).table(spark, exp).collect()}
+            assert set(got) == set(want)
+            for term, r in got.items():
+                assert np.allclose(list(r)[1:], list(want[term])[1:], rtol=1e-7, atol=1e-9), term
+
+
 def test_cells_and_rows_give_the_same_fits(spark, monkeypatch):
     from postmetrics.stats import gram as G
     rng = np.random.default_rng(3)
