@@ -1,6 +1,6 @@
 """Distributed sums for least squares: XᵀWX, XᵀWy, Σ w e² x xᵀ, residual moments.
 
-Two sources of the same sums:
+Three sources of the same sums:
 
 * ``CellSums`` - a design without numeric columns has few distinct rows of X.  One native
   aggregation per cell (a combination of the discrete columns) gives n, mean and central moments of
@@ -8,6 +8,8 @@ Two sources of the same sums:
 * ``RowSums`` - rows travel as factor codes; each task expands its Arrow batches into design rows, in
   slices of bounded size, and sends p x p partials as one array.  Arrays are added up in the JVM in at
   most ``SLOTS`` groups, and those on the driver.
+* ``EntitySums`` - rows centred by entity: central moments of every entity, kept as a table, give the
+  sums within and between entities.
 
 Either way only p x p numbers, or one row per cell (checked), reach the driver.
 """
@@ -245,6 +247,95 @@ class CellSums:
         return {k: v if k == "meat" else float(v) for k, v in out.items()}
 
 
+class EntitySums:
+    """Sums over the complete rows of the entities with at least ``min_size`` rows, for y on ``xs`` and a constant.
+
+    One aggregation gives n, means and covariances of every entity, another (``residuals``) the central
+    moments of its residuals; both stay tables, of which totals reach the driver.  With them the sums of
+    rows centred by entity (``within``) and of the rows as they are differ only in the entities' means.
+    """
+
+    def __init__(self, df: DataFrame, y: str, xs, entity: str, min_size: int, time: str | None = None):
+        values = [F.col(c).cast("double") for c in (y, *xs)]
+        complete = F.lit(True)
+        for v in values:
+            complete = complete & v.isNotNull() & ~F.isnan(v)
+        known = F.col(entity).isNotNull()
+        if df.schema[entity].dataType.typeName() in ("float", "double"):
+            known = known & ~F.isnan(entity)
+        # incomplete rows count for min_size, and for nothing else
+        self.rows = df.where(known).select(F.col(entity).alias("e"), *([F.col(time).alias("t")] if time else []), complete.alias("complete"),
+                                           *[F.when(complete, v).alias(f"v{i}") for i, v in enumerate(values)])
+        self.q, self.min_size = len(values), min_size
+        pairs = [(i, j) for i in range(self.q) for j in range(i, self.q)]
+        cov = [(F.var_pop(f"v{i}") if i == j else F.covar_pop(f"v{i}", f"v{j}")).alias(f"c{i}_{j}") for i, j in pairs]
+        self.all = materialize(self.rows.groupBy("e").agg(F.count(F.lit(1)).alias("size"), F.count("v0").alias("n"),
+                                                          *[F.avg(f"v{i}").alias(f"m{i}") for i in range(self.q)], *cov), "entities")
+        self.table = self.all.where((F.col("size") >= min_size) & (F.col("n") > 0))
+        n = F.col("n")
+        total = self.table.agg(
+            F.count("*").alias("entities"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.avg("n").alias("mean"), F.sum("n").alias("n"),
+            (F.var_pop("m0") * F.count("*")).alias("y2"), *[(F.sum(n * F.col(f"m{i}")) / F.sum("n")).alias(f"m{i}") for i in range(self.q)],
+            *[F.sum(n * F.col(f"c{i}_{j}")).alias(f"c{i}_{j}") for i, j in pairs]).first()
+        self.entities, self.obs_per_entity, self.n = total["entities"], (total["lo"], total["hi"], total["mean"]), float(total["n"] or 0)
+        self.means = np.array([total[f"m{i}"] or 0.0 for i in range(self.q)])
+        off = [F.col(f"m{i}") - F.lit(float(g)) for i, g in enumerate(self.means)]
+        apart = self.table.agg(*[F.sum(n * off[i] * off[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+        self.inside, self.between = np.zeros((self.q, self.q)), np.zeros((self.q, self.q))
+        for i, j in pairs:
+            self.inside[i, j] = self.inside[j, i] = total[f"c{i}_{j}"] or 0.0
+            self.between[i, j] = self.between[j, i] = apart[f"c{i}_{j}"] or 0.0
+        #: Σ(y - mean)² over the rows, and over the means of the entities.
+        self.total_y2, self.means_y2 = float(self.inside[0, 0] + self.between[0, 0]), float(total["y2"] or 0.0)
+
+    def gram(self, within: bool) -> dict[str, np.ndarray]:
+        """XᵀX and Xᵀy with the constant first; ``within``: of rows centred by entity, plus the means of all."""
+        centred = self.inside if within else self.inside + self.between
+        one = np.concatenate([[1.0], self.means[1:]])
+        xtx = self.n * np.outer(one, one)
+        xtx[1:, 1:] += centred[1:, 1:]
+        xty = self.n * self.means[0] * one
+        xty[1:] += centred[1:, 0]
+        return {"xtx": xtx, "xty": xty, "n": self.n, "sum_y": float(self.n * self.means[0])}
+
+    def residuals(self, *betas: np.ndarray) -> list[dict]:
+        """For every β, in one pass: Σe … Σe⁴ and Σ(y - mean)² of the rows centred by entity, Σe² of the rows as
+        they are (``rows_e2``) and of the means of the entities (``means_e2``)."""
+        names = range(len(betas))
+        errors = [sum((F.lit(-float(b)) * F.col(f"v{i}") for i, b in enumerate(beta[1:], 1)), F.col("v0") - F.lit(float(beta[0]))) for beta in betas]
+        rows = self.rows.select("e", "v0", *[e.alias(f"e{k}") for k, e in zip(names, errors)])
+        aggs = [F.count(F.lit(1)).alias("size"), F.count("v0").cast("double").alias("n")]
+        for k in names:
+            aggs += [F.avg(f"e{k}").alias(f"mean{k}"), F.var_pop(f"e{k}").alias(f"var{k}"),
+                     F.skewness(f"e{k}").alias(f"skew{k}"), F.kurtosis(f"e{k}").alias(f"kurt{k}")]
+        by_entity = rows.groupBy("e").agg(*aggs).where((F.col("size") >= self.min_size) & (F.col("n") > 0))
+        n, totals = F.col("n"), []
+        for k in names:
+            mean, m2 = F.col(f"mean{k}"), F.col(f"var{k}") * n
+            # without spread there is no skewness
+            m3 = F.when(m2 > 0, F.col(f"skew{k}") * F.pow(m2, F.lit(1.5)) / F.sqrt(n)).otherwise(0.0)
+            m4 = F.when(m2 > 0, (F.col(f"kurt{k}") + 3) * m2 * m2 / n).otherwise(0.0)
+            totals += [F.sum(c).alias(f"{name}{k}") for name, c in
+                       (("m2_", m2), ("m3_", m3), ("m4_", m4), ("off", n * mean * mean), ("means", mean * mean))]
+        row = by_entity.agg(*totals).first()
+        out = []
+        for k, beta in zip(names, betas):
+            m2, m3, m4 = (row[f"{m}{k}"] or 0.0 for m in ("m2_", "m3_", "m4_"))
+            d = float(self.means[0] - beta[0] - self.means[1:] @ beta[1:])  # a residual is (e - mean of its entity) + d
+            out.append({"n": self.n, "sum_e": self.n * d, "sum_e2": m2 + self.n * d ** 2, "sum_e3": m3 + 3 * d * m2 + self.n * d ** 3,
+                        "sum_e4": m4 + 4 * d * m3 + 6 * d ** 2 * m2 + self.n * d ** 4, "sum_yc2": float(self.inside[0, 0]),
+                        "rows_e2": m2 + (row[f"off{k}"] or 0.0), "means_e2": row[f"means{k}"] or 0.0})
+        return out
+
+    def periods(self) -> tuple:
+        """Number of periods; least, most and mean rows in one."""
+        rows = self.rows.where("complete").select("e", "t")
+        gone = self.all.where(F.col("size") < self.min_size).select("e")
+        if gone.limit(1).count():  # each has few rows, usually there are none: they are looked up, the others not moved
+            rows = rows.join(materialize(gone, "small_entities"), "e", "left_anti")
+        return tuple(rows.groupBy("t").count().agg(F.count("*"), F.min("count"), F.max("count"), F.avg("count")).first())
+
+
 def sums(df: DataFrame, design: Design, *ys: Column | str) -> list:
     """For every response ``CellSums`` where the design is discrete and its cells are few (checked; one
     aggregation for all of them), else ``RowSums`` over a narrow table that is written once."""

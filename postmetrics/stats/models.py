@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from postmetrics.session import materialize
 from postmetrics.stats import linalg as la
 from postmetrics.stats.design import Design, TooManyLevels, build_design, design_frame
-from postmetrics.stats.gram import sums
+from postmetrics.stats.gram import EntitySums, sums
 
 
 @dataclass
@@ -361,48 +361,37 @@ def fit_entity_fe(df: DataFrame, y: str, xs: Sequence[str], entity: str, min_siz
     """Entity fixed effects with a constant (within transform plus grand means), classical SE.
 
     Entities with fewer than ``min_size`` rows are dropped; df = n - k - (entities - 1).  With ``time``
-    the summary also counts its periods and the rows in them.
+    the summary also counts its periods and the rows in them.  All sums come from the central moments of
+    every entity (``EntitySums``): rows are aggregated where they are read, never joined or sorted.
     """
-    from pyspark.sql import functions as F
-    from postmetrics.operators.joins import entity_demean
-    sizes = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_sz"))
-    data = df.join(sizes, entity).where(F.col("_sz") >= min_size).drop("_sz")
-    data = data.select(entity, *([F.col(time).alias("_time")] if time else []), *[F.col(c).cast("double").alias(c) for c in [y, *xs]])
-    data = data.dropna(subset=[entity, y, *xs])
-    dm = entity_demean(data, entity, [y, *xs])
-    fit = fit_ols(dm, y, [("num", x) for x in xs], cov_type="classical")
-    of_entity = data.groupBy(entity).count().agg(
-        F.count("*").alias("entities"), F.min("count").alias("lo"), F.max("count").alias("hi"), F.avg("count").alias("mean")).first()
-    n_ent = of_entity["entities"]
-    k = fit.rank
+    panel = EntitySums(df, y, xs, entity, min_size, time)
+    design = Design(["Intercept", *xs], [], tuple(("num", x) for x in xs))
+    within, pooled = panel.gram(within=True), panel.gram(within=False)
+    (inv, k), (pooled_inv, _) = la.sym_pinv(within["xtx"]), la.sym_pinv(pooled["xtx"])
+    beta, pooled_beta = inv @ within["xty"], pooled_inv @ pooled["xty"]
+    r, *of_pooled = panel.residuals(beta, *([pooled_beta] if full_summary else []))
+    fit = _ols_report(design, within, r, inv, k, beta, "classical")
+    n_ent = panel.entities
     df_resid = fit.n - k - (n_ent - 1)
     cov = fit.cov * (fit.n - k) / df_resid
-    s = dict(fit.summary, df_resid=df_resid, entities=n_ent, obs_per_entity=(of_entity["lo"], of_entity["hi"], of_entity["mean"]))
+    s = dict(fit.summary, df_resid=df_resid, entities=n_ent, obs_per_entity=panel.obs_per_entity)
     if len(fit.params) > 1:
         v_inv, q = la.sym_pinv(cov[1:, 1:])
         f = float(fit.params[1:] @ v_inv @ fit.params[1:]) / max(q, 1)
         s.update(f_stat=f, f_df=(q, df_resid), f_pvalue=la.f_sf(f, q, df_resid))
     if time:
-        per = data.groupBy("_time").count().agg(F.count("*").alias("n"), F.min("count").alias("lo"), F.max("count").alias("hi"),
-                                                F.avg("count").alias("mean")).first()
-        s.update(time_periods=per["n"], obs_per_period=(per["lo"], per["hi"], per["mean"]))
-    if not full_summary:
-        return Fit(["const" if nm == "Intercept" else nm for nm in fit.names], fit.params, cov, fit.n, k, s, df_resid)
-    # R² overall / between use the slopes on untransformed data (squared correlations);
-    # poolability F compares with the pooled OLS without entity effects
-    slopes = sum((F.lit(float(b)) * F.col(x) for b, x in zip(fit.params[1:], xs)), F.lit(0.0))
-    scored = data.select(entity, F.col(y).alias("_y"), (F.lit(float(fit.params[0])) + slopes).alias("_p"))
-
-    def explained(rows):  # 1 - SSR / TSS about the mean; below 0 where the fit does worse than the mean
-        r = rows.agg(F.sum((F.col("_y") - F.col("_p")) ** 2).alias("ssr"), F.var_pop("_y").alias("v"), F.count("_y").alias("n")).first()
-        return 1.0 - r["ssr"] / (r["v"] * r["n"]) if r["n"] and r["v"] else float("nan")
-    overall = explained(scored)
-    between = explained(scored.groupBy(entity).agg(F.avg("_y").alias("_y"), F.avg("_p").alias("_p")))
-    pooled = fit_ols(data, y, [("num", x) for x in xs], cov_type="classical")
-    ssr_fe, ssr_pool = fit.summary["ssr"], pooled.summary["ssr"]
-    pool_f = ((ssr_pool - ssr_fe) / max(n_ent - 1, 1)) / (ssr_fe / df_resid) if ssr_fe > 0 else float("nan")
-    s.update(r_squared_within=fit.summary["r_squared"],
-             r_squared_overall=overall, r_squared_between=between,
-             poolability_f=pool_f, poolability_df=(n_ent - 1, df_resid),
-             poolability_pvalue=la.f_sf(pool_f, n_ent - 1, df_resid) if math.isfinite(pool_f) else float("nan"))
+        periods, *per = panel.periods()
+        s.update(time_periods=periods, obs_per_period=tuple(per))
+    if full_summary:
+        # R² overall / between use the slopes on untransformed data (below 0 where the fit does worse
+        # than the mean); poolability F compares with the pooled OLS without entity effects
+        def explained(ssr, total):
+            return 1.0 - ssr / total if total else float("nan")
+        ssr_fe, ssr_pool = fit.summary["ssr"], of_pooled[0]["rows_e2"]
+        pool_f = ((ssr_pool - ssr_fe) / max(n_ent - 1, 1)) / (ssr_fe / df_resid) if ssr_fe > 0 else float("nan")
+        s.update(r_squared_within=fit.summary["r_squared"],
+                 r_squared_overall=explained(r["rows_e2"], panel.total_y2),
+                 r_squared_between=explained(r["means_e2"], panel.means_y2),
+                 poolability_f=pool_f, poolability_df=(n_ent - 1, df_resid),
+                 poolability_pvalue=la.f_sf(pool_f, n_ent - 1, df_resid) if math.isfinite(pool_f) else float("nan"))
     return Fit(["const" if nm == "Intercept" else nm for nm in fit.names], fit.params, cov, fit.n, k, s, df_resid)

@@ -464,6 +464,61 @@ def test_entity_fe_summary_statistics(spark):
     assert s["poolability_df"] == (19, 500 - 2 - 19) and s["poolability_f"] > 1
 
 
+def _panel(spark):
+    """30 entities with incomplete rows; two with one row, one of them incomplete, and rows without entity."""
+    rnd = np.random.default_rng(31)
+    ent = rnd.integers(0, 30, 700)
+    x, z = rnd.normal(size=700) + ent * 0.1, rnd.normal(size=700) ** 2
+    y = 2.0 * x - z + ent * 0.5 + rnd.normal(size=700) ** 3
+    rows = [[f"e{e}", f"t{i % 9}", *map(float, v)] for i, (e, *v) in enumerate(zip(ent, x, z, y))]
+    for i in range(0, 700, 23):
+        rows[i][2 + i % 3] = None if i % 2 else float("nan")
+    rows += [["one", "only", 1.0, 2.0, 3.0], ["none", "t1", None, 2.0, 3.0], [None, "t1", 1.0, 2.0, 3.0], ["half", "t2", 1.0, 2.0, 3.0], ["half", "t2", 1.0, 2.0, None]]
+    df = spark.createDataFrame(rows, "ent string, t string, x double, z double, y double")
+    pdf = pd.DataFrame(rows, columns=["ent", "t", "x", "z", "y"])
+    return df, pdf[pdf.groupby("ent").ent.transform("count") >= 2].dropna()  # 'half' stays with its complete row
+
+
+def test_entity_fe_sums_equal_those_of_the_rows(spark):
+    df, pdf = _panel(spark)
+    fit = fit_entity_fe(df, "y", ["x", "z"], "ent", time="t")
+    s, n, n_ent = fit.summary, len(pdf), pdf.ent.nunique()
+    g = pdf.groupby("ent")[["x", "z", "y"]]
+    c = pdf[["x", "z", "y"]] - g.transform("mean")
+    slopes = np.linalg.lstsq(c[["x", "z"]], c.y, rcond=None)[0]
+    e = (c.y - c[["x", "z"]] @ slopes).to_numpy()
+    const = pdf.y.mean() - pdf[["x", "z"]].mean().to_numpy() @ slopes
+    assert np.allclose(fit.params, [const, *slopes], rtol=1e-9) and fit.n == n and fit.rank == 3
+    p = const + pdf[["x", "z"]] @ slopes
+    means = g.mean().assign(p=lambda m: const + m[["x", "z"]] @ slopes)
+    dense = np.column_stack([np.ones(n), pdf[["x", "z"]]])
+    pooled = ((pdf.y - dense @ np.linalg.lstsq(dense, pdf.y, rcond=None)[0]) ** 2).sum()
+    want = dict(ssr=(e ** 2).sum(), llf=-n / 2 * (math.log(2 * math.pi) + math.log((e ** 2).mean()) + 1), skew=(e ** 3).mean() / (e ** 2).mean() ** 1.5,
+                kurtosis=(e ** 4).mean() / (e ** 2).mean() ** 2, r_squared_within=1 - (e ** 2).sum() / (c.y ** 2).sum(),
+                r_squared_overall=1 - ((pdf.y - p) ** 2).sum() / ((pdf.y - pdf.y.mean()) ** 2).sum(),
+                r_squared_between=1 - ((means.y - means.p) ** 2).sum() / ((means.y - means.y.mean()) ** 2).sum(),
+                poolability_f=(pooled - (e ** 2).sum()) / (n_ent - 1) / ((e ** 2).sum() / (n - 3 - (n_ent - 1))))
+    for k, v in want.items():
+        assert math.isclose(s[k], v, rel_tol=1e-8), k
+    sizes, per = pdf.groupby("ent").size(), pdf.groupby("t").size()
+    assert s["entities"] == n_ent == 31 and s["obs_per_entity"] == (1, sizes.max(), sizes.mean())
+    assert s["time_periods"] == 9 and s["obs_per_period"] == (per.min(), per.max(), per.mean())
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_entity_fe_joins_no_rows(spark, monkeypatch, full):
+    """Sums of entities are enough: no join (nor its sort of all rows in a task) and no Python over rows."""
+    df, pdf = _panel(spark)
+    df = df.where("ent LIKE 'e%'")
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("rows are moved")
+    for name in ("join", "mapInArrow", "mapInPandas", "toPandas", "toArrow"):
+        monkeypatch.setattr(type(df), name, refuse)
+    fit = fit_entity_fe(df, "y", ["x", "z"], "ent", full_summary=full, time="t")
+    assert fit.n == len(pdf) - 1 and fit.summary["entities"] == 30
+
+
 @pytest.mark.parametrize("unit", [1.0, 1e6, 1e-3])
 def test_ols_with_regressors_of_different_size(spark, unit):
     """Estimates equal least squares when a large or tiny regressor stands next to a rare dummy."""
