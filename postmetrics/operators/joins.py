@@ -2,7 +2,7 @@
 
 Group-level tables (latest row per key, entity means) are built with partial
 aggregates - ``max_by`` keeps O(1) state per key - and joined back by key.
-Join strategy is left to AQE, which broadcasts a side only when its measured
+Join strategy is left to AQE (but in ``entity_demean``), which broadcasts a side only when its measured
 runtime size is under the threshold and splits skewed partitions otherwise.
 """
 
@@ -50,7 +50,8 @@ def infer_owner(df: DataFrame, author: str, screen_name: str, reply_to: str,
 def entity_demean(df: DataFrame, entity: str, cols: Sequence[str], add_grand_mean: bool = True) -> DataFrame:
     """Within transform: x - mean_entity(x) (+ grand mean of x)."""
     means = df.groupBy(entity).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    out = df.join(means, entity)
+    # the means of a task's entities are held in memory, its rows pass by; a sort would hold the rows
+    out = df.join(means.hint("shuffle_hash"), entity)
     if add_grand_mean:  # all grand means from one aggregate
         out = out.withColumn("_grand", df.agg(F.struct(*[F.avg(c).alias(c) for c in cols]).alias("g")).scalar())
     for c in cols:

@@ -220,3 +220,15 @@ def test_cycles_of_any_length_beside_chains(spark):
     got = {r.id: r.thread_id for r in thread_roots(df, "id", "parent").collect()}
     assert all(got[f"a{i}"] == "a0" for i in range(7)) and got["b0"] == got["b1"] == "b0" and got["t0"] == got["t1"] == "a0"
     assert {v for k, v in got.items() if k[0] == "c"} == {"c060"}
+
+
+def test_entity_demean_sorts_no_rows(spark, capsys):
+    """The means of a task's entities stay in memory, not its rows."""
+    from postmetrics.operators.joins import entity_demean
+    df = spark.range(1000).select((F.col("id") % 7).alias("e"), F.col("id").cast("double").alias("x"))
+    out = entity_demean(df, "e", ["x"], add_grand_mean=False)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    sums = out.groupBy("e").agg(F.sum("x").alias("s")).collect()
+    assert len(sums) == 7 and all(abs(r.s) < 1e-6 for r in sums)
