@@ -151,6 +151,24 @@ def test_suffix_dedup_against_all_windows(docs, rows, length):
     assert got == _cut(rows, length)
 
 
+def test_suffix_dedup_query_returns_the_text_left(spark, tmp_path):
+    """A shared passage of over 50 words goes from every text from 400 bytes on, a shorter one stays."""
+    from postmetrics.llm.q_suffix_dedup import op5_suffix_dedup
+    rng = random.Random(7)
+    long, short = _words(rng, 90), _words(rng, 300)
+    long, short = f" {long[:399]}", f" {short[:398]}"
+    assert min(len(long.split()), len(short.split())) > 50
+    heads, ends = "ABCD", "WXYZ"
+    texts = [f"{h}{_words(rng, 30)}é{h}{p}{e}{_words(rng, 30)}" for h, e, p in zip(heads, ends, (long, long, short, short))]
+    texts += [_words(rng, 200), None, texts[0][:300]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    want = {k: (t or "").replace(long, "") for k, t in enumerate(texts)}
+    assert {k: r.text for k, r in got.items()} == want
+    assert {k: r.n_removed for k, r in got.items()} == {k: len((t or "").encode()) - len(want[k].encode()) for k, t in enumerate(texts)}
+    assert [got[k].n_removed for k in range(7)] == [400, 400, 0, 0, 0, 0, 0]
+
+
 def test_sample_positions_do_not_depend_on_parts(monkeypatch):
     from postmetrics.llm.textops import prefix_sums
     raw = np.random.default_rng(1).integers(97, 100, 5000).astype(np.uint8)
